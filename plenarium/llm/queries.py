@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .near_dedup import op5_near_dedup
 from .packing import op9_packing
 from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_exact_topk
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL = {
