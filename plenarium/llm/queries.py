@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .near_dedup import op5_near_dedup
 from .packing import op9_packing
+from .pii import op6_pii
 from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_exact_topk
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_exact_topk": op2_exact_topk,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_pii": op6_pii,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL = {
