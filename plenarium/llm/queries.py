@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op4_language_id
 from .near_dedup import op5_near_dedup
 from .packing import op9_packing
 from .pii import op6_pii
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_topk": op2_exact_topk,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_pii": op6_pii,
     "op9_packing": op9_packing,
