@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op8_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op4_language_id
 from .near_dedup import op5_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_pii": op6_pii,
+    "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL = {
