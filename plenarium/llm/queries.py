@@ -8,6 +8,7 @@ from .language_id import op4_language_id
 from .near_dedup import op5_near_dedup
 from .packing import op9_packing
 from .pii import op6_pii
+from .sentencepieces import op10_sentencepieces
 from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_exact_topk
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
+    "op10_sentencepieces": op10_sentencepieces,
 }
 ORACLE_SQL = {
     "op2_exact_topk": OP2_SQL,
