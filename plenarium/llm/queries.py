@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op8_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op4_language_id
+from .line_dedup import op7_line_dedup
 from .near_dedup import op5_near_dedup
 from .packing import op9_packing
 from .pii import op6_pii
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_pii": op6_pii,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
