@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Entity names and what they stand for.
 ENTITIES = {
@@ -44,7 +45,7 @@ def slugify_ascii(text: Column) -> Column:
     return F.regexp_replace(joined, "^-+|-+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     def fold(text):
         if text is None:
@@ -104,7 +105,7 @@ def _clean_profile(html: str) -> str:
 
 
 def _vectorised(rule: Callable[[str], str]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else rule(t))
 
