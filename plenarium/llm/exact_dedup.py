@@ -45,9 +45,10 @@ def copy_groups(docs: DataFrame, salts: int = 16, digest=sha256) -> DataFrame:
         .groupBy("digest", "salt", "content")
         .agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"))
     )
+    # Dealt by digest alone, so that counting a digest's texts needs no further exchange.
     texts = F.count("*").over(Window.partitionBy("digest"))
     groups = stage(
-        salted.groupBy("digest", "content").agg(*merged).withColumn("texts", texts)
+        salted.repartition("digest").groupBy("digest", "content").agg(*merged).withColumn("texts", texts)
         .select("digest", "keep_id", "group_size", F.when(F.col("texts") > 1, F.col("content")).alias("content")),
         "copies",
     )
