@@ -118,6 +118,9 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, seed: int = 20, rows_per_c
         [(r["file"], number, r["count"], np.cumsum(row).tolist()) for number, (r, row) in enumerate(zip(counts, matrix, strict=True))],
         "file string, number int, rows long, upto array<long>",
     )
+    # The deals grow with the number of files; beyond 16 MB they meet the rows by a shuffle.
+    if len(counts) * shards * 8 <= 16 << 20:
+        deals = F.broadcast(deals)
     cells = min(1 << CELL_BITS, max(1, -(-total // (shards * rows_per_cell))))
     dealt = (
         source.join(deals, "file")
