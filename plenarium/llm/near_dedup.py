@@ -343,10 +343,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
                 full = len(shingles) > 0
                 rows.append((len(shingles), digest, band_keys(least) if full else None, (least & np.uint32(255)).astype(np.uint8).tobytes() if full else None))
             frame = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
-            yield frame.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
+            yield frame.assign(doc_id=batch["doc_id"])
 
     texts = docs.select("doc_id", "text")
-    sketched = stage(texts.mapInPandas(sketch, "n_shingles long, digest binary, bands array<long>, sketch binary, doc_id long"), "sketches")
+    # Ids cross into pandas as strings, where a null would turn longs into doubles.
+    named = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    sketched = named.mapInPandas(sketch, "n_shingles long, digest binary, bands array<long>, sketch binary, doc_id string")
+    sketched = stage(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     classes = stage(
         sketched.where("n_shingles > 0").groupBy("digest", "n_shingles")
         .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
