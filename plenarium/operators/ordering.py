@@ -34,16 +34,20 @@ def latest_open(seats: DataFrame, person: str, start: str, order: list[str]) ->
     return first_per_key(seats, [person], F.col(start).desc_nulls_last(), *order)
 
 
-def batches(df: DataFrame, size: int, *order: str | Column) -> DataFrame:
-    """``df`` with ``batch``: runs of ``size`` rows in order.
+def batches(df: DataFrame, size: int, *order: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``batch``: runs of ``size`` rows in order; the last of ``order`` has to be unique.
 
-    The numbering follows a range-partitioned sort: rows are counted by partition first, so
-    no task sees more than its own part.
+    Rows are dealt to ranges between a fixed number of hashed sample rows and counted by
+    range first, so no task orders more than its own range.  The bounds are literals of the
+    plan: a range that is computed again holds the same rows.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    key = F.struct(*order)
+    bounds = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(parts - 1).orderBy(*order).collect()
+    typed = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.select(*order).schema.fields)
+    edges = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(order, b, strict=True)]).cast(f"struct<{typed}>") for b in bounds])
+    ranged = df.withColumn("part", F.size(F.filter(edges, lambda e: e <= key)) if bounds else F.lit(0))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     return ranged.withColumn("nth", nth).join(starts, "part").withColumn("batch", F.floor((F.col("start") + F.col("nth") - 1) / size)).drop("part", "nth", "start")
 
