@@ -8,7 +8,6 @@ windows' probabilities by the number of letters they hold.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,6 @@ SAMPLE = 1000
 UNKNOWN = "und"
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTER_BYTE = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Positions filtered at a time.
 _AT_ONCE = 512 * WINDOW
@@ -135,7 +133,7 @@ class Predictor:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         parts, owner = [], []
         for i, text in enumerate(texts):
-            if text and self.net.languages and _LETTER.search(text):
+            if text and self.net.languages and any(map(str.isalpha, text)):
                 data = as_bytes(text)
                 windows = -(-(len(data) + REACH) // WINDOW)
                 parts.append(data.ljust(windows * WINDOW, b"\0"))

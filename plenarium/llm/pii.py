@@ -273,7 +273,7 @@ def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
     are unchanged; rows, their order in groups and all other columns stay.  An input column
     named ``n_pseudonyms`` is replaced.
     """
-    done = F.when(F.col("text").rlike("[0-9@=:]"), pseudonymised(F.col("text"), key)).otherwise(F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n")))
+    done = F.when(F.col("text").rlike("[0-9@=:]|A[KS]IA"), pseudonymised(F.col("text"), key)).otherwise(F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n")))
     names = [c for c in docs.columns if c.lower() != "n_pseudonyms"]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], done.alias("n_pseudonyms"))
     return rows.select(*[F.col("n_pseudonyms.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.col("n_pseudonyms.n").alias("n_pseudonyms"))
