@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,9 +24,9 @@ WINDOW = 2048
 END_ID = 1
 #: Marks a document's first piece in the cache; texts that hold it take the general path.
 FIRST = "\r"
-_UNUSUAL = re.compile(r"[^\S \n]|[\x1c-\x1f]|\s\s|\A\s|\s\Z")
 _PLAIN_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Ids are strings in pandas, where a null would turn longs into doubles.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def default_tokenizer() -> str:
@@ -40,10 +40,11 @@ class Encoder:
 
     The vocabulary's pre-tokeniser always breaks before a space or line feed that stands
     between other characters, so a text's ids are those of its words in turn, and each
-    word is tokenised once while it is in the cache.
+    word is tokenised once while it is in the cache.  The cache has two generations; what
+    the last one still uses outlives the change.
     """
 
-    CACHED, LONGEST, SEGMENT = 300_000, 200, 50_000
+    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 500_000, 200, 50_000, 1_000, 4_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,28 +52,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> None:
         """Ids of words as they stand in a text: after a space, or with their line feed or FIRST mark."""
-        new: dict[str, bytes] = {}
         inner = [w for w in words if not w.startswith(FIRST)]
-        for at in range(0, len(inner), 200):
-            some = inner[at : at + 200]
-            ids = self._ids("".join(w if w[0] == "\n" else f" {w}" for w in some))
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) == len(some):
-                new.update((w, part.tobytes()) for w, part in zip(some, np.split(ids, starts[1:]), strict=True))
+        for at in range(0, len(inner), self.TOGETHER):
+            some = inner[at : at + self.TOGETHER]
+            shown = [w if w.startswith("\n") else f" {w}" for w in some]
+            ids = self._ids("".join(shown))
+            cuts = (4 * np.flatnonzero(self.leads[ids])).tolist()
+            if len(cuts) == len(some):
+                data = ids.tobytes()
+                self.young.update((w, data[i:j]) for w, i, j in zip(some, cuts, [*cuts[1:], len(data)], strict=True))
             else:
-                new.update((w, self._ids(w if w[0] == "\n" else f" {w}").tobytes()) for w in some)
-        new.update((w, self._ids(w[1:]).tobytes()) for w in words if w.startswith(FIRST))
-        return new
+                self.young.update((w, self._ids(x).tobytes()) for w, x in zip(some, shown, strict=True))
+        first = [w for w in words if w.startswith(FIRST)]
+        encodings = self.tokenizer.encode_batch_fast([w[1:] for w in first], add_special_tokens=False)
+        self.young.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(first, encodings, strict=True))
 
     def _any_text(self, text: str) -> bytes:
         """For texts with other white space; long ones in segments between two ASCII words."""
@@ -84,23 +88,43 @@ class Encoder:
             at = end
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        if not text or _UNUSUAL.search(text):
-            return self._any_text(text)
+    @staticmethod
+    def _words(text: str) -> list[str] | None:
+        """Words of a text whose only white space is single spaces and line feeds between words."""
+        if not text or text.replace("\n", " ").split(" ") != text.split():
+            return None
         words = text.replace("\n", " \n").split(" ")
         words[0] = FIRST + words[0]
-        new = set(words).difference(self.known)
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        learnt = self._learn(list(new))
-        if len(self.known) + len(learnt) > self.CACHED:
-            self.known.clear()
-            both = {**learnt, **self._learn([w for w in set(words) if w not in learnt])}
-        else:
-            both = {**{w: self.known[w] for w in set(words) - learnt.keys()}, **learnt}
-        if len(learnt) < self.CACHED:
-            self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= self.LONGEST)
-        return b"".join(map(both.__getitem__, words))
+        return words
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        split = [self._words(t) for t in texts]
+        new = []
+        for word in set().union(*(w for w in split if w)):
+            if word not in self.young:
+                if word in self.old:
+                    self.young[word] = self.old[word]
+                else:
+                    new.append(word)
+        self._learn(new)
+        out = [self._any_text(t) if w is None else b"".join(map(self.young.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+        for word in new:
+            if len(word) > self.LONGEST:
+                del self.young[word]
+        if len(self.young) > self.CACHED:
+            self.old, self.young = self.young, {}
+        return out
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order; about AT_ONCE characters are in work at a time."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= self.AT_ONCE:
+                yield from self._encode_some(some)
+                some, size = [], 0
+        yield from self._encode_some(some)
 
 
 @lru_cache(maxsize=2)
@@ -109,15 +133,14 @@ def encoder(path: str) -> Encoder:
 
 
 def document_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and its ids as bytes, the end id last."""
+    """doc_id, not null, and its ids as bytes, the end id last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            encode = encoder(tokenizer).encode
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [encode(t or "") + end for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [ids + end for ids in encoder(tokenizer).encode(batch["text"])]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
@@ -126,17 +149,15 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end, step = END_ID.to_bytes(4, "little"), 4 * window
         for batch in batches:
-            encode = encoder(tokenizer).encode
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"], encoder(tokenizer).encode(batch["text"]), strict=True):
+                ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-            frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield frame.astype({"doc_id": "Int64"}) if len(frame) else frame.astype("int64")
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
 
 
 class TightestFit:
@@ -212,7 +233,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     before = F.sum("n").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1))
     bases = placed.groupBy("pack").agg((F.max("number") + 1).alias("n")).select("pack", F.coalesce(before, F.lit(0)).alias("base"))
     return placed.join(bases, "pack").select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("number")).alias("sequence_id"), "offset"
+        F.col("doc_id").cast("long").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("number")).alias("sequence_id"), "offset"
     )
 
 
