@@ -189,6 +189,7 @@ def label_values(html: Column, label_tag: str = "dt", value_tag: str = "dd", cle
     return F.map_from_entries(last)
 
 
+# Fixed value: how a bill summary begins.
 SUMMARY_START = r"(?i)^Amends the:?\s*"
 #: Fixed value: one or more act names, then what is done to them.
 ACT_HEADING = (
@@ -244,6 +245,7 @@ def summary_list(summary: Column) -> Column:
     return let(parts, listed)
 
 
+# How occupations are written.
 OCCUPATION_AT = r"^(.+?) (?:at|for|with) (?:the )?(.+?)(?: from (.+?))?(?: to (.+))?$"
 OCCUPATION_OF = r"^(.+?) of (?:the )?(.+?)(?: from (.+?))?(?: to (.+))?$"
 OCCUPATION_YEARS = "^(.*?),\\s*((?:1[89]|20)\\d{2})(?:\\s*[-–—]\\s*((?:1[89]|20)\\d{2}))?$"

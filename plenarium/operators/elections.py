@@ -18,7 +18,7 @@ def polling_place_totals(rows: DataFrame, key: str, votes: str, order: list[str]
 def candidate_shares(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
     """``rows`` with ``pct``: share of the electorate's votes to two places, 0 of no votes."""
     total = F.sum(votes).over(Window.partitionBy(electorate))
-    return rows.withColumn("pct", F.when(total > 0, round2(100 * F.col(votes) / F.when(total > 0, total))).otherwise(0.0))
+    return rows.withColumn("pct", F.when(total > 0, round2(F.col(votes) / F.when(total > 0, total) * 100)).otherwise(0.0))
 
 
 def two_candidate_shares(rows: DataFrame, electorate: str, votes: str) -> DataFrame:

@@ -135,7 +135,7 @@ def polling_place_totals(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  CASE WHEN sum(l_quantity) OVER w > 0 THEN round(100 * l_quantity / sum(l_quantity) OVER w * 100) / 100 ELSE 0 END AS pct
+  CASE WHEN sum(l_quantity) OVER w > 0 THEN round(l_quantity / sum(l_quantity) OVER w * 100 * 100) / 100 ELSE 0 END AS pct
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""")
 def candidate_share(spark, sf):
     """WIN-02, PRJ-07, AGG-06, NUM-01."""
@@ -515,3 +515,159 @@ def mention_linker(spark, sf):
     titles = [r["n_name"] for r in t(spark, sf, "nation").select("n_name").collect()]
     pages = t(spark, sf, "pages").select("page_id", text.strip_html_named(F.col("html")).alias("text"))
     return linking.linked_mentions(pages, titles).select("page_id", F.size("mentions").alias("n"))
+
+
+@query("""SELECT c_custkey AS slug, string_agg(o_orderkey, ',' ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS contests
+FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+def person_contests(spark, sf):
+    """JON-05, SRT-05."""
+    candidates = t(spark, sf, "orders").select(F.col("o_custkey").alias("name_slug"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_id"), F.col("o_orderkey").alias("ord"))
+    people = t(spark, sf, "customer").select(F.col("c_custkey").alias("slug"))
+    return linking.elections_of_people(candidates, people).select("slug", F.concat_ws(",", F.transform("elections", lambda e: e["ord"].cast("string"))).alias("contests"))
+
+
+@query("""SELECT l_suppkey AS member, l_orderkey AS division, arg_min(l_linestatus, (l_linenumber, l_partkey, l_linestatus)) AS vote FROM lineitem GROUP BY ALL""")
+def member_ballots(spark, sf):
+    """JON-19: the first of a member's votes in a division."""
+    rows = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("member"), F.col("l_orderkey").alias("division"), F.col("l_linestatus").alias("vote"), F.struct("l_linenumber", "l_partkey", "l_linestatus").alias("pos"))
+    return linking.votes_of(rows)
+
+
+@query("""WITH w AS (SELECT s_suppkey % 40 AS person_id, max(s_suppkey) AS slug FROM supplier GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN slug IS NULL THEN 'name-' || l_suppkey ELSE 'id-' || slug END AS member FROM lineitem LEFT JOIN w ON l_suppkey % 50 = person_id""")
+def vote_crosswalk(spark, sf):
+    """JON-18: the last slug of a shared id, else the name's slug."""
+    ids = t(spark, sf, "supplier").select((F.col("s_suppkey") % 40).alias("person_id"), F.concat(F.lit("id-"), "s_suppkey").alias("slug"), F.col("s_suppkey").alias("ord"))
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_suppkey") % 50).alias("person_id"), F.concat(F.lit("name-"), "l_suppkey").alias("name_slug"))
+    return matching.crosswalk(rows, ids).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "member")
+
+
+@query("""SELECT c_custkey, coalesce(n_name, c_name) AS c_name, s_acctbal FROM customer LEFT JOIN nation ON c_custkey = n_nationkey LEFT JOIN supplier ON c_custkey = s_suppkey""")
+def enriched_people(spark, sf):
+    """JON-03, JON-06, JON-13, JON-14, JON-17."""
+    overrides = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("c_custkey"), F.col("n_name").alias("c_name"))
+    side = t(spark, sf, "supplier").withColumnRenamed("s_suppkey", "c_custkey")
+    named = matching.with_overrides(t(spark, sf, "customer"), overrides, "c_custkey", "c_name")
+    return matching.left_enrich(named, side, "c_custkey", ["s_acctbal"]).select("c_custkey", "c_name", "s_acctbal")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0""")
+def merged_versions(spark, sf):
+    """INC-10, SET-03, INC-09: incoming rows before stored ones."""
+    rows = t(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    stored, incoming = rows.where("o_orderkey % 2 = 0").withColumn("v", F.lit(0)), rows.where("o_orderkey % 3 = 0").withColumn("v", F.lit(1))
+    return incremental.upsert(stored, incoming, ["o_orderkey"], "o_orderdate").select("o_orderkey", "v")
+
+
+@query("""SELECT user_id, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY user_id""")
+def user_cursors(spark, sf):
+    """INC-01, AGG-11: the latest date of what was fetched."""
+    days = t(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("d"))
+    return days.groupBy("user_id").agg(F.max("d").alias("last_day"))
+
+
+@query("""SELECT o.o_orderkey FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey
+WHERE o_orderkey % 4 = 0 OR n IS NULL""")
+def stale_markers(spark, sf):
+    """INC-03: another marker, or no step stored."""
+    steps = t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_linenumber").alias("timeline"))
+    stored = t(spark, sf, "orders").join(steps, "o_orderkey").select("o_orderkey", F.lit("m1").alias("marker"), "timeline")
+    incoming = t(spark, sf, "orders").withColumn("marker", F.when(F.col("o_orderkey") % 4 == 0, "m2").otherwise("m1"))
+    return incremental.stale_marker(incoming, stored, "o_orderkey", "marker", "timeline").select("o_orderkey")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS text FROM part WHERE p_partkey % 2 = 0")
+def accepted_answers(spark, sf):
+    """JSN-05, INC-05: answers of the batch only, texts trimmed."""
+    answer = F.to_json(F.array(F.struct(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("summary"))))
+    batch = t(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("id"))
+    return incremental.accepted_answers(t(spark, sf, "part").select(answer.alias("answer")), batch, False)
+
+
+@query("""SELECT p_partkey, 'Alpha Act 1999' AS first_act, p_name AS first_item, 'Beta Code' AS second_act, p_brand || '; ' || p_type AS second_items FROM part""")
+def summary_groups(spark, sf):
+    """STR-13."""
+    said = F.concat(F.lit("Amends the: Alpha Act 1999 to: "), "p_name", F.lit("; and Beta Code to "), "p_brand", F.lit("; "), "p_type", F.lit("."))
+    g = t(spark, sf, "part").select("p_partkey", text.summary_groups(said).alias("g"))
+    return g.select("p_partkey", F.expr("g[0].acts").alias("first_act"), F.concat_ws("; ", F.expr("g[0].items")).alias("first_item"), F.expr("g[1].acts").alias("second_act"), F.concat_ws("; ", F.expr("g[1].items")).alias("second_items"))
+
+
+@query("""SELECT p_partkey, 'To:' AS lead, p_name || '|' || p_brand || '|' || p_type || '|end' AS items, p_name AS qual, p_brand AS institution FROM part""")
+def summary_lists(spark, sf):
+    """STR-14, STR-17."""
+    said = F.concat(F.lit("To: "), "p_name", F.lit("; "), "p_brand", F.lit(";  and "), "p_type", F.lit("; end"))
+    rows = t(spark, sf, "part").select("p_partkey", text.summary_list(said).alias("s"), text.qualification(F.concat("p_name", F.lit(", "), "p_brand")).alias("q"))
+    return rows.select("p_partkey", "s.lead", F.concat_ws("|", "s.items").alias("items"), "q.qual", "q.institution")
+
+
+@query("""SELECT c_custkey, upper(substr(c_name, 1, 1)) || upper(substr(c_mktsegment, 1, 1)) AS initials, replace(c_name, '#', '%23') || '%20%26%20(x)' AS coded,
+  c_name || ' & (x)' AS decoded, '&lt;' || c_name || '&gt;' AS escaped, 'person-' || c_custkey AS key FROM customer""")
+def text_codes(spark, sf):
+    """STR-07, STR-08, STR-11, STR-20."""
+    coded = text.encode_component(F.concat("c_name", F.lit(" & (x)")))
+    return t(spark, sf, "customer").select(
+        "c_custkey", text.initials(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("initials"), coded.alias("coded"), text.decode_component(coded).alias("decoded"),
+        text.escape_html(F.concat(F.lit("<"), "c_name", F.lit(">"))).alias("escaped"), text.storage_key(F.concat(F.lit("person/"), "c_custkey")).alias("key"),
+    )
+
+
+@query("""SELECT s_suppkey, 'Given ' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE NOT contains(n_name, ' ')""")
+def raiser_names(spark, sf):
+    """STR-03, STR-02."""
+    rows = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("not contains(n_name, ' ')")
+    return rows.select("s_suppkey", text.raiser_name(F.concat(F.upper("n_name"), F.lit(", the Hon. Dr Given Other, MP"))).alias("name"))
+
+
+@query("""SELECT c_custkey, (['NSW', 'VIC', NULL])[c_custkey % 3 + 1] AS state, CASE WHEN c_custkey % 3 = 2 THEN 'Member for ' || c_name ELSE 'Senator for ' || (['New South Wales', 'Victoria'])[c_custkey % 3 + 1] END AS seat FROM customer""")
+def seat_descriptors(spark, sf):
+    """PRJ-09, PRJ-11, PRJ-29."""
+    names = F.array(F.lit("New South Wales"), F.lit("victoria"), F.lit("Elsewhere"))
+    rows = t(spark, sf, "customer").withColumn("state", text.as_state(F.get(names, (F.col("c_custkey") % 3).cast("int"))))
+    house = F.when(F.col("c_custkey") % 3 == 2, "representatives").otherwise("senate")
+    return rows.select("c_custkey", "state", rules.seat_descriptor(house, text.state_name(F.col("state")), F.col("c_name")).alias("seat"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day, strftime(ts, '%Y-%m-%d') || 'T00:00:00Z' AS stamp FROM events""")
+def clean_dates(spark, sf):
+    """DT-03, DT-08."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    given = F.when(F.col("event_id") % 3 == 0, "1900-01-01T00:00:00").otherwise(iso)
+    return t(spark, sf, "events").select("event_id", dates.clean_date(given).alias("day"), dates.feed_timestamp(F.date_format("ts", "yyyy-MM-dd")).alias("stamp"))
+
+
+@query("""SELECT word, count(DISTINCT item_id) AS n FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM benchmark) WHERE word <> '' GROUP BY word""")
+def word_index(spark, sf):
+    """SNK-09."""
+    from .views import word_index as index
+
+    return index(t(spark, sf, "benchmark"), "item_id", "text")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'application/json' ELSE 'text/csv' END AS kind FROM pages""")
+def content_types(spark, sf):
+    """SNK-04."""
+    return t(spark, sf, "pages").select("page_id", text.content_type(F.concat("url", F.when(F.col("page_id") % 2 == 0, ".json").otherwise(".csv"))).alias("kind"))
+
+
+@query("""SELECT p_partkey, CAST(2 AS BIGINT) AS n, p_type AS size, p_brand AS brand FROM part""")
+def label_map(spark, sf):
+    """STR-12: the last of equal labels counts, blanks don't."""
+    html = F.concat(F.lit("<dl><dt>Size:</dt><dd>old</dd><dt>Brand </dt>\n<dd>"), "p_brand", F.lit("</dd><dt>None</dt><dd> </dd><dt>SIZE</dt><dd><b>"), "p_type", F.lit("</b></dd></dl>"))
+    m = t(spark, sf, "part").select("p_partkey", text.label_values(html).alias("m"))
+    return m.select("p_partkey", F.size("m").cast("long").alias("n"), F.expr("m['size']").alias("size"), F.expr("m['brand']").alias("brand"))
+
+
+@query("""SELECT o_orderkey, CAST(epoch_ms(o_orderdate) AS BIGINT) // 86400000 AS days FROM orders""")
+def epoch_days(spark, sf):
+    """DT-07: milliseconds of a date text."""
+    millis = F.unix_millis(F.try_to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return t(spark, sf, "orders").select("o_orderkey", F.floor(millis / 86_400_000).alias("days"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus || o_orderpriority AS house, o_orderdate AS d FROM orders)
+SELECT a.o_orderkey AS division, coalesce(string_agg(b.o_orderkey, '; ' ORDER BY b.o_orderkey), '') AS ledger FROM o a LEFT JOIN o b ON a.house = b.house AND a.d = b.d AND a.o_orderkey <> b.o_orderkey GROUP BY 1""")
+def prompt_ledger(spark, sf):
+    """JON-25."""
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("division"), F.concat("o_orderstatus", "o_orderpriority").alias("house"), F.col("o_orderdate").alias("date"), F.col("o_orderkey").alias("number"), F.col("o_orderkey").cast("string").alias("name"), F.array(F.lit("b")).alias("bill_ids"))
+    bills = spark.createDataFrame([("b", "A bill")], "bill_id string, title string")
+    return linking.prompt_context(rows, bills).select("division", F.coalesce("ledger", F.lit("")).alias("ledger"))
