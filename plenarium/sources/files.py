@@ -117,3 +117,35 @@ def window_walk(fetch: Callable[[str, str], list[dict]], start: str, end: str, p
         if len(rows) < page or not new:
             return list(seen.values())
         end = min(r["date"] for r in rows)
+
+
+def sparql_bindings(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """ord and a string column for each variable of a SPARQL answer."""
+    row = ", ".join(f"{n}: struct<value: string>" for n in names)
+    found = spark.read.schema(f"results struct<bindings: array<struct<{row}>>>").option("multiLine", True).json(path)
+    rows = found.select(F.posexplode("results.bindings").alias("ord", "b"))
+    return rows.select(F.col("ord").cast("long").alias("ord"), *[F.col(f"b.{n}.value").alias(n) for n in names])
+
+
+def odata_values(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """The items of OData pages, ``item`` being their struct's fields."""
+    return spark.read.schema(f"value array<struct<{item}>>").option("multiLine", True).json(path).select(F.explode("value").alias("v")).select("v.*")
+
+
+def image_licences(spark: SparkSession, path: str) -> DataFrame:
+    """commonsFile, licence, attribution from answers that map page ids to pages."""
+    from ..functions.text import attribution
+
+    meta = "struct<LicenseShortName: struct<value: string>, Artist: struct<value: string>>"
+    pages = spark.read.schema(f"query struct<pages: map<string, struct<title: string, imageinfo: array<struct<extmetadata: {meta}>>>>>").option("multiLine", True).json(path)
+    rows = pages.select(F.explode("query.pages").alias("id", "p")).select("p.title", F.get("p.imageinfo", F.lit(0))["extmetadata"].alias("m"))
+    known = rows.where("title is not null and m is not null")
+    licence = F.coalesce("m.LicenseShortName.value", F.lit("unknown"))
+    return known.select(F.regexp_replace("title", "^File:", "").alias("commonsFile"), licence.alias("licence"), attribution(F.coalesce("m.Artist.value", F.lit(""))).alias("attribution"))
+
+
+def bundles(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The six entity tables of a bundle folder; a missing one is empty."""
+    from .. import schemas
+
+    return {name: json_lines(spark, f"{root}/{name}.jsonl", schema) for name, schema in schemas.ENTITIES.items()}

@@ -104,3 +104,16 @@ def test_paged_source(spark):
     rows = spark.read.format("pages_for_test").option("url", "x/{page}").option("pages", "2").load()
     assert sorted(map(tuple, rows.collect())) == [(1, "body of x/1"), (2, "body of x/2")]
     assert rows.select(F.max("page")).first()[0] == 2
+
+
+def test_api_answers(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"results": {"bindings": [{"person": {"value": "p"}}, {"person": {"value": "q"}, "start": {"value": "2020"}}]}}))
+    assert [tuple(r) for r in files.sparql_bindings(spark, str(tmp_path / "s.json"), ["person", "start"]).collect()] == [(0, "p", None), (1, "q", "2020")]
+    (tmp_path / "o.json").write_text(json.dumps({"value": [{"PHID": "1"}, {"PHID": "2", "x": 1}]}))
+    assert files.odata_values(spark, str(tmp_path / "o.json"), "PHID: string").count() == 2
+    page = lambda title, licence, artist: {"title": title, "imageinfo": [{"extmetadata": {"LicenseShortName": licence and {"value": licence}, "Artist": artist and {"value": artist}}}]}
+    (tmp_path / "l.json").write_text(json.dumps({"query": {"pages": {"1": page("File:A b.jpg", "CC0", "<a>Jo</a>"), "2": page("File:C.jpg", "PD", None), "3": page("File:D.jpg", None, None), "-1": {"title": "File:E.jpg"}}}}))
+    assert sorted(map(tuple, files.image_licences(spark, str(tmp_path / "l.json")).collect())) == [("A b.jpg", "CC0", "Jo"), ("C.jpg", "PD", "Wikimedia Commons"), ("D.jpg", "unknown", "Wikimedia Commons")]
+    (tmp_path / "people.jsonl").write_text('{"slug": "a", "name": "A", "undeclared": 1}\n\n{"slug": "b"}\n')
+    tables = files.bundles(spark, str(tmp_path))
+    assert tables["people"].count() == 2 and tables["bills"].count() == 0

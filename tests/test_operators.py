@@ -120,3 +120,21 @@ def test_upsert_stream(spark, tmp_path):
     stream = spark.readStream.schema("k int, v string, ts int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
     incremental.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], "ts").awaitTermination()
     assert {r.k for r in spark.read.parquet(str(tmp_path / "table/version=1")).collect()} == {1, 2, 3}
+
+
+def test_watermarked_streams(spark, tmp_path):
+    """Streams give what the same batch gives once all days are final."""
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "ts")
+    later = events.limit(1).selectExpr("-1L as user_id", "'end' as event_type", "timestamp_ntz'2099-01-01 00:00:00' as ts")
+    for i, part in enumerate((events, later)):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    days = incremental.daily_counts_stream(stream, "ts", "event_type")
+    run = days.writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {(r.d, r.event_type): r.n for r in spark.sql("select date(window.start) as d, event_type, n from days").collect()}
+    want = {(r.d, r.event_type): r.n for r in events.selectExpr("date(ts) as d", "event_type").groupBy("d", "event_type").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == want
+    last = incremental.latest_by_key_stream(stream, "ts", "user_id").writeStream.format("memory").queryName("last").outputMode("complete").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
+    last.awaitTermination()
+    assert spark.sql("select sum(n) from last").first()[0] == events.count() + 1
