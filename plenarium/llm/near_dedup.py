@@ -35,6 +35,8 @@ BATCH = 32
 MISS = 1e-6
 #: Classes that one task compares with one another.
 BLOCK = 1024
+#: Shingles that one task holds for them, in the mean, 8 bytes each.
+BLOCK_SHINGLES = 4_000_000
 LEADERS = 32
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -310,8 +312,8 @@ def _cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     )
     counts = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("inside"))
-    main = main.select("cluster", "main", F.ceil((F.col("all") - F.col("inside")) / block).alias("outer")).where("outer > 0")
-    rest = labelled.join(main, "cluster")
+    rest = labelled.join(main.where("all > inside"), "cluster")
+    rest = rest.withColumn("outer", F.ceil(F.col("blocks") * (F.col("all") - F.col("inside")) / F.col("all")))
     outer = F.pmod(F.xxhash64(F.col("cid"), F.lit(2)), F.col("outer"))
     pair = lambda a, b: (a * F.col("blocks") + b).alias("block")
     asks = rest.where("label <> main").withColumns({"part": F.lit(0), "to": F.explode(everywhere)}).select("*", pair(outer, F.col("to")))
@@ -319,7 +321,7 @@ def _cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     return links.unionByName(stage(_in_blocks(asks.unionByName(gives), percent), "links"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     A row's set holds the distinct hashes (64 bits) of its ``words``-word shingles; with
@@ -363,7 +365,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     small = shared.where(F.col("rows") <= block).select("key", "cid").join(classes.select("cid", "n_shingles", "sketch"), "cid")
     trees = small.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_trees(percent), "a long, b long")
     clusters = components(stars.unionByName(trees), "clusters").withColumnsRenamed({"node": "cid", "root": "cluster"})
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    weights = clusters.join(classes.select("cid", "n_shingles"), "cid").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = weights.select("cluster", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / block_shingles)).alias("blocks"))
     members = clusters.join(sizes, "cluster").join(classes.drop("bands"), "cid")
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -119,11 +119,11 @@ def family(seed, n, start, length=60, edits=4, vocabulary=30):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_near_copies(spark, block):
+@pytest.mark.parametrize(("block", "block_shingles"), [(1024, 1 << 20), (4, 1 << 20), (1024, 500)])
+def test_near_copies(spark, block, block_shingles):
     """Small blocks take the ways of large buckets and large clusters."""
     rows = [*family(1, 30, 100), *family(2, 12, 200, edits=9), (1, "One two"), (2, "one  TWO"), (3, "ONE"), (4, None), (5, ""), (6, " \n"), (7, "É b c"), (8, "é b c"), (9, "solo"), (9, "solo"), (2**60 + 1, "a b c d e"), (2**60, "a b c d e"), (11, "rep " * 5000)]
-    out = near_dedup.near_duplicates(docs(spark, rows), words=2, block=block).collect()
+    out = near_dedup.near_duplicates(docs(spark, rows), words=2, block=block, block_shingles=block_shingles).collect()
     assert Counter(map(tuple, out)) == brute_near(rows, 2, 80)
 
 
