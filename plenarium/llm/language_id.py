@@ -165,7 +165,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     text, lang or doc_id isn't learnt from.  Only this bounded sample reaches the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder() != 2)).select("doc_id", "text", "lang")
-    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.3 * sample) / F.count("*")).alias("share"))
+    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.3 * sample) / F.count("*")).alias("share")).collect()
+    # One row for each language, of which the network has an output each: few enough to send to every task.
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 30))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
     chosen = usable.join(shares, "lang").where(draw < F.col("share") * (1 << 30)).select("lang", "doc_id", draw.alias("draw"), F.substr("text", place.cast("int"), F.lit(WINDOW + REACH)).alias("text"))
