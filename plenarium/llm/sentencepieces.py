@@ -29,7 +29,9 @@ NO_CHAR = 0x110000
 LONGEST = 256
 SEED = 10
 _RUNS = re.compile(r" *[^ ]+| +")
-_AT_ONCE = 3_000_000
+_AT_ONCE = 1_000_000
+#: Filtered cells that a task keeps for words to come, 8 bytes each.
+STORED = 20_000_000
 _STEP, _UNIT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _BASE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -92,6 +94,9 @@ class Lattice:
                 pieces.append((piece, i))
                 self.bytes_of.append(piece.replace(chr(MARK), " ").encode())
         self.longest = max(len(p) for p, _ in pieces)
+        self.known: dict[str, int] = {}
+        self.stores: dict[int, tuple[int, list[np.ndarray]]] = {}
+        self.cells = 0
         self.power = np.cumprod(np.full(LONGEST + 2, _BASE, dtype=np.uint64))
         self.back = np.cumprod(np.full(LONGEST + 2, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64))
         keys = np.array([self._prefixes(np.array([[ord(c) for c in p]]))[0, -1] for p, _ in pieces], dtype=np.uint64) * self.back[0]
@@ -138,52 +143,70 @@ class Lattice:
             chance[:, end - 1, k:] = 1
         return chance, ids
 
+    def _learn(self, words: list[str]) -> None:
+        """Filter words that the store doesn't have; a full store starts anew."""
+        by_size: dict[int, list[str]] = {}
+        for word in words:
+            by_size.setdefault(len(word), []).append(word)
+        for size, some in by_size.items():
+            chars = np.array(some, dtype=f"<U{size}").view(np.uint32).reshape(-1, size).astype(np.int64)
+            chance, ids = self.filtered(np.where(chars == MARK, NO_CHAR, np.where(chars == 0x20, MARK, chars)))
+            parts = (chars.astype(np.int32), chance.astype(np.float32), ids)
+            used, store = self.stores.get(size, (0, [np.empty((0, *x.shape[1:]), x.dtype) for x in parts]))
+            if used + len(some) > len(store[0]):
+                room = max(64, len(some), len(store[0]))
+                store = [np.concatenate([x, np.empty((room, *x.shape[1:]), x.dtype)]) for x in store]
+            for x, new in zip(store, parts, strict=True):
+                x[used : used + len(some)] = new
+            self.stores[size] = (used + len(some), store)
+            self.known.update(zip(some, range(size << 32 | used, (size << 32 | used) + len(some)), strict=True))
+            self.cells += chance.size
+
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """A sampled segmentation of each text."""
         units = [units_of(t) for t in texts]
-        counts = np.array([len(u) for u in units])
+        counts = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         every = list(chain.from_iterable(units))
         if not every:
             return [np.empty(0, np.int32) for _ in texts]
-        words = list(set(every))
-        index = dict(zip(words, range(len(words)), strict=True))
-        where = np.fromiter(map(index.__getitem__, every), dtype=np.int64, count=len(every))
-        first = np.cumsum(counts) - counts
-        place = np.arange(len(where)) - np.repeat(first, counts)
+        distinct = set(every)
+        if self.cells > STORED:
+            self.known, self.stores, self.cells = {}, {}, 0
+        self._learn([w for w in distinct if w not in self.known])
+        code = np.fromiter(map(self.known.__getitem__, every), dtype=np.int64, count=len(every))
+        sizes, slots = code >> 32, code & 0xFFFFFFFF
+        place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
         drawn = _scramble(np.repeat(_scramble(keys), counts) + place.astype(np.uint64) * _UNIT)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        occurrence_length = lengths[where]
-        tokens = []
-        for size in np.unique(lengths):
-            mine = np.flatnonzero(lengths == size)
-            chars = np.array([words[i] for i in mine], dtype=f"<U{size}").view(np.uint32).reshape(-1, size).astype(np.int64)
-            coded = np.where(chars == MARK, NO_CHAR, np.where(chars == 0x20, MARK, chars))
-            chance, ids = self.filtered(coded)
-            local = np.zeros(len(words), dtype=np.int64)
-            local[mine] = np.arange(len(mine))
-            who = np.flatnonzero(occurrence_length == size)
-            unit, end, step = local[where[who]], np.full(len(who), size), 0
+        steps, tokens = np.zeros(len(code), dtype=np.int64), []
+        for size in np.flatnonzero(np.bincount(sizes)):
+            chars, chance, ids = self.stores[size][1]
+            who = np.flatnonzero(sizes == size)
+            slot, end, step = slots[who], np.full(len(who), size), 0
             while len(who):
                 step += 1
                 u = (_scramble(drawn[who] + np.full(1, step, np.uint64) * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-                length = (chance[unit, end - 1] <= u[:, None]).sum(axis=1) + 1
-                tokens.append((who * (LONGEST + 1) + end - length, ids[unit, end - 1, length - 1], chars[unit, end - 1]))
-                end = end - length
+                last = (chance[slot, end - 1] <= u[:, None]).sum(axis=1)
+                steps[who] = step
+                tokens.append((who, step, ids[slot, end - 1, last], chars[slot, end - 1]))
+                end = end - last - 1
                 go = end > 0
-                who, unit, end = who[go], unit[go], end[go]
-        order_key, found, char = (np.concatenate(x) for x in zip(*tokens, strict=True))
-        order = np.argsort(order_key)
-        owner, found, char = order_key[order] // (LONGEST + 1), found[order], char[order]
+                who, slot, end = who[go], slot[go], end[go]
+        # A unit's last piece is drawn first, so pieces are laid from its end.
+        after = np.cumsum(steps)
+        found, char = np.empty(after[-1], dtype=np.int32), np.empty(after[-1], dtype=np.int32)
+        for who, step, piece, last_char in tokens:
+            found[after[who] - step], char[after[who] - step] = piece, last_char
+        per_text = np.diff(np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(counts)])])
         missing = np.flatnonzero(found < 0)
         if len(missing):
             spelt = [np.frombuffer(chr(c).encode(), np.uint8) for c in char[missing]]
             times = np.ones(len(found), dtype=np.int64)
-            times[missing] = [len(s) for s in spelt]
-            owner = np.repeat(owner, times)
+            times[missing] = [len(x) for x in spelt]
             gaps = np.repeat(found < 0, times)
+            ends = np.concatenate([[0], np.cumsum(times)])[np.cumsum(per_text)]
             found = np.repeat(found, times)
             found[gaps] = self.byte_id[np.concatenate(spelt)]
-        per_text = np.bincount(np.repeat(np.arange(len(texts)), counts)[owner], minlength=len(texts))
+            per_text = np.diff(np.concatenate([[0], ends]))
         return np.split(found, np.cumsum(per_text)[:-1])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -195,6 +218,18 @@ def lattice(path: str, sharpness: float) -> Lattice:
     return Lattice(path, sharpness)
 
 
+def sampled(pieces: Lattice, texts: pd.Series, keys: pd.Series) -> Iterator[list[np.ndarray]]:
+    """Ids of all texts in turn, about _AT_ONCE characters at a time; null as empty."""
+    plain, numbers, at = [t or "" for t in texts], keys.to_numpy(np.int64).view(np.uint64), 0
+    while at < len(plain):
+        size, end = 0, at
+        while end < len(plain) and size < _AT_ONCE:
+            size += len(plain[end])
+            end += 1
+        yield pieces.encode(plain[at:end], numbers[at:end])
+        at = end
+
+
 def encode_pieces(docs: DataFrame, key: str = "doc_id", model: str | None = None, sharpness: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` with ``piece_ids``, a sampled segmentation of ``text`` as array<int>.
 
@@ -210,14 +245,7 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", model: str | None = None
     def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces = lattice(path, sharpness)
         for texts, keys in batches:
-            plain, numbers, out, at = [t or "" for t in texts], keys.to_numpy(np.int64).view(np.uint64), [], 0
-            while at < len(plain):
-                size, end = 0, at
-                while end < len(plain) and size < _AT_ONCE:
-                    size += len(plain[end])
-                    end += 1
-                out.extend(pieces.encode(plain[at:end], numbers[at:end]))
-                at = end
+            out = [ids for part in sampled(pieces, texts, keys) for ids in part]
             yield pd.Series([None if t is None else ids for t, ids in zip(texts, out, strict=True)], dtype=object)
 
     row_key = F.xxhash64(F.col(key), F.lit(seed))
@@ -237,20 +265,29 @@ def decode_pieces(ids: Column, model: str | None = None) -> Column:
     return decode(ids)
 
 
-def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled ids of every document, digests of the ids and of what they decode to."""
+def round_trip(docs: DataFrame, key: str = "doc_id", model: str | None = None, sharpness: float = 1.0, seed: int = SEED) -> DataFrame:
+    """The key, n_pieces, ids_crc32, decoded_crc32 and lossless: digests of each row's ids and of what they decode to.
+
+    Ids are those of ``encode_pieces``; encoded, decoded and digested in one task, they
+    never leave it.  A null text has no ids and counts as lossless.
+    """
+    path = model or default_model()
 
-    @F.pandas_udf("long")
-    def crc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = lattice(path, sharpness)
         for batch in batches:
-            yield pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) if x is not None else 0 for x in batch], dtype="int64")
-
-    rows = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = rows.withColumns({"decoded": decode_pieces(F.col("piece_ids")), "ids_crc32": crc("piece_ids")})
-    return rows.select(
-        "doc_id",
-        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        "ids_crc32",
-        F.crc32(F.coalesce("decoded", F.lit("")).cast("binary")).alias("decoded_crc32"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
-    )
+            rows, texts = [], iter(batch["text"])
+            for part in sampled(pieces, batch["text"], batch["draw"]):
+                for ids in part:
+                    text, decoded = next(texts), pieces.decode(ids)
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == (text or "")))
+            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_crc32", "lossless"]).assign(**{key: batch["key"]})
+
+    named = docs.select(F.col(key).cast("string").alias("key"), "text", F.xxhash64(F.col(key), F.lit(seed)).alias("draw"))
+    found = named.mapInPandas(run, f"{key} string, n_pieces long, ids_crc32 long, decoded_crc32 long, lossless boolean")
+    return found.withColumn(key, F.col(key).cast("long"))
+
+
+def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled ids of every document, digests of the ids and of what they decode to."""
+    return round_trip(table(spark, sf_dir, "documents"))

@@ -249,6 +249,9 @@ def test_pieces(spark):
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("unbelievable segmentation").alias("text"))
     assert len({tuple(r.piece_ids) for r in sentencepieces.encode_pieces(many).collect()}) > 5
     assert sentencepieces.encode_pieces(frame.limit(0)).count() == 0
+    trip = Counter(map(tuple, sentencepieces.round_trip(frame).select("doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "lossless").collect()))
+    crc = lambda ids: zlib.crc32(np.array(ids or [], "<u4").tobytes())
+    assert trip == Counter((r.doc_id, len(r.piece_ids or []), crc(r.piece_ids), zlib.crc32((r.text or "").encode()), True) for r in coded)
 
 
 def test_piece_law():
