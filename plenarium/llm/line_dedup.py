@@ -1,8 +1,12 @@
-"""Repeated passages removed by content-defined chunks of lines.
+"""Repeated passages removed by content-defined chunks and windows of lines.
 
 A rolling hash over each line and the one before it decides where a chunk ends, so the
 same passage is cut the same way wherever it stands.  Chunks that occur more than once
 anywhere are compared byte by byte, and all but the first are removed.
+
+The edges of a passage share their chunks with what stands beside it.  So the shortest
+windows of lines with enough words that begin, and those that end, at each line are pieces
+too: they cover exactly the lines of the maximal repeated runs with as many words.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, table
+from .common import release, stage, table
 
 #: A chunk has about so many lines; a line of so many words is a chunk of its own.
 MEAN_LINES, LONG_WORDS = 3, 50
+#: A repeated run of two or more lines goes whole if it has so many words.
+RUN_WORDS = 50
 #: Stands for a null doc_id, before all others.
 NO_ID = -(1 << 63)
 _STEP = 0x9E3779B97F4A7C15
@@ -63,8 +69,51 @@ def cut(text: str, mean_lines: int = MEAN_LINES, long_words: int = LONG_WORDS) -
     return out
 
 
+def windows(lines: list[str], run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """First and last line of the shortest windows of ``run_words`` words from, and up to, each line.
+
+    A window has two lines at least and neither begins nor ends with a blank one.  Whether
+    lines are a window depends on them alone, so equal lines are one wherever they stand; and
+    every run of as many words between lines that aren't blank is the union of windows.
+    """
+    words = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]
+    out = set()
+
+    def sweep(ordered: list[tuple[int, int]]) -> None:
+        end = total = 0
+        for start, (line, n) in enumerate(ordered):
+            while end < len(ordered) and (end < start + 2 or total < run_words):
+                total += ordered[end][1]
+                end += 1
+            if end < start + 2 or total < run_words:
+                return
+            last = ordered[end - 1][0]
+            out.add((min(line, last), max(line, last)))
+            total -= n
+
+    sweep(words)
+    sweep(words[::-1])
+    return sorted(out)
+
+
+def pieces(text: str, mean_lines: int, long_words: int, run_words: int | None) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The text's lines; first line, line after the last, and hash of each piece that may be removed."""
+    lines, out, start = text.split("\n"), [], 0
+    for chunk, removable in cut(text, mean_lines, long_words):
+        end = start + chunk.count("\n") + 1
+        if removable:
+            out.append((start, end, chunk_hash(chunk)))
+        start = end
+    if run_words is not None and (found := windows(lines, run_words)):
+        own = b"".join(line_hash(line).to_bytes(8, "little") for line in lines)
+        for first, last in found:
+            digest = hashlib.blake2b(own[8 * first : 8 * last + 8], digest_size=8, person=b"window").digest()
+            out.append((first, last + 1, int.from_bytes(digest, "little", signed=True)))
+    return lines, out
+
+
 def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and n_chunks_removed and n_chars_removed.
+    """``docs`` with ``text`` cleaned of repeated chunks, and n_chunks_removed and n_chars_removed.
 
     Of equal chunks, the one with the smallest doc_id and place stays; later ones go, in
     the same document too.  A document all of whose chunks go has an empty text; a null
@@ -72,20 +121,35 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: in
     place, so they keep what the first of them keeps.  An empty table gives an empty
     result; other columns stay, and input columns named as the two new ones are replaced.
     """
+    return _cleaned(docs, mean_lines, long_words, None)
+
+
+def remove_passages(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: int = LONG_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """As ``remove_repeats``, and every repeated run of lines with ``run_words`` words goes whole.
+
+    A run is two or more neighbouring lines that stand in the same order and with the same
+    bytes at an earlier place (doc_id, then line), taken as far as they agree; blank lines
+    at its ends are not part of it.  Both places may overlap in one document.  Of every
+    removed line an equal one stays at an earlier place.  n_chunks_removed counts the
+    chunks that lost lines.
+    """
+    return _cleaned(docs, mean_lines, long_words, run_words)
+
+
+def _cleaned(docs: DataFrame, mean_lines: int, long_words: int, run_words: int | None) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(NO_ID))
     texts = docs.where("text is not null").select(key.alias("doc"), "text")
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (doc, place, chunk_hash(chunk))
+                (doc, h)
                 for doc, text in zip(batch["doc"], batch["text"], strict=True)
-                for place, (chunk, removable) in enumerate(cut(text, mean_lines, long_words))
-                if removable
+                for _, _, h in pieces(text, mean_lines, long_words, run_words)[1]
             ]
-            yield pd.DataFrame(rows, columns=["doc", "place", "hash"], dtype="int64")
+            yield pd.DataFrame(rows, columns=["doc", "hash"], dtype="int64")
 
-    found = stage(texts.mapInPandas(places, "doc long, place long, hash long"), "chunks")
+    found = stage(texts.mapInPandas(hashes, "doc long, hash long"), "chunks")
     repeated = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     wanted = found.join(repeated, "hash").groupBy("doc").agg(F.collect_set("hash").alias("hashes"))
 
@@ -94,13 +158,12 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: in
             rows = []
             for doc, text, hashes in zip(batch["doc"], batch["text"], batch["hashes"], strict=True):
                 some = set(hashes)
-                for place, (chunk, removable) in enumerate(cut(text, mean_lines, long_words)):
-                    if removable and (h := chunk_hash(chunk)) in some:
-                        rows.append((h, chunk, doc, place))
+                lines, all_pieces = pieces(text, mean_lines, long_words, run_words)
+                rows += [(h, "\n".join(lines[start:end]), doc, start) for start, end, h in all_pieces if h in some]
             yield pd.DataFrame(rows, columns=["hash", "chunk", "doc", "place"]).astype({"hash": "int64", "doc": "int64", "place": "int64"})
 
     bytes_of = texts.join(wanted, "doc").mapInPandas(contents, "hash long, chunk string, doc long, place long")
-    # Grouped by the content itself: chunks of one hash that differ form several groups.
+    # Grouped by the content itself: pieces of one hash that differ form several groups.
     firsts = bytes_of.groupBy("hash", "chunk").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
     contents_of = F.count("*").over(Window.partitionBy("hash"))
     firsts = stage(
@@ -108,6 +171,9 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: in
         .select("hash", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"), F.when(F.col("contents") > 1, F.col("chunk")).alias("chunk")),
         "firsts",
     )
+    # The first pass has moved the texts once; its files go before they move again.
+    del bytes_of, wanted, repeated
+    release(docs.sparkSession)
     decided = found.join(firsts, "hash").groupBy("doc").agg(F.collect_set(F.struct("hash", "first_doc", "first_place", "chunk")).alias("repeats"))
 
     @F.pandas_udf("text string, chunks long, chars long")
@@ -121,14 +187,19 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: in
                 by_hash: dict[int, list] = {}
                 for r in known:
                     by_hash.setdefault(r["hash"], []).append(r)
-                kept, removed = [], 0
-                for place, (chunk, removable) in enumerate(cut(text, mean_lines, long_words)):
-                    same = [r for r in by_hash.get(chunk_hash(chunk), ()) if r["chunk"] is None or r["chunk"] == chunk] if removable else []
-                    if any((r["first_doc"], r["first_place"]) != (doc, place) for r in same):
-                        removed += 1
-                    else:
-                        kept.append(chunk)
-                left = "\n".join(kept)
+                lines, all_pieces = pieces(text, mean_lines, long_words, run_words)
+                gone: set[int] = set()
+                for start, end, h in all_pieces:
+                    if h in by_hash:
+                        same = [r for r in by_hash[h] if r["chunk"] is None or r["chunk"] == "\n".join(lines[start:end])]
+                        if any((r["first_doc"], r["first_place"]) != (doc, start) for r in same):
+                            gone.update(range(start, end))
+                removed = start = 0
+                for chunk, _ in cut(text, mean_lines, long_words) if gone else ():
+                    end = start + chunk.count("\n") + 1
+                    removed += not gone.isdisjoint(range(start, end))
+                    start = end
+                left = "\n".join(line for i, line in enumerate(lines) if i not in gone)
                 rows.append((left, removed, len(text) - len(left)))
             yield pd.DataFrame(rows, columns=["text", "chunks", "chars"])
 
@@ -140,4 +211,4 @@ def remove_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, long_words: in
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks_removed", "n_chars_removed")
+    return remove_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chunks_removed", "n_chars_removed")

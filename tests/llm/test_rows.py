@@ -204,6 +204,50 @@ def test_cut_is_shift_resistant():
     assert "\n".join(c for c, _ in line_dedup.cut(text)) == text
 
 
+def brute_runs(rows, words=50):
+    """Texts without the later place of every maximal run that two places share; for texts without repeated chunks outside runs."""
+    lines = [(i, k, x) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
+    gone = set()
+    for b in range(len(lines)):
+        for a in range(b):
+            together = lambda p, q: 0 <= p < len(lines) and 0 <= q < len(lines) and lines[p][0] == lines[p - 1][0] and lines[q][0] == lines[q - 1][0]
+            if lines[a][2] != lines[b][2] or a and together(a, b) and lines[a - 1][2] == lines[b - 1][2]:
+                continue
+            n = 1
+            while together(a + n, b + n) and lines[a + n][2] == lines[b + n][2]:
+                n += 1
+            run = list(range(b, b + n))
+            while run and not lines[run[-1]][2].strip():
+                run.pop()
+            while run and not lines[run[0]][2].strip():
+                run.pop(0)
+            if len(run) > 1 and sum(len(lines[x][2].split()) for x in run) >= words:
+                gone.update(run)
+    return {i: "\n".join(x for p, (j, _, x) in enumerate(lines) if j == i and p not in gone) for i, _ in rows}
+
+
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(5)
+    passages = [[" ".join(f"w{p}x{k}x{j}" for j in range(n)) for k in range(size)] for p, (size, n) in enumerate([(2, 25), (3, 20), (4, 13), (5, 11), (2, 24), (5, 30)])]
+    rows = []
+    for i in range(60):
+        own = [[f"own {i} {rng.random()}"] * rng.randrange(2) for _ in range(3)]
+        part = passages[rng.randrange(6)]
+        # A cut passage shares less than the whole one, which can still be 50 words.
+        rows.append((i, "\n".join([*own[0], *part[rng.randrange(2) :], *own[1], "", *passages[rng.randrange(6)], *own[2]])))
+    rows += [(70, "a b c\n" * 40), (71, "a b c\n" * 40 + "tail")]
+    out = {r.doc_id: r for r in line_dedup.remove_passages(docs(spark, rows), mean_lines=10**9).collect()}
+    assert {i: r.text for i, r in out.items()} == brute_runs(rows)
+    # With chunks of two lines and more as well, nothing of a later passage of 50 words is left.
+    got = {r.doc_id: r for r in line_dedup.remove_passages(docs(spark, rows)).collect()}
+    for p in (0, 1, 2, 3, 5):
+        whole = [i for i, t in rows if "\n".join(passages[p]) in t]
+        assert len(whole) > 2 and not any(x in got[i].text.split("\n") for i in whole[1:] for x in passages[p] if rows[i][1].count(x) == 1)
+    kept = {x for r in got.values() for x in r.text.split("\n")}
+    assert {x for _, t in rows for x in t.split("\n") if x} <= kept
+    assert all(len(dict(rows)[i]) - len(r.text) == r.n_chars_removed for i, r in got.items())
+
+
 def test_crc_of_query(spark):
     out = sharding.op1_sharding(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
