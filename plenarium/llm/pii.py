@@ -22,10 +22,13 @@ EPOCH, DAYS = "1900-01-01", (271, 270)
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?"
+#: Runs of these, joined by single dots, one of them of 8 or more after shorter ones; to its end, with = padding.
+IN_SECRET = "[A-Za-z0-9+/_-]"
+SECRET_VALUE = rf"(?=(?:{IN_SECRET}{{1,7}}\.)*+{IN_SECRET}{{8}}){IN_SECRET}++(?:\.{IN_SECRET}++)*+={{0,2}}+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": SECRET_NAME + r"[A-Za-z0-9+/_-]{8,200}",
+    "secret": SECRET_NAME + SECRET_VALUE,
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])(?:19|20)\d\d-\d\d-\d\d(?![0-9-])",
     "date": r"(?<![0-9./])\d{1,2}([./])\d{1,2}\1(?:19|20)\d\d(?![0-9/])",
@@ -70,9 +73,9 @@ def permuted_text(text: Column, alphabet: Callable[[Column, Column], Column], ke
     def word(half: Column) -> Column:
         return F.array_join(F.transform(half, lambda x: x["c"]), "")
 
-    def moved(half: Column, digest: Column) -> Column:
+    def moved(half: Column, digests: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            by = _number(digest, 4 * (i % 32) + 1, 4)
+            by = _number(F.get(digests, F.floor(i / 32).cast("int")), 4 * (i % 32) + 1, 4)
             place = F.pmod(F.instr(x["al"], x["c"]) - 1 + by, F.length(x["al"])).cast("int") + 1
             return F.struct(F.when(x["al"] == "", x["c"]).otherwise(F.substr(x["al"], place, F.lit(1))).alias("c"), x["al"].alias("al"))
 
@@ -80,7 +83,10 @@ def permuted_text(text: Column, alphabet: Callable[[Column, Column], Column], ke
 
     def step(halves: Column, r: Column) -> Column:
         digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), word(halves["b"])).cast("binary"), 512)
-        return let(digest, lambda d: F.struct(halves["b"].alias("a"), moved(halves["a"], d).alias("b")))
+        # A digest moves 32 characters; each further 32 have one of their own.
+        more = lambda d: F.transform(F.sequence(F.lit(0), F.floor((F.size(halves["a"]) - 1) / 32).cast("int")), lambda k: F.when(k == 0, d).otherwise(F.sha2(F.concat_ws("|", d, k.cast("string")).cast("binary"), 512)))
+        own = lambda d: F.when(F.size(halves["a"]) > 32, more(d)).otherwise(F.array(d))
+        return let(let(digest, own), lambda d: F.struct(halves["b"].alias("a"), moved(halves["a"], d).alias("b")))
 
     def run(all_chars: Column) -> Column:
         half = F.floor(F.size(all_chars) / 2).cast("int")
@@ -266,8 +272,9 @@ def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
 
     Emails, access keys, named secrets, IPv4 addresses, dates (1900 to 2099), IBANs, US
     social security and phone numbers, international phone numbers and card numbers are
-    replaced; what looks like one of them but fails its check stays as it is.  ``key``
-    has to be kept secret for production use.
+    replaced; what looks like one of them but fails its check stays as it is.  A named
+    secret is letters, digits and + / _ - of any length, inner dots and = padding included;
+    it ends at any other character.  ``key`` has to be kept secret for production use.
 
     A null text stays null, with 0 places; texts without any of them, empty ones included,
     are unchanged; rows, their order in groups and all other columns stay.  An input column

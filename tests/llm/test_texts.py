@@ -110,6 +110,23 @@ def test_pseudonyms_link_and_never_meet(spark):
     assert all(a == b for a, b in out) and len({a for a, _ in out}) == len(out)
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    values = [draw(300), f"{draw(36)}.{draw(200)}.{draw(43)}", f"v2.local.{draw(90)}", draw(42) + "==", ".".join(draw(9) for _ in range(4000)), draw(20_000)]
+    rows = [(i, f'token = "{v}" and token={v}. Then') for i, v in enumerate(values)] + [(90, "token: no.more.of it"), (91, f"token={'a' * 300}")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, v in enumerate(values):
+        first, second = re.fullmatch(r'token = "(\S+)" and token=(\S+)\. Then', got[i].text).groups()
+        kinds = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x)))
+        assert first == second and kinds(first) == kinds(v) and got[i].n_pseudonyms == 2
+        assert not any(v[k : k + 12] in first for k in range(0, len(v) - 12, 7))
+    assert got[90].text == rows[-2][1]
+    # Each 32 characters move in their own way: equal ones do not stay equal.
+    long = got[91].text.removeprefix("token=")
+    assert len(long) == 300 and long[:32] != long[32:64] and long[64:96] != long[96:128]
+
+
 def test_pseudonyms_of_nothing(spark):
     odd = [(1, None, "k"), (2, "", "k"), (3, "1234567890123456 999-00-1234 2020-02-30 GB00WEST12345698765432 999.1.1.1 1.5.3", "k"), (None, "a@b.co", "k"), (4, ("word " * 40_000) + "4387513035237269", "k"), (5, "plain: a=b", "k")]
     frame = spark.createDataFrame(odd, "doc_id long, text string, n_pseudonyms string")
