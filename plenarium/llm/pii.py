@@ -30,8 +30,8 @@ PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": SECRET_NAME + SECRET_VALUE,
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "iso_date": r"(?<![0-9-])(?:19|20)\d\d-\d\d-\d\d(?![0-9-])",
-    "date": r"(?<![0-9./])\d{1,2}([./])\d{1,2}\1(?:19|20)\d\d(?![0-9/])",
+    "iso_date": r"(?<![0-9-])(?:19|20)\d\d-\d\d-\d\d(?![0-9-])|(?<![0-9./-])(?:19|20)\d\d(?:/\d\d/\d\d|\.\d\d\.\d\d)(?![0-9/-]|\.[0-9])",
+    "date": r"(?<![0-9./])\d{1,2}([./])\d{1,2}\1(?:19|20)\d\d(?![0-9/])|(?<![0-9./-])\d{1,2}-\d{1,2}-(?:19|20)\d\d(?![0-9/-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
     "us_phone": r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![0-9])",
@@ -171,14 +171,14 @@ def _day(day: Column, key: str) -> Column:
 
 
 def _iso_date(m: Column, key: str) -> Column:
-    day = F.try_to_date(m, "yyyy-MM-dd")
-    return F.when(day.isNotNull(), F.date_format(_day(day, key), "yyyy-MM-dd")).otherwise(m)
+    day, mark = F.try_to_date(F.regexp_replace(m, "[./]", "-"), "yyyy-MM-dd"), F.substring(m, 5, 1)
+    return F.when(day.isNotNull(), F.replace(F.date_format(_day(day, key), "yyyy-MM-dd"), F.lit("-"), mark)).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
     """Day first if that is a date, else month first; widths of day and month as they were written."""
-    mark = F.regexp_extract(m, r"([./])", 1)
-    parts = F.split(m, "[./]")
+    mark = F.regexp_extract(m, r"([./-])", 1)
+    parts = F.split(m, "[./-]")
     first, second, year = (F.element_at(parts, i) for i in (1, 2, 3))
     parse = lambda d, mo: F.try_to_date(F.concat_ws("-", year, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     wide = lambda value, like: F.lpad(value.cast("string"), F.greatest(F.length(like), F.length(value.cast("string"))), F.lit("0"))
@@ -245,26 +245,46 @@ PSEUDONYMS: dict[str, Callable[[Column, str], Column]] = {
 
 #: All kinds; where several match at one place, the first.  The only capturing group is the date's mark.
 ANY = "|".join(PATTERNS.values())
+#: Kinds whose candidates can fail their check, and the patterns of all the others.
+CHECKED = {failed: "|".join(p for kind, p in PATTERNS.items() if kind != failed) for failed in ("iso_date", "date", "iban", "ssn", "card", "phone")}
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    out = None
+    """Of the first kind that ``m`` is and whose check it passes, else ``m``."""
+    tried = []
     for kind, change in PSEUDONYMS.items():
-        here = m.rlike(f"^(?:{PATTERNS[kind]})$")
-        out = F.when(here, change(m, key)) if out is None else out.when(here, change(m, key))
-    return out.otherwise(m)
+        new = let(change(m, key), lambda x: F.when(x != m, x)) if kind in CHECKED else change(m, key)
+        tried.append(F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), new))
+    return F.coalesce(*tried, m)
 
 
-def pseudonymised(text: Column, key: str) -> Column:
-    """struct text, n: the text with pseudonyms, and how many places changed."""
-    gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def _scanned(text: Column, pattern: Column, key: str, inside: bool) -> Column:
+    """struct text, n: what matches ``pattern`` changed; ``inside``: also the other kinds in what fails its check."""
+
+    def place(m: Column, before: Column, after: Column) -> Column:
+        whole = let(pseudonym(m, key), lambda x: F.struct(x.alias("text"), (x != m).cast("long").alias("n")))
+        if not inside:
+            return whole
+        others = F.coalesce(*[F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(rest)) for kind, rest in CHECKED.items()])
+        # Two characters at either side are what the patterns look at; what takes them in is left.
+        left, right = F.right(before, F.lit(2)), F.left(after, F.lit(2))
+        within = let(_scanned(F.concat(left, m, right), others, key, False), lambda x: F.when(
+            x["text"].startswith(left) & x["text"].endswith(right) & (F.length(x["text"]) >= F.length(left) + F.length(right)),
+            F.struct(F.substr(x["text"], F.length(left) + 1, F.length(x["text"]) - F.length(left) - F.length(right)).alias("text"), x["n"].alias("n")),
+        ))
+        return let(whole, lambda x: F.when((x["n"] == 0) & others.isNotNull(), F.coalesce(within, x)).otherwise(x))
+
+    def put(gaps: Column, new: Column) -> Column:
+        pieces = F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.get(new, i - 1)["text"], g)))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.aggregate(new, F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"))
 
-    def put(new: Column, old: Column) -> Column:
-        pieces = F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.get(new, i - 1), g)))
-        changed = F.size(F.filter(F.zip_with(new, old, lambda a, b: a != b), lambda x: x))
-        return F.struct(F.array_join(pieces, "").alias("text"), changed.cast("long").alias("n"))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return let(F.split(text, pattern, -1), lambda gaps: let(F.transform(found, lambda m, i: place(m, F.get(gaps, i), F.get(gaps, i + 1))), lambda new: put(gaps, new)))
 
-    return let(found, lambda old: let(F.transform(old, lambda m: pseudonym(m, key)), lambda new: put(new, old)))
+
+def pseudonymised(text: Column, key: str) -> Column:
+    """struct text, n: the text with pseudonyms, and how many places changed."""
+    return _scanned(text, F.lit(ANY), key, True)
 
 
 def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
@@ -272,7 +292,9 @@ def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
 
     Emails, access keys, named secrets, IPv4 addresses, dates (1900 to 2099), IBANs, US
     social security and phone numbers, international phone numbers and card numbers are
-    replaced; what looks like one of them but fails its check stays as it is.  A named
+    replaced; what looks like one of them but fails its check stays as it is, except for
+    other kinds inside it.  Dates are yyyy-mm-dd, yyyy/mm/dd, yyyy.mm.dd and d.m.yyyy,
+    d/m/yyyy, d-m-yyyy (or month first); dates with month names stay.  A named
     secret is letters, digits and + / _ - of any length, inner dots and = padding included;
     it ends at any other character.  ``key`` has to be kept secret for production use.
 

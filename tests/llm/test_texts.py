@@ -110,6 +110,23 @@ def test_pseudonyms_link_and_never_meet(spark):
     assert all(a == b for a, b in out) and len({a for a, _ in out}) == len(out)
 
 
+def test_date_forms_and_kinds_inside_failed_candidates(spark):
+    dates = ["31-12-1999", "1999/12/31", "1999.12.31", "12-31-1999", "1-2-2003"]
+    failed = ["ID12 4111111111111111", "ID12 4111 1111 1111 1111"]
+    stay = ["1999/13/31", "99-99-1999", "1/1999/12/31", "1999.12.31.5", "ID12 4111111111111112", "1-31-12-1999"]
+    texts = [f"x {v} y" for v in [*dates, *failed, *stay]] + ["on 1999-12-31, 31-12-1999 and 1999/12/31"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in pii.pseudonymise(rows).orderBy("doc_id").collect()]
+    for before, r in zip(texts[:7], got, strict=False):
+        assert r.text != before and r.n_pseudonyms == 1 and len(r.text) >= len(before), (before, r.text)
+    assert [re.sub(r"\d+", "0", r.text) for r in got[:5]] == [re.sub(r"\d+", "0", t) for t in texts[:5]]
+    for r in got[5:7]:
+        assert r.text.startswith("x ID12 ") and r.text.endswith(" y") and luhn(re.sub(r"\D", "", r.text[7:]))
+    assert [(r.text, r.n_pseudonyms) for r in got[7:-1]] == [(t, 0) for t in texts[7:-1]]
+    iso, european, slashes = re.findall(r"\d+[-/]\d+[-/]\d+", got[-1].text)
+    assert iso == slashes.replace("/", "-") == "-".join(reversed(european.split("-"))) and got[-1].n_pseudonyms == 3
+
+
 def test_secrets_are_replaced_to_their_end(spark):
     rng = random.Random(3)
     draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
