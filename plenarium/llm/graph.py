@@ -7,14 +7,34 @@ from pyspark.sql import functions as F
 
 from .common import discard, stage
 
+#: A key with more than one in so many of all rows is hot; there are at most so many such keys.
+HOT = 500
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each ``key`` and its number of rows, n.
+
+    Rows of hot keys stay where they are and meet their groups by broadcast: of ``total``
+    rows at most HOT keys have more than one in HOT.  The others meet by a shuffle, in which
+    no key is large.
+    """
+    hot, cold = F.broadcast(groups.where(F.col("n") * HOT > total)), groups.where(F.col("n") * HOT <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """``links`` (u, v) with m, the least v of each u."""
+    return join_groups(links, links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", total)
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: every node of ``edges`` (a, b) with the smallest node of its component.
 
     Each round links a node's larger neighbours, then its smaller ones, to the least
     neighbour; it stops when a round changes nothing, with every node linked to its root.
-    A round is written out, so lost executors never cost more than one round.
-    Loops (a = b) give no node of their own.
+    A round is written out, so lost executors never cost more than one round.  A node with
+    many neighbours isn't gathered (see ``join_groups``).  Loops (a = b) give no node of
+    their own.
     """
     larger = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = stage(larger.distinct(), name)
@@ -27,9 +47,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             )
         state = new_state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, stage(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), name)
-        discard(before)
+        up = _with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = stage(up.distinct(), name)
+        down = _with_least(large, state[0])
+        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, now = now, stage(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(before, large)

@@ -17,18 +17,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import chunks, table
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 8, 8
 REACH = max(WIDTHS) - 1
 #: Rows of each language that training takes at most.
 SAMPLE = 1000
+#: Languages that can be learnt, an output of the network each; with SAMPLE they bound what reaches the driver.
+LANGUAGES = 500
 UNKNOWN = "und"
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LETTER_BYTE = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Positions filtered at a time.
-_AT_ONCE = 512 * WINDOW
+_AT_ONCE = 128 * WINDOW
+#: Bytes of text in work at a time, a longer text apart.
+_BYTES = 1 << 20
 
 
 @dataclass
@@ -49,7 +53,10 @@ class Network:
         return out
 
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
-        logits = np.maximum(pooled + self.bias, 0) @ self.dense + self.dense_bias
+        """Summed filter by filter: a matrix product may round a row by the rows beside it."""
+        logits = np.repeat(self.dense_bias[None, :], len(pooled), axis=0)
+        for active, weights in zip(np.maximum(pooled + self.bias, 0).T, self.dense, strict=True):
+            logits += active[:, None] * weights
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
         return odds / odds.sum(axis=1, keepdims=True)
 
@@ -114,9 +121,14 @@ class Predictor:
         self.near = (a[:, None, :] + b[None, :, :]).reshape(65536, -1)
         self.far = (c[:, None, :] + d[None, :, :]).reshape(65536, -1)
 
-    def pooled(self, codes: np.ndarray) -> np.ndarray:
-        """Each filter's maximum in every window; ``codes`` has whole windows and REACH bytes more."""
+    def pooled(self, codes: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Each filter's maximum in every window; ``codes`` has whole windows and REACH bytes more.
+
+        ``final``: windows that end a text.  Their last REACH positions are past the text and
+        see zeros only, whatever text comes next.
+        """
         n = len(codes) - REACH
+        nothing = self.near[0] + self.far[0]
         out = []
         for at in range(0, n, _AT_ONCE):
             part = codes[at : min(at + _AT_ONCE, n) + REACH].astype(np.int32)
@@ -124,6 +136,7 @@ class Predictor:
             values = self.near[pairs[:-2]]
             values += self.far[pairs[2:]]
             values = values.reshape(-1, WINDOW, values.shape[-1])
+            values[final[at // WINDOW :][: len(values)], -REACH:] = nothing
             while values.shape[1] > 1:
                 half = values.shape[1] // 2
                 values = np.maximum(values[:, :half], values[:, half:])
@@ -131,6 +144,13 @@ class Predictor:
         return np.concatenate(out)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; what a text gets depends on it alone."""
+        answer = []
+        for some in chunks(texts, lambda t: len(t or ""), _BYTES):
+            answer.extend(self._predict_some(some))
+        return answer
+
+    def _predict_some(self, texts: list[str | None]) -> list[tuple[str, float]]:
         parts, owner = [], []
         for i, text in enumerate(texts):
             if text and self.net.languages and any(map(str.isalpha, text)):
@@ -142,9 +162,13 @@ class Predictor:
         if not parts:
             return answer
         codes = np.frombuffer(b"".join([*parts, b"\0" * REACH]), dtype=np.uint8)
-        chances = self.net.probabilities(self.pooled(codes))
+        del parts
+        ends = np.cumsum([n for _, n in owner])
+        final = np.zeros(ends[-1], dtype=bool)
+        final[ends - 1] = True
+        chances = self.net.probabilities(self.pooled(codes, final))
         letters = _LETTER_BYTE[codes[:-REACH]].reshape(-1, WINDOW).sum(axis=1)
-        starts = np.cumsum([0, *(n for _, n in owner[:-1])])
+        starts = np.concatenate([[0], ends[:-1]])
         sums = np.add.reduceat(chances * letters[:, None], starts, axis=0)
         # Every letter is an ASCII letter or has bytes of at least 128, so no sum is 0.
         means = sums / np.add.reduceat(letters, starts)[:, None]
@@ -162,10 +186,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """Learn from at most ``sample`` rows of each language among those not held out.
 
     Which rows is decided by a hash of doc_id; of each, a window at a hashed place.  A null
-    text, lang or doc_id isn't learnt from.  Only this bounded sample reaches the driver.
+    text, lang or doc_id isn't learnt from.  Only this bounded sample reaches the driver:
+    more than LANGUAGES values of lang are an error.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder() != 2)).select("doc_id", "text", "lang")
-    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.3 * sample) / F.count("*")).alias("share")).collect()
+    shares = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.3 * sample) / F.count("*")).alias("share")).limit(LANGUAGES + 1).collect()
+    if len(shares) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
     # One row for each language, of which the network has an output each: few enough to send to every task.
     shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 30))
@@ -197,16 +224,25 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where
     there is nothing to learn from; a single learnt language always scores 1.  Texts are
-    read whole, whatever their length.  Equal texts get equal answers.  A null doc_id isn't
-    held out.  An empty table gives an empty result; other columns are ignored.
+    read whole, whatever their length.  Equal texts get equal answers, whatever rows stand
+    beside them.  A null doc_id isn't held out.  An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select("doc_id", "text").withColumn("found", predicted(F.col("text"), fit(docs, sample)))
     return rows.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose language is found with at least ``least_score``."""
-    return docs.withColumn("__language_found", predicted(F.col("text"), fit(docs, sample))).where((F.col("__language_found.lang_pred") != UNKNOWN) & (F.col("__language_found.score") >= least_score)).drop("__language_found")
+def keep_identified(docs: DataFrame, over_chance: float = 1.2, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language is found.
+
+    ``und`` goes, and so do texts whose best language scores less than ``over_chance`` times
+    what each of the learnt languages would get if they were equally likely (at most 1): of
+    four languages, less than 0.3.  That is what is undecided between all of them; it isn't a
+    test of whether a text is in any of them.
+    """
+    net = fit(docs, sample)
+    least = min(1.0, over_chance / max(1, len(net.languages)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predicted(F.col("text"), net).alias("found"))
+    return rows.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

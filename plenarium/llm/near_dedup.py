@@ -11,7 +11,8 @@
 4. Components of the verified links are the result.
 
 Buckets and clusters above a bound are never gathered whole: a large bucket becomes one
-star, and a large cluster is verified in blocks (see ``_cluster_links``).
+star, and a large cluster is verified in blocks (see ``_cluster_links``).  Full sets travel
+only to blocks in which a pair of signatures survives.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
-from .graph import components
+from .common import chunks, discard, identified, stage, table
+from .graph import components, join_groups
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -283,10 +284,34 @@ def _block_links(percent: int):
     return run
 
 
+def _block_survivors(percent: int):
+    """Which rows of a block have a partner there that no look drops."""
+    needed = needed_matches(percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(batches, ["cluster", "block"], 2_000):
+            found = []
+            for (cluster, block), rows in frame.groupby(["cluster", "block"], sort=False):
+                size, sketch, label, part = rows["n_shingles"].to_numpy(), _sketches(rows["sketch"]), rows["label"].to_numpy(), rows["part"].to_numpy()
+                gives, hit = np.flatnonzero(part == 1), np.zeros(len(rows), dtype=bool)
+                for i in np.flatnonzero(part == 0):
+                    others = gives[(label[gives] != label[i]) & _near_sizes(size[gives], size[i], percent)]
+                    alive, _ = surviving(sketch, others, np.full(len(others), i), needed)
+                    hit[others[alive]] = True
+                    hit[i] |= len(alive) > 0
+                some = rows[hit]
+                found += zip([cluster] * len(some), [block] * len(some), some["cid"], some["part"], strict=True)
+            yield pd.DataFrame(found, columns=["cluster", "block", "cid", "part"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select("cluster", "block", "cid", "n_shingles", "sketch", "label", "part", *columns).repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+
+
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    columns = ["cluster", "block", "cid", "n_shingles", "sketch", "shingles", "label", "part"]
-    placed = rows.select(*columns).repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    return placed.mapInPandas(_block_links(percent), "a long, b long")
+    return _dealt(rows, ["shingles"]).mapInPandas(_block_links(percent), "a long, b long")
 
 
 def _cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -295,7 +320,8 @@ def _cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     A cluster of several blocks is first verified block by block, with the same few leaders
     in each.  Then every class outside the cluster's largest component meets, in blocks,
     every class that it isn't connected with; two classes of the largest component need
-    no further link.
+    no further link.  They meet by signature first, and the sets of those that have a
+    partner in a block follow.
     """
     order = F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.lit(1 << 20))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
@@ -307,54 +333,51 @@ def _cluster_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     if large.isEmpty():
         return links
     roots = components(links, "rounds")
-    labelled = stage(
-        large.join(roots, large["cid"] == roots["node"], "left").withColumn("label", F.coalesce("root", "cid")).select(*members.columns, "label"), "labelled"
-    )
+    plain = large.drop("shingles")
+    labelled = stage(plain.join(roots, plain["cid"] == roots["node"], "left").withColumn("label", F.coalesce("root", "cid")).select(*plain.columns, "label"), "labelled")
     counts = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("inside"))
-    rest = labelled.join(main.where("all > inside"), "cluster")
+    main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    total = labelled.count()
+    rest = join_groups(labelled, main.where("all > inside"), "cluster", total).drop("n")
     rest = rest.withColumn("outer", F.ceil(F.col("blocks") * (F.col("all") - F.col("inside")) / F.col("all")))
     outer = F.pmod(F.xxhash64(F.col("cid"), F.lit(2)), F.col("outer"))
     pair = lambda a, b: (a * F.col("blocks") + b).alias("block")
     asks = rest.where("label <> main").withColumns({"part": F.lit(0), "to": F.explode(everywhere)}).select("*", pair(outer, F.col("to")))
     gives = rest.withColumns({"part": F.lit(1), "to": F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1))}).select("*", pair(F.col("to"), own))
-    return links.unionByName(stage(_in_blocks(asks.unionByName(gives), percent), "links"))
+    hits = stage(_dealt(asks.unionByName(gives), []).mapInPandas(_block_survivors(percent), "cluster long, block long, cid long, part int"), "hits")
+    met = hits.join(labelled.drop("cluster"), "cid").join(members.select("cid", "shingles"), "cid")
+    return links.unionByName(stage(_in_blocks(met, percent), "links"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+def _components_of(rows: DataFrame, words: int, percent: int, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class, and classes with their component; ``rows``: row, file, place.
 
-    A row's set holds the distinct hashes (64 bits) of its ``words``-word shingles; with
-    fewer words the whole sequence is one; a null, empty or blank text has none and is
-    linked with nothing.  Rows are linked when 100 * shared >= ``percent`` * union.
-    component_id is the smallest doc_id reachable; kept: it is the row's own.  Rows that
-    repeat a doc_id each get a row; a null doc_id is never a component_id unless nothing
-    else is there.  An empty table gives an empty result; other columns are ignored.
-
-    A pair at the threshold shares no band with probability 3e-6 and is dropped by a look
-    with at most ``MISS``; both fall fast above it.  All other steps are exact.
+    The first: doc_id, file, place, n_shingles, digest.  The second: digest, copies (its
+    rows), component_id, and first, the file and place of the component's row with the
+    least (doc_id, file, place), null doc_ids last.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            out = []
             for text in batch["text"]:
                 shingles = shingle_set(text, words)
                 least = signature(shingles)
                 digest = hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
                 full = len(shingles) > 0
-                rows.append((len(shingles), digest, band_keys(least) if full else None, (least & np.uint32(255)).astype(np.uint8).tobytes() if full else None))
-            frame = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
-            yield frame.assign(doc_id=batch["doc_id"])
+                out.append((len(shingles), digest, band_keys(least) if full else None, (least & np.uint32(255)).astype(np.uint8).tobytes() if full else None))
+            frame = pd.DataFrame(out, columns=["n_shingles", "digest", "bands", "sketch"])
+            yield frame.assign(doc_id=batch["doc_id"], file=batch["file"], place=batch["place"])
 
-    texts = docs.select("doc_id", "text")
     # Ids cross into pandas as strings, where a null would turn longs into doubles.
-    named = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    sketched = named.mapInPandas(sketch, "n_shingles long, digest binary, bands array<long>, sketch binary, doc_id string")
+    named = rows.select(F.col("row.doc_id").cast("string").alias("doc_id"), "file", "place", F.col("row.text").alias("text"))
+    sketched = named.mapInPandas(sketch, "n_shingles long, digest binary, bands array<long>, sketch binary, doc_id string, file long, place long")
     sketched = stage(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    # The first row of a class stands for it; by its file and place its text is found again.
+    first = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "file", "place")
     classes = stage(
         sketched.where("n_shingles > 0").groupBy("digest", "n_shingles")
-        .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min(first).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
@@ -364,37 +387,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     stars = shared.where((F.col("rows") > block) & (F.col("cid") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("cid").alias("b"))
     small = shared.where(F.col("rows") <= block).select("key", "cid").join(classes.select("cid", "n_shingles", "sketch"), "cid")
     trees = small.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_trees(percent), "a long, b long")
-    clusters = components(stars.unionByName(trees), "clusters").withColumnsRenamed({"node": "cid", "root": "cluster"})
-    weights = clusters.join(classes.select("cid", "n_shingles"), "cid").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
-    sizes = weights.select("cluster", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / block_shingles)).alias("blocks"))
-    members = clusters.join(sizes, "cluster").join(classes.drop("bands"), "cid")
+    found = components(stars.unionByName(trees), "clusters")
+    clusters = found.withColumnsRenamed({"node": "cid", "root": "cluster"})
+    plain = clusters.join(classes.select("cid", "n_shingles", "sketch", "first"), "cid")
+    weights = plain.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = weights.select("cluster", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / block_shingles)).alias("blocks"))
+    members = join_groups(plain, sizes, "cluster", clusters.count())
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(text, words).astype("<u8").tobytes() for text in batch["text"]]
-            # Rows that repeat a doc_id with another text belong to another class.
-            right = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, batch["digest"], strict=True)]
-            yield batch.drop(columns=["text", "digest"]).assign(shingles=sets)[right]
+            yield batch.drop(columns="text").assign(shingles=[shingle_set(text, words).astype("<u8").tobytes() for text in batch["text"]])
 
-    wanted = members.select("first_id", "cluster", "blocks", "cid", "n_shingles", "sketch", "digest")
-    found = wanted.join(texts, wanted["first_id"].eqNullSafe(texts["doc_id"])).drop("doc_id", "first_id")
+    wanted = members.select("first.file", "first.place", "cluster", "blocks", "cid", "n_shingles", "sketch")
+    texts = rows.select("file", "place", F.col("row.text").alias("text")).join(wanted, ["file", "place"]).drop("file", "place")
     schema = "cluster long, blocks long, cid long, n_shingles long, sketch binary, shingles binary"
-    sets = stage(found.mapInPandas(with_sets, schema).dropDuplicates(["cid"]), "sets")
+    sets = stage(texts.select("cluster", "blocks", "cid", "n_shingles", "sketch", "text").mapInPandas(with_sets, schema), "sets")
+    discard(found)
     linked = components(_cluster_links(sets, percent, block), "linked")
-    named = classes.select("cid", "digest", "n_shingles", "first_id").join(linked, classes["cid"] == linked["node"], "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    answer = named.join(least, "root").select("digest", "n_shingles", "component_id")
-    rows = sketched.select("doc_id", "n_shingles", "digest").join(answer, ["digest", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    discard(sets)
+    named = classes.select("cid", "digest", "copies", "first").join(linked, classes["cid"] == linked["node"], "left").withColumn("root", F.coalesce("root", "cid"))
+    least = named.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    answer = join_groups(named.drop("first"), least, "root", named.count())
+    answer = stage(answer.select("digest", "copies", F.col("first.doc_id").alias("component_id"), F.struct("first.file", "first.place").alias("first")), "answers")
+    discard(classes, linked)
+    return sketched.select("doc_id", "file", "place", "n_shingles", "digest"), answer
+
 
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, stored: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id ``near_duplicates`` keeps, with all their columns."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    A row's set holds the distinct hashes (64 bits) of its ``words``-word shingles; with
+    fewer words the whole sequence is one; a null, empty or blank text has none and is
+    linked with nothing.  Rows are linked when 100 * shared >= ``percent`` * union.
+    component_id is the smallest doc_id reachable; kept: it is the row's own.  Rows that
+    repeat a doc_id each get a row; a null doc_id is never a component_id unless nothing
+    else is there.  An empty table gives an empty result; other columns are ignored.
+    ``stored``: ``docs`` is a Parquet table as it was read (see ``common.identified``).
+
+    A pair at the threshold shares no band with probability 3e-6 and is dropped by a look
+    with at most ``MISS``; both fall fast above it.  All other steps are exact.
+    """
+    rows, answer = _components_of(identified(docs, stored), words, percent, block, block_shingles)
+    full = join_groups(rows.where("n_shingles > 0"), answer.select("digest", "component_id", F.col("copies").alias("n")), "digest", rows.count())
+    every = full.select("doc_id", "n_shingles", "component_id").unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, stored: bool = False) -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays as well, the first by file and place.  Rows
+    without words are linked with nothing and all stay.
+    """
+    held = identified(docs, stored)
+    rows, answer = _components_of(held, words, percent, BLOCK, BLOCK_SHINGLES)
+    kept = answer.select("first.*").distinct().unionByName(rows.where("n_shingles = 0").select("file", "place"))
+    return held.join(kept, ["file", "place"], "left_semi").select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, stored=True)

@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, table
+from .common import chunks, discard, stage, table
 
 WINDOW = 2048
 END_ID = 1
+#: Ids that leave a task at a time, a longer document's apart.
+BATCH_BYTES = 4 << 20
 #: Marks a document's first piece in the cache; texts that hold it take the general path.
 FIRST = "\r"
 _PLAIN_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -44,7 +46,7 @@ class Encoder:
     the last one still uses outlives the change.
     """
 
-    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 500_000, 200, 50_000, 1_000, 4_000_000
+    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 60_000, 200, 50_000, 1_000, 4_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -126,6 +128,10 @@ class Encoder:
                 some, size = [], 0
         yield from self._encode_some(some)
 
+    def forget(self) -> None:
+        """Drop the words; a worker's next task may be of another kind."""
+        self.young, self.old = {}, {}
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -136,9 +142,11 @@ def document_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, not null, and its ids as bytes, the end id last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = END_ID.to_bytes(4, "little")
+        end, words = END_ID.to_bytes(4, "little"), encoder(tokenizer)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [ids + end for ids in encoder(tokenizer).encode(batch["text"])]})
+            for some in chunks(zip(batch["doc_id"], words.encode(batch["text"]), strict=True), lambda x: len(x[1]), BATCH_BYTES):
+                yield pd.DataFrame({"doc_id": [i for i, _ in some], "ids": [ids + end for _, ids in some]})
+        words.forget()
 
     return docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
 
@@ -147,15 +155,19 @@ def cut_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Data
     """One row for each piece: full windows from the document's start, then its rest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end, step = END_ID.to_bytes(4, "little"), 4 * window
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder(tokenizer).encode(batch["text"]), strict=True):
+        end, step, words = END_ID.to_bytes(4, "little"), 4 * window, encoder(tokenizer)
+
+        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+            for doc_id, ids in zip(batch["doc_id"], words.encode(batch["text"]), strict=True):
                 ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
-                    rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    yield doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4
+
+        for batch in batches:
+            for some in chunks(rows(batch), lambda _: 1, 50_000):
+                yield pd.DataFrame(some, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        words.forget()
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
 
@@ -218,18 +230,26 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     sequence follow one another from offset 0 and take at most ``window`` ids.  A null or
     empty text is its end id alone; rows that repeat a doc_id are packed separately; a null
     doc_id stays null; an empty table gives an empty result; other columns are ignored.
-    ``write_sequences`` turns the result into token arrays.
+    The same rows are packed the same way in every run.  ``write_sequences`` turns the result into token arrays.
     """
     pieces = stage(cut_documents(docs, tokenizer or default_tokenizer(), window), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(groups)))
+    # Dealt by content and, of equal pieces, by their number: the same documents are packed the
+    # same way in every run, and equal rows spread like others.  Counts of a task come first,
+    # so that numbering equal pieces never gathers them.
+    names = PIECES.replace(",", "").split()[::2]
+    counted = pieces.groupBy(*names, F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*names).orderBy("task"))
+    numbered = counted.withColumn("upto", upto).select(*names, F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("copy"))
+    dealt = numbered.withColumn("pack", F.pmod(F.xxhash64(*names, "copy"), F.lit(groups))).drop("copy")
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True], ignore_index=True)
         number, offset = best_fit_decreasing(rows["length"].to_numpy(), window)
         return rows.assign(number=number, offset=offset)
 
     placed = stage(dealt.groupBy("pack").applyInPandas(place, f"{PIECES}, pack long, number long, offset long"), "packs")
+    discard(pieces)
     before = F.sum("n").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1))
     bases = placed.groupBy("pack").agg((F.max("number") + 1).alias("n")).select("pack", F.coalesce(before, F.lit(0)).alias("base"))
     return placed.join(bases, "pack").select(

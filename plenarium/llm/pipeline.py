@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline, each one operator of this subpackage."""
+"""Stages of the corpus pipeline, each one operator of this subpackage.
+
+``docs`` is a Parquet table as it was read: the pipeline writes every stage's rows and reads
+them again, so their file and row index are an identity that needs no further copy.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +23,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the smallest doc_id."""
-    return drop_copies(docs)
+    return drop_copies(docs, stored=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, stored=True)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

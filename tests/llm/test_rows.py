@@ -82,6 +82,27 @@ def test_dropping_copies(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 5, 6, 7]
 
 
+def test_one_row_of_equal_rows_stays(spark):
+    """Rows that repeat a doc_id and a text, and rows without an id."""
+    rows = [(5, "same text here"), (5, "same text here"), (6, "same  text here"), (None, "alone and without an id")] + [(None, "twice and without an id")] * 2
+    want = [(None, "alone and without an id"), (None, "twice and without an id"), (5, "same text here")]
+    for drop in (exact_dedup.drop_copies, near_dedup.drop_near_duplicates):
+        got = [(r.doc_id, r.text) for r in drop(docs(spark, rows)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_many_null_ids(spark):
+    """Rows without an id are as many rows as any others; a third of all share one text."""
+    family_texts = [t for _, t in family(9, 40, 0)]
+    frame = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(family_texts[0])).otherwise(F.concat(F.lit("row number "), F.col("id").cast("string"), F.lit(" of its own"))).alias("text"))
+    frame = frame.unionByName(spark.createDataFrame([(None, t) for t in family_texts], "doc_id long, text string"))
+    out = near_dedup.near_duplicates(frame, words=2).collect()
+    assert len(out) == 9040 and all(r.component_id is None and r.kept for r in out)
+    left = near_dedup.drop_near_duplicates(frame, words=2).count()
+    links = brute_near([(i, t) for i, t in enumerate(family_texts)], 2, 80)
+    assert left == 6000 + sum(n for (_, _, _, kept), n in links.items() if kept)
+
+
 def brute_near(rows, words, percent):
     sets = []
     for _, t in rows:
@@ -127,6 +148,33 @@ def test_near_copies(spark, block, block_shingles):
     assert Counter(map(tuple, out)) == brute_near(rows, 2, 80)
 
 
+def test_near_copies_of_documents(spark):
+    """All pairs of a whole table by brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    shingles = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        shingles[i] = {tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if w else set()
+    root = {i: i for i in shingles}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(shingles, key=lambda i: len(shingles[i]))
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if 100 * len(shingles[a]) < 80 * len(shingles[b]):
+                break
+            shared = len(shingles[a] & shingles[b])
+            if shared and 100 * shared >= 80 * (len(shingles[a]) + len(shingles[b]) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = near_dedup.op5_near_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(s), find(i), find(i) == i) for i, s in shingles.items()}
+
+
 def test_near_copies_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     assert [tuple(r) for r in near_dedup.near_duplicates(docs(spark, [(None, "a b c"), (None, None)])).orderBy("n_shingles").collect()] == [(None, 0, None, True), (None, 1, None, True)]

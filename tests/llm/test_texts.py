@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plenarium.llm import chat, language_id, packing, pii, sentencepieces, topk
+from plenarium.llm import chat, common, language_id, packing, pii, sentencepieces, topk
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +54,51 @@ def test_language(spark):
     assert got[5].lang_pred in ("de", "en", "es", "fr") and got[4] == got[6]
 
 
+def test_language_of_a_text_alone():
+    """What a text gets depends on it alone, and is what a plain convolution of its bytes gives."""
+    rng = random.Random(7)
+    words = ["the", "of", "und", "der", "les", "que", "él", "naïve", "12", "…"]
+    texts = ["ab", "no", "", None, "é", *(" ".join(rng.choices(words, k=rng.choice([1, 3, 40, 90, 400]))) for _ in range(120))]
+    texts += ["a" * n for n in (252, 253, 254, 255, 256, 257, 509, 510, 511)]
+    net = language_id.train([t for t in texts if t], [("x", "y", "z")[len(t) % 3] for t in texts if t], epochs=2)
+    predictor = language_id.Predictor(net)
+    whole = predictor.predict(texts)
+    assert whole == [predictor.predict([t])[0] for t in texts]
+    assert whole[::-1] == predictor.predict(texts[::-1])
+    for text, (language, score) in zip(texts, whole, strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            continue
+        data = np.frombuffer(language_id.as_bytes(text), dtype=np.uint8)
+        size = -(-(len(data) + language_id.REACH) // language_id.WINDOW) * language_id.WINDOW
+        padded = np.concatenate([data, np.zeros(size + language_id.REACH - len(data), np.uint8)])
+        sums, weight = np.zeros(3), 0
+        for at in range(0, size, language_id.WINDOW):
+            best = [-np.inf] * (len(language_id.WIDTHS) * language_id.FILTERS)
+            for place in range(at, at + language_id.WINDOW):
+                for k, (width, filters) in enumerate(zip(language_id.WIDTHS, net.filters, strict=True)):
+                    found = sum(net.embedding[padded[place + j]] @ filters[j] for j in range(width))
+                    for f in range(language_id.FILTERS):
+                        best[k * language_id.FILTERS + f] = max(best[k * language_id.FILTERS + f], found[f])
+            odds = np.exp(np.maximum(np.array(best) + net.bias, 0) @ net.dense + net.dense_bias)
+            letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in padded[at : at + language_id.WINDOW])
+            sums, weight = sums + letters * odds / odds.sum(), weight + letters
+        assert abs(score - (sums / weight).max()) < 1e-4 and abs(sums[net.languages.index(language)] / weight - score) < 1e-4
+
+
+def test_language_of_rows_in_any_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    net = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = lambda d: sorted(tuple(r) for r in d.select("doc_id", language_id.predicted(F.col("text"), net).alias("p")).select("doc_id", "p.*").collect())
+    assert rows(docs) == rows(docs.orderBy(F.xxhash64("doc_id")).repartition(3)) == rows(docs.unionByName(docs))[::2]
+
+
+def test_language_of_noise(spark):
+    """What the network is undecided about goes, clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[A-Za-z]' and lang is not null")
+    kept = language_id.keep_identified(docs.withColumn("__language_found", F.lit(1)))
+    assert kept.columns == [*docs.columns, "__language_found"] and kept.count() >= 0.99 * docs.count()
+
+
 def test_language_with_little_to_learn(spark):
     schema = "doc_id long, text string, lang string, score string"
     assert language_id.identify(spark.createDataFrame([], schema)).count() == 0
@@ -243,6 +288,22 @@ def test_packing(spark):
     assert packing.pack_documents(frame.limit(0)).count() == 0
 
 
+def test_packing_is_the_same_again(spark):
+    """Also of rows that repeat, and in whatever order they come."""
+    rows = [(i, f"some words {i} " * (i % 30)) for i in range(200)] + [(7, "again")] * 60 + [(None, None)] * 90
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    once = Counter(map(tuple, packing.pack_documents(frame, window=64, group_rows=50).collect()))
+    assert once == Counter(map(tuple, packing.pack_documents(frame.orderBy(F.xxhash64("text")), window=64, group_rows=50).collect()))
+    assert sum(once.values()) == packing.cut_documents(frame, packing.default_tokenizer(), 64).count()
+
+
+def test_words_end_with_the_task():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    list(encoder.encode(["alpha beta"]))
+    encoder.forget()
+    assert not encoder.young and not encoder.old
+
+
 def test_best_fit_decreasing():
     """As a plain search for the tightest window does it."""
     lengths = np.array(random.Random(5).choices(range(1, 65), k=300))
@@ -316,3 +377,24 @@ def test_pipeline(spark):
     assert got == {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
     texts = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[A-Za-z]'").select(F.count_distinct("text")).first()[0]
     assert 0.5 * texts < len(got) <= texts
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """An empty table, and columns named as the stages' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"file": F.lit(1), "row": F.lit("r"), "__language_found": F.lit(2), "digest": F.lit(3)})
+    for n, name in ((0, "none"), (40, "some")):
+        docs.limit(n).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert (corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() > 0) == (n > 0)
+
+
+def test_staged_tables_go(spark):
+    """What an operator stages is deleted with its scope; outside local mode a folder has to be named."""
+    import os
+
+    folder = common.work_folder(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    with common.scope():
+        packing.op9_packing(spark, SF).count()
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
