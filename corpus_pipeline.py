@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenarium.llm.common import stage, table
+from plenarium.llm.common import discard, scope, stage, table
 from plenarium.llm.pipeline import exact_stage, language_stage, near_stage, packing_stage, privacy_stage
 
 STAGES = [
@@ -20,8 +20,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows written and read again for the next."""
+    """All stages over ``documents``, each one's rows written and read again for the next.
+
+    What a stage leaves in the shared folder goes when its rows are written, and those rows
+    go when the next stage's are.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        with scope():
+            before, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{name}", outer=True)
+        if k:
+            discard(before)
+    before, docs = docs, STAGES[-1][1](spark, docs, sf_dir)
+    discard(before)
+    return docs
