@@ -1,9 +1,14 @@
 """Conversations formatted into windows of a token budget.
 
 Prefix sums of turn tokens, taken in two levels so that no conversation has to fit one
-task, cut a conversation into bounded blocks.  Inside a block windows take as many whole
-turns as the budget holds; each retains the system turn and repeats a limited history,
-and the loss mask covers every assistant text in the one window where it is new.
+task, place every turn.  A window takes as many whole turns as the budget holds; it retains
+the system turn and repeats a limited history, and the loss mask covers every assistant
+text in the one window where it is new.
+
+Where a window ends follows from where it begins.  So bounded blocks of a long conversation
+are worked on apart: each tells, for the few turns at which a window may enter it, where
+the chain of windows leaves it, and following these leaps gives every block the turn at
+which its own first window begins.
 """
 
 from __future__ import annotations
@@ -18,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, table
+from .common import chunks, stage, table
 from .packing import default_tokenizer, encoder
 
-BUDGET, HISTORY, BLOCK = 2048, 256, 32_768
-#: Turn marks and line feeds of the template.
-MARKS = 4
+BUDGET, HISTORY = 2048, 256
+#: Tokens of a conversation that one step of a task works on; results don't depend on it.
+BLOCK = 262_144
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 WINDOWS = "conv string, block long, number long, formatted string, spans array<struct<start: long, end: long>>, repeated long, tokens long"
@@ -51,14 +56,24 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(_unescape_role(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
+def shown(role: str, text: str) -> str:
+    """A turn as it stands in a window."""
+    return f"<|im_start|>{_escape_role(role)}\n{escape(text)}<|im_end|>\n"
+
+
 def _ordered_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """conv, nth, role, text, tokens, before: each turn's place and the tokens of the turns before it."""
+    """conv, nth, role, text, tokens, before: each turn's place, its ids as it is shown, and those of the turns before it.
+
+    A turn ends with a line feed after a mark, where the tokenizer always breaks, so a
+    window has as many ids as its turns together.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = encoder(tokenizer)
         for batch in batches:
-            encode = encoder(tokenizer).encode
-            sizes = [(len(a) + len(b)) // 4 + MARKS for a, b in zip(encode(batch["role"]), encode(batch["text"]), strict=True)]
-            yield batch.assign(tokens=np.array(sizes, dtype="int64"))
+            turn_texts = map(shown, batch["role"], batch["text"])
+            yield batch.assign(tokens=np.array([len(ids) // 4 for ids in words.encode(turn_texts)], dtype="int64"))
+        words.forget()
 
     plain = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
@@ -78,49 +93,121 @@ def _ordered_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
     return placed.join(parts, ["conv", "part"]).select("conv", (F.col("n") + F.col("row")).alias("nth"), "role", "text", "tokens", (F.col("t") + F.col("own")).alias("before"))
 
 
-def _one_block(rows: pd.DataFrame, budget: int, history: int) -> list[tuple]:
-    """Windows of one block; kinds: 0 the conversation's system turn, 1 turns before the block, 2 its own."""
-    conv, block = rows["conv"].iloc[0], int(rows["block"].iloc[0])
-    kind, tokens = rows["kind"].to_numpy(), rows["tokens"].to_numpy()
-    shown = [(f"<|im_start|>{_escape_role(r)}\n", escape(t), r == "assistant") for r, t in zip(rows["role"], rows["text"], strict=True)]
-    own = int((kind < 2).sum())
-    system = rows["nth"].iloc[0] == 0 and rows["role"].iloc[0] == "system"
-    retained = 0 if system and tokens[0] <= budget // 2 else -1
-    sums = np.concatenate([[0], np.cumsum(tokens)])
-    out, at = [], own
-    while at < len(rows):
-        head = [retained] if 0 <= retained < at else []
-        room = budget - sum(int(tokens[i]) for i in head)
-        first = int(system)
-        back = at
-        while back > first and sums[at] - sums[back - 1] <= history:
-            back -= 1
-        end = int(np.searchsorted(sums, sums[at] + room - (sums[at] - sums[back]), side="right")) - 1
-        if end <= at:
-            back = at
-            end = max(at + 1, int(np.searchsorted(sums, sums[at] + room, side="right")) - 1)
-        pieces, spans, length = [], [], 0
-        repeated = head + list(range(back, at))
-        for i in [*repeated, *range(at, end)]:
-            start, text, target = shown[i]
-            if target and i >= at:
-                spans.append({"start": length + len(start), "end": length + len(start) + len(text)})
-            pieces.append(f"{start}{text}<|im_end|>\n")
-            length += len(pieces[-1])
-        used = int(sums[end] - sums[back]) + sum(int(tokens[i]) for i in head)
-        out.append((conv, block, len(out), "".join(pieces), spans, len(repeated), used))
-        at = end
-    return out
+class _Block:
+    """Turns of one block in order, with those beside it that its windows need.
+
+    kind -1: nth is where its first window begins; 0: the conversation's system turn; 1:
+    turns before the block; 2: its own; 3: turns after it.
+    """
+
+    def __init__(self, rows: pd.DataFrame, budget: int, history: int):
+        entry = rows["kind"].to_numpy() < 0
+        self.begin = int(rows["nth"].to_numpy()[entry][0]) if entry.any() else None
+        self.rows = rows[~entry]
+        kind, self.nth, self.tokens, before = (self.rows[c].to_numpy() for c in ("kind", "nth", "tokens", "before"))
+        self.own = np.flatnonzero(kind == 2)
+        self.system = bool(self.nth[0] == 0 and self.rows["role"].iloc[0] == "system")
+        self.retained = self.system and bool(self.tokens[0] <= budget // 2)
+        after, at = before + self.tokens, self.own
+        room = np.full(len(at), budget) - np.where((self.nth[at] > 0) & self.retained, self.tokens[0], 0)
+        back = np.minimum(at, np.maximum(int(self.system), np.searchsorted(before, before[at] - history)))
+        end = np.searchsorted(after, before[at] + room - (before[at] - before[back]), side="right")
+        alone = end <= at
+        self.back = np.where(alone, at, back)
+        self.end = np.where(alone, np.maximum(at + 1, np.searchsorted(after, before[at] + room, side="right")), end)
+        self.used = after[self.end - 1] - before[self.back] + budget - room
+
+    def exits(self) -> np.ndarray:
+        """For each own turn, the turn behind the last window of the chain that begins there."""
+        first, n = int(self.own[0]), len(self.own)
+        out = self.nth[self.end - 1] + 1
+        for i in range(n - 1, -1, -1):
+            following = int(self.end[i]) - first
+            if following < n:
+                out[i] = out[following]
+        return out
+
+    def windows(self) -> Iterator[tuple[str, list[dict[str, int]], int, int]]:
+        """Text, spans under the mask, repeated turns and ids of each window."""
+        if self.begin is None:
+            return
+        roles, texts = self.rows["role"].to_list(), self.rows["text"].to_list()
+        first, i = int(self.own[0]), int(np.searchsorted(self.nth[self.own], self.begin))
+        while i < len(self.own):
+            at, end = int(self.own[i]), int(self.end[i])
+            repeated = [0] * int(self.retained and self.nth[at] > 0) + list(range(int(self.back[i]), at))
+            parts, spans, length = [], [], 0
+            for k in [*repeated, *range(at, end)]:
+                parts.append(shown(roles[k], texts[k]))
+                if roles[k] == "assistant" and k >= at:
+                    start = length + len("<|im_start|>assistant\n")
+                    spans.append({"start": start, "end": length + len(parts[-1]) - len("<|im_end|>\n")})
+                length += len(parts[-1])
+            yield "".join(parts), spans, len(repeated), int(self.used[i])
+            i = end - first
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, pd.DataFrame]]:
+    """Rows sorted by conv and block, block by block."""
+    held: pd.DataFrame | None = None
+
+    def groups(frame: pd.DataFrame) -> list[pd.DataFrame]:
+        conv, block = frame["conv"].to_numpy(), frame["block"].to_numpy()
+        cuts = np.flatnonzero((conv[1:] != conv[:-1]) | (block[1:] != block[:-1])) + 1
+        return [frame.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True)]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        *whole, held = groups(batch if held is None else pd.concat([held, batch], ignore_index=True))
+        for rows in whole:
+            yield rows["conv"].iloc[0], int(rows["block"].iloc[0]), rows
+    if held is not None:
+        yield held["conv"].iloc[0], int(held["block"].iloc[0]), held
+
+
+def _entries(frames: DataFrame, budget: int, history: int, block: int) -> DataFrame:
+    """conv, block, nth: where the first window of each block of a long conversation begins.
+
+    A block that an earlier one's windows cover has none.
+    """
+
+    def leaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for conv, number, rows in _blocks(batches):
+            part = _Block(rows, budget, history)
+            # No window from the block before ends further inside than its budget.
+            near = rows["before"].to_numpy()[part.own] < number * block + budget
+            near[0] = True
+            yield pd.DataFrame({"conv": conv, "block": number, "nth": part.nth[part.own][near], "to": part.exits()[near]})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conv, at = None, 0
+        for batch in batches:
+            reached = []
+            for name, number, nth, to in zip(batch["conv"], batch["block"], batch["nth"], batch["to"], strict=True):
+                if name != conv:
+                    conv, at = name, 0
+                if nth == at:
+                    reached.append((name, number, nth))
+                    at = to
+            yield pd.DataFrame(reached, columns=["conv", "block", "nth"])
+
+    found = frames.drop("text").mapInPandas(leaps, "conv string, block long, nth long, to long")
+    return found.repartition("conv").sortWithinPartitions("conv", "nth").mapInPandas(follow, "conv string, block long, nth long")
 
 
 def chat_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
     """Formatted windows of every conversation: conv_id, block, number, formatted, spans, repeated, tokens.
 
-    ``spans`` are the code points under the loss mask, the first ``repeated`` turns of a
-    window were new in an earlier one, and windows of a conversation follow one another by
-    block and number.  A window exceeds ``budget`` tokens only if a single turn does so
-    together with the system turn.  The system turn is a conversation's first turn if that
-    is its role; it is retained up to half the budget.  History is whole turns of at most
+    ``tokens`` are the window's ids, ``spans`` the code points under the loss mask; the
+    first ``repeated`` turns of a window were new in an earlier one, and windows of a
+    conversation follow one another by block and number.  ``block`` is how much one step of
+    a task holds, at least the budget; the windows don't depend on it.
+
+    Windows are aligned to turns and never cut one.  A turn that doesn't fit the budget
+    together with the system turn stands in a window with that alone, which so exceeds the
+    budget; no other window does.  The system turn is a conversation's first turn if that is
+    its role; it is retained up to half the budget.  History is whole turns of at most
     ``history`` tokens.
 
     Turns are ordered by turn, then role and text, so equal turn numbers and repeated rows
@@ -128,34 +215,31 @@ def chat_windows(turns: DataFrame, tokenizer: str | None = None, budget: int = B
     conv_ids are one conversation.  An empty table gives an empty result; other columns
     are ignored.
     """
+    if block < budget:
+        raise ValueError("a block has to hold a window")
     rows = stage(_ordered_tokens(turns, tokenizer or default_tokenizer()).withColumn("block", F.floor(F.col("before") / block)), "ordered")
-    columns = ["conv", "nth", "role", "text", "tokens"]
-    own = rows.select(*columns, "block", F.lit(2).alias("kind"))
-    late = F.col("before") + F.col("tokens") > (F.col("block") + 1) * block - history
-    carried = rows.where(late & (F.col("tokens") <= history)).select(*columns, (F.col("block") + 1).alias("block"), F.lit(1).alias("kind"))
+    columns = ["conv", "nth", "role", "text", "tokens", "before"]
+    beside = lambda kind, by: (F.lit(kind).alias("kind"), (F.col("block") + by).alias("block"))
+    own = rows.select(*columns, *beside(2, 0))
+    earlier = rows.where((F.col("before") + F.col("tokens") > (F.col("block") + 1) * block - history) & (F.col("tokens") <= history) & ~((F.col("nth") == 0) & (F.col("role") == "system"))).select(*columns, *beside(1, 1))
+    ahead = rows.where((F.col("block") > 0) & (F.col("before") < F.col("block") * block + budget)).select(*columns, *beside(3, -1))
     later = rows.where("block > 0").select("conv", "block").distinct()
-    system = rows.where("nth = 0 and role = 'system'").select(*columns).join(later, "conv").select(*columns, "block", F.lit(0).alias("kind"))
-    grouped = own.unionByName(carried).unionByName(system).repartition("conv", "block").sortWithinPartitions("conv", "block", "kind", "nth")
+    system = rows.where("nth = 0 and role = 'system'").select(*columns).join(later, "conv").select(*columns, *beside(0, 0))
+    # Turns beside a block without turns of its own are of no use.
+    frames = own.unionByName(system).unionByName(earlier.unionByName(ahead).join(rows.select("conv", "block").distinct(), ["conv", "block"], "left_semi").select(own.columns))
+    dealt = lambda df: df.repartition("conv", "block").sortWithinPartitions("conv", "block", "kind", "nth")
+    entries = stage(_entries(dealt(frames.join(later.select("conv").distinct(), "conv", "left_semi").select(own.columns)), budget, history, block).where("block > 0"), "entries")
+    none = lambda kind: F.lit(None).cast(kind)
+    # A conversation's first window begins at its first turn.
+    begins = entries.unionByName(rows.where("nth = 0").select("conv", "block", "nth"))
+    begins = begins.select("conv", "nth", none("string").alias("role"), none("string").alias("text"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("before"), F.lit(-1).alias("kind"), "block")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(frame):
-                continue
-            last = (frame["conv"] == frame["conv"].iloc[-1]) & (frame["block"] == frame["block"].iloc[-1])
-            held = frame[last].reset_index(drop=True)
-            yield _windows_of(frame[~last])
-        if held is not None:
-            yield _windows_of(held)
-
-    def _windows_of(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for _, part in frame.groupby(["conv", "block"], sort=False):
-            out.extend(_one_block(part.reset_index(drop=True), budget, history))
-        return pd.DataFrame(out, columns=["conv", "block", "number", "formatted", "spans", "repeated", "tokens"])
-
-    windows = grouped.mapInPandas(build, WINDOWS)
+        found = ((conv, number, k, *w) for conv, number, part in _blocks(batches) for k, w in enumerate(_Block(part, budget, history).windows()))
+        for some in chunks(found, lambda w: len(w[3])):
+            yield pd.DataFrame(some, columns=["conv", "block", "number", "formatted", "spans", "repeated", "tokens"])
+
+    windows = dealt(frames.unionByName(begins)).mapInPandas(build, WINDOWS)
     return windows.select(F.expr("try_cast(conv as bigint)").alias("conv_id"), *[c for c in windows.columns if c != "conv"])
 
 
