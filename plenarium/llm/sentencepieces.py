@@ -4,16 +4,19 @@ No piece holds a space after another character, so a text's piece lattice falls
 independent units: a word with the spaces before it.  Forward filtering sums over all
 segmentations of each distinct unit once; backward sampling then draws every occurrence's
 segmentation from its end, with numbers that depend on the row's key, the unit's place and
-the step alone.
+the step alone.  A long unit keeps the forward sums of all its characters and finds the
+pieces again, block by block, on the way back: memory is 8 bytes a character.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -25,8 +28,8 @@ from .common import table
 MARK = 0x2581
 #: Stands for a mark in the text itself, which no piece covers.
 NO_CHAR = 0x110000
-#: Longer units are cut so often.
-LONGEST = 256
+#: Longer units are filtered one by one, in blocks of so many characters; the law is the same.
+LONGEST, BLOCK = 256, 4096
 SEED = 10
 _RUNS = re.compile(r" *[^ ]+| +")
 _AT_ONCE = 1_000_000
@@ -48,8 +51,22 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _uniform(drawn: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The number in [0, 1) of each unit's step."""
+    return (_scramble(drawn + step * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+def _as_pieces(chars: np.ndarray) -> np.ndarray:
+    """Spaces as pieces write them; a mark of the text itself is no piece's."""
+    return np.where(chars == MARK, NO_CHAR, np.where(chars == 0x20, MARK, chars))
+
+
 def units_of(text: str) -> list[str]:
-    """The text in order, cut before each run of spaces, round line feeds and every LONGEST characters."""
+    """The text in order, cut before each run of spaces and round line feeds, where no piece can lie across."""
     out: list[str] = []
     for k, line in enumerate(text.split("\n")):
         if k:
@@ -63,8 +80,6 @@ def units_of(text: str) -> list[str]:
             if words[0]:
                 out.append(words[0])
             out.extend([f" {w}" for w in words[1:]])
-    if out and max(map(len, out)) > LONGEST:
-        out = [u[i : i + LONGEST] for u in out for i in range(0, len(u), LONGEST)]
     return out
 
 
@@ -97,8 +112,8 @@ class Lattice:
         self.known: dict[str, int] = {}
         self.stores: dict[int, tuple[int, list[np.ndarray]]] = {}
         self.cells = 0
-        self.power = np.cumprod(np.full(LONGEST + 2, _BASE, dtype=np.uint64))
-        self.back = np.cumprod(np.full(LONGEST + 2, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64))
+        self.power = np.cumprod(np.full(LONGEST + BLOCK + self.longest, _BASE, dtype=np.uint64))
+        self.back = np.cumprod(np.full(LONGEST + BLOCK + self.longest, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64))
         keys = np.array([self._prefixes(np.array([[ord(c) for c in p]]))[0, -1] for p, _ in pieces], dtype=np.uint64) * self.back[0]
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -112,14 +127,12 @@ class Lattice:
         sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.power[None, : chars.shape[1]], axis=1)
         return np.concatenate([np.zeros((len(chars), 1), np.uint64), sums], axis=1)
 
-    def filtered(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For units of one length: at each end, the cumulative chance of each last piece's length, and its id (-1: bytes)."""
+    def _pieces(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For units of one length: at each end, the weight of each length's piece (-inf: none), and its id (-1: bytes)."""
         n, size = chars.shape
         reach = min(size, self.longest)
         sums = self._prefixes(chars)
-        total = np.full((n, size + 1), -np.inf)
-        total[:, 0] = 0
-        chance = np.full((n, size, reach), -np.inf)
+        weight = np.full((n, size, reach), -np.inf)
         ids = np.full((n, size, reach), -1, dtype=np.int32)
         for length in range(1, reach + 1):
             wanted = (sums[:, length:] - sums[:, :-length]) * self.back[None, : size - length + 1]
@@ -127,12 +140,21 @@ class Lattice:
             found = self.keys[at] == wanted
             ends = slice(length - 1, size)
             ids[:, ends, length - 1] = np.where(found, self.ids[at], -1)
-            chance[:, ends, length - 1] = np.where(found, self.weights[at], -np.inf)
+            weight[:, ends, length - 1] = np.where(found, self.weights[at], -np.inf)
         alone = ids[:, :, 0] < 0
         if alone.any():
             wide = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
             wide = np.where(chars == NO_CHAR, 3, wide)
-            chance[:, :, 0] = np.where(alone, wide * self.byte_weight, chance[:, :, 0])
+            weight[:, :, 0] = np.where(alone, wide * self.byte_weight, weight[:, :, 0])
+        return weight, ids
+
+    def filtered(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For units of one length: at each end, the cumulative chance of each last piece's length, and its id (-1: bytes)."""
+        n, size = chars.shape
+        chance, ids = self._pieces(chars)
+        reach = chance.shape[2]
+        total = np.full((n, size + 1), -np.inf)
+        total[:, 0] = 0
         for end in range(1, size + 1):
             k = min(end, reach)
             joint = chance[:, end - 1, :k] + total[:, end - k : end][:, ::-1]
@@ -143,14 +165,49 @@ class Lattice:
             chance[:, end - 1, k:] = 1
         return chance, ids
 
+    def _ends(self, chars: np.ndarray, start: int) -> tuple[list[list[tuple[int, float, int]]], int]:
+        """The pieces (length, weight, id) that end behind each character of the block from ``start``, and the block's end."""
+        end, before = min(start + BLOCK, len(chars)), max(0, start + 1 - self.longest)
+        weight, ids = self._pieces(chars[None, before:end])
+        row, length = np.nonzero(weight[0, start - before :] > -np.inf)
+        found: list[list[tuple[int, float, int]]] = [[] for _ in range(end - start)]
+        for r, k, w, i in zip(row.tolist(), (length + 1).tolist(), weight[0, start - before :][row, length].tolist(), ids[0, start - before :][row, length].tolist(), strict=True):
+            found[r].append((k, w, i))
+        return found, end
+
+    def sample_long(self, unit: str, drawn: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """A unit's pieces from its end, and each one's last character."""
+        plain = _code_points(unit)
+        chars = _as_pieces(plain)
+        total = array("d", [0.0]) * (len(chars) + 1)
+        for start in range(0, len(chars), BLOCK):
+            for at, pieces in enumerate(self._ends(chars, start)[0], start + 1):
+                joint = [total[at - k] + w for k, w, _ in pieces]
+                top = max(joint)
+                total[at] = top + log(sum(exp(j - top) for j in joint))
+        ids, last, end = [], [], len(chars)
+        for start in range((len(chars) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            pieces_at = self._ends(chars, start)[0]
+            uniform = iter(_uniform(drawn, np.arange(len(ids) + 1, len(ids) + 2 + max(0, end - start), dtype=np.uint64)).tolist())
+            while end > start:
+                rest = next(uniform)
+                for k, w, i in pieces_at[end - start - 1]:
+                    rest -= exp(total[end - k] + w - total[end])
+                    if rest < 0:
+                        break
+                ids.append(i)
+                last.append(end - 1)
+                end -= k
+        return np.array(ids, dtype=np.int32), plain[last]
+
     def _learn(self, words: list[str]) -> None:
         """Filter words that the store doesn't have; a full store starts anew."""
         by_size: dict[int, list[str]] = {}
         for word in words:
             by_size.setdefault(len(word), []).append(word)
         for size, some in by_size.items():
-            chars = np.array(some, dtype=f"<U{size}").view(np.uint32).reshape(-1, size).astype(np.int64)
-            chance, ids = self.filtered(np.where(chars == MARK, NO_CHAR, np.where(chars == 0x20, MARK, chars)))
+            chars = _code_points("".join(some)).reshape(-1, size)
+            chance, ids = self.filtered(_as_pieces(chars))
             parts = (chars.astype(np.int32), chance.astype(np.float32), ids)
             used, store = self.stores.get(size, (0, [np.empty((0, *x.shape[1:]), x.dtype) for x in parts]))
             if used + len(some) > len(store[0]):
@@ -171,20 +228,26 @@ class Lattice:
             return [np.empty(0, np.int32) for _ in texts]
         distinct = set(every)
         if self.cells > STORED:
-            self.known, self.stores, self.cells = {}, {}, 0
-        self._learn([w for w in distinct if w not in self.known])
-        code = np.fromiter(map(self.known.__getitem__, every), dtype=np.int64, count=len(every))
+            self.forget()
+        self._learn([w for w in distinct if w not in self.known and len(w) <= LONGEST])
+        code = np.fromiter((self.known.get(w, 0) for w in every), dtype=np.int64, count=len(every))
         sizes, slots = code >> 32, code & 0xFFFFFFFF
         place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
         drawn = _scramble(np.repeat(_scramble(keys), counts) + place.astype(np.uint64) * _UNIT)
         steps, tokens = np.zeros(len(code), dtype=np.int64), []
+        for who in np.flatnonzero(sizes == 0).tolist():
+            ids, last = self.sample_long(every[who], drawn[who])
+            steps[who] = len(ids)
+            tokens.append((np.full(len(ids), who), np.arange(1, len(ids) + 1), ids, last))
         for size in np.flatnonzero(np.bincount(sizes)):
+            if not size:
+                continue
             chars, chance, ids = self.stores[size][1]
             who = np.flatnonzero(sizes == size)
             slot, end, step = slots[who], np.full(len(who), size), 0
             while len(who):
                 step += 1
-                u = (_scramble(drawn[who] + np.full(1, step, np.uint64) * _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                u = _uniform(drawn[who], np.full(1, step, np.uint64))
                 last = (chance[slot, end - 1] <= u[:, None]).sum(axis=1)
                 steps[who] = step
                 tokens.append((who, step, ids[slot, end - 1, last], chars[slot, end - 1]))
@@ -209,6 +272,10 @@ class Lattice:
             per_text = np.diff(np.concatenate([[0], ends]))
         return np.split(found, np.cumsum(per_text)[:-1])
 
+    def forget(self) -> None:
+        """Drop the filtered words; a worker's next task may be of another kind."""
+        self.known, self.stores, self.cells = {}, {}, 0
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()
 
@@ -235,9 +302,9 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", model: str | None = None
 
     A row's draw depends on ``seed`` and its ``key``, a long: equal rows get equal ids, and
     rows with other keys are drawn independently.  Rows with a null key share one draw.  A
-    null text gives null, an empty one no ids; texts of any length are segmented whole, in
-    units of at most LONGEST characters.  Other columns stay; an input column named
-    ``piece_ids`` is replaced.
+    null text gives null, an empty one no ids; texts and words of any length are segmented
+    whole, from all segmentations of the piece lattice.  Other columns stay; an input column
+    named ``piece_ids`` is replaced.
     """
     path = model or default_model()
 
@@ -247,6 +314,7 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", model: str | None = None
         for texts, keys in batches:
             out = [ids for part in sampled(pieces, texts, keys) for ids in part]
             yield pd.Series([None if t is None else ids for t, ids in zip(texts, out, strict=True)], dtype=object)
+        pieces.forget()
 
     row_key = F.xxhash64(F.col(key), F.lit(seed))
     return docs.withColumn("piece_ids", encode(F.col("text"), row_key))
@@ -282,6 +350,7 @@ def round_trip(docs: DataFrame, key: str = "doc_id", model: str | None = None, s
                     text, decoded = next(texts), pieces.decode(ids)
                     rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == (text or "")))
             yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_crc32", "lossless"]).assign(**{key: batch["key"]})
+        pieces.forget()
 
     named = docs.select(F.col(key).cast("string").alias("key"), "text", F.xxhash64(F.col(key), F.lit(seed)).alias("draw"))
     found = named.mapInPandas(run, f"{key} string, n_pieces long, ids_crc32 long, decoded_crc32 long, lossless boolean")
