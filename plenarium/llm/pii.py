@@ -17,8 +17,8 @@ from .common import table
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 ROUNDS = 8
-#: Days from EPOCH that dates are permuted among: 271 * 270, to 2100-04-30.
-EPOCH, DAYS = "1900-01-01", (271, 270)
+#: Dates are the LAST days from EPOCH, to 2099-12-31; 213 * 343 is the network's own domain.
+EPOCH, LAST, DAYS = "1900-01-01", 73_049, (213, 343)
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?"
@@ -164,10 +164,16 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _day(day: Column, key: str) -> Column:
-    """Another day between 1900-01-01 and 2100-04-30, whatever way the day was written."""
-    n = F.datediff(day, F.lit(EPOCH).cast("date"))
-    new = permuted_number(F.floor(n / DAYS[1]), n % DAYS[1], DAYS, key, "date")
-    return let(new, lambda x: F.date_add(F.lit(EPOCH).cast("date"), (x["l"] * DAYS[1] + x["r"]).cast("int")))
+    """Another day from 1900-01-01 to 2099-12-31, whatever way the day was written.
+
+    A day beyond them is permuted again: the network's domain has so few of them that their
+    number bounds the walk.
+    """
+    moved = lambda n: let(permuted_number(F.floor(n / DAYS[1]), n % DAYS[1], DAYS, key, "date"), lambda x: x["l"] * DAYS[1] + x["r"])
+    walk = F.sequence(F.lit(1), F.lit(DAYS[0] * DAYS[1] - LAST))
+    n = F.datediff(day, F.lit(EPOCH).cast("date")).cast("long")
+    last = F.aggregate(walk, moved(n), lambda x, _: F.when(x < LAST, x).otherwise(moved(x)))
+    return let(last, lambda x: F.date_add(F.lit(EPOCH).cast("date"), x.cast("int")))
 
 
 def _iso_date(m: Column, key: str) -> Column:
@@ -176,23 +182,22 @@ def _iso_date(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Day first if that is a date, else month first; widths of day and month as they were written."""
+    """Day first if that is a date, else month first; without leading zeros if day or month has one digit, else with them."""
     mark = F.regexp_extract(m, r"([./-])", 1)
     parts = F.split(m, "[./-]")
     first, second, year = (F.element_at(parts, i) for i in (1, 2, 3))
     parse = lambda d, mo: F.try_to_date(F.concat_ws("-", year, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    wide = lambda value, like: F.lpad(value.cast("string"), F.greatest(F.length(like), F.length(value.cast("string"))), F.lit("0"))
+    width = F.least(F.length(first), F.length(second))
+    wide = lambda value: F.lpad(value.cast("string"), F.greatest(width, F.length(value.cast("string"))), F.lit("0"))
 
-    def shown(day: Column, day_first: bool) -> Column:
-        def write(x: Column) -> Column:
-            d, mo = F.dayofmonth(x), F.month(x)
-            one, two = (d, mo) if day_first else (mo, d)
-            return F.concat(wide(one, first), mark, wide(two, second), mark, F.year(x).cast("string"))
+    european, american = parse(first, second), parse(second, first)
 
-        return let(_day(day, key), write)
+    def write(x: Column) -> Column:
+        day, month = wide(F.dayofmonth(x)), wide(F.month(x))
+        one, two = F.when(european.isNotNull(), day).otherwise(month), F.when(european.isNotNull(), month).otherwise(day)
+        return F.concat(one, mark, two, mark, F.year(x).cast("string"))
 
-    european, american = parse(first, second), parse(second, first)
-    return F.when(european.isNotNull(), shown(european, True)).when(american.isNotNull(), shown(american, False)).otherwise(m)
+    return let(F.coalesce(european, american), lambda x: F.when(x.isNotNull(), let(_day(x, key), write)).otherwise(m))
 
 
 def _us_phone(m: Column, key: str) -> Column:
@@ -294,7 +299,9 @@ def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
     social security and phone numbers, international phone numbers and card numbers are
     replaced; what looks like one of them but fails its check stays as it is, except for
     other kinds inside it.  Dates are yyyy-mm-dd, yyyy/mm/dd, yyyy.mm.dd and d.m.yyyy,
-    d/m/yyyy, d-m-yyyy (or month first); dates with month names stay.  A named
+    d/m/yyyy, d-m-yyyy (or month first); dates with month names stay.  A date's pseudonym is
+    a date of the same years in the same form, whichever that is; one whose day or month has
+    a single digit is written without leading zeros again.  A named
     secret is letters, digits and + / _ - of any length, inner dots and = padding included;
     it ends at any other character.  ``key`` has to be kept secret for production use.
 
