@@ -8,7 +8,7 @@ after the exchange each shard permutes what it received.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -77,18 +77,21 @@ def _local_permutation(seed: int):
     """A file's random order and keys, from the file's number, its row count and the row's place."""
 
     @F.pandas_udf("rank long, key long")
-    def local_permutation(number: pd.Series, rows: pd.Series, place: pd.Series) -> pd.DataFrame:
-        rank = np.empty(len(place), dtype=np.int64)
-        key = np.empty(len(place), dtype=np.int64)
-        numbers, places = number.to_numpy(), place.to_numpy()
-        for file in np.unique(numbers):
-            here = np.flatnonzero(numbers == file)
-            rng = np.random.default_rng([seed, 2, int(file)])
-            size = int(rows.iloc[here[0]])
-            order = rng.permutation(size)
-            keys = rng.integers(0, 1 << KEY_BITS, size)
-            rank[here], key[here] = order[places[here]], keys[places[here]]
-        return pd.DataFrame({"rank": rank, "key": key})
+    def local_permutation(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        # A file's rows follow one another, so what was drawn for one serves all its batches.
+        drawn, order, keys = -1, np.empty(0, np.int64), np.empty(0, np.int64)
+        for number, rows, place in batches:
+            rank = np.empty(len(place), dtype=np.int64)
+            key = np.empty(len(place), dtype=np.int64)
+            numbers, places = number.to_numpy(), place.to_numpy()
+            for file in np.unique(numbers):
+                here = np.flatnonzero(numbers == file)
+                if file != drawn:
+                    rng = np.random.default_rng([seed, 2, int(file)])
+                    size = int(rows.iloc[here[0]])
+                    drawn, order, keys = file, rng.permutation(size), rng.integers(0, 1 << KEY_BITS, size)
+                rank[here], key[here] = order[places[here]], keys[places[here]]
+            yield pd.DataFrame({"rank": rank, "key": key})
 
     return local_permutation
 
