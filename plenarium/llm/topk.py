@@ -3,23 +3,34 @@
 Vectors are lifted to one common norm, so that a larger inner product is a smaller
 distance.  Distances of every vector to the pivots are computed once; the largest
 difference between a query's and a candidate's distance to a pivot bounds the distance
-between them from below.  Candidates are evaluated in the order of that bound until it
-rules out the rest.
+between them from below.  Bounds are taken for whole cells and groups of neighbouring
+candidates: cells that cannot hold a result are ruled out before anything is sent, groups
+are evaluated in the order of their bounds until it rules out the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, table
+from .common import discard, stage, table
 
 PIVOTS = 48
+#: Rows that reach the driver; pivots are chosen among them, and they give each query a first floor.
+SAMPLE = 2048
+#: Candidates that are bounded and evaluated together.
+GROUP = 64
 #: Inner products below this are exact in double precision.
 EXACT = 2**52
+#: Squared norms have to stay below this, so that every score is a long.
+LARGEST = 2.0**62
+#: Below every score; its negative is a long too.
+NOTHING = -(2**63) + 1
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -42,98 +53,187 @@ def _products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
     """Integer inner products of all rows; ``exact``: doubles can hold them."""
     if exact:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    # Sums may wrap on the way; below LARGEST the result itself is a long.
     return a @ b.T
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray, top: int, exact: bool) -> np.ndarray:
-    """Distances to pivots; both sides lifted to the squared norm ``top``."""
-    lift = np.sqrt(np.maximum(0, top - (x.astype(np.float64) ** 2).sum(1)))
-    lift_p = np.sqrt(np.maximum(0, top - (pivots.astype(np.float64) ** 2).sum(1)))
-    return np.sqrt(np.maximum(0, 2.0 * top - 2.0 * (_products(x, pivots, exact) + lift[:, None] * lift_p[None, :])))
+def _squares(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.float64) ** 2).sum(1)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray, top: float, exact: bool, lifted: bool = True) -> np.ndarray:
+    """Distances to pivots, which are lifted to the squared norm ``top``; candidates are too, queries aren't."""
+    square, lift_p = _squares(x), np.sqrt(np.maximum(0, top - _squares(pivots)))
+    products = _products(x, pivots, exact).astype(np.float64)
+    if lifted:
+        products += np.sqrt(np.maximum(0, top - square))[:, None] * lift_p[None, :]
+    return np.sqrt(np.maximum(0, (top if lifted else square[:, None]) + top - 2.0 * products))
+
+
+def _highest(to_pivots: np.ndarray, square: np.ndarray, low: np.ndarray, high: np.ndarray, top: float) -> np.ndarray:
+    """For each query and group, the highest score that the group's ranges of pivot distances allow."""
+    bound = np.zeros((len(to_pivots), len(low)))
+    for p in range(low.shape[1]):
+        here = to_pivots[:, p, None]
+        np.maximum(bound, np.maximum(low[None, :, p] - here, here - high[None, :, p]), out=bound)
+    # And a margin for rounding.
+    return (square[:, None] + top - bound**2) / 2 + 0.5 + 1e-9 * top
+
+
+class _Best:
+    """The k best (score, smaller id first) of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), NOTHING)
+        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        # Only rows with a score that reaches the queries' k-th best can change anything.
+        who, scores = (x[scores.max(axis=1) >= self.scores[who, -1]] for x in (who, scores))
+        if not len(who):
+            return
+        all_scores = np.concatenate([self.scores[who], scores], axis=1)
+        all_ids = np.concatenate([self.ids[who], np.broadcast_to(ids, scores.shape)], axis=1)
+        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
+        self.scores[who], self.ids[who] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+
+    def pairs(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, column = np.nonzero(self.ids != np.iinfo(np.int64).max)
+        return query_ids[row], self.ids[row, column], self.scores[row, column]
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, table_: np.ndarray, pivots: np.ndarray, pivot_ids: np.ndarray, top: int, k: int, chunk: int = 512) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's best ``k`` candidates in this block that can still matter."""
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, candidates: np.ndarray, ids: np.ndarray, table_: np.ndarray, pivots: np.ndarray, top: float, k: int, group: int = GROUP) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Queries, candidates and scores of what of this block can be among the ``k`` best, and how many pairs were evaluated.
+
+    Candidates stand in groups of neighbours.  Each query takes its groups in the order of
+    their bounds, in waves that double; groups are evaluated for all queries of a wave at
+    once, and a query stops when the best bound left is below its floor.
+    """
     exact = top < EXACT
-    squared = (queries.astype(np.float64) ** 2).sum(1)
-    with_pivots = _products(queries, pivots, exact)
-    # A query isn't lifted: its distance to a pivot p is |q|^2 + top - 2 q.p.
-    to_pivots = np.sqrt(np.maximum(0, squared[:, None] + top - 2.0 * with_pivots))
-    out: list[tuple[int, int, int]] = []
-    for at in range(0, len(queries), 64):
-        part = slice(at, at + 64)
-        bound = np.zeros((len(queries[part]), len(ids)))
-        for p in range(len(pivots)):
-            np.maximum(bound, np.abs(to_pivots[part, p, None] - table_[None, :, p]), out=bound)
-        # The highest score that a distance of at least the bound allows, and a margin for rounding.
-        most = (squared[part, None] + top - bound**2) / 2 + 0.5 + 1e-9 * top
-        for q, allowed in enumerate(most, at):
-            known = np.sort(with_pivots[q][pivot_ids != query_ids[q]])[::-1]
-            floor = known[k - 1] if len(known) >= k else -np.inf
-            best_scores, best_ids = np.empty(0, np.int64), np.empty(0, np.int64)
-            order = np.flatnonzero(allowed >= floor)
-            order = order[np.argsort(-allowed[order], kind="stable")]
-            for start in range(0, len(order), chunk):
-                some = order[start : start + chunk]
-                if allowed[some[0]] < floor:
-                    break
-                some = some[ids[some] != query_ids[q]]
-                best_scores = np.concatenate([best_scores, _products(queries[q : q + 1], candidates[some], exact)[0]])
-                best_ids = np.concatenate([best_ids, ids[some]])
-                first = np.lexsort((best_ids, -best_scores))[:k]
-                best_scores, best_ids = best_scores[first], best_ids[first]
-                if len(best_scores) == k:
-                    floor = max(floor, best_scores[-1])
-            out.extend(zip([int(query_ids[q])] * len(best_ids), best_ids.tolist(), best_scores.tolist(), strict=True))
-    return out
+    # Neighbours have the same nearest pivot and like distances to it.
+    near = table_.argmin(axis=1)
+    order = np.lexsort((table_[np.arange(len(near)), near], near))
+    candidates, ids, table_ = candidates[order], ids[order], table_[order]
+    starts = np.arange(0, len(ids), group)
+    low, high = np.minimum.reduceat(table_, starts), np.maximum.reduceat(table_, starts)
+    allowed = _highest(_distances(queries, pivots, top, exact, False), _squares(queries), low, high, top)
+    rank = np.argsort(-allowed, axis=1, kind="stable")
+    best, floors, evaluated = _Best(len(queries), k), floors.astype(np.float64), 0
+    wave, size = 0, 1
+    while wave < len(starts):
+        chosen = rank[:, wave : wave + size]
+        wanted = np.take_along_axis(allowed, chosen, 1) >= floors[:, None]
+        if not wanted[:, 0].any():
+            break
+        who, at = np.nonzero(wanted)
+        groups = chosen[who, at]
+        by_group = np.argsort(groups, kind="stable")
+        who, groups = who[by_group], groups[by_group]
+        for some in np.split(np.arange(len(who)), np.flatnonzero(np.diff(groups)) + 1):
+            here = slice(starts[groups[some[0]]], starts[groups[some[0]]] + group)
+            scores = _products(queries[who[some]], candidates[here], exact)
+            evaluated += scores.size
+            own = query_ids[who[some], None] == ids[None, here]
+            if own.any():
+                scores[own] = NOTHING
+            best.add(who[some], scores, ids[here])
+        reached = best.ids[:, -1] != np.iinfo(np.int64).max
+        floors[reached] = np.maximum(floors[reached], best.scores[reached, -1])
+        wave, size = wave + size, 2 * size
+    q, c, s = best.pairs(query_ids)
+    real = s != NOTHING
+    return q[real], c[real], s[real], evaluated
+
+
+def spread_pivots(x: np.ndarray, n: int, top: float) -> np.ndarray:
+    """Places of ``n`` rows, each the farthest from those before it, by their lifted distances."""
+    exact, chosen = top < EXACT, [0]
+    nearest = _distances(x, x[:1], top, exact)[:, 0]
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _distances(x, x[chosen[-1:]], top, exact)[:, 0])
+    return np.array(chosen)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, query_block: int = 1024, candidate_block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, query_block: int = 1024, candidate_block: int = 8192, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best other vectors by inner product.
 
     ``vectors`` has vec_id and an array of longs, as ``integer_vectors`` makes it: there a
     null vec_id, a null vector and one with a null or non-finite component take no part,
     and of rows that repeat a vec_id the least vector counts.  Ties go to the smaller
     vec_id; a query with fewer candidates gets all of them; shorter vectors count as
-    padded with zeros; an empty table gives an empty result.
+    padded with zeros; an empty table gives an empty result.  A squared norm of LARGEST or
+    more is an error, since scores might not be longs.
 
-    Queries and candidates meet in blocks, each pair of blocks in a task of its own; only
-    each query's best of a block leave it.  Pivots are a fixed number of the rows.
+    A hashed sample of ``sample`` rows is the only part that reaches the driver.  ``pivots``
+    of them are chosen for their spread; each vector belongs to the cell of its nearest
+    pivot.  A query goes only to cells whose range of pivot distances can beat the ``k``-th
+    best of the sample; there queries and candidates meet in blocks, each pair of blocks in
+    a task of its own, and only each query's best of a block leave it.
     """
     spark = vectors.sparkSession
     square = F.aggregate("vector", F.lit(0).cast("double"), lambda s, c: s + c.cast("double") * c)
     rows = stage(vectors.select("vec_id", "vector", square.alias("square"), is_query.alias("is_query")), "vectors")
-    n, asked, dims, top = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("vector")), F.ceil(F.max("square"))).first()
-    result = "query_id long, vec_id long, score long"
+    n, dims, top = rows.agg(F.count("*"), F.max(F.size("vector")), F.ceil(F.max("square")).cast("double")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
-    pivot_ids, pivot_rows = chosen["vec_id"].to_numpy(), _padded(chosen["vector"], dims)
+    if top >= LARGEST:
+        raise ValueError("a vector's squared norm is too large for scores to be longs")
+    exact = top < EXACT
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    sample_ids, sample_rows = chosen["vec_id"].to_numpy(), _padded(chosen["vector"], dims)
+    pivot_rows = sample_rows[spread_pivots(sample_rows, pivots, top)]
 
-    def measure(batches):
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = _padded(batch["vector"], dims)
-            yield batch[["vec_id", "vector"]].assign(table=list(_distances(x, pivot_rows, top, top < EXACT)))
+            found = _distances(_padded(batch["vector"], dims), pivot_rows, top, exact)
+            yield batch.assign(table=list(found), cell=found.argmin(axis=1).astype(np.int32))
+
+    measured = stage(rows.mapInPandas(measure, "vec_id long, vector array<long>, square double, is_query boolean, table array<double>, cell int"), "measured")
+    # A row for each cell: at most as many as pivots.
+    ranges = measured.select("cell", F.posexplode("table").alias("pivot", "distance")).groupBy("cell", "pivot").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n"))
+    cells = ranges.toPandas().sort_values(["cell", "pivot"])
+    numbers, sizes = cells["cell"].unique(), cells.groupby("cell")["n"].first().to_numpy()
+    low, high = (cells[c].to_numpy().reshape(len(numbers), -1) for c in ("low", "high"))
+    asked = {r["cell"]: r["count"] for r in measured.where("is_query").groupBy("cell").count().collect()}
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, own = _padded(batch["vector"], dims), batch["vec_id"].to_numpy()
+            scores = _products(x, sample_rows, exact)
+            scores[own[:, None] == sample_ids[None, :]] = NOTHING
+            floors = np.sort(scores, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(x), NOTHING)
+            open_cells = _highest(_distances(x, pivot_rows, top, exact, False), _squares(x), low, high, top) >= floors[:, None]
+            yield batch[["vec_id", "vector", "cell"]].assign(floor=floors, cells=[numbers[o].tolist() for o in open_cells])
 
-    measured = rows.select("vec_id", "vector").mapInPandas(measure, "vec_id long, vector array<long>, table array<double>")
-    query_blocks, blocks = max(1, -(-asked // query_block)), -(-n // candidate_block)
     own = F.xxhash64("vec_id")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.where("is_query").select("vec_id", "vector", F.pmod(own, F.lit(query_blocks)).cast("int").alias("qb"), every(blocks).alias("cb"))
-    right = measured.select("vec_id", "vector", "table", F.pmod(own, F.lit(blocks)).cast("int").alias("cb"), every(query_blocks).alias("qb"))
+    blocks = {int(c): -(-int(s) // candidate_block) for c, s in zip(numbers, sizes, strict=True)}
+    of_cell = lambda counts, cell: F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), cell)
+    query_blocks = {c: -(-s // query_block) for c, s in asked.items()} or {0: 1}
+    queries = measured.where("is_query").mapInPandas(ask, "vec_id long, vector array<long>, cell int, floor long, cells array<int>")
+    queries = queries.withColumn("qb", F.pmod(own, of_cell(query_blocks, F.col("cell"))).cast("int"))
+    queries = queries.select("vec_id", "vector", "floor", F.col("cell").alias("qc"), "qb", F.explode("cells").alias("cell"))
+    queries = stage(queries, "queries")
+    met = queries.select(*[F.col(c).alias(c) for c in ("qc", "qb", "cell")]).distinct()
+    left = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), (of_cell(blocks, F.col("cell")) - 1).cast("int"))))
+    right = measured.select("vec_id", "vector", "table", "cell", F.pmod(own, of_cell(blocks, F.col("cell"))).cast("int").alias("cb"))
+    right = right.join(met, "cell").select(*[F.col(c).alias(c) for c in ("vec_id", "vector", "table", "qc", "qb", "cell", "cb")])
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(q) and len(c):
-            found = best_of_block(
-                _padded(q["vector"], dims), q["vec_id"].to_numpy(), _padded(c["vector"], dims), c["vec_id"].to_numpy(),
-                np.stack(c["table"].to_numpy()), pivot_rows, pivot_ids, top, k,
-            )
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, result)
+        if not (len(q) and len(c)):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        query, found, score, _ = best_of_block(
+            _padded(q["vector"], dims), q["vec_id"].to_numpy(), q["floor"].to_numpy(), _padded(c["vector"], dims), c["vec_id"].to_numpy(), np.stack(c["table"].to_numpy()), pivot_rows, top, k,
+        )
+        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
+
+    key = ["qc", "qb", "cell", "cb"]
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    answer = stage(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+    discard(rows, measured, queries)
+    return answer
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,25 @@ def test_shards(spark, rows):
     assert sorted((len(slots.get(k, [])) for k in range(6)), reverse=True) == sharding.shard_sizes(len(rows), 6)
 
 
+def test_shards_of_documents(spark):
+    """The query's own law: sizes that differ by one at most, gapless slots, every row once, the same again."""
+    run = lambda: sorted((r.doc_id, r.shard, r.slot) for r in sharding.op1_sharding(spark, "/root/testdata/sf0.01").collect())
+    rows = run()
+    assert [i for i, _, _ in rows] == sorted(r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    slots = {}
+    for _, shard, slot in rows:
+        slots.setdefault(shard, []).append(slot)
+    assert sorted(slots) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {len(s) for s in slots.values()} <= {len(rows) // 40, len(rows) // 40 + 1}
+
+
+def test_slots_are_uniform(spark):
+    """Every row reaches every shard and slot about equally often over seeds."""
+    frame = docs(spark, [(i, "t") for i in range(6)]).repartition(3)
+    seen = Counter((r.doc_id, r.shard, r.slot) for seed in range(60) for r in sharding.shuffle_shards(frame, shards=2, seed=seed, rows_per_cell=2, rows_per_file=2).collect())
+    assert len(seen) == 36 and sum((n - 10) ** 2 / 10 for n in seen.values()) < 60
+
+
 def test_shards_are_uniform(spark):
     """Every row reaches every shard about equally often over seeds."""
     counts, sizes = [5, 7, 0, 12], sharding.shard_sizes(24, 4)
@@ -214,21 +233,31 @@ def test_components(spark):
     assert {r.node: r.root for r in got.collect()} == {x: find(x) for x in linked}
 
 
+def plain_chunks(text, mean_lines=line_dedup.MEAN_LINES):
+    """Chunks as the rule says: a hash over a line and the one before it ends a chunk."""
+    digest = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
+    lines = text.split("\n")
+    ends = [i for i, x in enumerate(lines) if ((((digest(lines[i - 1]) if i else 0) * line_dedup._STEP) ^ digest(x)) % 2**64 * line_dedup._STEP >> 40) % mean_lines == 0]
+    starts = [0, *(e + 1 for e in ends)]
+    return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)], strict=True) if lines[a:b]]
+
+
 def brute_lines(rows):
-    seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    """Texts of all rows in the order given, without later places of chunks of two lines and more."""
+    seen, out = set(), []
+    for _, t in rows:
         kept = []
-        for chunk, removable in line_dedup.cut(t or ""):
-            if removable and chunk in seen:
-                continue
-            if removable:
-                seen.add(chunk)
-            kept.append(chunk)
-        out[i] = None if t is None else "\n".join(kept)
+        for chunk in plain_chunks(t or ""):
+            if sum(1 for x in chunk if x.strip()) > 1:
+                if tuple(chunk) in seen:
+                    continue
+                seen.add(tuple(chunk))
+            kept += chunk
+        out.append(None if t is None else "\n".join(kept))
     return out
 
 
-def test_repeated_passages(spark, monkeypatch):
+def test_repeated_passages(spark):
     rng = random.Random(2)
     passage = [f"line {k} of the passage" for k in range(14)]
     long_line = " ".join(f"word{k}" for k in range(60))
@@ -237,12 +266,33 @@ def test_repeated_passages(spark, monkeypatch):
     out = line_dedup.remove_repeats(docs(spark, rows))
     assert out.columns == [*docs(spark, []).columns, "n_chunks_removed", "n_chars_removed"]
     got = {r.doc_id: r for r in out.collect()}
-    assert {i: r.text for i, r in got.items()} == brute_lines(rows)
-    assert got[21].text == "x\ny" and got[26].text == "" and got[20].n_chunks_removed == 0
+    assert [got[i].text for i, _ in rows] == brute_lines(rows)
+    assert got[21].text == rows[7][1] and got[20].n_chunks_removed == 0
     assert sum("line 7 of the passage" in (r.text or "") for r in got.values()) == 1
     assert line_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [49, 50, 51])
+def test_passages_of_one_line(spark, n):
+    """A repeated run of fifty words goes whether it is one line or several."""
+    words = [f"word{k}" for k in range(n)]
+    for shape in (" ".join(words), "\n".join([" ".join(words[:20]), " ".join(words[20:])])):
+        rows = [(i, f"start {i}\n{shape}\nend {i}") for i in range(4)]
+        got = {r.doc_id: r.text for r in line_dedup.remove_passages(docs(spark, rows), mean_lines=10**9).collect()}
+        assert got == {i: t if i == 0 or n < 50 else f"start {i}\nend {i}" for i, t in rows}
+
+
+def test_repeats_in_rows_without_an_id(spark):
+    """Each row is a document, also rows that share an id or are equal altogether."""
+    passage = "\n".join(f"line {k} of a passage that comes again" for k in range(12))
+    rows = [(None, passage)] * 3 + [(None, f"own\n{passage}"), (5, passage), (5, passage), (6, f"{passage}\nend")]
+    out = line_dedup.remove_passages(docs(spark, rows)).collect()
+    assert Counter(r.text for r in out) == Counter([passage, "", "", "own", "", "", "end"]) or Counter(r.text for r in out) == Counter(["", "", "", f"own\n{passage}", "", "", "end"])
+    many = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(passage), F.when(F.col("id") % 3 > 0, F.concat(F.lit("\n"), F.col("id").cast("string"))).otherwise("")).alias("text"))
+    left = [r.text for r in line_dedup.remove_passages(many).collect()]
+    assert sum(len(t) > 20 for t in left) == 1 and len(left) == 6000
+
+
 def test_cut_is_shift_resistant():
     passage = [f"line {k} of the passage" for k in range(40)]
     a = {c for c, ok in line_dedup.cut("\n".join(["p", "q", "r", *passage])) if ok}
@@ -269,7 +319,7 @@ def brute_runs(rows, words=50):
                 run.pop()
             while run and not lines[run[0]][2].strip():
                 run.pop(0)
-            if len(run) > 1 and sum(len(lines[x][2].split()) for x in run) >= words:
+            if sum(len(lines[x][2].split()) for x in run) >= words:
                 gone.update(run)
     return {i: "\n".join(x for p, (j, _, x) in enumerate(lines) if j == i and p not in gone) for i, _ in rows}
 

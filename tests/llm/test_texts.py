@@ -33,6 +33,39 @@ def test_top_k(spark, n, k, pivots, blocks):
     assert sorted(map(tuple, got)) == want
 
 
+def test_pivots_eliminate(spark):
+    """Most pairs of clustered vectors are never evaluated, and what is found is the same."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((30, 48))[rng.integers(0, 30, 4000)] + 0.1 * rng.standard_normal((4000, 48))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    ids, top = np.arange(len(x)), float((x**2).sum(1).max())
+    pivots = x[topk.spread_pivots(x[:1000], 32, top)]
+    table = topk._distances(x, pivots, top, True)
+    asked = ids[::50]
+    q, c, s, evaluated = topk.best_of_block(x[asked], asked, np.full(len(asked), topk.NOTHING), x, ids, table, pivots, top, 5)
+    assert evaluated < 0.2 * len(asked) * len(x)
+    for i in asked:
+        scores = x @ x[i]
+        want = [j for j in np.lexsort((ids, -scores)) if j != i][:5]
+        assert sorted(zip(-s[q == i], c[q == i])) == [(-scores[j], j) for j in want]
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x[:600])], "vec_id long, vector array<long>")
+    met = topk.top_k(rows, F.col("vec_id") % 50 == 0, pivots=8, sample=64, candidate_block=64, query_block=4).collect()
+    for i in range(0, 600, 50):
+        scores = x[:600] @ x[i]
+        assert [(r.vec_id, r.score) for r in sorted(met, key=lambda r: r.rank) if r.query_id == i] == [(j, scores[j]) for j in [j for j in np.lexsort((ids[:600], -scores)) if j != i][:5]]
+
+
+def test_large_components(spark):
+    """Scores beyond doubles are exact longs; beyond longs they are an error."""
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [float(2**20), 3.0]), (1, [float(2**21) + 1, -5.0]), (2, [float(2**21), 7.0])]
+    got = topk.top_k(topk.integer_vectors(spark.createDataFrame(rows, schema)), F.col("vec_id") == 0, 2).collect()
+    score = lambda v: int(2**28) * int(256 * v[0]) + 768 * int(256 * v[1])
+    assert sorted((r.vec_id, r.score) for r in got) == [(i, score(v)) for i, v in rows[1:]]
+    with pytest.raises(ValueError):
+        topk.top_k(topk.integer_vectors(spark.createDataFrame([(0, [1e300]), (1, [1.0])], schema)), F.col("vec_id") == 0)
+
+
 def test_top_k_pads_and_breaks_ties(spark):
     rows = [(0, [1, 1]), (5, [2]), (3, [2]), (4, [2, -5, 0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") == 0, 2).collect()
@@ -172,6 +205,55 @@ def test_date_forms_and_kinds_inside_failed_candidates(spark):
     assert iso == slashes.replace("/", "-") == "-".join(reversed(european.split("-"))) and got[-1].n_pseudonyms == 3
 
 
+def plain_network(left, right, sizes, key, kind):
+    """The same permutation of pairs in plain Python, and its inverse."""
+    draw = lambda r, side, other: int(hashlib.sha256(f"{key}|{kind}|{r}|{side}|{other}".encode()).hexdigest()[:12], 16)
+
+    def forward(a, b):
+        for r in range(1, pii.ROUNDS // 2 + 1):
+            a = (a + draw(r, "l", b)) % sizes[0]
+            b = (b + draw(r, "r", a)) % sizes[1]
+        return a, b
+
+    def back(a, b):
+        for r in range(pii.ROUNDS // 2, 0, -1):
+            b = (b - draw(r, "r", a)) % sizes[1]
+            a = (a - draw(r, "l", b)) % sizes[0]
+        return a, b
+
+    assert back(*forward(left, right)) == (left, right)
+    return forward(left, right)
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    """Addresses and dates as an independent network gives them; every date has one of its own in the same years."""
+    import datetime
+
+    start = datetime.date(1900, 1, 1)
+    days = [start + datetime.timedelta(k) for k in range(pii.LAST)]
+    assert days[-1] == datetime.date(2099, 12, 31)
+    frame = spark.createDataFrame([(i, d.isoformat()) for i, d in enumerate(days[:: 7])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(frame, key="k").collect()}
+
+    def other(n):
+        while True:
+            a, b = plain_network(n // pii.DAYS[1], n % pii.DAYS[1], pii.DAYS, "k", "date")
+            n = a * pii.DAYS[1] + b
+            if n < pii.LAST:
+                return start + datetime.timedelta(n)
+
+    assert all(got[i] == other(7 * i).isoformat() for i in got)
+    assert len({other(n) for n in range(0, pii.LAST, 3)}) == len(range(0, pii.LAST, 3))
+    hosts = [f"{a}.{b}.0.{a}" for a in (1, 10, 255) for b in (0, 7, 254)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(hosts)), "doc_id long, text string"), key="k").collect()}
+    for i, host in enumerate(hosts):
+        p = [int(x) for x in host.split(".")]
+        a, b = plain_network(p[0] * 256 + p[1], p[2] * 256 + p[3], (65536, 65536), "k", "ipv4")
+        assert got[i] == f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    short = spark.createDataFrame([(d.day * 100 + d.month, f"{d.day}.{d.month}.{d.year}") for d in days[:366] if d.day < 10 or d.month < 10], "doc_id long, text string")
+    assert all(re.fullmatch(r"[1-9]\d?\.[1-9]\d?\.\d{4}", r.text) for r in pii.pseudonymise(short).collect())
+
+
 def test_secrets_are_replaced_to_their_end(spark):
     rng = random.Random(3)
     draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
@@ -216,7 +298,7 @@ def brute_chat(rows):
     return out
 
 
-@pytest.mark.parametrize(("budget", "history", "block"), [(2048, 256, 32_768), (120, 40, 300)])
+@pytest.mark.parametrize(("budget", "history", "block"), [(2048, 256, 32_768), (150, 40, 300)])
 def test_chat_reads_back(spark, budget, history, block):
     rng = random.Random(3)
     bits = ["<", "|", "\\", "<|", "im_end", "|>", "\n", "é", "word ", "<|im_start|>user\n"]
@@ -236,13 +318,55 @@ def test_chat_reads_back(spark, budget, history, block):
 
 
 def test_chat_windows_keep_system_and_budget(spark):
-    rows = [(1, 0, "system", "be brief")] + [(1, k, ("assistant", "user")[k % 2], f"turn {k} says some words here") for k in range(1, 60)]
+    """Ids of what is written, as the tokenizer counts them."""
+    rows = [(1, 0, "system", "be brief")] + [(1, k, ("assistant", "user")[k % 2], f"turn {k} says some words here <|x|>") for k in range(1, 60)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    windows = chat.chat_windows(frame, budget=100, history=30).orderBy("block", "number").collect()
-    assert len(windows) > 3 and all(w.tokens <= 100 and w.formatted.startswith("<|im_start|>system\nbe brief<|im_end|>\n") for w in windows)
+    windows = chat.chat_windows(frame, budget=180, history=90).orderBy("block", "number").collect()
+    tokenizer = packing.encoder(packing.default_tokenizer()).tokenizer
+    assert all(w.tokens == len(tokenizer.encode(w.formatted, add_special_tokens=False).ids) for w in windows)
+    assert len(windows) > 3 and all(w.tokens <= 180 and w.formatted.startswith("<|im_start|>system\nbe brief<|im_end|>\n") for w in windows)
     assert all(w.repeated >= 2 for w in windows[1:])
 
 
+def plain_windows(sizes, system, budget, history):
+    """Windows one after another over a whole conversation: (turns repeated, turns, ids)."""
+    out, at, head = [], 0, system and sizes[0] <= budget // 2
+    while at < len(sizes):
+        room = budget - (sizes[0] if head and at else 0)
+        back = at
+        while back > int(system) and sum(sizes[back - 1 : at]) <= history:
+            back -= 1
+        end = at
+        while end < len(sizes) and sum(sizes[back : end + 1]) <= room:
+            end += 1
+        if end == at:
+            back = at
+            while end < len(sizes) and (end == at or sum(sizes[at : end + 1]) <= room):
+                end += 1
+        out.append((at - back + (1 if head and at else 0), end - at, sum(sizes[back:end]) + budget - room))
+        at = end
+    return out
+
+
+def test_chat_windows_of_long_conversations(spark):
+    """As if each conversation were read from its start, however many blocks it has; overlong turns stand alone."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(6):
+        rows += [(c, k, "system" if k == 0 and c % 2 else ("assistant", "user")[k % 2], " ".join(["word"] * rng.choice([0, 3, 10, 30, 400 if rng.random() < 0.1 else 5]))) for k in range(rng.choice([1, 40, 150]))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tokenizer = packing.encoder(packing.default_tokenizer()).tokenizer
+    size = lambda r: len(tokenizer.encode(chat.shown(r[2], r[3]), add_special_tokens=False).ids)
+    for block in (200, 1000, 100_000):
+        got = {}
+        for w in chat.chat_windows(frame, budget=200, history=60, block=block).orderBy("conv_id", "block", "number").collect():
+            got.setdefault(w.conv_id, []).append((w.repeated, len(chat.read_turns(w.formatted)) - w.repeated, w.tokens))
+        for c in range(6):
+            own = [r for r in rows if r[0] == c]
+            assert got[c] == plain_windows([size(r) for r in own], own[0][2] == "system", 200, 60)
+    assert any(n == 1 and tokens > 200 for parts in got.values() for _, n, tokens in parts)
+
+
 def test_escape_is_reversible():
     rng = random.Random(1)
     for _ in range(3000):
@@ -335,12 +459,15 @@ def test_written_sequences(spark):
 
 
 def test_pieces(spark):
-    texts = ["", "a", "  a   b ", "▁x ▁", "\n\n a\nb", "日本語 😀 x", "é" * 600, "x" * 1000 + " y", " ", None, "hello world"]
+    texts = ["", "a", "  a   b ", "▁x ▁", "\n\n a\nb", "日本語 😀 x", "é" * 600, "x" * 1000 + " y", " ", None, "hello world", "日本語の長い文" * 2000 + "▁" * 300]
     rows = [(i, t, 5) for i, t in enumerate(texts)] + [(None, "hello world", 5), (10, "hello world", 5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, piece_ids int")
     coded = sentencepieces.encode_pieces(frame).withColumn("back", sentencepieces.decode_pieces(F.col("piece_ids"))).collect()
     assert all(r.back == r.text for r in coded) and len(coded) == len(rows)
     assert len({tuple(r.piece_ids) for r in coded if r.doc_id == 10}) == 1
+    # Pieces lie across every place of a long word, at 256 characters too.
+    long = next(r.piece_ids for r in coded if r.doc_id == 11)
+    assert 14_000 / 16 < len(long) < 14_000 * 3 + 900
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("unbelievable segmentation").alias("text"))
     assert len({tuple(r.piece_ids) for r in sentencepieces.encode_pieces(many).collect()}) > 5
     assert sentencepieces.encode_pieces(frame.limit(0)).count() == 0
@@ -349,7 +476,7 @@ def test_pieces(spark):
     assert trip == Counter((r.doc_id, len(r.piece_ids or []), crc(r.piece_ids), zlib.crc32((r.text or "").encode()), True) for r in coded)
 
 
-def test_piece_law():
+def test_piece_law(monkeypatch):
     """Samples of a word follow the weights of its segmentations."""
     lattice = sentencepieces.lattice(sentencepieces.default_model(), 1.0)
     weight = dict(zip(lattice.ids.tolist(), lattice.weights, strict=True))
@@ -364,6 +491,12 @@ def test_piece_law():
     n = 20_000
     seen = Counter(tuple(x) for x in lattice.encode([word] * n, np.arange(n, dtype=np.uint64)))
     total = sum(law.values())
+    # A long unit is filtered in blocks, and sampled as any other.
+    monkeypatch.setattr(sentencepieces, "LONGEST", 3)
+    monkeypatch.setattr(sentencepieces, "BLOCK", 4)
+    lattice.forget()
+    assert seen == Counter(tuple(x) for x in lattice.encode([word] * n, np.arange(n, dtype=np.uint64)))
+    lattice.forget()
     assert set(seen) <= set(law) and all(abs(seen[k] / n - v / total) < 0.012 for k, v in law.items())
 
 
