@@ -46,7 +46,7 @@ class Encoder:
     the last one still uses outlives the change.
     """
 
-    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 60_000, 200, 50_000, 1_000, 4_000_000
+    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 200_000, 200, 50_000, 1_000, 4_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
