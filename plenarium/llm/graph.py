@@ -27,29 +27,28 @@ def _with_least(links: DataFrame, total: int) -> DataFrame:
     return join_groups(links, links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", total)
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node is linked to one other at most, which itself is linked to none."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: every node of ``edges`` (a, b) with the smallest node of its component.
 
     Each round links a node's larger neighbours, then its smaller ones, to the least
-    neighbour; it stops when a round changes nothing, with every node linked to its root.
-    A round is written out, so lost executors never cost more than one round.  A node with
-    many neighbours isn't gathered (see ``join_groups``).  Loops (a = b) give no node of
-    their own.
+    neighbour, until every node is linked to its root alone.  A round is written out, so lost
+    executors never cost more than one round.  A node with many neighbours isn't gathered
+    (see ``join_groups``).  Loops (a = b) give no node of their own.
     """
     larger = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = stage(larger.distinct(), name)
-    state = None
-    while True:
-        new_state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new_state == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        state = new_state
+    while not _are_stars(now):
+        total = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = _with_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = stage(up.distinct(), name)
-        down = _with_least(large, state[0])
+        large = _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        down = _with_least(large, total)
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, now = now, stage(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), name)
-        discard(before, large)
+        discard(before)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,8 +5,9 @@
 2. Classes that share a band of their MinHash signature are candidates.  Inside each
    bucket, pairs compare their signatures batch by batch; a pair is dropped as soon as
    its posterior probability of reaching the threshold falls under the miss probability.
-   A bucket passes on a spanning tree of what survives, never all its pairs.
-3. Components of those trees are clusters.  Inside a cluster the surviving pairs between
+   A bucket passes on one link for each class, to the least that it is connected with by
+   what survives, never all its pairs.
+3. Components of those links are clusters.  Inside a cluster the surviving pairs between
    classes that aren't connected yet are verified on their full shingle sets.
 4. Components of the verified links are the result.
 
@@ -212,7 +213,7 @@ def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -
         yield pd.concat(held, ignore_index=True)
 
 
-def _bucket_trees(percent: int):
+def _bucket_links(percent: int):
     needed = needed_matches(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,9 +221,8 @@ def _bucket_trees(percent: int):
             key, sketch = frame["key"].to_numpy(), _sketches(frame["sketch"])
             size, ids = frame["n_shingles"].to_numpy(), frame["cid"].to_numpy()
             # Rows of one class are one node, whatever bucket they stand in.
-            _, node = np.unique(ids, return_inverse=True)
-            roots, label = _Roots(int(node.max()) + 1), np.arange(int(node.max()) + 1)
-            edges = []
+            names, node = np.unique(ids, return_inverse=True)
+            roots, label = _Roots(len(names)), np.arange(len(names))
             for d in range(1, len(frame)):
                 left = np.flatnonzero(key[:-d] == key[d:])
                 if not len(left):
@@ -231,15 +231,18 @@ def _bucket_trees(percent: int):
                 for at in range(0, len(left), 100_000):
                     some = left[at : at + 100_000]
                     alive, _ = surviving(sketch, some, some + d, needed)
-                    edges.extend((ids[i], ids[i + d]) for i in some[alive] if roots.join(node[i], node[i + d]))
+                    for i in some[alive]:
+                        roots.join(node[i], node[i + d])
                 label = roots.all() if len(left) and d & (d - 1) == 0 else label
-            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            label = roots.all()
+            joined = np.flatnonzero(label != np.arange(len(names)))
+            yield pd.DataFrame({"a": names[joined], "b": names[label[joined]]}, dtype="int64")
 
     return run
 
 
 def _links_of(frame: pd.DataFrame, percent: int, needed: list[int]) -> list[tuple[int, int]]:
-    """Verified links that connect what can be connected among the rows of one block.
+    """Links that connect what verified pairs connect among the rows of one block.
 
     ``label`` equal and not null: known to be connected.  ``part`` 0: compared with rows
     of part 1 only; null: compared with all.
@@ -268,6 +271,10 @@ def _links_of(frame: pd.DataFrame, percent: int, needed: list[int]) -> list[tupl
                 if 100 * shared >= percent * (size[i] + size[j] - shared):
                     links.append((ids[i], ids[j]))
                     root[root == root[i]] = root[j]
+    if (label < 0).all() and (part < 0).all():
+        # Nothing was connected before: to the least of each component instead.
+        least = {r: ids[root == r].min() for r in np.unique(root[np.isin(ids, [x for link in links for x in link])])}
+        links = [(i, least[r]) for i, r in zip(ids, root, strict=True) if r in least and i != least[r]]
     return links
 
 
@@ -386,8 +393,8 @@ def _components_of(rows: DataFrame, words: int, percent: int, block: int, block_
     shared = banded.join(buckets, "key")
     stars = shared.where((F.col("rows") > block) & (F.col("cid") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("cid").alias("b"))
     small = shared.where(F.col("rows") <= block).select("key", "cid").join(classes.select("cid", "n_shingles", "sketch"), "cid")
-    trees = small.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_trees(percent), "a long, b long")
-    found = components(stars.unionByName(trees), "clusters")
+    found_links = small.repartition("key").sortWithinPartitions("key").mapInPandas(_bucket_links(percent), "a long, b long")
+    found = components(stars.unionByName(found_links), "clusters")
     clusters = found.withColumnsRenamed({"node": "cid", "root": "cluster"})
     plain = clusters.join(classes.select("cid", "n_shingles", "sketch", "first"), "cid")
     weights = plain.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
@@ -407,7 +414,7 @@ def _components_of(rows: DataFrame, words: int, percent: int, block: int, block_
     discard(sets)
     named = classes.select("cid", "digest", "copies", "first").join(linked, classes["cid"] == linked["node"], "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n"))
-    answer = join_groups(named.drop("first"), least, "root", named.count())
+    answer = join_groups(named.drop("first"), least, "root", classes.count())
     answer = stage(answer.select("digest", "copies", F.col("first.doc_id").alias("component_id"), F.struct("first.file", "first.place").alias("first")), "answers")
     discard(classes, linked)
     return sketched.select("doc_id", "file", "place", "n_shingles", "digest"), answer
