@@ -85,51 +85,55 @@ def raiser_name(display: Column) -> Column:
     return F.concat_ws(" ", non_empty(given), non_empty(family))
 
 
-def _code_point(n: int) -> str:
-    return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else ""
+def replaced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """``text`` with each match of ``pattern`` changed; the text and its matches are found once."""
 
+    def put(found: Column) -> Column:
+        pieces = F.transform(found["gaps"], lambda gap, i: F.when(i == 0, gap).otherwise(F.concat(F.get(found["new"], i - 1), gap)))
+        return F.array_join(pieces, "")
 
-def _strip_html(html: str) -> str:
-    text = re.sub(r"<[^>]*>", " ", html)
-    text = re.sub(r"&#(\d+);", lambda m: _code_point(int(m[1])), text)
-    text = re.sub(r"(?i)&#x([0-9a-f]+);", lambda m: _code_point(int(m[1], 16)), text)
-    text = re.sub(r"(?i)&([a-z]+);", lambda m: ENTITIES.get(m[1].lower(), m[0]), text)
-    return re.sub(r"\s+", " ", text).strip()
+    def changed(value: Column) -> Column:
+        new = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), change)
+        return F.when(value.rlike(pattern), let(F.struct(F.split(value, pattern, -1).alias("gaps"), new.alias("new")), put)).otherwise(value)
 
+    return let(text, changed)
 
-def _clean_profile(html: str) -> str:
-    text = re.sub(r"<[^>]*>", " ", html)
-    text = re.sub(r"&([a-z]+);", lambda m: m[0] if m[1] == "amp" else ENTITIES.get(m[1], m[0]), text)
-    text = re.sub(r"&#(?:(\d+)|[xX]([0-9a-fA-F]+));", lambda m: _code_point(int(m[1]) if m[1] else int(m[2], 16)), text)
-    return re.sub(r"\s+", " ", text.replace("&amp;", "&")).strip()
 
+def code_point(number: Column) -> Column:
+    """The character of a code point; empty where there is none."""
+    known = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    # Read as UTF-32 this one would be a byte order mark.
+    char = F.when(number == 0xFEFF, "\ufeff").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.when(F.coalesce(known, F.lit(False)), char).otherwise("")
 
-def _vectorised(rule: Callable[[str], str]):
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else rule(t))
 
-    return run
+def _number_of(entity: Column) -> Column:
+    """The code point of ``&#38;`` or ``&#x26;``, null beyond longs."""
+    digits = F.regexp_extract(entity, "^&#([xX]?)([0-9a-fA-F]+);$", 2)
+    return F.when(entity.rlike("^&#[xX]"), F.conv(F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 8, digits), 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
 
 
-#: Tags to spaces, then decimal, hex and named entities (any case; unknown ones stay), white space collapsed.
-strip_html = _vectorised(_strip_html)
-#: As strip_html, but named entities come first and case counts, and &amp; is decoded last, so nothing is decoded twice.
-clean_profile_html = _vectorised(_clean_profile)
+def _named(entity: Column, any_case: bool, kept: tuple[str, ...] = ()) -> Column:
+    """What a named entity stands for; itself where it is unknown or ``kept``."""
+    table = F.create_map(*[F.lit(x) for name, value in ENTITIES.items() if name not in kept for x in (name, value)])
+    name = F.regexp_extract(entity, "^&([A-Za-z]+);$", 1)
+    return F.coalesce(F.try_element_at(table, F.lower(name) if any_case else name), entity)
 
 
-def strip_html_named(html: Column) -> Column:
-    """strip_html for texts without numeric entities, inside the JVM."""
+def strip_html(html: Column) -> Column:
+    """Tags to spaces, then decimal, hex and named entities (any case; unknown ones stay), white space collapsed."""
     text = F.regexp_replace(html, "<[^>]*>", " ")
-    parts, names = F.split(text, "(?i)&[a-z]+;", -1), F.regexp_extract_all(text, F.lit("(?i)&([a-z]+);"), F.lit(0))
-    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    text = replaced(text, "&#[0-9]+;", lambda e: code_point(_number_of(e)))
+    text = replaced(text, "&#[xX][0-9a-fA-F]+;", lambda e: code_point(_number_of(e)))
+    return squeezed(replaced(text, "&[A-Za-z]+;", lambda e: _named(e, True)))
 
-    def decoded(found: Column) -> Column:
-        name = F.lower(F.regexp_extract(found, "&([A-Za-z]+);", 1))
-        return F.coalesce(F.try_element_at(table, name), found)
 
-    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(decoded(F.get(names, i - 1)), p))), "")
-    return squeezed(joined)
+def clean_profile_html(html: Column) -> Column:
+    """As strip_html, but named entities come first and case counts, and &amp; is decoded last, so nothing is decoded twice."""
+    text = F.regexp_replace(html, "<[^>]*>", " ")
+    text = replaced(text, "&[a-z]+;", lambda e: _named(e, False, ("amp",)))
+    text = replaced(text, "&#(?:[0-9]+|[xX][0-9a-fA-F]+);", lambda e: code_point(_number_of(e)))
+    return squeezed(F.replace(text, F.lit("&amp;"), F.lit("&")))
 
 
 def attribution(html: Column) -> Column:
@@ -175,18 +179,19 @@ def division_key(date: Column, number: Column) -> Column:
     return F.concat(date, F.lit("-"), number.cast("string"))
 
 
-def label_values(html: Column, label_tag: str = "dt", value_tag: str = "dd", clean: Callable[[Column], Column] | None = None) -> Column:
-    """map of label to value from pairs of tags; the last of equal labels counts, blanks don't.
-
-    ``clean`` is applied to arrays' texts, so it must be an expression, not a UDF.
-    """
-    clean = clean or strip_html_named
+def label_values(html: Column, label_tag: str = "dt", value_tag: str = "dd", clean: Callable[[Column], Column] = clean_profile_html) -> Column:
+    """map of label to value from pairs of tags; the last of equal labels counts, blanks don't."""
     pattern = F.lit(rf"(?is)<{label_tag}[^>]*>(.*?)</{label_tag}>\s*<{value_tag}[^>]*>(.*?)</{value_tag}>")
     labels = F.transform(F.regexp_extract_all(html, pattern, F.lit(1)), lambda x: squeezed(F.lower(F.regexp_replace(clean(x), ":$", ""))))
     values = F.transform(F.regexp_extract_all(html, pattern, F.lit(2)), clean)
     pairs = F.filter(F.zip_with(labels, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), lambda p: (p["key"] != "") & (p["value"] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+
+    def last(found: Column) -> Column:
+        keys = F.transform(found, lambda p: p["key"])
+        # array_position counts from the end of the reversed keys: a key's last place.
+        return let(keys, lambda k: F.map_from_entries(F.filter(found, lambda _, i: F.array_position(F.reverse(k), F.get(k, i)) == F.size(k) - i)))
+
+    return let(pairs, last)
 
 
 # Fixed value: how a bill summary begins.
@@ -213,15 +218,16 @@ def summary_groups(summary: Column) -> Column:
     heads = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, ACT_HEADING, 1).alias("acts"), F.when(p.rlike(ACT_HEADING), F.regexp_extract(p, ACT_HEADING, 2)).otherwise(p).alias("item")))
 
     def group(all_heads: Column) -> Column:
-        starts = F.filter(F.transform(all_heads, lambda h, i: F.when(h["acts"] != "", i)), lambda i: i.isNotNull())
+        def grouped(starts: Column) -> Column:
+            def one(at: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(all_heads))
+                items = F.transform(F.slice(all_heads, at + 1, end - at), lambda h: h["item"])
+                return F.struct(F.get(all_heads, at)["acts"].alias("acts"), F.filter(items, lambda x, n: (n > 0) | (x != "")).alias("items"))
 
-        def one(at: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(starts, k + 1), F.size(all_heads))
-            items = F.transform(F.slice(all_heads, at + 1, end - at), lambda h: h["item"])
-            return F.struct(F.get(all_heads, at)["acts"].alias("acts"), F.filter(items, lambda x, n: (n > 0) | (x != "")).alias("items"))
+            fits = (F.size(starts) >= 2) & (F.get(starts, F.lit(0)) == 0)
+            return F.when(fits, F.transform(starts, one))
 
-        fits = (F.size(starts) >= 2) & (F.get(starts, F.lit(0)) == 0)
-        return F.when(fits, F.transform(starts, one))
+        return let(F.filter(F.transform(all_heads, lambda h, i: F.when(h["acts"] != "", i)), lambda i: i.isNotNull()), grouped)
 
     return let(heads, group)
 
@@ -281,6 +287,16 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
+def utf16_slice(text: Column, units: int) -> Column:
+    """The first ``units`` UTF-16 units; a pair that would be cut goes."""
+    kept = F.aggregate(
+        F.split(F.substring(text, 1, units), ""),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")),
+        lambda s, c: let(s["n"] + utf16_length(c), lambda n: F.struct(n.alias("n"), (s["chars"] + F.when(n <= units, 1).otherwise(0)).alias("chars"))),
+    )
+    return F.when(utf16_length(text) <= units, text).otherwise(F.substr(text, F.lit(1), kept["chars"]))
+
+
 def title_tier(title: Column) -> Column:
     size = utf16_length(title)
     return F.when(size <= 45, "l").when(size <= 90, "m").otherwise("s")
@@ -321,6 +337,11 @@ def as_state(name: Column) -> Column:
     return F.coalesce(F.when(name.isin(list(STATES)), name), state_code(name))
 
 
+def state_path(code: Column) -> Column:
+    """A state's part of an address: its code in lower case, nothing for other texts."""
+    return F.when(code.isin(list(STATES)), F.lower(code)).otherwise("")
+
+
 def state_name(code: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, code), code)

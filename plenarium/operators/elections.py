@@ -15,16 +15,22 @@ def polling_place_totals(rows: DataFrame, key: str, votes: str, order: list[str]
     return rows.groupBy(key).agg(F.sum(votes).alias("votes"), *[F.min_by(c, at).alias(c) for c in first])
 
 
+def _with_totals(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
+    """``rows`` with total and candidates of their electorate, counted before anything moves."""
+    totals = rows.groupBy(F.col(electorate).alias("of_electorate")).agg(F.sum(votes).alias("total"), F.count("*").alias("candidates"))
+    return rows.join(totals, rows[electorate].eqNullSafe(totals["of_electorate"])).drop("of_electorate")
+
+
 def candidate_shares(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
     """``rows`` with ``pct``: share of the electorate's votes to two places, 0 of no votes."""
-    total = F.sum(votes).over(Window.partitionBy(electorate))
-    return rows.withColumn("pct", F.when(total > 0, round2(F.col(votes) / F.when(total > 0, total) * 100)).otherwise(0.0))
+    pct = F.when(F.col("total") > 0, round2(F.col(votes) / F.when(F.col("total") > 0, F.col("total")) * 100)).otherwise(0.0)
+    return _with_totals(rows, electorate, votes).withColumn("pct", pct).drop("total", "candidates")
 
 
 def two_candidate_shares(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
     """``rows`` with ``share``, given only where an electorate has exactly two."""
-    of = Window.partitionBy(electorate)
-    return rows.withColumn("share", F.when(F.count("*").over(of) == 2, share(F.col(votes), F.sum(votes).over(of))))
+    own = F.when(F.col("candidates") == 2, share(F.col(votes), F.col("total")))
+    return _with_totals(rows, electorate, votes).withColumn("share", own).drop("total", "candidates")
 
 
 def latest_contest(contests: DataFrame, current: DataFrame, event: str = "event_id", electorate: str = "electorate", order: str = "ord") -> DataFrame:

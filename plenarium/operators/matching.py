@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,30 +31,51 @@ def match_name_then_seat(sources: DataFrame, people: DataFrame) -> DataFrame:
     """source_id, slug: a single person of that name whatever the seat, else the first in the same seat.
 
     ``sources``: source_id, name_slug, house, seat, state; ``people``: slug, name_slug,
-    house, seat, state, ord.  Seats are compared by house and by electorate or state.
+    house, seat, state, ord.  A person is of that name by name or by slug.  Seats are
+    compared by house and by electorate or state.
     """
-    p = people.select("slug", "name_slug", *[F.col(c).alias(f"p_{c}") for c in ("house", "seat", "state", "ord")])
-    found = sources.join(p, "name_slug").withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
-    same = (F.col("house") == F.col("p_house")) & (F.coalesce(F.col("seat") == F.col("p_seat"), F.lit(False)) | F.coalesce(F.col("state") == F.col("p_state"), F.lit(False)))
-    fits = found.where((F.col("n") == 1) | same)
-    return fits.groupBy("source_id").agg(F.min_by("slug", "p_ord").alias("slug"))
+    keys = F.explode(F.array_distinct(F.array_compact(F.array(F.col("name_slug").cast("string"), F.col("slug").cast("string")))))
+    p = people.select("slug", keys.alias("key"), *[F.col(c).alias(f"p_{c}") for c in ("house", "seat", "state", "ord")])
+    asked = sources.withColumn("key", F.col("name_slug").cast("string"))
+    names = p.groupBy("key").agg(F.count("*").alias("n"), F.min("slug").alias("only"))
+    counted = asked.join(names, "key")
+    # A name that several bear never meets them all: only those of the same house and seat.
+    several = counted.where("n > 1").drop("n", "only")
+    by = lambda place: several.join(p, (several["key"] == p["key"]) & (several["house"] == p["p_house"]) & (several[place] == p[f"p_{place}"])).select("source_id", "slug", "p_ord")
+    seated = by("seat").unionByName(by("state")).groupBy("source_id").agg(F.min_by("slug", "p_ord").alias("slug"))
+    return counted.where("n = 1").select("source_id", F.col("only").alias("slug")).unionByName(seated)
+
+
+def family_suffixes(slug: Column) -> Column:
+    """What a person's slug may end with after a hyphen: ``anna-le-roy`` gives ``le-roy`` and ``roy``."""
+    parts = F.split(slug, "-")
+    ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.greatest(F.size(parts) - i + 1, F.lit(0))), "-"))
+    return F.filter(ends, lambda e: e != "")
 
 
 def match_slug_then_family(sources: DataFrame, people: DataFrame) -> DataFrame:
     """source_id, slug: by either of two full-name slugs, else by family name and seat if exactly one fits.
 
     ``sources``: source_id, given_slug, preferred_slug, family_slug, seat, state;
-    ``people``: slug, family_slug, seat, state, ord.
+    ``people``: slug, name_slug, seat, state, ord.  The family name fits where the person's
+    name ends with it, after a hyphen of its slug.
     """
     names = sources.select("source_id", F.explode(F.array_distinct(F.array_compact(F.array("given_slug", "preferred_slug")))).alias("slug"))
     direct = names.join(people.select("slug", "ord"), "slug").groupBy("source_id").agg(F.min_by("slug", "ord").alias("slug"))
     rest = sources.join(direct, "source_id", "left_anti")
-    p = people.select("slug", "family_slug", F.col("seat").alias("p_seat"), F.col("state").alias("p_state"))
+    p = people.select("slug", F.explode(family_suffixes(F.col("name_slug"))).alias("family_slug"), F.col("seat").alias("p_seat"), F.col("state").alias("p_state"))
     near = rest.join(p, "family_slug").where("coalesce(seat = p_seat, false) or coalesce(state = p_state, false)")
     only = near.groupBy("source_id").agg(F.count("*").alias("n"), F.min("slug").alias("slug")).where("n = 1").drop("n")
     return direct.unionByName(only)
 
 
+def unmatched(sources: DataFrame, found: DataFrame, name: str, order: str, n: int = 8) -> DataFrame:
+    """How many sources found nobody, and the names of the first ``n``: a report of one row."""
+    rest = sources.join(found.select("source_id"), "source_id", "left_anti")
+    first = rest.orderBy(order).limit(n).agg(F.array_sort(F.collect_list(F.struct(order, name))).alias("first"))
+    return rest.agg(F.count("*").alias("unmatched")).crossJoin(first.select(F.concat_ws(", ", F.col("first")[name]).alias("names")))
+
+
 def crosswalk(votes: DataFrame, ids: DataFrame, name_slug: str = "name_slug") -> DataFrame:
     """``votes`` with ``member``: the slug of the person's id (the last one where several share it), else the name's slug."""
     last = ids.groupBy("person_id").agg(F.max_by("slug", "ord").alias("id_slug"))
@@ -79,5 +100,6 @@ def with_overrides(rows: DataFrame, overrides: DataFrame, key: str, column: str)
 
 
 def left_enrich(rows: DataFrame, side: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``rows`` with the side table's columns, at most one side row a key."""
-    return rows.join(side.select(key, *columns).dropDuplicates([key]), key, "left")
+    """``rows`` with the side table's columns, of at most one side row a key: the least by its columns."""
+    least = side.groupBy(key).agg(F.min(F.struct(*columns)).alias("side"))
+    return rows.join(least.select(key, "side.*"), key, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import LEADERSHIP
+from ..sources.work import cut_lineage
 
 
 def collated(column: str) -> Column:
@@ -19,10 +20,14 @@ def in_order(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def newest_first() -> list[Column]:
+    """Divisions by date, number and house from the end; ties in reverse load order."""
+    number = F.col("number").cast("string")
+    return [F.concat_ws("-", "date", F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")), "house").desc(), F.desc("ord")]
+
+
 def divisions_newest_first(divisions: DataFrame) -> DataFrame:
-    """By date, number and house from the end; ties in reverse load order."""
-    key = F.concat_ws("-", "date", F.lpad(F.col("number").cast("string"), 4, "0"), "house")
-    return divisions.orderBy(key.desc(), F.desc("ord"))
+    return divisions.orderBy(*newest_first())
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
@@ -34,26 +39,28 @@ def latest_open(seats: DataFrame, person: str, start: str, order: list[str]) ->
     return first_per_key(seats, [person], F.col(start).desc_nulls_last(), *order)
 
 
-def batches(df: DataFrame, size: int, *order: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``batch``: runs of ``size`` rows in order; the last of ``order`` has to be unique.
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` with ``nth``, its rows' places in the order from 0; the last of ``order`` has to be unique.
 
-    Rows are dealt to ranges between a fixed number of hashed sample rows and counted by
-    range first, so no task orders more than its own range.  The bounds are literals of the
-    plan: a range that is computed again holds the same rows.
+    Rows go to ranges of the order, as many as the data need, and those are counted first, so
+    no task orders more than its own range.  The ranges are cut from lineage: computed again
+    they might hold other rows.
     """
-    key = F.struct(*order)
-    bounds = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(parts - 1).orderBy(*order).collect()
-    typed = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.select(*order).schema.fields)
-    edges = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(order, b, strict=True)]).cast(f"struct<{typed}>") for b in bounds])
-    ranged = df.withColumn("part", F.size(F.filter(edges, lambda e: e <= key)) if bounds else F.lit(0))
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("nth", nth).join(starts, "part").withColumn("batch", F.floor((F.col("start") + F.col("nth") - 1) / size)).drop("part", "nth", "start")
+    return ranged.withColumn("nth", nth).join(F.broadcast(starts), "part").withColumn("nth", F.col("start") + F.col("nth") - 1).drop("part", "start")
+
+
+def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
+    """``df`` with ``batch``: runs of ``size`` rows in order; the last of ``order`` has to be unique."""
+    return numbered(df, *order).withColumn("batch", F.floor(F.col("nth") / size)).drop("nth")
 
 
-def month_runs(rows: DataFrame, date: str) -> DataFrame:
-    """month, n; rows without a date under ``undated``."""
+def month_runs(rows: DataFrame, date: str, text: Column | None = None, needle: str = "", **equal: str | None) -> DataFrame:
+    """month, n; rows without a date under ``undated``.  What a filter leaves is counted, so months without a row go."""
+    rows = rows if text is None else text_filter(rows, text, needle, **equal)
     return rows.groupBy(F.coalesce(F.substring(date, 1, 7), F.lit("undated")).alias("month")).agg(F.count("*").alias("n"))
 
 

@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+def sides(votes: DataFrame) -> DataFrame:
+    """division, party, side: a party's strict majority in a division; a tie has no side.
+
+    Ballots are counted where they are before anything moves, so few parties and divisions
+    don't mean few tasks.
+    """
+    counted = votes.groupBy("division", "party").agg(F.count_if(F.col("vote") == "aye").alias("ayes"), F.count_if(F.col("vote") == "no").alias("noes"))
+    return counted.select("division", "party", F.when(F.col("ayes") > F.col("noes"), "aye").when(F.col("noes") > F.col("ayes"), "no").alias("side"))
 
 
 def crossed_votes(votes: DataFrame, exclude_groups: list[str] | None = None) -> DataFrame:
     """``votes`` (division, member, party, vote aye/no) with ``side`` and ``crossed``.
 
-    A party's side in a division is its strict majority; a tie has no side.  ``crossed`` is
-    true where the vote differs from the side and null elsewhere.  Groups in
-    ``exclude_groups`` never cross.
+    ``crossed`` is true where the vote differs from the party's side and null elsewhere.
+    Groups in ``exclude_groups`` never cross.
     """
-    of = Window.partitionBy("division", "party")
-    ayes, noes = F.sum(F.when(F.col("vote") == "aye", 1).otherwise(0)).over(of), F.sum(F.when(F.col("vote") == "no", 1).otherwise(0)).over(of)
-    side = F.when(ayes > noes, "aye").when(noes > ayes, "no")
+    found = sides(votes).select(F.col("division").alias("of_division"), F.col("party").alias("of_party"), "side")
+    rows = votes.join(found, votes["division"].eqNullSafe(found["of_division"]) & votes["party"].eqNullSafe(found["of_party"])).drop("of_division", "of_party")
     crossed = F.when(F.col("side").isNotNull() & (F.col("vote") != F.col("side")), True)
     if exclude_groups:
         crossed = F.when(~F.col("party").isin(exclude_groups), crossed)
-    return votes.withColumn("side", side).withColumn("crossed", crossed)
+    return rows.withColumn("crossed", crossed)
+
+
+def chamber_totals(divisions: DataFrame) -> DataFrame:
+    """house, total."""
+    return divisions.groupBy("house").agg(F.count("*").alias("total"))
+
+
+def voting_records(votes: DataFrame, least: int = 10) -> DataFrame:
+    """member, voted, crossed: people with ``least`` votes or more; ``votes``: member, crossed."""
+    counted = votes.groupBy("member").agg(F.count("*").alias("voted"), F.count_if(F.coalesce("crossed", F.lit(False))).alias("crossed"))
+    return counted.where(F.col("voted") >= least)
 
 
 def member_stats(people: DataFrame, votes: DataFrame, divisions: DataFrame) -> DataFrame:

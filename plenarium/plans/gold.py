@@ -35,7 +35,7 @@ SIDE = {
     "handbook": schemas.HANDBOOK,
     "person_notes": NOTE,
     "division_notes": NOTE,
-    "profiles": "slug string, profile struct<nameDerivation: string, area: string, firstProclaimed: string, demographicRating: string, location: string, industries: string>, enrolment bigint",
+    "profiles": f"slug string, profile {schemas.PROFILE}, enrolment bigint",
     "party_reference": "slug string, name string, code string, colour string",
     "party_facts": "slug string, facts struct<founded: string, website: string, wikipedia: string>",
 }
@@ -59,11 +59,9 @@ def _seated(c: Canonical) -> Canonical:
 
 def _summarised(c: Canonical) -> DataFrame:
     """Divisions with the kind of their summary; only transcripts carry a note, and an empty one stays hidden."""
-    lines = c.divisions.select("id", F.explode(F.split("summary", "\n")).alias("line")).select("id", F.trim("line").alias("name"))
-    spoken = lines.join(c.people.select("name").distinct(), "name", "left_semi").select("id").distinct().withColumn("spoken", F.lit(True))
     notes = c.division_notes.select(F.col("slug").alias("id"), "note")
-    joined = c.divisions.join(spoken, "id", "left").join(notes, "id", "left")
-    kind = F.when(F.col("summary").isNotNull(), F.when(F.coalesce("spoken", F.lit(False)), "transcript").otherwise("summary"))
+    joined = linking.transcripts(c.divisions, c.people, "id", "summary", "name").withColumnRenamed("transcript", "spoken").join(notes, "id", "left")
+    kind = F.when(F.col("summary").isNotNull(), F.when(F.col("spoken"), "transcript").otherwise("summary"))
     shown = F.when(F.col("spoken") & (F.col("note.text") != ""), F.col("note"))
     return joined.withColumns({"summaryKind": kind, "aiSummary": shown}).drop("spoken", "note")
 
@@ -132,5 +130,5 @@ def write(tables: dict[str, DataFrame], root: str) -> None:
     keys = {"people": "slug", "parties": "slug", "electorates": "slug", "bills": "title", "elections": "electorateSlug"}
     for name, key in keys.items():
         files.write_bundle(tables[name], f"{root}/{name}", ordering.collated(key), "ord")
-    ordering.divisions_newest_first(tables["divisions"]).drop("ord").coalesce(1).write.mode("overwrite").json(f"{root}/divisions")
-    tables["quick-search"].orderBy("rank", ordering.collated("name"), "slug").drop("rank").coalesce(1).write.mode("overwrite").json(f"{root}/quick-search")
+    files.write_bundle(tables["divisions"], f"{root}/divisions", *ordering.newest_first())
+    files.write_bundle(tables["quick-search"], f"{root}/quick-search", "rank", ordering.collated("name"), "slug")

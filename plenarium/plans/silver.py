@@ -66,7 +66,7 @@ def person_crosswalk(raw_people: DataFrame, people: DataFrame) -> DataFrame:
 def bills(raw: DataFrame, parliament: int) -> DataFrame:
     status = F.coalesce(text.strip_html(text.non_empty(F.col("Status"))), F.lit("Before parliament"))
     return raw.select(
-        F.coalesce("Id", F.lit("")).alias("id"), F.coalesce(text.strip_html("Title"), F.lit("")).alias("title"), F.lit(parliament).cast("long").alias("parliament"),
+        F.coalesce("Id", F.lit("")).alias("id"), F.coalesce(text.strip_html(F.col("Title")), F.lit("")).alias("title"), F.lit(parliament).cast("long").alias("parliament"),
         rules.chamber_of(F.coalesce("FormattedOriginatingChamber", F.lit(""))).alias("chamber"), text.strip_html(text.non_empty(F.col("Summary"))).alias("summary"), status.alias("status"),
         F.col("LastUpdatedDateTime").alias("listUpdated"),
     )
@@ -79,7 +79,7 @@ def bill_timeline(detail: Column) -> Column:
         chamber = text.non_empty(group["FormattedChamber"])
         return F.transform(
             F.coalesce(group["ProgressStates"], F.array().cast("array<struct<Description: string, UpdateDate: string>>")),
-            lambda s: F.struct(dates.dot_net_date(s["UpdateDate"]).alias("date"), F.when(s["Description"] != "", text.strip_html_named(F.concat(s["Description"], F.coalesce(F.concat(F.lit(" ("), chamber, F.lit(")")), F.lit(""))))).alias("event")),
+            lambda s: F.struct(dates.dot_net_date(s["UpdateDate"]).alias("date"), F.when(s["Description"] != "", text.strip_html(F.concat(s["Description"], F.coalesce(F.concat(F.lit(" ("), chamber, F.lit(")")), F.lit(""))))).alias("event")),
         )
 
     groups = F.coalesce(detail["GroupedProgressStates"], F.array().cast("array<struct<FormattedChamber: string, ProgressStates: array<struct<Description: string, UpdateDate: string>>>>"))
@@ -90,7 +90,7 @@ def bill_timeline(detail: Column) -> Column:
 
 def bill_raisers(people: Column) -> Column:
     rows = F.coalesce(people, F.array().cast(_RAISER))
-    named = F.transform(rows, lambda p: F.struct(text.raiser_name(text.strip_html_named(F.coalesce(p["DisplayName"], F.lit("")))).alias("name"), text.non_empty(p["Id"]).alias("phid"), F.lit(None).cast("string").alias("slug")))
+    named = F.transform(rows, lambda p: F.struct(text.raiser_name(text.strip_html(F.coalesce(p["DisplayName"], F.lit("")))).alias("name"), text.non_empty(p["Id"]).alias("phid"), F.lit(None).cast("string").alias("slug")))
     return F.filter(named, lambda r: r["name"] != "")
 
 

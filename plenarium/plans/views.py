@@ -143,10 +143,36 @@ def feed(t: Tables, n: int = 50) -> DataFrame:
 
 
 def sitemap(urls: DataFrame) -> DataFrame:
-    """Urls in natural order; ``urls``: url, lastmod."""
+    """Urls in natural order; ``urls``: url, lastmod, which may be null."""
     return urls.orderBy(text.natural_key(F.col("url")), "url")
 
 
+def sitemap_index(urls: DataFrame) -> DataFrame:
+    """One row: the latest of all lastmods, which the index gives for the map."""
+    return urls.agg(F.max("lastmod").alias("lastmod"), F.count("*").alias("urls"))
+
+
+def bill_rows(t: Tables) -> DataFrame:
+    """What a bill's line in a list shows: title, stage, status bucket, its last step and that step's day."""
+    last = F.array_max(F.transform("timeline", lambda s, i: F.struct(s["date"].alias("date"), i.alias("pos"), s["event"].alias("event"))))
+    rows = t["bills"].withColumn("last", last)
+    events = F.transform("timeline", lambda s: s["event"])
+    return rows.select("id", "title", rules.bill_stage(events, F.col("status"), F.col("chamber")).alias("stage"), rules.status_bucket(F.col("status")).alias("bucket"), text.event_description(F.col("last.event")).alias("step"), dates.short_date(F.col("last.date")).alias("day"))
+
+
+def ledger_rows(t: Tables) -> DataFrame:
+    """What a division's line in a list shows, with the month it stands under."""
+    rows = t["divisions"].select("id", dates.month_label(F.coalesce(F.substring("date", 1, 7), F.lit("undated"))).alias("month"), dates.short_date(F.col("date")).alias("day"), "number", F.col("name").alias("title"), rules.procedure(F.col("name")).alias("procedure"), "house", "result", "ayes", "noes")
+    return rows.withColumn("width", votes.aye_width(F.col("ayes"), F.col("noes")))
+
+
+def person_cards(t: Tables) -> DataFrame:
+    """What a person's card shows: initials stand for a missing photo."""
+    rows = people_index(t).select("slug", "name", "group", "seat")
+    photos = t["people"].select("slug", F.col("photo.thumb").alias("thumb"))
+    return rows.join(photos, "slug", "left").withColumn("initials", F.when(F.col("thumb").isNull(), text.initials(F.col("name"))))
+
+
 def word_index(pages: DataFrame, key: str, body: str) -> DataFrame:
     """word, and how many pages hold it."""
     words = pages.select(key, F.explode(F.split(F.lower(body), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''").distinct()

@@ -18,10 +18,8 @@ PERSON = (
     f"positions array<{POSITION}>, elections array<{CONTEST}>, stats {STATS}"
 )
 PARTY = "slug string, name string, code string, colour string, seats struct<representatives: bigint, senate: bigint>, facts struct<founded: string, website: string, wikipedia: string>"
-ELECTORATE = (
-    "slug string, name string, state string, memberSlug string, profile struct<nameDerivation: string, area: string, firstProclaimed: string, demographicRating: string, "
-    "location: string, industries: string>, enrolment bigint"
-)
+PROFILE = "struct<nameDerivation: string, location: string, area: string, gazetted: string, firstContested: string, demographic: string>"
+ELECTORATE = f"slug string, name string, state string, memberSlug string, profile {PROFILE}, enrolment bigint"
 DIVISION = (
     "id string, house string, date string, number bigint, name string, summary string, summaryKind string, "
     f"aiSummary {AI_TEXT}, result string, ayes bigint, noes bigint, billIds array<string>, links struct<hansard: string, tvfy: string>, "

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,9 +57,9 @@ def next_cursor(rows: DataFrame, date: str) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: str) -> DataFrame:
-    """One row a key, incoming before stored and the latest by ``order`` first."""
+    """One row a key, incoming before stored and the latest by ``order`` first; of a tie the greatest by all its columns."""
     both = incoming.withColumn("_new", F.lit(1)).unionByName(stored.withColumn("_new", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc(order)))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc(order), *[F.desc(c) for c in sorted(incoming.columns)]))
     return both.withColumn("_nth", nth).where("_nth = 1").drop("_new", "_nth")
 
 
@@ -88,9 +89,9 @@ def run_sources(sources: dict[str, Callable[[], None]]) -> list[tuple[str, bool,
 
 
 def latest_by_key_stream(events: DataFrame, ts: str, key: str, late: str = "14 days") -> DataFrame:
-    """Streaming: the latest row of each key within the time that rows may be late."""
+    """Streaming: the latest time of each key on each day; a day's state goes once it is ``late`` old."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return timed.groupBy(key).agg(F.max(ts).alias("last_ts"), F.count("*").alias("n"))
+    return timed.groupBy(F.window(ts, "1 day"), key).agg(F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
 def daily_counts_stream(events: DataFrame, ts: str, *keys: str, late: str = "14 days") -> DataFrame:
@@ -99,18 +100,65 @@ def daily_counts_stream(events: DataFrame, ts: str, *keys: str, late: str = "14
     return timed.groupBy(F.window(ts, "1 day"), *keys).agg(F.count("*").alias("n"))
 
 
-def upsert_stream(events: DataFrame, table_path: str, checkpoint: str, key: list[str], order: str):
-    """Streaming sink: each micro-batch is merged into versions of a Parquet table.
+def upsert_stream(events: DataFrame, table_path: str, checkpoint: str, key: list[str], order: str, buckets: int = 64):
+    """Streaming sink: each micro-batch is merged into a Parquet table, partitioned by a hash of the key.
 
-    A batch writes ``version=<id>`` from the version before, so a batch that runs again
-    gives the same version.
+    Only buckets that the batch touches are read and written anew.  A batch that runs again
+    merges the same rows once more, which changes nothing; a table that is there already is
+    merged into, whatever the checkpoint knows.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        new = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-        if number:
-            new = upsert(spark.read.schema(batch.schema).parquet(f"{table_path}/version={number - 1}"), new, key, order)
-        new.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        try:
+            stored = spark.read.schema(new.schema).parquet(table_path).where(F.col("bucket").isin(touched))
+        except AnalysisException:
+            stored = new.limit(0)
+        merged = upsert(stored, new, key, order).repartition("bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def capped(pending_rows: DataFrame, cap: int, *order: str) -> DataFrame:
+    """The first ``cap`` pending rows of a run, in order; the rest stay pending for the next one."""
+    return pending_rows.orderBy(*order).limit(cap)
+
+
+class Budget:
+    """Requests and failures of one run, on the driver; beyond either bound the run ends with an error."""
+
+    def __init__(self, requests: int = 500, failures: int = 10):
+        self.requests, self.failures = requests, failures
+        self.used = self.failed = 0
+
+    def spend(self) -> None:
+        self.used += 1
+        if self.used > self.requests:
+            raise RuntimeError(f"request budget of {self.requests} is used up")
+
+    def failure(self, error: Exception) -> None:
+        self.failed += 1
+        if self.failed >= self.failures:
+            raise RuntimeError(f"{self.failed} failures, the last: {error}")
+
+
+def run_counters(rows: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """``rows`` (with status) and an observation of rows fetched, skipped, failed and unmatched.
+
+    The counts come with the job that writes the rows, without a pass of their own.
+    """
+    seen = Observation(name)
+    counts = [F.count_if(F.col("status") == kind).alias(kind) for kind in ("fetched", "skipped", "failed", "unmatched")]
+    return rows.observe(seen, *counts), seen
+
+
+def run_status(rows: DataFrame, found: DataFrame, stored: DataFrame, key: str, as_of: Column, days: float = 7) -> DataFrame:
+    """``rows`` (key) with status: unmatched without an entry in ``found``, skipped if what is ``stored`` (key, stored_at) is fresh, else fetched."""
+    from ..functions.dates import age_days
+
+    joined = rows.join(found.select(key, F.lit(True).alias("matched")), key, "left").join(stored.select(key, "stored_at"), key, "left")
+    fresh = F.coalesce(age_days(F.col("stored_at"), as_of) < days, F.lit(False))
+    return joined.withColumn("status", F.when(F.col("matched").isNull(), "unmatched").when(fresh, "skipped").otherwise("fetched")).drop("matched", "stored_at")

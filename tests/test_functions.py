@@ -21,7 +21,10 @@ def values(spark, cases, rule, kind="string"):
         (text.raiser_name, {"GREENWOOD, the Hon. Dr Ada Mary": "Ada Greenwood", "O'DELL, Max, MP": "Max O'Dell", "SOLO": "Solo", "": ""}),
         (text.strip_html, {"<p>A&nbsp;&amp; B</p>": "A & B", "x&#8217;s &#x2013; &bogus; &#xD800;y": "x’s – &bogus; y", " a \n b ": "a b"}),
         (text.clean_profile_html, {"a &amp;ndash; b": "a &ndash; b", "a &ndash; &#233; &NBSP;": "a – é &NBSP;"}),
-        (text.strip_html_named, {"<b>A</b>&NBSP;B &LT;x&gt; &other; &amp;amp;": "A B <x> &other; &amp;"}),
+        (text.strip_html, {"<b>A</b>&NBSP;B &LT;x&gt; &other; &amp;amp;": "A B <x> &other; &amp;", "&#38;lt; &#X1F600;&#65279;. &#99999999999999999999;&#xFFFFFFFFFFF; &#0065;": "< 😀\ufeff. A", "no entity": "no entity", "": ""}),
+        (text.clean_profile_html, {"&amp;#8217;": "&#8217;", "&#x26;lt;": "&lt;"}),
+        (lambda c: text.utf16_slice(c, 4), {"abcdef": "abcd", "ab😀c": "ab😀", "abc😀": "abc", "😀😀😀": "😀😀", "": "", "ab": "ab"}),
+        (text.state_path, {"NSW": "nsw", "Elsewhere": ""}),
         (text.attribution, {"<a>Jo</a>": "Jo", "<b></b> ": "Wikimedia Commons"}),
         (text.escape_html, {"<a href='x'>&\"": "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"}),
         (text.encode_component, {"a b/ç(1)'~!*": "a%20b%2F%C3%A7(1)'~!*"}),

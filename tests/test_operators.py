@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plenarium.operators import elections, linking, matching, ordering, votes
@@ -66,15 +67,88 @@ def test_seat_matching(spark):
 
 
 def test_family_fallback_needs_exactly_one(spark):
-    people = spark.createDataFrame([("ann-lee", "lee", "north", None, 1), ("bob-lee", "lee", "south", "NSW", 2), ("cat-lee", "lee", None, "NSW", 3)], "slug string, family_slug string, seat string, state string, ord int")
-    sources = spark.createDataFrame([(1, "ann-lee", None, "lee", "x", None), (2, "annie-lee", None, "lee", "north", None), (3, "z-lee", None, "lee", None, "NSW"), (4, "rob-lee", "bob-lee", "lee", None, None)], "source_id int, given_slug string, preferred_slug string, family_slug string, seat string, state string")
-    assert sorted(map(tuple, matching.match_slug_then_family(sources, people).collect())) == [(1, "ann-lee"), (2, "ann-lee"), (4, "bob-lee")]
-
-
-def test_linked_mentions_longest_first(spark):
-    texts = spark.createDataFrame([(1, "The alpha beta act and Beta"), (2, None)], "i int, text string")
-    got = [r.mentions for r in linking.linked_mentions(texts, ["Alpha Beta", "beta"]).orderBy("i").collect()]
-    assert [tuple(m) for m in got[0]] == [(4, "Alpha Beta"), (23, "beta")] and got[1] is None
+    people = spark.createDataFrame([("ann-lee", "ann-lee", "north", None, 1), ("bob-lee", "bob-lee", "south", "NSW", 2), ("cat-lee", "cat-lee", None, "NSW", 3), ("di-van-roy-2", "di-van-roy", "west", None, 4)], "slug string, name_slug string, seat string, state string, ord int")
+    sources = spark.createDataFrame([(1, "ann-lee", None, "lee", "x", None), (2, "annie-lee", None, "lee", "north", None), (3, "z-lee", None, "lee", None, "NSW"), (4, "rob-lee", "bob-lee", "lee", None, None), (5, "d-van-roy", None, "van-roy", "west", None), (6, "d-roy", None, "roy", "west", None), (7, "d-oy", None, "oy", "west", None)], "source_id int, given_slug string, preferred_slug string, family_slug string, seat string, state string")
+    assert sorted(map(tuple, matching.match_slug_then_family(sources, people).collect())) == [(1, "ann-lee"), (2, "ann-lee"), (4, "bob-lee"), (5, "di-van-roy-2"), (6, "di-van-roy-2")]
+
+
+def brute_links(text, titles):
+    """Titles by rank, then the longest first, each one's places from the left; claims never overlap."""
+    low, spans = text.lower(), []
+    for title, href, _ in sorted(titles, key=lambda t: (t[2], -len(t[0]), t[1])):
+        at = low.find(title.lower())
+        while at >= 0:
+            end = at + len(title)
+            if all(end <= a or at >= b for a, b, _ in spans):
+                spans.append((at, end, href))
+            at = low.find(title.lower(), end)
+    return [(a, b - a, h) for a, b, h in sorted(spans)]
+
+
+@pytest.mark.parametrize("at_once", [2, 100])
+def test_mentions(spark, at_once):
+    titles = [("Alpha Beta", "/ab/", 0), ("beta", "/b/", 0), ("Beta Act", "/ba/", 0), ("alpha bills", "/f/", 1), ("Ωmega & Co", "/w/", 0), ("act alpha bills now", "/late/", 1)]
+    texts = ["The alpha beta act and Beta", "beta act alpha bills now, ALPHA BILLS", "nothing <here>", "", "ωmega & co, BETA", "betabeta betaact beta act"]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, text string")
+    got = {r.i: r for r in linking.mentions(rows, spark.createDataFrame(titles, "title string, href string, rank int"), "i", at_once=at_once).collect()}
+    assert got[99].mentions is None and got[99].linked is None
+    for i, text in enumerate(texts):
+        want = brute_links(text, titles)
+        assert [tuple(m) for m in got[i].mentions] == want
+        shown, at = "", 0
+        escape = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        for start, size, href in want:
+            shown += escape(text[at:start]) + f'<a href="{href}">' + escape(text[start : start + size]) + "</a>"
+            at = start + size
+        assert got[i].linked == shown + escape(text[at:])
+
+
+def test_name_match_by_slug_too(spark):
+    people = spark.createDataFrame([("jo-dee", "joanne-dee", "r", "north", None, 1)], "slug string, name_slug string, house string, seat string, state string, ord int")
+    sources = spark.createDataFrame([(1, "jo-dee", "s", "x", None), (2, "joanne-dee", "r", "y", None), (3, None, "r", "north", None)], "source_id int, name_slug string, house string, seat string, state string")
+    assert sorted(map(tuple, matching.match_name_then_seat(sources, people).collect())) == [(1, "jo-dee"), (2, "jo-dee")]
+
+
+def test_crossed_votes_of_nobody(spark):
+    """Ties have no side, and a missing party is a party."""
+    rows = spark.createDataFrame([(1, "a", "x", "aye"), (1, "b", "x", "no"), (1, "c", None, "aye"), (1, "d", None, "aye"), (1, "e", None, "no")], "division int, member string, party string, vote string")
+    assert {r.member: (r.side, r.crossed) for r in votes.crossed_votes(rows).collect()} == {"a": (None, None), "b": (None, None), "c": ("aye", None), "d": ("aye", None), "e": ("aye", True)}
+
+
+def test_numbered(spark):
+    """Places in English order, also in many ranges."""
+    names = ["b", "ANZAC Day", "a", "B", "Aged Care", *(f"n{k:04d}" for k in range(500))]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").repartition(7)
+    got = ordering.numbered(rows, ordering.collated("n"), "n").orderBy("nth").collect()
+    assert [r.n for r in got[:5]] == ["a", "Aged Care", "ANZAC Day", "b", "B"] and [r.nth for r in got] == list(range(505))
+    assert [r.n for r in got[5:]] == names[5:]
+    assert ordering.numbered(rows.limit(0), "n").count() == 0
+
+
+def test_budget():
+    budget = incremental.Budget(2, 2)
+    budget.spend()
+    budget.spend()
+    with pytest.raises(RuntimeError):
+        budget.spend()
+    budget.failure(ValueError("one"))
+    with pytest.raises(RuntimeError, match="two"):
+        budget.failure(ValueError("two"))
+
+
+def test_run_sources():
+    done = []
+
+    def bad():
+        raise OSError("no answer")
+
+    assert incremental.run_sources({"a": lambda: done.append(1), "b": bad, "c": lambda: done.append(2)}) == [("a", True, None), ("b", False, "no answer"), ("c", True, None)]
+    assert done == [1, 2]
+
+
+def test_run_counters(spark):
+    rows, seen = incremental.run_counters(spark.createDataFrame([("fetched",), ("fetched",), ("skipped",), ("unmatched",)], "status string"))
+    assert rows.count() == 4 and seen.get == {"fetched": 2, "skipped": 1, "failed": 0, "unmatched": 1}
 
 
 def test_bill_links_keep_what_was_there(spark):
@@ -118,8 +192,11 @@ def test_upsert_stream(spark, tmp_path):
     for i, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (3, "d", 2)])):
         spark.createDataFrame(rows, "k int, v string, ts int").coalesce(1).write.mode("append").parquet(f"{source}/{i}")
     stream = spark.readStream.schema("k int, v string, ts int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
-    incremental.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], "ts").awaitTermination()
-    assert {r.k for r in spark.read.parquet(str(tmp_path / "table/version=1")).collect()} == {1, 2, 3}
+    spark.createDataFrame([(9, "there", 0), (2, "old", 0)], "k int, v string, ts int").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(4)).cast("int")).write.partitionBy("bucket").parquet(str(tmp_path / "table"))
+    for _ in range(2):
+        incremental.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], "ts", buckets=4).awaitTermination()
+    got = spark.read.schema("k int, v string, ts int, bucket int").parquet(str(tmp_path / "table")).collect()
+    assert sorted((r.k, r.v, r.ts) for r in got) == [(1, "c", 2), (2, "b", 1), (3, "d", 2), (9, "there", 0)]
 
 
 def test_watermarked_streams(spark, tmp_path):
