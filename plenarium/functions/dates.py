@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Month names.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 #: Milliseconds of a year of 365.25 days.
@@ -73,7 +75,7 @@ def dotted_date(text: Column) -> Column:
     pattern = r"^\s*(\d{1,2})\.(\d{1,2})\.(\d{4})\s*$"
     part = lambda i: F.regexp_extract(text, pattern, i)
     iso = F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0"))
-    return F.when(text.rlike(pattern), format_date(iso)).otherwise(text)
+    return F.when(text.rlike(pattern), let(iso, format_date)).otherwise(text)
 
 
 def service_years(start: Column, as_of: Column) -> Column:

@@ -120,20 +120,32 @@ def _named(entity: Column, any_case: bool, kept: tuple[str, ...] = ()) -> Column
     return F.coalesce(F.try_element_at(table, F.lower(name) if any_case else name), entity)
 
 
+def _decoded(html: Column, passes: Callable[[Column], Column]) -> Column:
+    """Tags to spaces and white space collapsed; ``passes`` where there is an entity at all."""
+    plain = lambda t: F.when(F.contains(t, F.lit("&")), passes(t)).otherwise(t)
+    return squeezed(let(F.regexp_replace(html, "<[^>]*>", " "), plain))
+
+
 def strip_html(html: Column) -> Column:
     """Tags to spaces, then decimal, hex and named entities (any case; unknown ones stay), white space collapsed."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
-    text = replaced(text, "&#[0-9]+;", lambda e: code_point(_number_of(e)))
-    text = replaced(text, "&#[xX][0-9a-fA-F]+;", lambda e: code_point(_number_of(e)))
-    return squeezed(replaced(text, "&[A-Za-z]+;", lambda e: _named(e, True)))
+
+    def passes(text: Column) -> Column:
+        text = replaced(text, "&#[0-9]+;", lambda e: code_point(_number_of(e)))
+        text = replaced(text, "&#[xX][0-9a-fA-F]+;", lambda e: code_point(_number_of(e)))
+        return replaced(text, "&[A-Za-z]+;", lambda e: _named(e, True))
+
+    return _decoded(html, passes)
 
 
 def clean_profile_html(html: Column) -> Column:
     """As strip_html, but named entities come first and case counts, and &amp; is decoded last, so nothing is decoded twice."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
-    text = replaced(text, "&[a-z]+;", lambda e: _named(e, False, ("amp",)))
-    text = replaced(text, "&#(?:[0-9]+|[xX][0-9a-fA-F]+);", lambda e: code_point(_number_of(e)))
-    return squeezed(F.replace(text, F.lit("&amp;"), F.lit("&")))
+
+    def passes(text: Column) -> Column:
+        text = replaced(text, "&[a-z]+;", lambda e: _named(e, False, ("amp",)))
+        text = replaced(text, "&#(?:[0-9]+|[xX][0-9a-fA-F]+);", lambda e: code_point(_number_of(e)))
+        return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+    return _decoded(html, passes)
 
 
 def attribution(html: Column) -> Column:
@@ -259,20 +271,24 @@ OCCUPATION_YEARS = "^(.*?),\\s*((?:1[89]|20)\\d{2})(?:\\s*[-–—]\\s*((?:1[89]
 
 def occupation(text: Column, dotted: Callable[[Column], Column]) -> Column:
     """struct role, org, period; null where the text doesn't follow the grammar."""
-    plain = F.regexp_replace(F.trim(text), r"\.$", "")
+    bare = lambda x: F.trim(F.regexp_replace(F.trim(x), ",+$", ""))
+
+    def read(plain: Column, pattern: str) -> Column:
+        def placed(x: Column) -> Column:
+            dated = (x["spoken"] == "") & x["org"].rlike(OCCUPATION_YEARS)
+            year = lambda i: F.regexp_extract(x["org"], OCCUPATION_YEARS, i)
+            period = F.when(dated, F.concat_ws(" – ", year(2), non_empty(year(3)))).otherwise(x["spoken"])
+            place = F.when(dated, bare(year(1))).otherwise(x["org"])
+            return let(F.struct(x["role"].alias("role"), place.alias("org"), period.alias("period")), lambda o: F.when(o["org"] != "", o))
+
+        def grouped(g: Column) -> Column:
+            spoken = F.when((g["from"] != "") & (g["to"] != ""), F.concat(dotted(g["from"]), F.lit(" – "), dotted(g["to"]))).when(g["from"] != "", F.concat(F.lit("from "), dotted(g["from"]))).otherwise("")
+            return let(F.struct(F.trim(g["role"]).alias("role"), bare(g["org"]).alias("org"), spoken.alias("spoken")), placed)
 
-    def read(pattern: str) -> Column:
-        at = lambda i: F.regexp_extract(plain, pattern, i)
-        bare = lambda x: F.trim(F.regexp_replace(F.trim(x), ",+$", ""))
-        spoken = F.when((at(3) != "") & (at(4) != ""), F.concat(dotted(at(3)), F.lit(" – "), dotted(at(4)))).when(at(3) != "", F.concat(F.lit("from "), dotted(at(3)))).otherwise("")
-        org = bare(at(2))
-        dated = (spoken == "") & org.rlike(OCCUPATION_YEARS)
-        year = lambda i: F.regexp_extract(org, OCCUPATION_YEARS, i)
-        period = F.when(dated, F.concat_ws(" – ", year(2), non_empty(year(3)))).otherwise(spoken)
-        place = F.when(dated, bare(year(1))).otherwise(org)
-        return F.when(place != "", F.struct(F.trim(at(1)).alias("role"), place.alias("org"), period.alias("period")))
+        names = ("role", "org", "from", "to")
+        return let(F.struct(*[F.regexp_extract(plain, pattern, i).alias(name) for i, name in enumerate(names, 1)]), grouped)
 
-    return F.when(plain.rlike(OCCUPATION_AT), read(OCCUPATION_AT)).when(plain.rlike(OCCUPATION_OF), read(OCCUPATION_OF))
+    return let(F.regexp_replace(F.trim(text), r"\.$", ""), lambda p: F.when(p.rlike(OCCUPATION_AT), read(p, OCCUPATION_AT)).when(p.rlike(OCCUPATION_OF), read(p, OCCUPATION_OF)))
 
 
 def qualification(text: Column) -> Column:
@@ -289,12 +305,16 @@ def utf16_length(text: Column) -> Column:
 
 def utf16_slice(text: Column, units: int) -> Column:
     """The first ``units`` UTF-16 units; a pair that would be cut goes."""
-    kept = F.aggregate(
-        F.split(F.substring(text, 1, units), ""),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")),
-        lambda s, c: let(s["n"] + utf16_length(c), lambda n: F.struct(n.alias("n"), (s["chars"] + F.when(n <= units, 1).otherwise(0)).alias("chars"))),
-    )
-    return F.when(utf16_length(text) <= units, text).otherwise(F.substr(text, F.lit(1), kept["chars"]))
+
+    def cut(head: Column) -> Column:
+        kept = F.aggregate(
+            F.split(head, ""),
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")),
+            lambda s, c: let(s["n"] + utf16_length(c), lambda n: F.struct(n.alias("n"), (s["chars"] + F.when(n <= units, 1).otherwise(0)).alias("chars"))),
+        )
+        return F.when(head.rlike(r"[\x{10000}-\x{10FFFF}]"), F.substr(head, F.lit(1), kept["chars"])).otherwise(head)
+
+    return let(F.substring(text, 1, units), cut)
 
 
 def title_tier(title: Column) -> Column:
