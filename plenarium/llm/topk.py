@@ -88,11 +88,15 @@ class _Best:
         self.scores = np.full((queries, k), NOTHING)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
-    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """Scores of candidates ``ids`` for the queries ``who``, whose own ids are no candidates."""
         # Only rows with a score that reaches the queries' k-th best can change anything.
-        who, scores = (x[scores.max(axis=1) >= self.scores[who, -1]] for x in (who, scores))
+        can = scores.max(axis=1) >= self.scores[who, -1]
+        who, scores, own = who[can], scores[can], own[can]
         if not len(who):
             return
+        scores = np.rint(scores).astype(np.int64) if scores.dtype == np.float64 else scores
+        scores[own[:, None] == ids[None, :]] = NOTHING
         all_scores = np.concatenate([self.scores[who], scores], axis=1)
         all_ids = np.concatenate([self.ids[who], np.broadcast_to(ids, scores.shape)], axis=1)
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
@@ -120,6 +124,8 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray
     allowed = _highest(_distances(queries, pivots, top, exact, False), _squares(queries), low, high, top)
     rank = np.argsort(-allowed, axis=1, kind="stable")
     best, floors, evaluated = _Best(len(queries), k), floors.astype(np.float64), 0
+    # Converted once; doubles hold the products exactly.
+    left, right = (queries.astype(np.float64), candidates.astype(np.float64)) if exact else (queries, candidates)
     wave, size = 0, 1
     while wave < len(starts):
         chosen = rank[:, wave : wave + size]
@@ -132,12 +138,9 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray
         who, groups = who[by_group], groups[by_group]
         for some in np.split(np.arange(len(who)), np.flatnonzero(np.diff(groups)) + 1):
             here = slice(starts[groups[some[0]]], starts[groups[some[0]]] + group)
-            scores = _products(queries[who[some]], candidates[here], exact)
+            scores = left[who[some]] @ right[here].T
             evaluated += scores.size
-            own = query_ids[who[some], None] == ids[None, here]
-            if own.any():
-                scores[own] = NOTHING
-            best.add(who[some], scores, ids[here])
+            best.add(who[some], scores, ids[here], query_ids[who[some]])
         reached = best.ids[:, -1] != np.iinfo(np.int64).max
         floors[reached] = np.maximum(floors[reached], best.scores[reached, -1])
         wave, size = wave + size, 2 * size
@@ -156,6 +159,18 @@ def spread_pivots(x: np.ndarray, n: int, top: float) -> np.ndarray:
     return np.array(chosen)
 
 
+def blocks_of(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each cell the number of its first block and how many it has; small cells share one, large ones are split."""
+    out, number, held = {}, 0, 0
+    for cell, size in sizes.items():
+        parts = max(1, -(-size // most))
+        if held and held + size > most:
+            number, held = number + 1, 0
+        out[cell] = number, parts
+        number, held = (number + parts, 0) if parts > 1 else (number, held + size)
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, query_block: int = 1024, candidate_block: int = 8192, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` best other vectors by inner product.
 
@@ -168,9 +183,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
 
     A hashed sample of ``sample`` rows is the only part that reaches the driver.  ``pivots``
     of them are chosen for their spread; each vector belongs to the cell of its nearest
-    pivot.  A query goes only to cells whose range of pivot distances can beat the ``k``-th
-    best of the sample; there queries and candidates meet in blocks, each pair of blocks in
-    a task of its own, and only each query's best of a block leave it.
+    pivot.  Blocks hold whole small cells or parts of a large one.  A query goes only to
+    blocks of cells whose range of pivot distances can beat the ``k``-th best of the sample;
+    each pair of blocks meets in a task of its own, and only each query's best leave it.
     """
     spark = vectors.sparkSession
     square = F.aggregate("vector", F.lit(0).cast("double"), lambda s, c: s + c.cast("double") * c)
@@ -196,7 +211,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     cells = ranges.toPandas().sort_values(["cell", "pivot"])
     numbers, sizes = cells["cell"].unique(), cells.groupby("cell")["n"].first().to_numpy()
     low, high = (cells[c].to_numpy().reshape(len(numbers), -1) for c in ("low", "high"))
-    asked = {r["cell"]: r["count"] for r in measured.where("is_query").groupBy("cell").count().collect()}
+    asked = {r["cell"]: r["count"] for r in measured.where("is_query").groupBy("cell").count().orderBy("cell").collect()} or {0: 0}
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,17 +223,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
             yield batch[["vec_id", "vector", "cell"]].assign(floor=floors, cells=[numbers[o].tolist() for o in open_cells])
 
     own = F.xxhash64("vec_id")
-    blocks = {int(c): -(-int(s) // candidate_block) for c, s in zip(numbers, sizes, strict=True)}
-    of_cell = lambda counts, cell: F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), cell)
-    query_blocks = {c: -(-s // query_block) for c, s in asked.items()} or {0: 1}
+    of_cell = lambda places, cell, i: F.element_at(F.create_map(*[F.lit(x) for c, place in places.items() for x in (c, place[i])]), cell)
+    in_block = lambda places: (of_cell(places, F.col("cell"), 0) + F.pmod(own, of_cell(places, F.col("cell"), 1))).cast("int")
+    ask_blocks, blocks = blocks_of(asked, query_block), blocks_of(dict(zip(map(int, numbers), map(int, sizes), strict=True)), candidate_block)
     queries = measured.where("is_query").mapInPandas(ask, "vec_id long, vector array<long>, cell int, floor long, cells array<int>")
-    queries = queries.withColumn("qb", F.pmod(own, of_cell(query_blocks, F.col("cell"))).cast("int"))
-    queries = queries.select("vec_id", "vector", "floor", F.col("cell").alias("qc"), "qb", F.explode("cells").alias("cell"))
-    queries = stage(queries, "queries")
-    met = queries.select(*[F.col(c).alias(c) for c in ("qc", "qb", "cell")]).distinct()
-    left = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), (of_cell(blocks, F.col("cell")) - 1).cast("int"))))
-    right = measured.select("vec_id", "vector", "table", "cell", F.pmod(own, of_cell(blocks, F.col("cell"))).cast("int").alias("cb"))
-    right = right.join(met, "cell").select(*[F.col(c).alias(c) for c in ("vec_id", "vector", "table", "qc", "qb", "cell", "cb")])
+    met_blocks = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.sequence(of_cell(blocks, c, 0), of_cell(blocks, c, 0) + of_cell(blocks, c, 1) - 1))))
+    queries = stage(queries.select("vec_id", "vector", "floor", in_block(ask_blocks).alias("qb"), met_blocks.alias("cbs")), "queries")
+    left = queries.select("vec_id", "vector", "floor", "qb", F.explode("cbs").alias("cb"))
+    # As many rows as there are pairs of blocks that meet.
+    met = left.select(*[F.col(c).alias(c) for c in ("qb", "cb")]).distinct()
+    right = measured.select("vec_id", "vector", "table", in_block(blocks).alias("cb")).join(met, "cb").select(*[F.col(c).alias(c) for c in ("vec_id", "vector", "table", "qb", "cb")])
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not (len(q) and len(c)):
@@ -228,7 +242,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
         )
         return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
 
-    key = ["qc", "qb", "cell", "cb"]
+    key = ["qb", "cb"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     answer = stage(pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
