@@ -40,6 +40,8 @@ BLOCK = 1024
 #: Shingles that one task holds for them, in the mean, 8 bytes each.
 BLOCK_SHINGLES = 4_000_000
 LEADERS = 32
+#: Characters of text whose sets a task has at a time, a longer text apart.
+SET_BYTES = 4 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -403,7 +405,11 @@ def _components_of(rows: DataFrame, words: int, percent: int, block: int, block_
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="text").assign(shingles=[shingle_set(text, words).astype("<u8").tobytes() for text in batch["text"]])
+            plain = batch.drop(columns="text")
+            # Sets are larger than texts, so they leave a few at a time.
+            for some in chunks(enumerate(batch["text"]), lambda x: len(x[1]), SET_BYTES):
+                sets = [shingle_set(text, words).astype("<u8").tobytes() for _, text in some]
+                yield plain.iloc[some[0][0] : some[-1][0] + 1].assign(shingles=sets)
 
     wanted = members.select("first.file", "first.place", "cluster", "blocks", "cid", "n_shingles", "sketch")
     texts = rows.select("file", "place", F.col("row.text").alias("text")).join(wanted, ["file", "place"]).drop("file", "place")

@@ -501,15 +501,43 @@ def test_piece_law(monkeypatch):
 
 
 def test_pipeline(spark):
+    """Stage by stage against brute force over a whole table, and as one run."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    after = {}
     for name, step in corpus_pipeline.STAGES:
-        new = step(spark, docs, SF)
-        assert name == "packing" or new.columns == docs.columns
-        docs = new.cache()
-    got = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
-    assert got == {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()}
-    texts = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[A-Za-z]'").select(F.count_distinct("text")).first()[0]
-    assert 0.5 * texts < len(got) <= texts
+        docs = step(spark, docs, SF).cache()
+        assert name == "packing" or docs.columns == columns
+        after[name] = {r.doc_id: r.text for r in docs.collect()} if name != "packing" else docs.collect()
+
+    assert after["language_id"] == {i: t for i, t in texts.items() if t and any(map(str.isalpha, t))}
+    first = {}
+    for i, t in sorted(after["language_id"].items()):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)
+    assert after["exact_dedup"] == {i: texts[i] for i in first.values()}
+    sets = {}
+    for i, t in after["exact_dedup"].items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert after["near_dedup"] == {i: texts[i] for i in sets if find(i) == i}
+    assert set(after["pii"]) == set(after["near_dedup"]) and any(after["pii"][i] != texts[i] for i in after["pii"])
+    tokenizer = packing.encoder(packing.default_tokenizer()).tokenizer
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in after["pii"].items()}
+    want = {(i, s, zlib.crc32(x[s : s + 2048].tobytes()), len(x)) for i, x in ids.items() for s in range(0, len(x), 2048)}
+    assert {(r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in after["packing"]} == want and len(after["packing"]) == len(want)
+    assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, after["packing"]))
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
