@@ -156,7 +156,8 @@ def _cleaned(docs: DataFrame, mean_lines: int, run_words: int | None, stored: bo
     total = found.count()
     # Rows of a hash that very many share stay where they are.
     repeated = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = join_groups(found, repeated, "hash", total).groupBy("file", "place").agg(F.collect_set("hash").alias("hashes"))
+    # Staged, so that the plan that moves the texts has no broadcast, which would keep its files.
+    wanted = stage(join_groups(found, repeated, "hash", total).groupBy("file", "place").agg(F.collect_set("hash").alias("hashes")), "wanted")
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,6 +179,7 @@ def _cleaned(docs: DataFrame, mean_lines: int, run_words: int | None, stored: bo
     one = F.struct("first.file", "first.place", "first.line", F.when(F.col("contents") > 1, F.col("chunk")).alias("chunk"))
     firsts = stage(same.withColumn("contents", contents_of).where("n > 1").groupBy("hash").agg(F.collect_list(one).alias("firsts"), F.sum("n").alias("n")), "firsts")
     # The first pass has moved the texts once; its files go before they move again.
+    discard(wanted)
     del bytes_of, same, wanted, repeated
     release(docs.sparkSession)
     decided = join_groups(found, firsts, "hash", total).groupBy("file", "place").agg(F.collect_set(F.struct("hash", "firsts")).alias("repeats"))
