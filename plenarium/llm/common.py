@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -123,7 +124,10 @@ def chunks(items: Iterable, size, most: int = 1 << 20) -> Iterator[list]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, on either side."""
+    gc.collect()
+    # The plan that ran last is referred to until another one runs.
+    spark.range(1).count()
     spark._jvm.System.gc()
 
 
