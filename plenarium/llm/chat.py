@@ -70,9 +70,11 @@ def _ordered_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = encoder(tokenizer)
+        # The last line feed stands apart, and without it most turns are words that are known.
+        last = len(next(words.encode(["\n"]))) // 4
         for batch in batches:
-            turn_texts = map(shown, batch["role"], batch["text"])
-            yield batch.assign(tokens=np.array([len(ids) // 4 for ids in words.encode(turn_texts)], dtype="int64"))
+            turn_texts = (shown(role, text)[:-1] for role, text in zip(batch["role"], batch["text"], strict=True))
+            yield batch.assign(tokens=np.array([len(ids) // 4 + last for ids in words.encode(turn_texts)], dtype="int64"))
         words.forget()
 
     plain = turns.select(
