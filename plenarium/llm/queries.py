@@ -12,6 +12,7 @@ from .pii import op6_pii
 from .sentencepieces import op10_sentencepieces
 from .sharding import op1_sharding
 from .topk import OP2_SQL, op2_exact_topk
+from .vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
+    "op11_vector_codes": op11_vector_codes,
 }
 ORACLE_SQL = {
     "op2_exact_topk": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
