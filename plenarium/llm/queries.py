@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op8_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .language_id import op4_language_id
 from .line_dedup import op7_line_dedup
 from .near_dedup import op5_near_dedup
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_sentencepieces": op10_sentencepieces,
     "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLE_SQL = {
     "op2_exact_topk": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

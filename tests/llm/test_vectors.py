@@ -4,8 +4,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plenarium.llm import vector_codes
+from plenarium.llm import hard_negatives, vector_codes
 
 ODD = [(900, None, 1), (950, [1.0, None], 2), (1000, [float("nan")] * 6, 3), (1050, [float("inf")] * 6, 1)]
 SCHEMA = "vec_id long, embedding array<double>, label int, code string, kept string, score string"
@@ -98,3 +99,60 @@ def test_code_query(spark, tmp_path):
     for (i, _, label), code, error in zip(rows, codes, errors, strict=True):
         total = sum(e for e, (_, _, other) in zip(errors, rows, strict=True) if other == label)
         assert tuple(got[i]) == (i, "".join(f"{c:02x}" for c in code), error, total, digest)
+
+
+def plain_negatives(x, labels, ids, positives=5, negatives=5):
+    v = [[int(c) for c in row] for row in np.floor(256 * x)]
+    out = []
+    for a in (i for i in ids if i % 5 == 0):
+        at = ids.index(a)
+        scores = sorted(((-sum(p * q for p, q in zip(v[at], v[i], strict=True)), ids[i], labels[i]) for i in range(len(ids)) if i != at))
+        for good, positive, _ in [s for s in scores if s[2] == labels[at]][:positives]:
+            fitting = [s for s in scores if s[2] != labels[at] and 80 * -good <= 100 * -s[0] <= 100 * -good]
+            out += [(a, positive, r, n, -good, -s) for r, (s, n, _) in enumerate(fitting[:negatives], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("n", "blocks", "together"), [(0, (4, 8), 64), (4, (4, 8), 64), (200, (8, 16), 3), (200, (4096, 8192), 64)])
+def test_hard_negatives(spark, monkeypatch, n, blocks, together):
+    """Ties, one label with most rows, labels of one row, and rows that take no part."""
+    monkeypatch.setattr(hard_negatives, "TOGETHER", together)
+    x, labels = grid(n, step=0.5), [0 if i % 3 else i % 7 if i % 13 else 100 + i for i in range(n)]
+    rows = [(i, v.tolist(), label) for i, (v, label) in enumerate(zip(x, labels, strict=True))] + ODD + [(1100, [1.0] * 6, None), (None, [1.0] * 6, 1), (1200, [1e9] * 6, 1)]
+    rows += [(2, x[2].tolist(), labels[2])] if n else []
+    got = hard_negatives.hard_negatives(frame(spark, rows), F.col("vec_id") % 5 == 0, query_block=blocks[0], candidate_block=blocks[1]).collect()
+    assert sorted(map(tuple, got)) == plain_negatives(x, labels, list(range(n)))
+
+
+def test_shorter_vectors_and_text_labels(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [1.0], "a"), (2, [0.9, 0.5], "b"), (3, [0.95], "b"), (4, [], "c")]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = hard_negatives.hard_negatives(frame_, F.col("vec_id") == 0).collect()
+    assert [(r.positive_id, r.rank, r.negative_id, r.positive_score, r.negative_score) for r in got] == [(1, 1, 3, 65536, 62208), (1, 2, 2, 65536, 58880)]
+
+
+def test_planes_drop_candidates():
+    """Fewer pairs are read with each plane, and large components stay exact."""
+    rng = np.random.default_rng(3)
+    x = np.floor(2.0**20 * rng.standard_normal((4000, 16))).astype(np.int64)
+    bits = int(np.abs(x).max() + 1).bit_length() + 1
+    planes = np.unpackbits(hard_negatives.slice_bits(x, bits), axis=2)[:, :, :16]
+    assert (hard_negatives._joined(planes) == x).all()
+    anchors, ids, scores = x[:20], np.arange(4000), x[:20] @ x.T
+    low, high = np.full(20, hard_negatives.LOWEST), np.full(20, hard_negatives.HIGHEST)
+    s, found, score, read = hard_negatives.sliced_best(anchors, np.arange(20), low, high, planes, ids, np.ones((20, 4000), bool), 5)
+    assert read == sorted(read, reverse=True) and read[-1] < 0.01 * read[0]
+    for a in range(20):
+        want = np.lexsort((ids, -scores[a]))[:5]
+        assert found[s == a].tolist() == want.tolist() and score[s == a].tolist() == scores[a][want].tolist()
+
+
+def test_few_pairs_from_the_start():
+    """Where few pairs take part, no plane is read densely, and negative anchors keep their candidates."""
+    x = np.array([[-9, -7], [-8, 3], [5, -8], [-9, -9], [4, 4], [7, -1]])
+    planes = np.unpackbits(hard_negatives.slice_bits(x, 5), axis=2)[:, :, :2]
+    allowed = np.zeros((40, 6), bool)
+    allowed[0] = True
+    anchors = np.tile([[-9, -1]], (40, 1))
+    s, found, score, _ = hard_negatives.sliced_best(anchors, np.arange(40), np.full(40, -1000), np.full(40, 88), planes, np.arange(6), allowed, 2)
+    assert s.tolist() == [0, 0] and list(zip(found.tolist(), score.tolist(), strict=True)) == [(0, 88), (1, 69)]
