@@ -8,6 +8,7 @@ from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .language_id import op4_language_id
 from .line_dedup import op7_line_dedup
 from .near_dedup import op5_near_dedup
+from .neighbours import op13_near_neighbours
 from .packing import op9_packing
 from .pii import op6_pii
 from .sentencepieces import op10_sentencepieces
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_sentencepieces": op10_sentencepieces,
     "op11_vector_codes": op11_vector_codes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_near_neighbours": op13_near_neighbours,
 }
 ORACLE_SQL = {
     "op2_exact_topk": OP2_SQL,

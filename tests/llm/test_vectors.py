@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plenarium.llm import hard_negatives, vector_codes
+from plenarium.llm import hard_negatives, neighbours, vector_codes
 
 ODD = [(900, None, 1), (950, [1.0, None], 2), (1000, [float("nan")] * 6, 3), (1050, [float("inf")] * 6, 1)]
 SCHEMA = "vec_id long, embedding array<double>, label int, code string, kept string, score string"
@@ -156,3 +156,73 @@ def test_few_pairs_from_the_start():
     anchors = np.tile([[-9, -1]], (40, 1))
     s, found, score, _ = hard_negatives.sliced_best(anchors, np.arange(40), np.full(40, -1000), np.full(40, 88), planes, np.arange(6), allowed, 2)
     assert s.tolist() == [0, 0] and list(zip(found.tolist(), score.tolist(), strict=True)) == [(0, 88), (1, 69)]
+
+
+def plain_neighbours(x, ids, queries, k):
+    """(query, vec_id) to score of each query's nearest, ties to smaller ids."""
+    out = {}
+    for q in queries:
+        at = ids.index(q)
+        scores = [float(s) for s in neighbours.products(np.broadcast_to(x[at], x.shape), x)]
+        best = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if i != q)[:k]
+        out |= {(q, i): -s for s, i in best}
+    return out
+
+
+def searched(got, x, ids, k, least):
+    """Ranks, scores and number of what was found, and the share of the true neighbours in it."""
+    queries = sorted({r.query_id for r in got})
+    want, at = plain_neighbours(x, ids, queries, k), {i: j for j, i in enumerate(ids)}
+    for q in queries:
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, min(k, len(ids) - 1) + 1)) and len({r.vec_id for r in mine}) == len(mine)
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+        assert all(r.score == neighbours.products(x[[at[q]]], x[[at[r.vec_id]]])[0] and r.vec_id != q for r in mine)
+    met = sum((r.query_id, r.vec_id) in want for r in got)
+    assert met >= least * len(want)
+    return queries
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 90])
+def test_few_neighbours(spark, n):
+    """Small tables give all there is: rows that take no part, repeats, ties and norms of all sizes."""
+    x = grid(n) * np.array([10.0 ** (i % 4 - 2) for i in range(n)])[:, None] + (0.25 if n else 0)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + ODD + [(None, [1.0] * 6, 1), (1100, [0.0] * 6, 1), (1200, [], 1), (1300, [1e200] * 6, 1)]
+    rows += [(0, x[0].tolist(), 3)] if n else []
+    got = neighbours.neighbours(frame(spark, rows), F.col("vec_id") % 5 == 0, k=20, rows_per_list=16, slab=8, query_block=4).collect()
+    assert searched(got, x, list(range(n)), 20, 1.0 if n < 20 else 0.95) == (list(range(0, n, 5)) if n > 1 else [])
+
+
+def test_neighbours_of_clusters(spark):
+    """Clustered rows, a third of them equal, are found with few lists; slabs and blocks are small."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20, 24))[rng.integers(0, 20, 3000)] + 0.2 * rng.standard_normal((3000, 24))
+    x[::3] = x[0]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = neighbours.neighbours(frame(spark, rows), F.col("vec_id") % 50 == 1, rows_per_list=100, slab=64, query_block=16, sample=(4, 200, 400)).collect()
+    assert searched(got, x, list(range(3000)), 20, 0.9) == list(range(1, 3000, 50))
+
+
+def test_scan_gives_up_pairs():
+    """Most pairs go before their last column block, and few true neighbours with them."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 128))[rng.integers(0, 40, 4000)] + 0.5 * rng.standard_normal((4000, 128))
+    top, ids = float(np.sqrt((x**2).sum(1).max())), np.arange(4000)
+    turn = neighbours.rotation(129)
+    assert np.allclose(turn @ turn.T, np.eye(129))
+    parts = neighbours.column_blocks(129)
+    cut = lambda v: [np.ascontiguousarray((v @ turn).astype(np.float32)[:, p]) for p in parts]
+    queries = x[:50]
+    q, c, s, read = neighbours.scan(queries, ids[:50], cut(neighbours.asking(queries)), np.full(50, -np.inf), top, x, ids, cut(neighbours.lifted(x, top)), 10)
+    want = {(int(i), int(j)) for i in range(50) for j in [j for j in np.argsort(-(x @ x[i]), kind="stable") if j != i][:10]}
+    assert len(want & set(zip(q.tolist(), c.tolist(), strict=True))) >= 0.97 * len(want)
+    assert sum(read[:-1]) < 0.6 * len(parts) * 50 * 4000 and read[-1] < 0.2 * 50 * 4000
+
+
+def test_neighbour_query(spark):
+    """Recall of the query itself on a whole table."""
+    folder = "/root/testdata/sf0.1"
+    got = neighbours.op13_near_neighbours(spark, folder).collect()
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], dtype=np.float64), [r.vec_id for r in rows]
+    assert searched(got, x, ids, 20, 0.9) == sorted(i for i in ids if i % 20 == 0)
