@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ ROUNDS = 8
 #: Dates are the LAST days from EPOCH, to 2099-12-31; 213 * 343 is the network's own domain.
 EPOCH, LAST, DAYS = "1900-01-01", 73_049, (213, 343)
 
+#: Country codes of telephone numbers have one, two or three digits, and none begins another.
+COUNTRY_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?"
 #: Runs of these, joined by single dots, one of them of 8 or more after shorter ones; to its end, with = padding.
@@ -49,25 +53,48 @@ def _number(digest: Column, start: Column | int, hexits: int) -> Column:
     return F.conv(F.substring(digest, start, hexits) if isinstance(start, int) else F.substr(digest, start, F.lit(hexits)), 16, 10).cast("long")
 
 
-def permuted_number(left: Column, right: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
-    """A keyed permutation of pairs (left, right) below ``sizes``, as struct l, r."""
+def permuted_number(left: Column, right: Column, sizes: tuple, key: str, kind: str | Column) -> Column:
+    """A keyed permutation of pairs (left, right) below ``sizes`` (numbers or columns), as struct l, r."""
+    below = [s if isinstance(s, Column) else F.lit(s).cast("long") for s in sizes]
 
     def draw(r: Column, side: str, other: Column) -> Column:
-        return _number(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.lit(side), other.cast("string")).cast("binary"), 256), 1, 12)
+        named = kind if isinstance(kind, Column) else F.lit(kind)
+        return _number(F.sha2(F.concat_ws("|", F.lit(key), named, r.cast("string"), F.lit(side), other.cast("string")).cast("binary"), 256), 1, 12)
 
     def step(pair: Column, r: Column) -> Column:
-        new_left = F.pmod(pair["l"] + draw(r, "l", pair["r"]), F.lit(sizes[0]).cast("long"))
-        return let(new_left, lambda x: F.struct(x.alias("l"), F.pmod(pair["r"] + draw(r, "r", x), F.lit(sizes[1]).cast("long")).alias("r")))
+        new_left = F.pmod(pair["l"] + draw(r, "l", pair["r"]), below[0])
+        return let(new_left, lambda x: F.struct(x.alias("l"), F.pmod(pair["r"] + draw(r, "r", x), below[1]).alias("r")))
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step)
 
 
-def permuted_text(text: Column, alphabet: Callable[[Column, Column], Column], key: str, kind: str) -> Column:
+def _few(chars: Column, key: str, kind: Column) -> Column:
+    """One or two characters, which leave a half of a network empty or tiny: a permutation of the numbers they stand for.
+
+    The network's own domain is the next square; what falls outside is permuted again.
+    """
+    size = lambda i: F.coalesce(F.length(F.get(chars, F.lit(i))["al"]), F.lit(1)).cast("long")
+    place = lambda i: F.coalesce(F.instr(F.get(chars, F.lit(i))["al"], F.get(chars, F.lit(i))["c"]) - 1, F.lit(0)).cast("long")
+    letter = lambda i, at: F.coalesce(F.substr(F.get(chars, F.lit(i))["al"], at.cast("int") + 1, F.lit(1)), F.lit(""))
+    domain = F.struct((size(0) * size(1)).alias("n"), F.ceil(F.sqrt(size(0) * size(1))).cast("long").alias("side"), size(1).alias("second"), (place(0) * size(1) + place(1)).alias("x"))
+
+    def run(d: Column) -> Column:
+        moved = lambda x: let(permuted_number(F.floor(x / d["side"]), x % d["side"], (d["side"], d["side"]), key, kind), lambda y: y["l"] * d["side"] + y["r"])
+        walk = F.sequence(F.lit(0).cast("long"), d["side"] * d["side"] - d["n"])
+        last = F.aggregate(walk, d["x"], lambda x, i: F.when((i > 0) & (x < d["n"]), x).otherwise(moved(x)))
+        return let(last, lambda x: F.concat(letter(0, F.floor(x / d["second"])), letter(1, x % d["second"])))
+
+    return let(domain, run)
+
+
+def permuted_text(text: Column, alphabet: Callable[[Column, Column], Column], key: str, kind: str | Column, tweak: Column | None = None) -> Column:
     """A keyed permutation of strings: each character moves inside its own alphabet.
 
-    ``alphabet`` gives it from the character and its place from 0; '' keeps a character.
+    ``alphabet`` gives it from the character and its place from 0; every character has to be
+    in its own.  ``tweak`` is what else the permutation depends on.
     """
+    named = F.concat_ws("|", kind if isinstance(kind, Column) else F.lit(kind), F.lit("") if tweak is None else tweak)
     chars = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), alphabet(c, i).alias("al")))
 
     def word(half: Column) -> Column:
@@ -77,12 +104,12 @@ def permuted_text(text: Column, alphabet: Callable[[Column, Column], Column], ke
         def one(x: Column, i: Column) -> Column:
             by = _number(F.get(digests, F.floor(i / 32).cast("int")), 4 * (i % 32) + 1, 4)
             place = F.pmod(F.instr(x["al"], x["c"]) - 1 + by, F.length(x["al"])).cast("int") + 1
-            return F.struct(F.when(x["al"] == "", x["c"]).otherwise(F.substr(x["al"], place, F.lit(1))).alias("c"), x["al"].alias("al"))
+            return F.struct(F.substr(x["al"], place, F.lit(1)).alias("c"), x["al"].alias("al"))
 
         return F.transform(half, one)
 
     def step(halves: Column, r: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), word(halves["b"])).cast("binary"), 512)
+        digest = F.sha2(F.concat_ws("|", F.lit(key), named, r.cast("string"), word(halves["b"])).cast("binary"), 512)
         # A digest moves 32 characters; each further 32 have one of their own.
         more = lambda d: F.transform(F.sequence(F.lit(0), F.floor((F.size(halves["a"]) - 1) / 32).cast("int")), lambda k: F.when(k == 0, d).otherwise(F.sha2(F.concat_ws("|", d, k.cast("string")).cast("binary"), 512)))
         own = lambda d: F.when(F.size(halves["a"]) > 32, more(d)).otherwise(F.array(d))
@@ -92,21 +119,30 @@ def permuted_text(text: Column, alphabet: Callable[[Column, Column], Column], ke
         half = F.floor(F.size(all_chars) / 2).cast("int")
         start = F.struct(F.slice(all_chars, F.lit(1), half).alias("a"), F.slice(all_chars, half + 1, F.size(all_chars) - half).alias("b"))
         halves = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-        return let(halves, lambda h: F.concat(word(h["a"]), word(h["b"])))
+        return F.when(F.size(all_chars) < 3, _few(all_chars, key, named)).otherwise(let(halves, lambda h: F.concat(word(h["a"]), word(h["b"]))))
 
-    return let(chars, run)
+    return F.when(F.length(text) == 0, text).otherwise(let(chars, run))
 
 
 def _letters(c: Column) -> Column:
-    """The character's own kind: digit, lower or upper case."""
-    out = F.when(c.rlike("^[0-9]$"), DIGITS).when(c.rlike("^[a-z]$"), LOWER).when(c.rlike("^[A-Z]$"), UPPER)
-    return out.otherwise("")
+    """The character's own kind: lower or upper case, else digit."""
+    return F.when(c.rlike("^[a-z]$"), LOWER).when(c.rlike("^[A-Z]$"), UPPER).otherwise(DIGITS)
 
 
 def _digits_of(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, "[^A-Za-z0-9]", "")
+
+
+def respelled(text: Column, bare: Column, kept: str = "[A-Za-z0-9]") -> Column:
+    """``text`` with its characters of ``kept`` replaced in turn by those of ``bare``; all between them stays."""
+    pairs = F.zip_with(F.split(text, kept, -1), F.split(bare, ""), lambda gap, c: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(c, F.lit(""))))
+    return F.array_join(pairs, "")
+
+
 def luhn_digit(payload: Column) -> Column:
     """The check digit that follows a string of digits."""
     values = F.transform(
@@ -124,21 +160,20 @@ def iban_rest(country_and_check: Column, account: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """The number whatever its spelling; the last digit is the check."""
     digits = _digits_of(m)
-    payload = lambda d: F.substr(d, F.lit(1), F.length(d) - 1)
-    last = F.length(m) - 1
-    moved = permuted_text(m, lambda c, i: F.when((i < last) & c.rlike("^[0-9]$"), DIGITS).otherwise(""), key, "card")
-    whole = let(moved, lambda x: F.concat(F.substr(x, F.lit(1), last), luhn_digit(payload(_digits_of(x)))))
-    return F.when(luhn_digit(payload(digits)) == F.substr(digits, F.length(digits), F.lit(1)), whole).otherwise(m)
+    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    whole = let(permuted_text(payload, lambda c, i: F.lit(DIGITS), key, "card"), lambda x: respelled(m, F.concat(x, luhn_digit(x)), "[0-9]"))
+    return F.when(luhn_digit(payload) == F.right(digits, F.lit(1)), whole).otherwise(m)
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = lambda x: F.regexp_replace(x, " ", "")
-    head, account = F.substring(m, 1, 4), lambda x: plain(F.substr(x, F.lit(5), F.length(x)))
-    moved = permuted_text(m, lambda c, i: F.when(i < 4, "").otherwise(_letters(c)), key, "iban")
-    check = lambda x: F.lpad((98 - iban_rest(F.concat(F.substring(x, 1, 2), F.lit("00")), account(x))).cast("string"), 2, "0")
-    whole = let(moved, lambda x: F.concat(F.substring(x, 1, 2), check(x), F.substr(x, F.lit(5), F.length(x))))
-    return F.when(iban_rest(head, account(m)) == 1, whole).otherwise(m)
+    """The account whatever its spelling, within its country; the check is worked out again."""
+    plain = _bare(m)
+    country, account = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain))
+    check = lambda x: F.lpad((98 - iban_rest(F.concat(country, F.lit("00")), x)).cast("string"), 2, "0")
+    whole = let(permuted_text(account, lambda c, i: _letters(c), key, "iban", country), lambda x: respelled(m, F.concat(country, check(x), x)))
+    return F.when(iban_rest(F.substring(plain, 1, 4), account) == 1, whole).otherwise(m)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -170,9 +205,9 @@ def _day(day: Column, key: str) -> Column:
     number bounds the walk.
     """
     moved = lambda n: let(permuted_number(F.floor(n / DAYS[1]), n % DAYS[1], DAYS, key, "date"), lambda x: x["l"] * DAYS[1] + x["r"])
-    walk = F.sequence(F.lit(1), F.lit(DAYS[0] * DAYS[1] - LAST))
+    walk = F.sequence(F.lit(0), F.lit(DAYS[0] * DAYS[1] - LAST))
     n = F.datediff(day, F.lit(EPOCH).cast("date")).cast("long")
-    last = F.aggregate(walk, moved(n), lambda x, _: F.when(x < LAST, x).otherwise(moved(x)))
+    last = F.aggregate(walk, n, lambda x, k: F.when((k > 0) & (x < LAST), x).otherwise(moved(x)))
     return let(last, lambda x: F.date_add(F.lit(EPOCH).cast("date"), x.cast("int")))
 
 
@@ -200,37 +235,50 @@ def _date(m: Column, key: str) -> Column:
     return let(F.coalesce(european, american), lambda x: F.when(x.isNotNull(), let(_day(x, key), write)).otherwise(m))
 
 
-def _us_phone(m: Column, key: str) -> Column:
-    skip = F.length(F.regexp_extract(m, r"^\+1[ .-]?", 0))
+def _us_digits(c: Column, i: Column) -> Column:
+    """Area code and exchange don't begin with 0 or 1, or begin with one of these again."""
+    return F.when(~i.isin(0, 3), DIGITS).when(c.isin("0", "1"), DIGITS[:2]).otherwise(DIGITS[2:])
 
-    def alphabet(c: Column, i: Column) -> Column:
-        before = F.length(_digits_of(F.substr(m, skip + 1, i - skip)))
-        return F.when((i < skip) | ~c.rlike("^[0-9]$"), "").when(before.isin(0, 3), DIGITS[2:]).otherwise(DIGITS)
 
-    return permuted_text(m, alphabet, key, "us_phone")
+def _us_phone(m: Column, key: str) -> Column:
+    """The ten digits, whatever their spelling, with or without the country's 1."""
+    skip = F.length(F.regexp_extract(m, r"^\+1[ .-]?", 0))
+    rest = F.substr(m, skip + 1, F.length(m))
+    return F.concat(F.substr(m, F.lit(1), skip), respelled(rest, permuted_text(_digits_of(rest), _us_digits, key, "us_phone"), "[0-9]"))
 
 
 def _phone(m: Column, key: str) -> Column:
-    skip = F.length(F.regexp_extract(m, r"^\+\d{1,3}", 0))
-    moved = permuted_text(m, lambda c, i: F.when((i >= skip) & c.rlike("^[0-9]$"), DIGITS).otherwise(""), key, "phone")
-    return F.when(F.length(_digits_of(m)).between(8, 15), moved).otherwise(m)
+    """The digits after the country code, whatever their spelling; a US number gets the same as without its code."""
+    digits = _digits_of(m)
+    code = F.regexp_extract(digits, COUNTRY_CODE, 0)
+    rest = F.substr(digits, F.length(code) + 1, F.length(digits))
+    us = digits.rlike(r"^1\d{10}$")
+    moved = permuted_text(rest, lambda c, i: F.when(us, _us_digits(c, i)).otherwise(DIGITS), key, F.when(us, "us_phone").otherwise("phone"), F.when(us, "").otherwise(code))
+    return F.when(F.length(digits).between(8, 15), respelled(m, F.concat(code, moved), "[0-9]")).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.instr(m, "@") - 1
-    return permuted_text(m, lambda c, i: F.when(i < local, _letters(c)).otherwise(""), key, "email")
+    """Letters and digits of the local part; the domain (whatever its case) and other characters are what they depend on."""
+    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    tweak = F.concat_ws("@", F.regexp_replace(local, "[A-Za-z0-9]", "x"), F.lower(domain))
+    return F.concat(respelled(local, permuted_text(_bare(local), lambda c, i: _letters(c), key, "email", tweak)), F.lit("@"), domain)
 
 
 def _access_key(m: Column, key: str) -> Column:
-    return permuted_text(m, lambda c, i: F.when(i >= 4, UPPER + DIGITS).otherwise(""), key, "access_key")
+    start = F.substring(m, 1, 4)
+    return F.concat(start, permuted_text(F.substr(m, F.lit(5), F.length(m)), lambda c, i: F.lit(UPPER + DIGITS), key, "access_key", start))
 
 
 def _secret(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, "^" + SECRET_NAME, 0)
     value = F.substr(m, F.length(name) + 1, F.length(m))
-    hexits = value.rlike("^[0-9a-f]+$")
-    moved = permuted_text(value, lambda c, i: F.when(hexits, HEX).otherwise(_letters(c)), key, "secret")
-    return F.concat(name, moved)
+    hexits = lambda x: x.rlike("^[0-9a-f]+$")
+    move = lambda x: permuted_text(x, lambda c, i: F.when(hexits(value), HEX).otherwise(_letters(c)), key, "secret", F.when(hexits(value), "hex").otherwise(""))
+    # Others don't become hexadecimal, so that they never meet one: permuted again while they are,
+    # which 40 times in a row leave at most one in 1e25.
+    done = lambda y: hexits(value) | ~hexits(y) | ~value.rlike("^[A-Za-z0-9]+$")
+    moved = F.aggregate(F.sequence(F.lit(0), F.lit(40)), _bare(value), lambda y, k: F.when((k > 0) & done(y), y).otherwise(move(y)))
+    return F.concat(name, respelled(value, moved))
 
 
 PSEUDONYMS: dict[str, Callable[[Column, str], Column]] = {
@@ -287,9 +335,20 @@ def _scanned(text: Column, pattern: Column, key: str, inside: bool) -> Column:
     return let(F.split(text, pattern, -1), lambda gaps: let(F.transform(found, lambda m, i: place(m, F.get(gaps, i), F.get(gaps, i + 1))), lambda new: put(gaps, new)))
 
 
-def pseudonymised(text: Column, key: str) -> Column:
-    """struct text, n: the text with pseudonyms, and how many places changed."""
-    return _scanned(text, F.lit(ANY), key, True)
+_built: dict[tuple[str, str, str], Column] = {}
+
+
+def pseudonymised(text: str, key: str) -> Column:
+    """struct text, n: the text of a column with pseudonyms, and how many places changed.
+
+    Building the expression takes seconds, so it is kept as long as the driver's context lasts.
+    """
+    one = SparkContext.getOrCreate().applicationId, text, key
+    if one not in _built:
+        if len(_built) == 8:
+            _built.clear()
+        _built[one] = _scanned(F.col(text), F.lit(ANY), key, True)
+    return _built[one]
 
 
 def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
@@ -301,7 +360,9 @@ def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
     other kinds inside it.  Dates are yyyy-mm-dd, yyyy/mm/dd, yyyy.mm.dd and d.m.yyyy,
     d/m/yyyy, d-m-yyyy (or month first); dates with month names stay.  A date's pseudonym is
     a date of the same years in the same form, whichever that is; one whose day or month has
-    a single digit is written without leading zeros again.  A named
+    a single digit is written without leading zeros again.  Card numbers, IBANs and phone
+    numbers get the same pseudonym however they are spaced, a US number also with or without
+    +1; case, spaces and marks stay as written.  An email keeps its domain.  A named
     secret is letters, digits and + / _ - of any length, inner dots and = padding included;
     it ends at any other character.  ``key`` has to be kept secret for production use.
 
@@ -309,7 +370,7 @@ def pseudonymise(docs: DataFrame, key: str = "plenarium") -> DataFrame:
     are unchanged; rows, their order in groups and all other columns stay.  An input column
     named ``n_pseudonyms`` is replaced.
     """
-    done = F.when(F.col("text").rlike("[0-9@=:]|A[KS]IA"), pseudonymised(F.col("text"), key)).otherwise(F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n")))
+    done = F.when(F.col("text").rlike("[0-9@=:]|A[KS]IA"), pseudonymised("text", key)).otherwise(F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("n")))
     names = [c for c in docs.columns if c.lower() != "n_pseudonyms"]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], done.alias("n_pseudonyms"))
     return rows.select(*[F.col("n_pseudonyms.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.col("n_pseudonyms.n").alias("n_pseudonyms"))
