@@ -56,19 +56,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, as far as needed so far."""
+def _draws(at: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each place in a word."""
+    return _mix(at.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x6A09E667F3BCC909))
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def reach(self, n: int) -> None:
-        if n > len(self.up):
-            steps = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, dtype=np.uint64)]))
-            self.up, self.down = steps(_BASE), steps(pow(_BASE, -1, 1 << 64))
-
-
-_powers = _Powers()
+#: Random numbers for each byte, and for the first places.
+_BYTES, _PLACES = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)), _draws(np.arange(4096))
 
 
 def _segments(data: bytes) -> Iterator[bytes]:
@@ -85,6 +79,23 @@ def _segments(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _sums(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the sum of its bytes' draws times its places' draws.
+
+    Two different words have equal sums with probability 2^-62 over the draws.  Powers of one
+    base would do no such thing: modulo 2^64 whole families of words collide for all bases.
+    """
+    sizes = end - start
+    if sizes.max() > _SEGMENT:
+        # A word of megabytes is summed by parts.
+        parts = [[(_BYTES[codes[at : min(at + _SEGMENT, e)]] * _draws(np.arange(at - s, min(at + _SEGMENT, e) - s))).sum(dtype=np.uint64) for at in range(s, e, _SEGMENT)] for s, e in zip(start, end, strict=True)]
+        return np.array([np.sum(p, dtype=np.uint64) for p in parts], dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    draws = _PLACES[place] if sizes.max() <= len(_PLACES) else _draws(place)
+    return np.add.reduceat(_BYTES[codes[place + np.repeat(start, sizes)]] * draws, first)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, A-Z lower-cased; words are runs of other than ASCII white space."""
     found = []
@@ -93,9 +104,7 @@ def word_hashes(text: str) -> np.ndarray:
         edge = np.flatnonzero(np.diff(np.concatenate([[True], _WHITE[codes], [True]])))
         start, end = edge[::2], edge[1::2]
         if len(start):
-            _powers.reach(len(codes) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers.up[: len(codes)])])
-            found.append(_mix((sums[end] - sums[start]) * _powers.down[start] + (end - start).astype(np.uint64)))
+            found.append(_mix(_sums(codes, start, end) + (end - start).astype(np.uint64)))
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 

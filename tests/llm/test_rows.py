@@ -215,6 +215,22 @@ def test_word_hashes_of_long_texts():
     assert near_dedup.word_hashes("beta")[0] == hashes[1]
 
 
+def test_words_without_algebraic_collisions(spark):
+    """A Thue-Morse word and its complement, which every polynomial modulo 2^64 takes for one."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = (int(near_dedup.word_hashes(w)[0]) for w in (word, other))
+    assert a != b and (a ^ b) & 0xFFFFFFFF and (a ^ b) >> 32
+    got = near_dedup.near_duplicates(docs(spark, [(1, word), (2, other), (3, word.upper())])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+    # A word is the same word in a text that is worked on by parts.
+    huge = word * 1000
+    assert near_dedup.word_hashes(f"{word} {huge} {word}").tolist() == [a, int(near_dedup.word_hashes(huge)[0]), a]
+    assert len({int(near_dedup.word_hashes(x)[0]) for x in (huge, huge[:-1] + "c", "c" + huge[1:], huge + "a")}) == 4
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(999, 500 + i) for i in range(90)] + [(7, 7)]
