@@ -523,20 +523,25 @@ def entity_documents(spark, sf):
     return spark.read.schema("n_nationkey int, n_name string").option("recursiveFileLookup", True).json(folder)
 
 
-@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || chr(10) || '"x", y' AS name, '' AS blank FROM customer""")
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || chr(10) || '"x", y' AS name, CASE WHEN c_custkey // 500 % 2 = 1 THEN c_mktsegment ELSE '' END AS segment FROM customer""")
 def titled_csv_read(spark, sf):
-    """SRC-05: a title, a header, quotes, line feeds in values, short rows."""
-    row = F.concat("c_custkey", F.lit(',"'), "c_name", F.lit('\n""x"", y"'))
-    lines = t(spark, sf, "customer").agg(F.concat(F.lit("Some title, made today\nid,name,blank\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("value"))
-    return files.titled_csv(spark, _written(spark, lines, "titled"), ["id", "name", "blank"]).select("id", "name", "blank")
+    """SRC-05: a title, headers of different orders, quotes, line feeds in values, short rows, ranges that cut records."""
+    file, even = F.floor(F.col("c_custkey") / 500), F.floor(F.col("c_custkey") / 500) % 2 == 0
+    name = F.concat(F.lit('"'), "c_name", F.lit('\n""x"", y"'))
+    rows = t(spark, sf, "customer").select(file.alias("file"), F.lit(2).alias("at"), F.when(even, F.concat("c_custkey", F.lit(","), name)).otherwise(F.concat_ws(",", "c_mktsegment", name, F.lit("-"), "c_custkey")).alias("value"))
+    heads = rows.select("file").distinct().select("file", F.posexplode(F.array(F.lit('Some "title, made today'), F.when(F.col("file") % 2 == 0, "id,name,segment").otherwise("segment,name,more,id"))).alias("at", "value"))
+    folder = work_folder(spark, "titled")
+    heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "at").drop("at").write.mode("overwrite").partitionBy("file").text(folder)
+    return files.titled_csv(spark, folder, ["id", "name", "segment"]).drop("ord")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b FROM part")
 def plain_csv_read(spark, sf):
-    """SRC-04: a header in each file, blank rows go."""
+    """SRC-04: columns by each file's header, blank rows go."""
     folder = work_folder(spark, "csv")
-    rows = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("a"), F.col("p_name").alias("b"))
-    rows.unionByName(rows.select(F.lit("").alias("a"), F.lit("").alias("b")).distinct()).write.mode("overwrite").option("header", True).csv(folder)
+    rows = t(spark, sf, "part").select(F.col("p_name").alias("b"), F.col("p_size").cast("string").alias("more"), F.col("p_partkey").cast("string").alias("a"))
+    blank = rows.select(*[F.lit("").alias(c) for c in rows.columns]).distinct()
+    rows.unionByName(blank).write.mode("overwrite").option("header", True).csv(folder)
     return files.plain_csv(spark, folder, ["a", "b"])
 
 

@@ -9,7 +9,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
+
+from .delimited import header_csv
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -37,30 +38,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def titled_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV whose first line is a title and whose second is the header; rows in file order by ``ord``.
-
-    All columns are strings, short rows are filled with '', rows without a value go.  A quoted
-    value may hold line feeds, so a file is parsed by one task; of several files each has its
-    own.  What precedes the header, the row that equals ``columns``, goes with it.
-    """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(path).fillna("")
-    # Evaluated once: the ids of a second scan need not be the same.
-    placed = rows.withColumns({"file": F.col("_metadata.file_path"), "ord": F.monotonically_increasing_id()})
-    header, some = F.lit(True), F.lit(False)
-    for c in columns:
-        header, some = header & (F.col(c) == c), some | (F.col(c) != "")
-    seen = F.max(F.when(header, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("ord"))
-    return placed.withColumn("seen", seen).where((F.col("seen") == 1) & ~header & some).select("ord", *columns)
+    """ord and ``columns`` of CSV files whose first line is a title; see ``delimited.header_csv``."""
+    return header_csv(spark, path, columns, titled=True)
 
 
 def plain_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path).fillna("")
-    some = F.lit(False)
-    for c in columns:
-        some = some | (F.col(c) != "")
-    return rows.where(some)
+    """``columns`` of CSV files with a header; see ``delimited.header_csv``."""
+    return header_csv(spark, path, columns).drop("ord")
 
 
 def lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:

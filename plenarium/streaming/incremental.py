@@ -101,23 +101,24 @@ def daily_counts_stream(events: DataFrame, ts: str, *keys: str, late: str = "14
 
 
 def upsert_stream(events: DataFrame, table_path: str, checkpoint: str, key: list[str], order: str, buckets: int = 64):
-    """Streaming sink: each micro-batch is merged into a Parquet table, partitioned by a hash of the key.
+    """Streaming sink: each micro-batch is merged into a published table (``sources.published``), in buckets by a hash of the key.
 
-    Only buckets that the batch touches are read and written anew.  A batch that runs again
-    merges the same rows once more, which changes nothing; a table that is there already is
-    merged into, whatever the checkpoint knows.
+    Only buckets that the batch touches are read and written anew, into folders of their own;
+    then the table's pointer moves, so a driver that is lost at any time leaves a whole table.
+    A batch that runs again merges the same rows once more, which changes nothing; a table
+    that is there already is merged into, whatever the checkpoint knows.
     """
+    from ..sources.published import Table, bucket_of
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        new = batch.withColumn("bucket", bucket_of(key, buckets)).persist()
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
-        try:
-            stored = spark.read.schema(new.schema).parquet(table_path).where(F.col("bucket").isin(touched))
-        except AnalysisException:
-            stored = new.limit(0)
-        merged = upsert(stored, new, key, order).repartition("bucket")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path)
+        if touched:
+            table = Table(batch.sparkSession, table_path)
+            stored = table.read(batch.schema, touched).withColumn("bucket", bucket_of(key, buckets))
+            merged = upsert(stored, new, key, order).repartition("bucket")
+            table.publish_buckets(merged, "bucket")
+        new.unpersist()
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from plenarium.operators import elections, linking, matching, ordering, votes
 from plenarium.plans.queries import QUERIES, SQL
+from plenarium.sources.published import Table, bucket_of
 from plenarium.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -192,11 +193,11 @@ def test_upsert_stream(spark, tmp_path):
     for i, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(1, "c", 2), (3, "d", 2)])):
         spark.createDataFrame(rows, "k int, v string, ts int").coalesce(1).write.mode("append").parquet(f"{source}/{i}")
     stream = spark.readStream.schema("k int, v string, ts int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
-    spark.createDataFrame([(9, "there", 0), (2, "old", 0)], "k int, v string, ts int").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(4)).cast("int")).write.partitionBy("bucket").parquet(str(tmp_path / "table"))
+    table = Table(spark, str(tmp_path / "table"))
+    table.publish_buckets(spark.createDataFrame([(9, "there", 0), (2, "old", 0)], "k int, v string, ts int").withColumn("bucket", bucket_of(["k"], 4)), "bucket")
     for _ in range(2):
-        incremental.upsert_stream(stream, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], "ts", buckets=4).awaitTermination()
-    got = spark.read.schema("k int, v string, ts int, bucket int").parquet(str(tmp_path / "table")).collect()
-    assert sorted((r.k, r.v, r.ts) for r in got) == [(1, "c", 2), (2, "b", 1), (3, "d", 2), (9, "there", 0)]
+        incremental.upsert_stream(stream, table.root, str(tmp_path / "state"), ["k"], "ts", buckets=4).awaitTermination()
+    assert sorted(map(tuple, table.read().collect())) == [(1, "c", 2), (2, "b", 1), (3, "d", 2), (9, "there", 0)]
 
 
 def test_watermarked_streams(spark, tmp_path):
