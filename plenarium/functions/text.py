@@ -375,10 +375,13 @@ def content_type(key: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """array of struct kind, number, word: digit runs by value, and before words."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    """array of struct kind, size, digits, word: digit runs by value, however long, and before words.
+
+    Of numbers without leading zeros the longer one is larger, and of equally long ones the
+    digits tell; nought has none.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    number = lambda t: F.when(t.rlike("^[0-9]"), F.regexp_replace(t, "^0+", "")).otherwise("")
     return F.transform(tokens, lambda t: F.struct(
-        F.when(t.rlike(r"^\d"), 0).otherwise(1).alias("kind"),
-        F.when(t.rlike(r"^\d"), t.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)")).alias("number"),
-        F.when(t.rlike(r"^\d"), "").otherwise(t).alias("word"),
+        F.when(t.rlike("^[0-9]"), 0).otherwise(1).alias("kind"), F.length(number(t)).alias("size"), number(t).alias("digits"), F.when(t.rlike("^[0-9]"), "").otherwise(t).alias("word"),
     ))

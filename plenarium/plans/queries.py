@@ -410,12 +410,13 @@ def title_families(spark, sf):
     return linking.title_families(t(spark, sf, "part").select(F.concat("p_name", F.lit(" (No. "), "p_size", F.lit(")")).alias("title")))
 
 
-@query("""SELECT page_id, len(k) AS n, string_agg(CASE WHEN regexp_matches(x, '^[0-9]') THEN 'n' || CAST(CAST(x AS HUGEINT) AS VARCHAR) ELSE 't' || x END, '|' ORDER BY i) AS key
-FROM (SELECT page_id, k, unnest(k) AS x, unnest(range(len(k))) AS i FROM (SELECT page_id, regexp_extract_all(url, '([0-9]+|[^0-9]+)') AS k FROM pages)) GROUP BY page_id, k""")
+@query("""SELECT page_id, len(k) AS n, string_agg(CASE WHEN regexp_matches(x, '^[0-9]') THEN 'n' || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE 't' || x END, '|' ORDER BY i) AS key
+FROM (SELECT page_id, k, unnest(k) AS x, unnest(range(len(k))) AS i FROM (SELECT page_id, regexp_extract_all(url || '/0' || repeat(CAST(page_id AS VARCHAR), 60), '([0-9]+|[^0-9]+)') AS k FROM pages)) GROUP BY page_id, k""")
 def natural_order(spark, sf):
-    """SRT-08: the parts of the sort key."""
-    key = text.natural_key(F.col("url"))
-    shown = F.transform("key", lambda p: F.when(p["kind"] == 0, F.concat(F.lit("n"), p["number"].cast("string"))).otherwise(F.concat(F.lit("t"), p["word"])))
+    """SRT-08: the parts of the sort key; numbers of sixty digits and more."""
+    key = text.natural_key(F.concat("url", F.lit("/0"), F.repeat(F.col("page_id").cast("string"), F.lit(60))))
+    value = lambda p: F.when(p["size"] == 0, "0").otherwise(p["digits"])
+    shown = F.transform("key", lambda p: F.when(p["kind"] == 0, F.concat(F.lit("n"), value(p))).otherwise(F.concat(F.lit("t"), p["word"])))
     return t(spark, sf, "pages").withColumn("key", key).select("page_id", F.size("key").cast("long").alias("n"), F.array_join(shown, "|").alias("key"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates, numbers, text
-from ..operators import elections, linking, ordering, votes
+from ..operators import elections, linking, ordering, text_index, votes
 from ..sources import files
 from ..sources.work import work_folder
 from ..streaming import incremental
@@ -590,3 +590,40 @@ def first_of_each(spark, sf):
     """SRC-13: one row an id, whatever windows gave it."""
     rows = t(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), _day("ts").alias("date"))
     return files.first_of_each(rows, "id", "date")
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    """The written index of all documents."""
+    folder = work_folder(spark, "index")
+    text_index.write_index(text_index.postings(t(spark, sf, "documents"), "doc_id", "text"), folder)
+    return spark.read.parquet(folder)
+
+
+@query(f"SELECT word, count(DISTINCT doc_id) AS pages, count(*) AS places FROM (SELECT doc_id, unnest({_WORDS}) AS word FROM documents WHERE doc_id IS NOT NULL) GROUP BY word")
+def posting_counts(spark, sf):
+    """SNK-09: pages and places of every word of the index."""
+    return text_index.word_counts(text_index.postings(t(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS three FROM w), q AS (SELECT item_id, {_WORDS} AS ws FROM benchmark)
+SELECT item_id AS phrase, doc_id AS key, count(*) AS n FROM q JOIN p ON three = ws[1] || ' ' || ws[2] || ' ' || ws[3] GROUP BY item_id, doc_id""")
+def phrase_hits(spark, sf):
+    """SNK-09: the first three words of every benchmark item as phrases, in all documents."""
+    phrases = t(spark, sf, "benchmark").select(F.col("item_id").alias("phrase"), F.array_join(F.slice(text_index.words_of(F.col("text")), 1, 3), " ").alias("text"))
+    return text_index.phrase_hits(_index(spark, sf), phrases)
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL), p AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL),
+d AS (SELECT word, count(*) AS df FROM p GROUP BY word), q AS (SELECT item_id AS query, unnest(list_distinct(({_WORDS})[1:4])) AS word FROM benchmark),
+s AS (SELECT query, doc_id AS key, list_sum(list(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2) ORDER BY word)) AS score FROM q JOIN d USING (word) JOIN p USING (word) GROUP BY query, doc_id),
+r AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) AS INTEGER) AS rank, key, score FROM s)
+SELECT query, rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def ranked_pages(spark, sf):
+    """SNK-09: the ten best documents for the first four words of every benchmark item."""
+    queries = t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(text_index.words_of(F.col("text")), 1, 4), " ").alias("text"))
+    best = text_index.ranked(_index(spark, sf), queries, t(spark, sf, "documents").count())
+    return best.select("query", "rank", F.round("score", 6).alias("score"))

@@ -85,6 +85,9 @@ def test_label_values(spark):
 def test_natural_key(spark):
     rows = spark.createDataFrame([("a10",), ("a9",), ("9",), ("b",)], "u string")
     assert [r.u for r in rows.orderBy(text.natural_key(F.col("u"))).collect()] == ["9", "a9", "a10", "b"]
+    long = ["a" + "0" * 70 + "b", "a1b", "a" + "0" * 30 + "9" * 59 + "c", "a1" + "0" * 59, "a1" + "0" * 58 + "1x", "a2" + "0" * 59, "a" + "1" * 61]
+    rows = spark.createDataFrame([(x,) for x in reversed(long)], "u string")
+    assert [r.u for r in rows.orderBy(text.natural_key(F.col("u"))).collect()] == long
 
 
 def test_bill_stage(spark):
