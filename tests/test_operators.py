@@ -1,6 +1,7 @@
 """Operators on small inline tables, and the queries against DuckDB."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -80,18 +81,20 @@ def brute_links(text, titles):
         at = low.find(title.lower())
         while at >= 0:
             end = at + len(title)
-            if all(end <= a or at >= b for a, b, _ in spans):
+            free = all(end <= a or at >= b for a, b, _ in spans)
+            if free:
                 spans.append((at, end, href))
-            at = low.find(title.lower(), end)
+            at = low.find(title.lower(), end if free else at + 1)
     return [(a, b - a, h) for a, b, h in sorted(spans)]
 
 
-@pytest.mark.parametrize("at_once", [2, 100])
-def test_mentions(spark, at_once):
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_mentions(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(linking, "BROADCAST", broadcast)
     titles = [("Alpha Beta", "/ab/", 0), ("beta", "/b/", 0), ("Beta Act", "/ba/", 0), ("alpha bills", "/f/", 1), ("Ωmega & Co", "/w/", 0), ("act alpha bills now", "/late/", 1)]
     texts = ["The alpha beta act and Beta", "beta act alpha bills now, ALPHA BILLS", "nothing <here>", "", "ωmega & co, BETA", "betabeta betaact beta act"]
     rows = spark.createDataFrame([*enumerate(texts), (99, None)], "i int, text string")
-    got = {r.i: r for r in linking.mentions(rows, spark.createDataFrame(titles, "title string, href string, rank int"), "i", at_once=at_once).collect()}
+    got = {r.i: r for r in linking.mentions(rows, spark.createDataFrame(titles, "title string, href string, rank int"), "i").collect()}
     assert got[99].mentions is None and got[99].linked is None
     for i, text in enumerate(texts):
         want = brute_links(text, titles)
@@ -104,6 +107,19 @@ def test_mentions(spark, at_once):
         assert got[i].linked == shown + escape(text[at:])
 
 
+def test_mentions_of_many_titles(spark):
+    """Titles of one to thirty characters out of the texts and beside them, some of one repeated character."""
+    rng = random.Random(2)
+    draw = lambda n: "".join(rng.choice("ab cé𝄞") for _ in range(n))
+    texts = [draw(rng.choice([0, 3, 7, 8, 40, 300])) for _ in range(30)] + ["a" * 50, "aaaaaaaab" * 4]
+    cut = lambda t: t[(at := rng.randrange(len(t))) : at + rng.choice([1, 2, 6, 7, 8, 9, 20, 30])]
+    names = {cut(t) for t in texts if t} | {draw(rng.choice([5, 8, 12])) for _ in range(30)} | {"a" * 8, "a" * 11, "a" * 3}
+    titles = [(n, f"/{i}/", i % 2) for i, n in enumerate(sorted(names))]
+    got = {r.i: r for r in linking.mentions(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), spark.createDataFrame(titles, "title string, href string, rank int"), "i").collect()}
+    for i, text in enumerate(texts):
+        assert [tuple(m) for m in got[i].mentions] == brute_links(text, titles), text
+
+
 def test_name_match_by_slug_too(spark):
     people = spark.createDataFrame([("jo-dee", "joanne-dee", "r", "north", None, 1)], "slug string, name_slug string, house string, seat string, state string, ord int")
     sources = spark.createDataFrame([(1, "jo-dee", "s", "x", None), (2, "joanne-dee", "r", "y", None), (3, None, "r", "north", None)], "source_id int, name_slug string, house string, seat string, state string")
