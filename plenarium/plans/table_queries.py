@@ -7,16 +7,19 @@ the table that the SQL reads.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates, numbers, text
 from ..operators import elections, linking, ordering, text_index, votes
-from ..sources import files
+from ..sources import files, requests
+from ..sources.published import Table
 from ..sources.work import work_folder
 from ..streaming import incremental
-from . import flows, silver, views
+from . import flows, note_runs, silver, views
 from .queries import query, t
 
 _STATES = "(['NSW', 'VIC', 'QLD', 'WA', 'SA'])[n_regionkey + 1]"
@@ -188,11 +191,26 @@ def view_person_cards(spark, sf):
     return views.person_cards(_tables(spark, sf, "people", "electorates")).select("slug", "name", "group", "initials")
 
 
-@query("""SELECT event_type AS source, CASE event_type WHEN 'click' THEN 'Clicks' END AS label, strftime(max(ts), '%Y-%m-%d') AS "lastSync", event_type <> 'error' AS ok FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS source, CASE event_type WHEN 'click' THEN 'Clicks' END AS label, strftime(max(ts), '%Y-%m-%d') AS "lastSync", event_type <> 'error' AS ok,
+CASE event_type WHEN 'error' THEN 'it has nothing but errors' END AS note FROM events GROUP BY event_type""")
 def view_data_sources(spark, sf):
-    """VW-10, SNK-05, INC-08: a fixed list with the state of what has run."""
-    manifest = t(spark, sf, "events").groupBy(F.col("event_type").alias("source")).agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("lastSync"), F.first(F.col("event_type") != "error").alias("ok"))
-    listed = t(spark, sf, "events").select(F.col("event_type").alias("source")).distinct().withColumn("label", F.when(F.col("source") == "click", "Clicks"))
+    """VW-10, SNK-05, INC-08: each source is run, what fails is recorded, and the manifest holds each one's last status."""
+    events = t(spark, sf, "events")
+    # As many rows as there are sources.
+    kinds = {r["event_type"]: r["d"] for r in events.groupBy("event_type").agg(_day(F.max("ts")).alias("d")).collect()}
+
+    def source(kind: str):
+        def run() -> None:
+            if kind == "error":
+                raise ValueError("it has nothing but errors")
+            events.where(F.col("event_type") == kind).agg(F.count("*")).first()
+
+        return run
+
+    manifest = spark.createDataFrame([("click", "2000-01-01", False, "older")], "source string, lastSync string, ok boolean, note string")
+    for kind, ok, note in incremental.run_sources({kind: source(kind) for kind in kinds}):
+        manifest = incremental.record_sync(manifest, kind, kinds[kind], ok, note)
+    listed = events.select(F.col("event_type").alias("source")).distinct().withColumn("label", F.when(F.col("source") == "click", "Clicks"))
     return views.data_sources(listed, manifest)
 
 
@@ -627,3 +645,49 @@ def ranked_pages(spark, sf):
     queries = t(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(text_index.words_of(F.col("text")), 1, 4), " ").alias("text"))
     best = text_index.ranked(_index(spark, sf), queries, t(spark, sf, "documents").count())
     return best.select("query", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer""")
+def published_customers(spark, sf):
+    """SRC-15, JSN-02: a table published in buckets, some of them again; an empty publication changes nothing."""
+    table = Table(spark, work_folder(spark, "published"))
+    rows = t(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")).withColumn("bucket", F.pmod("c_custkey", F.lit(7)))
+    table.publish_buckets(rows, "bucket")
+    table.publish_buckets(rows.where("bucket = 0").withColumn("segment", F.lit("new")), "bucket")
+    try:
+        table.publish(rows.limit(0))
+    except ValueError:
+        return table.read()
+    raise AssertionError("an empty table was published")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer), d AS (SELECT c_custkey, c_name, (nth - 1) // 8 AS request FROM c WHERE nth <= 640), f AS (SELECT request FROM d GROUP BY request HAVING bool_or(c_custkey % 500 = 0))
+SELECT 'c' || c_custkey AS id, d.request, CASE WHEN f.request IS NULL THEN upper(c_name) END AS text, f.request IS NOT NULL AS failed FROM d LEFT JOIN f ON d.request = f.request""")
+def note_progress(spark, sf):
+    """NOTE: the progress of a run with its cap, over requests of eight of which some fail."""
+    pending = t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), "c_custkey", "c_name")
+
+    def call(items: list[dict]) -> str:
+        if any(i["c_custkey"] % 500 == 0 for i in items):
+            raise ValueError("refused")
+        return json.dumps([{"id": i["id"], "summary": i["c_name"].upper()} for i in items])
+
+    path = work_folder(spark, "progress")
+    note_runs.run_notes(pending, call, path, "c_custkey", wave=80)
+    return note_runs.progress_of(spark, path).select("id", "request", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""WITH n AS (SELECT r_name AS host, n_name, 'http://' || r_name || '/' || n_nationkey AS url, n_nationkey % 5 AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_name AS id, host, CAST(a AS INTEGER) AS attempt, CASE k WHEN 1 THEN 404 WHEN 2 THEN CASE WHEN a < 3 THEN 503 ELSE 200 END ELSE 200 END AS status, CASE WHEN k <> 1 AND (k <> 2 OR a = 3) THEN url END AS answer
+FROM n, range(1, 4) t(a) WHERE a <= CASE k WHEN 2 THEN 3 ELSE 1 END""")
+def request_attempts(spark, sf):
+    """SRC-10, SRC-11, SRC-17, SRC-19: requests as rows, every attempt an answer's row; some are refused, some busy twice."""
+    rows = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = rows.select(F.col("n_name").alias("id"), F.col("r_name").alias("host"), F.concat(F.lit("http://"), "r_name", F.lit("/"), "n_nationkey").alias("url"), _none("string").alias("body"))
+    seen: dict[str, int] = {}
+
+    def transport(url: str, body: str | None, timeout: float) -> tuple[int, str]:
+        k, seen[url] = int(url.rsplit("/", 1)[1]) % 5, seen.get(url, 0) + 1
+        return 404 if k == 1 else 503 if k == 2 and seen[url] < 3 else 200, url
+
+    return requests.answered(asked, transport, interval=0, sleep=lambda s: None).select("id", "host", "attempt", "status", "answer")
