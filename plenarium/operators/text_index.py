@@ -71,8 +71,13 @@ def postings(pages: DataFrame, key: str, body: str, most_pages: int = PAGES, mos
     others as differences.  Pages without a key, text or word aren't in it; ``key`` has to be
     unique.  A block is known by its first page's key.
     """
-    kind = pages.schema[key].dataType.simpleString()
-    rows = pages.where(F.col(key).isNotNull() & F.col(body).isNotNull()).select(F.col(key).alias("key"), words_of(F.col(body)).alias("words")).where(F.size("words") > 0)
+    return listed(pages.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), words_of(F.col(body)).alias("words")), most_pages, most_words)
+
+
+def listed(rows: DataFrame, most_pages: int = PAGES, most_words: int = WORDS) -> DataFrame:
+    """The index of rows of key and words; see ``postings``."""
+    kind = rows.schema["key"].dataType.simpleString()
+    rows = rows.where(F.col("key").isNotNull() & (F.size("words") > 0))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

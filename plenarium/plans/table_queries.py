@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates, numbers, text
-from ..operators import elections, linking, ordering, text_index, votes
+from ..operators import elections, linking, ordering, substrings, text_index, votes
 from ..sources import files, requests
 from ..sources.published import Table
 from ..sources.work import work_folder
@@ -691,3 +691,15 @@ def request_attempts(spark, sf):
         return 404 if k == 1 else 503 if k == 2 and seen[url] < 3 else 200, url
 
     return requests.answered(asked, transport, interval=0, sleep=lambda s: None).select("id", "host", "attempt", "status", "answer")
+
+
+@query("""WITH n AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS needle FROM part UNION SELECT DISTINCT substr(lower(p_type), 1, 2) FROM part)
+SELECT needle, count(*) AS n, min(p_partkey) AS first FROM n JOIN part ON contains(lower(p_name), needle) GROUP BY needle""")
+def substring_search(spark, sf):
+    """TOP-04, PRJ-23: needles out of the data, those of two characters by a scan, through a written index."""
+    part = t(spark, sf, "part")
+    texts = part.select(F.substring_index(F.lower("p_name"), " ", 1).alias("text")).unionByName(part.select(F.substring(F.lower("p_type"), 1, 2).alias("text"))).distinct()
+    folder = work_folder(spark, "trigrams")
+    text_index.write_index(substrings.trigram_index(part, "p_partkey", "p_name"), folder)
+    hits = substrings.found(part, "p_partkey", "p_name", spark.read.parquet(folder), texts.select(F.col("text").alias("needle"), "text"))
+    return hits.groupBy("needle").agg(F.count("*").alias("n"), F.min("key").alias("first"))
