@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Pages and words of a block at most; a page of more words is a block of its own.
@@ -106,14 +107,30 @@ def word_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("word").agg(F.sum(F.size("keys").cast("long")).alias("pages"), F.sum(F.size("places").cast("long")).alias("places"))
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The lists' sizes and all their values."""
+    return np.diff(lists.offsets.to_numpy()), lists.flatten()
+
+
 def _placed(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep``, key, at: each page of the lists with its positions, as they are in the page."""
-    # The first place of each page in its list.
-    starts = F.aggregate("tfs", F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("n")), lambda a, t: F.struct(F.concat(a["s"], F.array(a["n"])).alias("s"), (a["n"] + t).alias("n")))["s"]
-    page = rows.select(*keep, "places", F.explode(F.arrays_zip("keys", "tfs", starts.alias("start"))).alias("p"))
-    own = F.slice("places", F.col("p.start") + 1, F.col("p.tfs"))
-    sums = F.aggregate(own, F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("n")), lambda a, d: F.struct(F.concat(a["s"], F.array(a["n"] + d)).alias("s"), (a["n"] + d).alias("n")))["s"]
-    return page.select(*keep, F.col("p.keys").alias("key"), sums.alias("at"))
+    key = rows.schema["keys"].dataType.elementType
+    packed = rows.select(F.struct(*keep).alias("kept"), "keys", "tfs", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (sizes, keys), (_, tfs), (_, steps) = (_flat(batch.column(c)) for c in ("keys", "tfs", "places"))
+            tf, sums = tfs.to_numpy(zero_copy_only=False), np.cumsum(steps.to_numpy(zero_copy_only=False), dtype=np.int64)
+            ends = np.cumsum(tf)
+            # Positions begin anew with each page, where sums don't.
+            before = np.concatenate([[0], sums])[ends - tf]
+            at = (sums - np.repeat(before, tf)).astype(np.int32)
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            kept = batch.column("kept").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([kept, keys, pa.ListArray.from_arrays(offsets, pa.array(at))], names=["kept", "key", "at"])
+
+    out = StructType([packed.schema["kept"], StructField("key", key), StructField("at", ArrayType(IntegerType()))])
+    return packed.mapInArrow(run, out).select("kept.*", "key", "at")
 
 
 def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
