@@ -36,14 +36,14 @@ def candidates(index: DataFrame, needles: DataFrame) -> DataFrame:
     Only needles of three characters or more have any; one with a trigram that no row has has none.
     """
     asked = needles.select("needle", F.explode(trigrams(F.col("text"))).alias("word"))
-    counts = index.join(asked.select("word").distinct(), "word").groupBy("word").agg(F.sum(F.size("keys").cast("long")).alias("n"))
+    counts = index.join(text_index.sent(asked.select("word").distinct()), "word").groupBy("word").agg(F.sum(F.size("keys").cast("long")).alias("n"))
     nth = F.row_number().over(Window.partitionBy("needle").orderBy("n", "word"))
     # A trigram that isn't there sorts first, as none.
     rare = asked.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("nth", nth).where(F.col("nth") <= CHOSEN)
     sizes = rare.groupBy("needle").agg(F.count("*").alias("size"))
     rare = rare.select("needle", "word").join(sizes, "needle")
     # Block by block: blocks without one of the trigrams aren't opened.
-    lists = index.join(rare, "word").groupBy("needle", "block").agg(F.collect_list("keys").alias("all"), F.first("size").alias("size")).where(F.size("all") == F.col("size"))
+    lists = index.join(text_index.sent(rare), "word").groupBy("needle", "block").agg(F.collect_list("keys").alias("all"), F.first("size").alias("size")).where(F.size("all") == F.col("size"))
     common = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda a, b: F.array_intersect(a, b))
     return lists.select("needle", F.explode(common).alias("key"))
 

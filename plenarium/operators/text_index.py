@@ -23,6 +23,8 @@ PAGES, WORDS = 2048, 1 << 20
 WORD = r"[\p{L}\p{N}]+"
 #: A page's tf counts as tf / (tf + SOFTEN), so that the tenth place of a word adds less than the first.
 SOFTEN = 1.2
+#: Rows of a word and a number or two that are sent to all tasks at most.
+SENT = 200_000
 
 
 def words_of(body: Column) -> Column:
@@ -133,6 +135,11 @@ def _placed(rows: DataFrame, *keep: str) -> DataFrame:
     return packed.mapInArrow(run, out).select("kept.*", "key", "at")
 
 
+def sent(words: DataFrame) -> DataFrame:
+    """What is asked for, by broadcast if it has SENT rows at most; else an index is dealt by word to meet it."""
+    return F.broadcast(words) if words.limit(SENT + 1).count() <= SENT else words
+
+
 def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrase, key, n: how often each of ``phrases`` (phrase, text) stands in each page that holds it, overlaps counted.
 
@@ -140,7 +147,7 @@ def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
     words is found nowhere.  Only blocks that hold all of a phrase's words are opened.
     """
     asked = phrases.select("phrase", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    asked = asked.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("i", "word"))
+    asked = sent(asked.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("i", "word")))
     # Blocks by word first, without their lists.
     whole = index.select("word", "block").join(asked, "word").groupBy("phrase", "block").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size").select("phrase", "block")
     rows = index.join(asked, "word").join(whole, ["phrase", "block"])
@@ -158,9 +165,9 @@ def ranked(index: DataFrame, queries: DataFrame, pages: int, k: int = 10, first:
     are scored, and then those whose bound reaches the ``k``-th best score found there.
     """
     asked = queries.select("query", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    df = index.join(asked.select("word").distinct(), "word").groupBy("word").agg(F.sum(F.size("keys").cast("long")).alias("df"))
+    df = index.join(sent(asked.select("word").distinct()), "word").groupBy("word").agg(F.sum(F.size("keys").cast("long")).alias("df"))
     idf = F.log1p((F.lit(pages) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "word").select("query", "word", idf.alias("idf"))
+    weights = sent(asked.join(df, "word").select("query", "word", idf.alias("idf")))
     soft = lambda tf: tf / (tf + SOFTEN)
     listed = index.select("word", "block", "keys", "tfs").join(weights, "word")
     bounds = index.select("word", "block", F.array_max("tfs").alias("most")).join(weights, "word").groupBy("query", "block").agg(F.sum(F.col("idf") * soft(F.col("most"))).alias("bound"))
