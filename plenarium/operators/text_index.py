@@ -99,9 +99,14 @@ def _plain(lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), lists.flatten())
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Files in ranges of word and block, sorted, so that a query reads little beside its words; a frequent word has many files."""
-    index.repartitionByRange("word", "block").sortWithinPartitions("word", "block").write.mode("overwrite").parquet(path)
+def write_index(index: DataFrame, path: str, ranged: bool = True) -> None:
+    """Files sorted by word and block, so that a query reads little beside its words.
+
+    ``ranged``: dealt into ranges of word and block first, for an index that is read often; a
+    frequent word has many files.  Else each task's blocks stay together, which moves nothing.
+    """
+    dealt = index.repartitionByRange("word", "block") if ranged else index
+    dealt.sortWithinPartitions("word", "block").write.mode("overwrite").parquet(path)
 
 
 def word_counts(index: DataFrame) -> DataFrame:

@@ -616,7 +616,7 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 def _index(spark: SparkSession, sf: str) -> DataFrame:
     """The written index of all documents."""
     folder = work_folder(spark, "index")
-    text_index.write_index(text_index.postings(t(spark, sf, "documents"), "doc_id", "text"), folder)
+    text_index.write_index(text_index.postings(t(spark, sf, "documents"), "doc_id", "text"), folder, ranged=False)
     return spark.read.parquet(folder)
 
 
