@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Pages and words of a block at most; a page of more words is a block of its own.
@@ -25,6 +25,8 @@ WORD = r"[\p{L}\p{N}]+"
 SOFTEN = 1.2
 #: Rows of a word and a number or two that are sent to all tasks at most.
 SENT = 200_000
+#: Phrases that a block is searched for in one task, about.
+PHRASES = 10_000
 
 
 def words_of(body: Column) -> Column:
@@ -119,25 +121,31 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return np.diff(lists.offsets.to_numpy()), lists.flatten()
 
 
-def _placed(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, key, at: each page of the lists with its positions, as they are in the page."""
-    key = rows.schema["keys"].dataType.elementType
-    packed = rows.select(F.struct(*keep).alias("kept"), "keys", "tfs", "places")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (sizes, keys), (_, tfs), (_, steps) = (_flat(batch.column(c)) for c in ("keys", "tfs", "places"))
-            tf, sums = tfs.to_numpy(zero_copy_only=False), np.cumsum(steps.to_numpy(zero_copy_only=False), dtype=np.int64)
-            ends = np.cumsum(tf)
-            # Positions begin anew with each page, where sums don't.
-            before = np.concatenate([[0], sums])[ends - tf]
-            at = (sums - np.repeat(before, tf)).astype(np.int32)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            kept = batch.column("kept").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([kept, keys, pa.ListArray.from_arrays(offsets, pa.array(at))], names=["kept", "key", "at"])
-
-    out = StructType([packed.schema["kept"], StructField("key", key), StructField("at", ArrayType(IntegerType()))])
-    return packed.mapInArrow(run, out).select("kept.*", "key", "at")
+def _spots(lists: pa.Table) -> tuple[pa.Array, dict[str, np.ndarray]]:
+    """A block's pages, and for each word its places in order: the page's number, then 32 bits of the position."""
+    (sizes, keys), (_, tfs), (_, steps) = (_flat(pa.concat_arrays(lists.column(c).chunks)) for c in ("keys", "tfs", "places"))
+    pages = keys.dictionary_encode()
+    tf, sums = tfs.to_numpy(zero_copy_only=False), np.cumsum(steps.to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(tf)])
+    # Positions begin anew with each page, where sums don't.
+    at = sums - np.repeat(np.concatenate([[0], sums])[ends[:-1]], tf)
+    spots = (np.repeat(pages.indices.to_numpy(zero_copy_only=False).astype(np.int64), tf) << 32) | at
+    of_word = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    return pages.dictionary, {w: np.sort(spots[i:j]) for w, i, j in zip(lists.column("word").to_pylist(), of_word, of_word[1:], strict=False)}
+
+
+def _starts(words: list[str], spots: dict[str, np.ndarray]) -> np.ndarray:
+    """Where all of ``words`` stand one after another, from the rarest one's places."""
+    if any(w not in spots for w in words):
+        return np.empty(0, np.int64)
+    rare = min(range(len(words)), key=lambda i: len(spots[words[i]]))
+    starts = spots[words[rare]] - rare
+    for i, w in enumerate(words):
+        if i != rare and len(starts):
+            near = np.searchsorted(spots[w], starts + i)
+            starts = starts[np.take(spots[w], near, mode="clip") == starts + i]
+    # A start before its page's first word lies where the page before it has no word, so the first word has ruled it out.
+    return starts
 
 
 def sent(words: DataFrame) -> DataFrame:
@@ -145,21 +153,39 @@ def sent(words: DataFrame) -> DataFrame:
     return F.broadcast(words) if words.limit(SENT + 1).count() <= SENT else words
 
 
-def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
+def phrase_hits(index: DataFrame, phrases: DataFrame, at_once: int = PHRASES) -> DataFrame:
     """phrase, key, n: how often each of ``phrases`` (phrase, text) stands in each page that holds it, overlaps counted.
 
     A phrase is its text's words one after another, whatever stands between them; one without
-    words is found nowhere.  Only blocks that hold all of a phrase's words are opened.
+    words is found nowhere.  ``phrase`` has to be unique.  Only blocks that hold all of a
+    phrase's words are opened.  Lists go to their block once for each ``at_once`` phrases that
+    ask for their word, however many phrases these are and however many pages hold the word;
+    a task holds one block's lists.
     """
     asked = phrases.select("phrase", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    asked = sent(asked.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("i", "word")))
+    parts = max(1, -(-asked.count() // at_once))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(parts)))
+    each = asked.select("part", "phrase", "words", F.explode(F.array_distinct("words")).alias("word"))
     # Blocks by word first, without their lists.
-    whole = index.select("word", "block").join(asked, "word").groupBy("phrase", "block").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size").select("phrase", "block")
-    rows = index.join(asked, "word").join(whole, ["phrase", "block"])
-    starts = _placed(rows, "phrase", "i", "size").withColumn("at", F.transform("at", lambda p: p - F.col("i")))
-    found = starts.groupBy("phrase", "key").agg(F.collect_list("at").alias("all"), F.first("size").alias("size")).where(F.size("all") == F.col("size"))
-    hits = F.size(F.aggregate(F.slice("all", F.lit(2), F.col("size")), F.get("all", F.lit(0)), lambda a, b: F.array_intersect(a, b)))
-    return found.select("phrase", "key", hits.cast("long").alias("n")).where("n > 0")
+    held = index.select("word", "block").join(sent(each), "word").groupBy("part", "block", "phrase", "words").agg(F.count("*").alias("n"))
+    whole = held.where(F.col("n") == F.size(F.array_distinct("words"))).drop("n")
+    needed = whole.select("part", "block", F.explode("words").alias("word")).distinct()
+    lists = index.join(sent(each.select("word", "part").distinct()), "word").join(sent(needed), ["part", "block", "word"], "left_semi")
+
+    def found(lists: pa.Table, asked: pa.Table) -> pa.Table:
+        # Without lists or phrases nothing is found.
+        pages, spots = _spots(lists) if lists.num_rows else (pa.array([], lists.schema.field("keys").type.value_type), {})
+        hits = [np.empty((3, 0), np.int64)]
+        for row, words in enumerate(asked.column("words").to_pylist()):
+            page, n = np.unique(_starts(words, spots) >> 32, return_counts=True)
+            hits.append(np.stack([np.full(len(page), row), page, n]))
+        row, page, n = np.concatenate(hits, axis=1)
+        return pa.Table.from_arrays([asked.column("phrase").take(pa.array(row)), pages.take(pa.array(page)), pa.array(n)], names=["phrase", "key", "n"])
+
+    kinds = StructType([StructField("phrase", phrases.schema["phrase"].dataType), StructField("key", index.schema["keys"].dataType.elementType), StructField("n", LongType())])
+    # Named anew, as both sides stem from the index.
+    lists = lists.select(F.col("part").alias("of_part"), F.col("block").alias("of_block"), "word", "keys", "tfs", "places")
+    return lists.groupBy("of_part", "of_block").cogroup(whole.groupBy("part", "block")).applyInArrow(found, kinds)
 
 
 def ranked(index: DataFrame, queries: DataFrame, pages: int, k: int = 10, first: int = 4) -> DataFrame:

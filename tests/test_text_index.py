@@ -47,10 +47,11 @@ def test_postings(pages):
     assert counts == {w: (sum(w == x for x, _ in want), sum(len(v) for (x, _), v in want.items() if x == w)) for w, _ in want}
 
 
-def test_phrases(spark, pages):
+@pytest.mark.parametrize("at_once", [2, text_index.PHRASES])
+def test_phrases(spark, pages, at_once):
     plain, index = pages
     phrases = {1: "the bill", 2: "The  HOUSE; the", 3: "the the", 4: "no-one", 5: "vote", 6: "", 7: "absent bill", 8: "été"}
-    got = {(r.phrase, r.key): r.n for r in text_index.phrase_hits(index, spark.createDataFrame(list(phrases.items()), "phrase int, text string")).collect()}
+    got = {(r.phrase, r.key): r.n for r in text_index.phrase_hits(index, spark.createDataFrame(list(phrases.items()), "phrase int, text string"), at_once).collect()}
     want = {}
     for p, text in phrases.items():
         some = words(text)
@@ -61,6 +62,15 @@ def test_phrases(spark, pages):
     assert got == want and len(want) > 60
 
 
+def test_no_phrases(spark, pages):
+    """No phrases, and no pages."""
+    _, index = pages
+    one = spark.createDataFrame([("a", "the bill")], "phrase string, text string")
+    assert text_index.phrase_hits(index, one.limit(0)).collect() == []
+    none = text_index.phrase_hits(index.limit(0), one)
+    assert none.collect() == [] and none.dtypes == [("phrase", "string"), ("key", "bigint"), ("n", "bigint")]
+
+
 def test_ranked(spark, pages, tmp_path):
     """All pages scored give the same; the index may be a written one."""
     plain, index = pages
