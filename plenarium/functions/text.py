@@ -1,15 +1,15 @@
-"""Text rules as column expressions; pandas UDFs only where Spark has no function."""
+"""Text rules as column expressions."""
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Entity names and what they stand for.
 ENTITIES = {
@@ -45,21 +45,39 @@ def slugify_ascii(text: Column) -> Column:
     return F.regexp_replace(joined, "^-+|-+$", "")
 
 
-@F.pandas_udf(StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    def fold(text):
-        if text is None:
-            return None
-        return re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", text))
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition without combining accents makes of characters: one ASCII character or none, and more.
 
-    return texts.map(fold)
+    Those that stay as they are, or become something that is no letter, digit or apostrophe,
+    are left out, as a slug has a hyphen for both.
+    """
+    short, long = {}, {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if "\u0300" <= c <= "\u036f":
+            short[c] = ""
+        elif unicodedata.decomposition(c):
+            made = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", c))
+            if len(made) < 2 and (made.isascii() or made == "’"):
+                short[c] = made
+            elif re.search("[A-Za-z0-9'’]", made):
+                long[c] = made
+    return short, long
+
+
+def _folded(text: Column) -> Column:
+    """Accents folded and compatibility forms spelled out, as far as slugs need it, inside the JVM."""
+    short, long = _folds()
+    table = F.str_to_map(F.lit("\n".join(f"{c}\t{made}" for c, made in long.items())), F.lit("\n"), F.lit("\t"))
+    spelled = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    spelled = F.when(text.rlike(f"[{''.join(long)}]"), spelled).otherwise(text)
+    gone = "".join(c for c, made in short.items() if not made)
+    kept = {c: made for c, made in short.items() if made}
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(spelled, "".join(kept) + gone, "".join(kept.values()))).otherwise(text)
 
 
 def slugify(text: Column) -> Column:
-    """Lower-case ASCII words joined by hyphens; accents folded, apostrophes dropped.
-
-    Spark has no Unicode normalisation, so that step alone is a pandas UDF.
-    """
+    """Lower-case ASCII words joined by hyphens; accents folded, apostrophes dropped."""
     return slugify_ascii(_folded(text))
 
 

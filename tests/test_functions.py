@@ -1,6 +1,8 @@
 """Scalar rules with known answers."""
 
 import datetime
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,19 @@ def test_as_of(spark):
     got = row.select(dates.age_days(F.col("a"), F.col("now")), dates.age_days(F.col("b"), F.col("now")), dates.service_years(F.col("a"), F.col("now"))).first()
     assert (got[0], got[1], got[2]) == (366.0, float("inf"), "1")
     assert datetime.date(2020, 1, 1).isoformat() == "2020-01-01"
+
+
+def test_slug_of_every_character(spark):
+    """Each character of Unicode between letters, against the rule in plain Python; no Python worker in the plan."""
+
+    def plain(given):
+        folded = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", given))
+        # Lower case of single letters, as the other alphabets become hyphens anyway.
+        return re.sub("[^a-z0-9]+", "-", re.sub("['’]", "", folded.lower())).strip("-")
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [".".join(f"{k:x}{c}Q" for k, c in enumerate(chars[i : i + 64])) for i in range(0, len(chars), 64)]
+    texts += ["".join(chars[i : i + 64]) for i in range(0, 0x3000, 64)]
+    rows = spark.createDataFrame([(x,) for x in texts], "given string").select("given", text.slugify(F.col("given")).alias("slug"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [(r.given, r.slug) for r in rows.collect() if r.slug != plain(r.given)] == []
