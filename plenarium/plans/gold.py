@@ -57,10 +57,10 @@ def _seated(c: Canonical) -> Canonical:
     return replace(c, people=people, electorates=seated)
 
 
-def _summarised(c: Canonical) -> DataFrame:
+def summarised(divisions: DataFrame, people: DataFrame, division_notes: DataFrame) -> DataFrame:
     """Divisions with the kind of their summary; only transcripts carry a note, and an empty one stays hidden."""
-    notes = c.division_notes.select(F.col("slug").alias("id"), "note")
-    joined = linking.transcripts(c.divisions, c.people, "id", "summary", "name").withColumnRenamed("transcript", "spoken").join(notes, "id", "left")
+    notes = division_notes.select(F.col("slug").alias("id"), "note")
+    joined = linking.transcripts(divisions, people, "id", "summary", "name").withColumnRenamed("transcript", "spoken").join(notes, "id", "left")
     kind = F.when(F.col("summary").isNotNull(), F.when(F.col("spoken"), "transcript").otherwise("summary"))
     shown = F.when(F.col("spoken") & (F.col("note.text") != ""), F.col("note"))
     return joined.withColumns({"summaryKind": kind, "aiSummary": shown}).drop("spoken", "note")
@@ -94,7 +94,7 @@ def _contests(people: DataFrame, results: DataFrame) -> DataFrame:
 def derive(c: Canonical) -> dict[str, DataFrame]:
     """people, parties, electorates, divisions, bills, elections and the search index, each with ``ord``."""
     c = _seated(c)
-    divisions = _summarised(c)
+    divisions = summarised(c.divisions, c.people, c.division_notes)
     bills = _raisers(c.bills, c.people)
     notes = c.person_notes.select("slug", F.when(F.col("note.text") != "", F.col("note")).alias("new_note"))
     book = c.handbook.select("slug", F.col("background").alias("new_background"), F.when(F.size("positions") > 0, F.col("positions")).alias("new_positions"))

@@ -19,7 +19,7 @@ from ..sources import files, requests
 from ..sources.published import Table
 from ..sources.work import work_folder
 from ..streaming import incremental
-from . import flows, note_runs, silver, views
+from . import flows, gold, note_runs, silver, views
 from .queries import query, t
 
 _STATES = "(['NSW', 'VIC', 'QLD', 'WA', 'SA'])[n_regionkey + 1]"
@@ -185,6 +185,77 @@ def view_party_leaders(spark, sf):
     return views.party_leaders(_tables(spark, sf, "people"))
 
 
+_LAST_STEPS = """l AS (SELECT l_partkey, max({'date': strftime(l_shipdate, '%Y-%m-%d'), 'event': CASE WHEN l_returnflag = 'R' THEN 'Third reading agreed (Senate)' ELSE 'Introduced (Senate)' END}) AS last FROM lineitem GROUP BY l_partkey),
+b AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' (' || p_brand || ')' AS title, CASE p_type WHEN 'PROMO' THEN 'Act' WHEN 'SMALL' THEN 'Before Senate' ELSE 'Lapsed' END AS status, last.date AS moved, last.event AS event FROM part JOIN l ON l_partkey = p_partkey)"""
+_FEED = """SELECT '<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>%(title)s</title><link rel="self" href="https://example.org%(path)sfeed.xml"/><link href="https://example.org%(path)s"/><id>https://example.org%(path)sfeed.xml</id><updated>'
+  || coalesce(arg_min(date, nth), '1970-01-01') || 'T00:00:00Z</updated><author><name>A &amp; B</name></author>' || coalesce(string_agg('<entry><title>' || title || '</title><link href="https://example.org' || path || '"/><id>https://example.org' || path
+  || '</id><updated>' || date || 'T00:00:00Z</updated><summary>' || summary || '</summary></entry>', '' ORDER BY nth), '') || '</feed>' AS xml FROM e WHERE nth <= 50"""
+
+
+@query("WITH " + DIVISIONS + """, e AS (SELECT name AS title, '/divisions/' || house || '/' || date || '-' || id || '/' AS path, date,
+  CASE house WHEN 'senate' THEN 'Senate' ELSE 'House' END || ' ' || ayes || '–' || noes || ' · ' || CASE WHEN ayes > noes THEN 'Carried' ELSE 'Negatived' END AS summary,
+  row_number() OVER (ORDER BY date || '-' || lpad(CAST(id AS VARCHAR), CAST(greatest(4, length(CAST(id AS VARCHAR))) AS INTEGER), '0') || '-' || house DESC, id DESC) AS nth FROM divisions)
+""" + _FEED % {"title": "Votes &lt;all&gt;", "path": "/divisions/"})
+def division_feed_text(spark, sf):
+    """SNK-06, TOP-03: the feed of the fifty newest divisions."""
+    return views.feed_text(views.feed(_tables(spark, sf, "divisions")), "https://example.org/", "Votes <all>", "/divisions/", "A & B")
+
+
+@query("WITH " + _LAST_STEPS + """, e AS (SELECT title || ' — ' || event AS title, '/bills/' || id || '/' AS path, moved AS date, event || ' · ' || status AS summary, row_number() OVER (ORDER BY moved DESC, title, id) AS nth FROM b)
+""" + _FEED % {"title": "Bills", "path": "/bills/"})
+def bill_feed_text(spark, sf):
+    """SNK-06, TOP-03: the feed of the fifty bills that moved last."""
+    return views.feed_text(views.bills_feed(_tables(spark, sf, "bills")), "https://example.org/", "Bills", "/bills/", "A & B")
+
+
+@query("WITH " + _LAST_STEPS + "SELECT id, title, moved FROM b ORDER BY moved DESC, title, id LIMIT 8")
+def view_home_bills(spark, sf):
+    """TOP-02, VW-01: the eight bills that moved last, by title within a day."""
+    return views.home_bills(_tables(spark, sf, "bills")).select("id", "title", "moved")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' (' || p_brand || ')' AS title,
+  CASE WHEN p_size % 2 = 0 THEN 'Alpha Act 1999: ' || p_name || ' / Beta Code: ' || p_brand || '; ' || p_type END AS acts,
+  CASE WHEN p_size % 2 = 1 THEN 'To:' END AS lead, CASE WHEN p_size % 2 = 1 THEN p_name || '; ' || p_brand || '; ' || p_type || '; end' END AS items FROM part""")
+def view_bill_page(spark, sf):
+    """VW-07, STR-13, STR-14: summaries by acts and as flat lists."""
+    by_acts = F.concat(F.lit("Amends the: Alpha Act 1999 to: "), "p_name", F.lit("; and Beta Code to "), "p_brand", F.lit("; "), "p_type", F.lit("."))
+    listed = F.concat(F.lit("To: "), "p_name", F.lit("; "), "p_brand", F.lit(";  and "), "p_type", F.lit("; end"))
+    said = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 2 == 0, by_acts).otherwise(listed).alias("said"))
+    page = views.bill_page({"bills": _bills(spark, sf).drop("summary").join(said.withColumnRenamed("said", "summary"), "id")})
+    acts = F.transform("groups", lambda g: F.concat(g["acts"], F.lit(": "), F.array_join(g["items"], "; ")))
+    return page.select("id", "title", F.array_join(acts, " / ").alias("acts"), F.col("list.lead").alias("lead"), F.array_join("list.items", "; ").alias("items"))
+
+
+@query("""SELECT 'c' || c_custkey AS slug, CASE c_custkey % 3 WHEN 0 THEN 'Adviser of ' || c_mktsegment || ' ()' WHEN 1 THEN 'Clerk of ' || c_mktsegment || ' (2003 – 2007)' ELSE ' of ' || c_mktsegment || ' ()' END || '|Adviser of ' || c_name || ' ()' AS work,
+  'BA (' || c_mktsegment || ')|Dip ()' AS study, regexp_replace(CAST(floor((epoch_ms(TIMESTAMP '2025-01-01') - epoch_ms(TIMESTAMP '2001-07-01' + to_days(CAST(c_nationkey AS INTEGER)))) / 31557600000 * 10 + 0.5) / 10 AS VARCHAR), '\\.0$', '') AS years
+FROM customer WHERE c_custkey % 5 <> 0""")
+def view_person_background(spark, sf):
+    """VW-04, STR-15, STR-17, DT-07: work, study and years of service of people who have a background."""
+    rows, segment = t(spark, sf, "customer"), F.col("c_mktsegment")
+    first = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Adviser at the "), segment, F.lit("."))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Clerk of the "), segment, F.lit(", 2003-2007"))).otherwise(segment)
+    background = F.struct(
+        F.array(first, F.concat(F.lit("Adviser at the "), "c_name", F.lit("."))).alias("occupations"), F.array(F.concat(F.lit("BA, "), segment), F.lit("Dip")).alias("qualifications"),
+        _day(F.date_add(F.lit("2001-07-01").cast("date"), F.col("c_nationkey").cast("int"))).alias("serviceStart"),
+    )
+    people = rows.select(F.concat(F.lit("c"), "c_custkey").alias("slug"), F.when(F.col("c_custkey") % 5 != 0, background).alias("background"))
+    shown = views.person_background({"people": people}, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    work = F.transform("work", lambda o: F.concat(o["role"], F.lit(" of "), o["org"], F.lit(" ("), o["period"], F.lit(")")))
+    study = F.transform("study", lambda q: F.concat(q["qual"], F.lit(" ("), q["institution"], F.lit(")")))
+    return shown.select("slug", F.array_join(work, "|").alias("work"), F.array_join(study, "|").alias("study"), "years")
+
+
+@query("""WITH s AS (SELECT d.doc_id, any_value(d.whole) IS NOT NULL AS written, coalesce(bool_or(b.text IS NOT NULL), false) AS spoken
+  FROM (SELECT doc_id, text AS whole, trim(unnest(CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END), ' ') AS line FROM documents) d LEFT JOIN (SELECT DISTINCT text FROM benchmark) b ON d.line = b.text GROUP BY d.doc_id)
+SELECT CAST(s.doc_id AS VARCHAR) AS id, CASE WHEN written THEN CASE WHEN spoken THEN 'transcript' ELSE 'summary' END END AS "summaryKind", CASE WHEN spoken AND quality = 1 THEN 'good' END AS note FROM s LEFT JOIN labels l ON l.doc_id = s.doc_id""")
+def summary_kinds(spark, sf):
+    """PRJ-15, JON-02: kinds of summaries; notes of transcripts alone, and no empty ones."""
+    divisions = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("summary"))
+    notes = t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("slug"), F.struct(F.when(F.col("quality") == 1, "good").otherwise("").alias("text")).alias("note"))
+    told = gold.summarised(divisions, t(spark, sf, "benchmark").select(F.col("text").alias("name")), notes)
+    return told.select("id", "summaryKind", F.col("aiSummary.text").alias("note"))
+
+
 @query("WITH " + PEOPLE + "SELECT slug, name, grp AS \"group\", upper(name[1]) AS initials FROM people")
 def view_person_cards(spark, sf):
     """VW-12, STR-20."""

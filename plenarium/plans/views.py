@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dates, rules, text
 from ..operators import elections, linking, ordering, votes
@@ -138,8 +139,43 @@ def data_sources(listed: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def feed(t: Tables, n: int = 50) -> DataFrame:
+    """The ``n`` newest divisions as a feed's entries, in order."""
     rows = ordering.divisions_newest_first(t["divisions"]).limit(n)
-    return rows.select("id", F.col("name").alias("title"), dates.feed_timestamp(F.col("date")).alias("updated"), text.escape_html(F.col("name")).alias("xml_title"))
+    result = F.when(F.col("result") == "passed", "Carried").otherwise("Negatived")
+    counts = F.concat(F.col("ayes").cast("string"), F.lit("–"), F.col("noes").cast("string"))
+    said = F.concat(F.when(F.col("house") == "senate", "Senate").otherwise("House"), F.lit(" "), counts, F.lit(" · "), result)
+    path = F.concat(F.lit("/divisions/"), "house", F.lit("/"), text.division_key(F.col("date"), F.col("number")), F.lit("/"))
+    return _entries(rows, ordering.newest_first(), F.col("name"), path, F.col("date"), said)
+
+
+def bills_feed(t: Tables, n: int = 50) -> DataFrame:
+    """The ``n`` bills that moved last as a feed's entries; the last of a day's steps counts, bills of a day stand by title."""
+    last = F.array_max(F.transform("timeline", lambda s, i: F.struct(s["date"].alias("date"), i.alias("pos"), s["event"].alias("event"))))
+    order = [F.desc("last.date"), ordering.collated("title"), F.col("id")]
+    rows = t["bills"].withColumn("last", last).where("last.date is not null").orderBy(*order).limit(n)
+    said = F.concat("last.event", F.lit(" · "), "status")
+    return _entries(rows, order, F.concat("title", F.lit(" — "), "last.event"), F.concat(F.lit("/bills/"), "id", F.lit("/")), F.col("last.date"), said)
+
+
+def _entries(rows: DataFrame, order: list[Column], title: Column, path: Column, date: Column, summary: Column) -> DataFrame:
+    """id, nth, title, path, updated, summary; ``rows`` are as few as a feed has entries, so one task numbers them."""
+    nth = F.row_number().over(Window.orderBy(*order))
+    return rows.select("id", nth.alias("nth"), title.alias("title"), path.alias("path"), dates.feed_timestamp(date).alias("updated"), summary.alias("summary")).orderBy("nth")
+
+
+def feed_text(entries: DataFrame, origin: str, title: str, index_path: str, author: str) -> DataFrame:
+    """One row, xml: the Atom text of ``entries``; that of none is dated to 1970."""
+    origin = F.lit(origin.rstrip("/"))
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name}>"))
+    link = lambda url, rel="": F.concat(F.lit(f"<link {rel}href=\""), text.escape_attribute(url), F.lit("\"/>"))
+    url = F.concat(origin, "path")
+    entry = tag("entry", tag("title", text.escape_html(F.col("title"))), link(url), tag("id", text.escape_html(url)), tag("updated", F.col("updated")), tag("summary", text.escape_html(F.col("summary"))))
+    # No more than a feed's entries.
+    all_of = entries.agg(F.array_sort(F.collect_list(F.struct("nth", entry.alias("xml")))).alias("all"), F.min_by("updated", "nth").alias("updated"))
+    index, own = F.concat(origin, F.lit(index_path)), F.concat(origin, F.lit(f"{index_path}feed.xml"))
+    head = [tag("title", text.escape_html(F.lit(title))), link(own, 'rel="self" '), link(index), tag("id", text.escape_html(own)), tag("updated", F.coalesce("updated", F.lit("1970-01-01T00:00:00Z"))), tag("author", tag("name", text.escape_html(F.lit(author))))]
+    opening = F.lit('<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom">')
+    return all_of.select(F.concat(opening, *head, F.array_join(F.transform("all", lambda e: e["xml"]), ""), F.lit("</feed>")).alias("xml"))
 
 
 def sitemap(urls: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """End to end over a small store of invented entities."""
 
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,8 @@ def test_views(spark, store):
     assert rows("same_day", "division") == [] and rows("division_bills", "division", "bill_id") == [(d1, "b1")] and rows("bill_divisions", "bill_id", "division") == [("b1", d1)]
     assert rows("electorates_index", "slug", "member", "search") == [("east", None, "east wa western australia "), ("north", "Ada Moss", "north nsw new south wales ada moss")]
     assert sorted(rows("parties_index", "slug", "total")) == [("independent", 1), ("reds", 1)] and rows("feed", "id", "updated") == [(d2, "2025-06-02T00:00:00Z"), (d1, "2025-05-01T00:00:00Z")]
+    assert rows("feed", "nth", "path", "summary") == [(1, "/divisions/senate/2025-06-02-3/", "Senate 0–0 · Negatived"), (2, "/divisions/representatives/2025-05-01-1/", "House 1–1 · Negatived")]
+    assert rows("bills_feed", "id", "updated", "path") == [("b1", "2025-05-01T00:00:00Z", "/bills/b1/")]
     assert sorted(rows("bill_page", "id", "groups")) == [("b1", None), ("b2", None)]
     assert sorted(rows("bill_rows", "id", "stage", "step", "day")) == [("b1", 2, "Third reading agreed", "1 May"), ("b2", 4, None, None)]
     assert sorted(rows("ledger_rows", "month", "day", "title")) == [("June 2025", "2 Jun", "Other"), ("May 2025", "1 May", "Second Reading")]
@@ -197,3 +200,25 @@ def test_api_answers(spark, tmp_path):
     (tmp_path / "people.jsonl").write_text('{"slug": "a", "name": "A", "undeclared": 1}\n\n{"slug": "b"}\n')
     tables = files.bundles(spark, str(tmp_path))
     assert tables["people"].count() == 2 and tables["bills"].count() == 0
+
+
+def test_feed_text(spark):
+    """Read by an XML parser: entries in order with what they say, marks escaped once; the last of a day's steps counts."""
+    step = lambda *days: [(d, e) for d, e in days]
+    bills = spark.createDataFrame([
+        ("a", "Zoo & Co <1>", "Act", step(("2025-01-02", "In"), ("2025-03-01", "Moved"), ("2025-03-01", "Agreed \"so\""))),
+        ("b", "apples", "Lapsed", step(("2025-03-01", "In"))), ("c", "Old", "Act", step(("2024-01-01", "In"))), ("d", "None", "Act", []),
+    ], "id string, title string, status string, timeline array<struct<date: string, event: string>>")
+    entries = views.bills_feed({"bills": bills})
+    xml = views.feed_text(entries, "https://x.org/", "A & B", "/bills/", "me").first().xml
+    root, ns = ElementTree.fromstring(xml.encode()), "{http://www.w3.org/2005/Atom}"
+    said = [tuple(e.find(ns + x).text for x in ("title", "id", "updated", "summary")) for e in root.iter(ns + "entry")]
+    assert said == [
+        ("apples — In", "https://x.org/bills/b/", "2025-03-01T00:00:00Z", "In · Lapsed"), ("Zoo & Co <1> — Agreed \"so\"", "https://x.org/bills/a/", "2025-03-01T00:00:00Z", "Agreed \"so\" · Act"),
+        ("Old — In", "https://x.org/bills/c/", "2024-01-01T00:00:00Z", "In · Act"),
+    ]
+    assert root.find(ns + "title").text == "A & B" and root.find(ns + "updated").text == "2025-03-01T00:00:00Z" and root.find(f"{ns}author/{ns}name").text == "me"
+    assert [(x.get("rel"), x.get("href")) for x in root.findall(ns + "link")] == [("self", "https://x.org/bills/feed.xml"), (None, "https://x.org/bills/")]
+    assert [r.id for r in views.bills_feed({"bills": bills}, 1).collect()] == ["b"]
+    none = ElementTree.fromstring(views.feed_text(entries.limit(0), "https://x.org", "T", "/bills/", "me").first().xml.encode())
+    assert none.find(ns + "updated").text == "1970-01-01T00:00:00Z" and none.find(ns + "entry") is None
