@@ -245,14 +245,17 @@ def view_person_background(spark, sf):
     return shown.select("slug", F.array_join(work, "|").alias("work"), F.array_join(study, "|").alias("study"), "years")
 
 
-@query("""WITH s AS (SELECT d.doc_id, any_value(d.whole) IS NOT NULL AS written, coalesce(bool_or(b.text IS NOT NULL), false) AS spoken
-  FROM (SELECT doc_id, text AS whole, trim(unnest(CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END), ' ') AS line FROM documents) d LEFT JOIN (SELECT DISTINCT text FROM benchmark) b ON d.line = b.text GROUP BY d.doc_id)
+@query("""WITH n AS (SELECT DISTINCT trim(string_split(text, chr(10))[-1], ' ') AS name FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+s AS (SELECT d.doc_id, any_value(d.whole) IS NOT NULL AS written, coalesce(bool_or(n.name IS NOT NULL), false) AS spoken
+  FROM (SELECT doc_id, text AS whole, trim(unnest(CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END), ' ') AS line FROM documents) d LEFT JOIN n ON d.line = n.name GROUP BY d.doc_id)
 SELECT CAST(s.doc_id AS VARCHAR) AS id, CASE WHEN written THEN CASE WHEN spoken THEN 'transcript' ELSE 'summary' END END AS "summaryKind", CASE WHEN spoken AND quality = 1 THEN 'good' END AS note FROM s LEFT JOIN labels l ON l.doc_id = s.doc_id""")
 def summary_kinds(spark, sf):
-    """PRJ-15, JON-02: kinds of summaries; notes of transcripts alone, and no empty ones."""
-    divisions = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("summary"))
-    notes = t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("slug"), F.struct(F.when(F.col("quality") == 1, "good").otherwise("").alias("text")).alias("note"))
-    told = gold.summarised(divisions, t(spark, sf, "benchmark").select(F.col("text").alias("name")), notes)
+    """PRJ-15, JON-02: kinds of summaries; notes of transcripts alone, and no empty ones.  Last lines of toxic texts are the names."""
+    documents, labels = t(spark, sf, "documents"), t(spark, sf, "labels")
+    divisions = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("summary"))
+    names = documents.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select(F.trim(F.element_at(F.split("text", "\n"), -1)).alias("name"))
+    notes = labels.select(F.col("doc_id").cast("string").alias("slug"), F.struct(F.when(F.col("quality") == 1, "good").otherwise("").alias("text")).alias("note"))
+    told = gold.summarised(divisions, names, notes)
     return told.select("id", "summaryKind", F.col("aiSummary.text").alias("note"))
 
 

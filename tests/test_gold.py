@@ -71,7 +71,7 @@ def test_views(spark, store):
     assert rows("same_day", "division") == [] and rows("division_bills", "division", "bill_id") == [(d1, "b1")] and rows("bill_divisions", "bill_id", "division") == [("b1", d1)]
     assert rows("electorates_index", "slug", "member", "search") == [("east", None, "east wa western australia "), ("north", "Ada Moss", "north nsw new south wales ada moss")]
     assert sorted(rows("parties_index", "slug", "total")) == [("independent", 1), ("reds", 1)] and rows("feed", "id", "updated") == [(d2, "2025-06-02T00:00:00Z"), (d1, "2025-05-01T00:00:00Z")]
-    assert rows("feed", "nth", "path", "summary") == [(1, "/divisions/senate/2025-06-02-3/", "Senate 0–0 · Negatived"), (2, "/divisions/representatives/2025-05-01-1/", "House 1–1 · Negatived")]
+    assert rows("feed", "nth", "path", "summary") == [(1, "/divisions/senate/2025-06-02-3/", "Senate 1–1 · Negatived"), (2, "/divisions/representatives/2025-05-01-1/", "House 1–0 · Carried")]
     assert rows("bills_feed", "id", "updated", "path") == [("b1", "2025-05-01T00:00:00Z", "/bills/b1/")]
     assert sorted(rows("bill_page", "id", "groups")) == [("b1", None), ("b2", None)]
     assert sorted(rows("bill_rows", "id", "stage", "step", "day")) == [("b1", 2, "Third reading agreed", "1 May"), ("b2", 4, None, None)]
