@@ -31,6 +31,8 @@ NO_CHAR = 0x110000
 #: Longer units are filtered one by one, in blocks of so many characters; the law is the same.
 LONGEST, BLOCK = 256, 4096
 SEED = 10
+#: Stands for an id that isn't in the vocabulary.
+FOREIGN = "\ufffd".encode()
 _RUNS = re.compile(r" *[^ ]+| +")
 _AT_ONCE = 1_000_000
 #: Filtered cells that a task keeps for words to come, 8 bytes each.
@@ -279,6 +281,11 @@ class Lattice:
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()
 
+    def read(self, ids: np.ndarray) -> str:
+        """As ``decode``, of any numbers; see ``decode_pieces``."""
+        known = len(self.bytes_of)
+        return b"".join(self.bytes_of[int(i)] if i is not None and 0 <= i < known else FOREIGN for i in ids).decode(errors="replace")
+
 
 @lru_cache(maxsize=2)
 def lattice(path: str, sharpness: float) -> Lattice:
@@ -321,14 +328,18 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", model: str | None = None
 
 
 def decode_pieces(ids: Column, model: str | None = None) -> Column:
-    """The text that ids stand for; null for null."""
+    """The text that ids stand for; null for null.
+
+    Ids that no encoder gives are read as far as they go: a null or an id that isn't in the
+    vocabulary becomes U+FFFD, and so do bytes that make no character together.
+    """
     path = model or default_model()
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = lattice(path, 1.0)
         for batch in batches:
-            yield pd.Series([None if x is None else pieces.decode(x) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else pieces.read(x) for x in batch], dtype=object)
 
     return decode(ids)
 

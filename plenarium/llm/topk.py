@@ -178,8 +178,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     null vec_id, a null vector and one with a null or non-finite component take no part,
     and of rows that repeat a vec_id the least vector counts.  Ties go to the smaller
     vec_id; a query with fewer candidates gets all of them; shorter vectors count as
-    padded with zeros; an empty table gives an empty result.  A squared norm of LARGEST or
-    more is an error, since scores might not be longs.
+    padded with zeros; an empty table gives an empty result.  Vectors whose squared norm is
+    LARGEST or more take no part, since scores might not be longs.
 
     A hashed sample of ``sample`` rows is the only part that reaches the driver.  ``pivots``
     of them are chosen for their spread; each vector belongs to the cell of its nearest
@@ -189,12 +189,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     """
     spark = vectors.sparkSession
     square = F.aggregate("vector", F.lit(0).cast("double"), lambda s, c: s + c.cast("double") * c)
-    rows = stage(vectors.select("vec_id", "vector", square.alias("square"), is_query.alias("is_query")), "vectors")
+    rows = stage(vectors.select("vec_id", "vector", square.alias("square"), is_query.alias("is_query")).where(F.col("square") < LARGEST), "vectors")
     n, dims, top = rows.agg(F.count("*"), F.max(F.size("vector")), F.ceil(F.max("square")).cast("double")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if top >= LARGEST:
-        raise ValueError("a vector's squared norm is too large for scores to be longs")
     exact = top < EXACT
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     sample_ids, sample_rows = chosen["vec_id"].to_numpy(), _padded(chosen["vector"], dims)
