@@ -232,3 +232,25 @@ def test_watermarked_streams(spark, tmp_path):
     last = incremental.latest_by_key_stream(stream, "ts", "user_id").writeStream.format("memory").queryName("last").outputMode("complete").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
     last.awaitTermination()
     assert spark.sql("select sum(n) from last").first()[0] == events.count() + 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_day_ledgers(spark):
+    from plenarium.plans import flows
+
+    schema = "division long, house string, date string, number long, name string"
+    rows = [(1, "s", "d1", 1, "Ünë"), (2, "s", "d1", 2, "two; x"), (3, "s", "d1", 3, "三"), (4, "s", "d2", 1, "alone"), (5, None, "d1", 1, "no house"), (6, "r", "d1", 2, None), (7, "r", "d1", 1, "seven"), (8, "r", "d1", 3, "eight")]
+    got = dict(linking.with_day_ledgers(spark.createDataFrame(rows, schema), F.col("name"), "; ").select("division", "ledger").collect())
+    assert got == {1: "two; x; 三", 2: "Ünë; 三", 3: "Ünë; two; x", 4: None, 5: None, 6: "seven; eight", 7: "eight", 8: "seven"}
+    divisions = spark.createDataFrame([(*r, "said", ["b"]) for r in rows], f"{schema}, summary string, bill_ids array<string>")
+    bills = spark.createDataFrame([("b", "A bill", None)], "bill_id string, title string, summary string")
+    prompts = flows.division_prompts(divisions, bills)
+    found = {r.division: r for r in prompts.collect()}
+    assert found[2].ledger == "- (division 1) Ünë\n- (division 3) 三" and found[4].ledger == "" and found[5].ledger == ""
+    assert found[2].bills == "- A bill: no official summary" and found[2].excerpt == "said"
+    # The ledgers, pairs of divisions by nature, are neither joined nor moved once they are made.
+    for df in (prompts, linking.prompt_context(divisions, bills)):
+        assert "Join" not in _plan(df).split("Window")[0] and "Window" in _plan(df)
