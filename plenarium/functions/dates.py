@@ -23,8 +23,9 @@ def dot_net_date(value: Column) -> Column:
     pattern = r"/Date\((\d+)([+-]\d{4})?\)/"
     part = lambda i: F.regexp_extract(value, pattern, i)
     sign = F.when(F.startswith(part(2), F.lit("-")), -1).otherwise(1)
-    minutes = F.coalesce(F.substring(part(2), 2, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(part(2), 4, 2).try_cast("int"), F.lit(0))
-    days = F.floor((part(1).try_cast("bigint") + sign * minutes * 60_000) / 86_400_000)
+    # Most stamps have no offset; reading a number in an empty text costs an exception inside, many times the rest.
+    minutes = F.when(part(2) == "", 0).otherwise(sign * (F.substring(part(2), 2, 2).cast("int") * 60 + F.substring(part(2), 4, 2).cast("int")))
+    days = F.floor((part(1).try_cast("bigint") + minutes * 60_000) / 86_400_000)
     return F.when(part(1) != "", F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("string"))
 
 

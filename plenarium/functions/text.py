@@ -32,7 +32,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def squeezed(text: Column) -> Column:
     """Runs of any Unicode white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+    odd = lambda t: F.contains(t, F.lit("  ")) | t.rlike(r"(?U)[^\S ]")
+    return let(text, lambda t: F.when(odd(t), F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")).otherwise(F.trim(t)))
 
 
 def non_empty(text: Column) -> Column:
@@ -103,8 +104,8 @@ def raiser_name(display: Column) -> Column:
     return F.concat_ws(" ", non_empty(given), non_empty(family))
 
 
-def replaced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """``text`` with each match of ``pattern`` changed; the text and its matches are found once."""
+def replaced(text: Column, pattern: str, change: Callable[[Column], Column], mark: str = "") -> Column:
+    """``text`` with each match of ``pattern`` changed; the text and its matches are found once.  Every match holds ``mark``."""
 
     def put(found: Column) -> Column:
         pieces = F.transform(found["gaps"], lambda gap, i: F.when(i == 0, gap).otherwise(F.concat(F.get(found["new"], i - 1), gap)))
@@ -112,7 +113,7 @@ def replaced(text: Column, pattern: str, change: Callable[[Column], Column]) ->
 
     def changed(value: Column) -> Column:
         new = F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), change)
-        return F.when(value.rlike(pattern), let(F.struct(F.split(value, pattern, -1).alias("gaps"), new.alias("new")), put)).otherwise(value)
+        return F.when(F.contains(value, F.lit(mark)) & value.rlike(pattern), let(F.struct(F.split(value, pattern, -1).alias("gaps"), new.alias("new")), put)).otherwise(value)
 
     return let(text, changed)
 
@@ -148,9 +149,9 @@ def strip_html(html: Column) -> Column:
     """Tags to spaces, then decimal, hex and named entities (any case; unknown ones stay), white space collapsed."""
 
     def passes(text: Column) -> Column:
-        text = replaced(text, "&#[0-9]+;", lambda e: code_point(_number_of(e)))
-        text = replaced(text, "&#[xX][0-9a-fA-F]+;", lambda e: code_point(_number_of(e)))
-        return replaced(text, "&[A-Za-z]+;", lambda e: _named(e, True))
+        text = replaced(text, "&#[0-9]+;", lambda e: code_point(_number_of(e)), "&#")
+        text = replaced(text, "&#[xX][0-9a-fA-F]+;", lambda e: code_point(_number_of(e)), "&#")
+        return replaced(text, "&[A-Za-z]+;", lambda e: _named(e, True), "&")
 
     return _decoded(html, passes)
 

@@ -119,3 +119,17 @@ def test_slug_of_every_character(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "given string").select("given", text.slugify(F.col("given")).alias("slug"))
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [(r.given, r.slug) for r in rows.collect() if r.slug != plain(r.given)] == []
+
+
+def test_stamps_without_offset_read_no_offset(spark):
+    """An empty offset isn't read as a number, which would raise and catch an exception for each stamp."""
+    rows = spark.createDataFrame([(1, "/Date(86399999)/"), (2, "/Date(82800000+0100)/"), (3, "/Date(86400000-0030)/"), (4, "/Date(x)/"), (5, ""), (6, None), (7, "/Date(99999999999999999999)/")], "i int, s string")
+    found = rows.select("i", dates.dot_net_date(F.col("s")).alias("d"))
+    assert dict(found.collect()) == {1: "1970-01-01", 2: "1970-01-02", 3: "1970-01-01", 4: None, 5: None, 6: None, 7: None}
+    assert "try_cast(substring" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_white_space_and_entities_cheaply(spark):
+    texts = [" a ", "a b", "a  b", "a ", "’x", "", None, "&#8217;&#X41;&AMP;", "a & b", "a&#", "\ta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", text.strip_html(F.col("s")).alias("s"))
+    assert dict(rows.collect()) == dict(enumerate(["a", "a b", "a b", "a", "’x", "", None, "’A&", "a & b", "a&#", "a"]))
