@@ -64,8 +64,14 @@ def match_slug_then_family(sources: DataFrame, people: DataFrame) -> DataFrame:
     direct = names.join(people.select("slug", "ord"), "slug").groupBy("source_id").agg(F.min_by("slug", "ord").alias("slug"))
     rest = sources.join(direct, "source_id", "left_anti")
     p = people.select("slug", F.explode(family_suffixes(F.col("name_slug"))).alias("family_slug"), F.col("seat").alias("p_seat"), F.col("state").alias("p_state"))
-    near = rest.join(p, "family_slug").where("coalesce(seat = p_seat, false) or coalesce(state = p_state, false)")
-    only = near.groupBy("source_id").agg(F.count("*").alias("n"), F.min("slug").alias("slug")).where("n = 1").drop("n")
+    # A family never meets all its sources: those who fit are counted by seat, by state, and by both, who would count twice.
+    near = rest.select("source_id", "family_slug", "seat", "state")
+    for name, places in (("by_seat", ["seat"]), ("by_state", ["state"]), ("by_both", ["seat", "state"])):
+        fits = p.groupBy("family_slug", *[F.col(f"p_{c}").alias(c) for c in places]).agg(F.struct(F.count("*").alias("n"), F.min("slug").alias("slug")).alias(name))
+        near = near.join(fits, ["family_slug", *places], "left")
+    n = lambda name: F.coalesce(F.col(name)["n"], F.lit(0))
+    near = near.select("source_id", (n("by_seat") + n("by_state") - n("by_both")).alias("n"), F.coalesce(F.col("by_seat")["slug"], F.col("by_state")["slug"]).alias("slug"))
+    only = near.groupBy("source_id").agg(F.sum("n").alias("n"), F.min("slug").alias("slug")).where("n = 1").drop("n")
     return direct.unionByName(only)
 
 

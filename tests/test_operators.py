@@ -254,3 +254,16 @@ def test_day_ledgers(spark):
     # The ledgers, pairs of divisions by nature, are neither joined nor moved once they are made.
     for df in (prompts, linking.prompt_context(divisions, bills)):
         assert "Join" not in _plan(df).split("Window")[0] and "Window" in _plan(df)
+
+
+def test_family_by_counts(spark):
+    """Those of a family are counted by place, so a common family isn't paired with all its sources."""
+    seats = "slug string, name_slug string, seat string, state string, ord int"
+    people = spark.createDataFrame([("a-lee", "a-lee", "s1", "NSW", 1), ("b-lee", "b-lee", "s2", "NSW", 2), ("c-lee", "c-lee", "s3", None, 3), ("d-roy", "d-roy", None, "VIC", 4), ("e-roy", "e-roy", "s1", "QLD", 5)], seats)
+    asked = [(1, "s1", "NSW"), (2, "s1", None), (3, "s3", "NSW"), (4, "s3", "VIC"), (5, None, None), (6, "s2", "SA"), (7, "s9", "WA")]
+    sources = [(i, "x-lee", None, "lee", seat, state) for i, seat, state in asked] + [(8, "x-roy", None, "roy", "s1", "QLD"), (9, "x-roy", None, "roy", "s1", "VIC"), (10, "x-roy", None, "roy", None, "VIC")]
+    rows = spark.createDataFrame(sources, "source_id int, given_slug string, preferred_slug string, family_slug string, seat string, state string")
+    found = matching.match_slug_then_family(rows, people)
+    assert sorted(map(tuple, found.collect())) == [(2, "a-lee"), (4, "c-lee"), (6, "b-lee"), (8, "e-roy"), (10, "d-roy")]
+    joins = [line for line in _plan(found).splitlines() if "Join" in line and "family_slug" in line]
+    assert len(joins) == 3 and all("seat" in line or "state" in line for line in joins)
