@@ -27,6 +27,11 @@ def _with_least(links: DataFrame, total: int) -> DataFrame:
     return join_groups(links, links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", total)
 
 
+def _ends(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """u, v: each row's values of the pairs of columns, in one pass over ``links``."""
+    return links.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("link")).select("link.*")
+
+
 def _are_stars(links: DataFrame) -> bool:
     """Whether every node is linked to one other at most, which itself is linked to none."""
     ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -37,18 +42,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: every node of ``edges`` (a, b) with the smallest node of its component.
 
     Each round links a node's larger neighbours, then its smaller ones, to the least
-    neighbour, until every node is linked to its root alone.  A round is written out, so lost
-    executors never cost more than one round.  A node with many neighbours isn't gathered
+    neighbour, until every node is linked to its root alone.  Each step is written out, so lost
+    executors never cost more than one step.  A node with many neighbours isn't gathered
     (see ``join_groups``).  Loops (a = b) give no node of their own.
     """
     larger = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = stage(larger.distinct(), name)
     while not _are_stars(now):
         total = now.count()
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        # Both steps are written out, so that no plan holds a step several times over.
+        large = stage(_with_least(_ends(now, ("u", "v"), ("v", "u")), 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")), name)
         down = _with_least(large, total)
-        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, stage(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), name)
+        before, now = now, stage(_ends(down, ("v", "m"), ("u", "m")).where("u <> v").distinct(), name)
+        discard(large)
         discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

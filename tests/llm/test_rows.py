@@ -367,3 +367,19 @@ def test_crc_of_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts.items()}
     assert {r.law for r in out} == {"rows"} and {r.grown_shard for r in out} == {None}
+
+
+def test_component_rounds_are_small_plans(spark, monkeypatch):
+    """No step of a round holds another several times over; plans like that filled the driver's memory."""
+    from plenarium.llm import graph
+
+    shuffles, plain = [], graph.stage
+
+    def counted(df, name, **more):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return plain(df, name, **more)
+
+    monkeypatch.setattr(graph, "stage", counted)
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(41)]
+    assert len(shuffles) > 2 and max(shuffles) <= 8
