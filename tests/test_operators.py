@@ -120,6 +120,24 @@ def test_mentions_of_many_titles(spark):
         assert [tuple(m) for m in got[i].mentions] == brute_links(text, titles), text
 
 
+def test_mentions_move_only_what_is_found(spark, monkeypatch):
+    """Places at which a title may stand are compared beside their text; only those in long texts meet it by key."""
+    monkeypatch.setattr(linking, "LONG", 77)
+    texts = spark.createDataFrame([(str(i), "abababab abababac") for i in range(3)], "key string, low string")
+    found = linking._occurrences(texts, spark.createDataFrame([("abababac", 0, "/c/"), ("abababad", 0, "/d/")], "low string, rank int, href string"))
+    assert sorted(map(tuple, found.collect())) == [(str(i), 9, 8, 0, "/c/") for i in range(3)]
+    by_key = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (key")[1:]
+    assert len(by_key) == 1 and "> 77" in by_key[0]
+
+
+def test_mentions_in_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(linking, "LONG", 12)
+    titles = [("beta", "/b/", 0), ("alpha beta", "/ab/", 0)]
+    texts = ["beta", "the alpha beta act", "alpha beta", "beta and no more alpha"]
+    got = {r.i: r for r in linking.mentions(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), spark.createDataFrame(titles, "title string, href string, rank int"), "i").collect()}
+    assert [[tuple(m) for m in got[i].mentions] for i in range(4)] == [brute_links(text, titles) for text in texts]
+
+
 def test_name_match_by_slug_too(spark):
     people = spark.createDataFrame([("jo-dee", "joanne-dee", "r", "north", None, 1)], "slug string, name_slug string, house string, seat string, state string, ord int")
     sources = spark.createDataFrame([(1, "jo-dee", "s", "x", None), (2, "joanne-dee", "r", "y", None), (3, None, "r", "north", None)], "source_id int, name_slug string, house string, seat string, state string")
