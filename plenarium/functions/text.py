@@ -89,7 +89,14 @@ def capitalised_after(text: Column, boundary: str) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """``O'BRIEN-SMITH`` as ``O'Brien-Smith``, ``MCCORMACK`` as ``McCormack``."""
+    """``O'BRIEN-SMITH`` as ``O'Brien-Smith``, ``MCCORMACK`` as ``McCormack``.
+
+    Plain words without either need no pieces.
+    """
+    return F.when(text.rlike("^[A-Za-z ]*$") & ~text.rlike("(?i)mc"), F.initcap(text)).otherwise(_title_case(text))
+
+
+def _title_case(text: Column) -> Column:
     parts = F.split(capitalised_after(text, r"\s\-'"), r"(?<=\bMc)(?=[a-z])")
     return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)), "")
 

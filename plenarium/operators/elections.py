@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,9 +10,12 @@ from ..functions.numbers import round2, share
 
 
 def polling_place_totals(rows: DataFrame, key: str, votes: str, order: list[str], first: list[str]) -> DataFrame:
-    """Votes of each candidate over polling places; other columns from the first row by ``order``."""
-    at = F.struct(*order)
-    return rows.groupBy(key).agg(F.sum(votes).alias("votes"), *[F.min_by(c, at).alias(c) for c in first])
+    """Votes of each candidate over polling places; other columns from the first row by ``order``, of equal ones the least.
+
+    That row travels as one value, so its order isn't held once for each column.
+    """
+    least = F.min(F.struct(*order, *[c for c in first if c not in order])).alias("first_row")
+    return rows.groupBy(key).agg(F.sum(votes).alias("votes"), least).select(key, "votes", *[F.col("first_row")[c].alias(c) for c in first])
 
 
 def _with_totals(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
@@ -21,9 +24,14 @@ def _with_totals(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
     return rows.join(totals, rows[electorate].eqNullSafe(totals["of_electorate"])).drop("of_electorate")
 
 
+def percentage(votes: Column, total: Column) -> Column:
+    """A share of the electorate's votes to two places, 0 of no votes."""
+    return F.when(total > 0, round2(votes / F.when(total > 0, total) * 100)).otherwise(0.0)
+
+
 def candidate_shares(rows: DataFrame, electorate: str, votes: str) -> DataFrame:
     """``rows`` with ``pct``: share of the electorate's votes to two places, 0 of no votes."""
-    pct = F.when(F.col("total") > 0, round2(F.col(votes) / F.when(F.col("total") > 0, F.col("total")) * 100)).otherwise(0.0)
+    pct = percentage(F.col(votes), F.col("total"))
     return _with_totals(rows, electorate, votes).withColumn("pct", pct).drop("total", "candidates")
 
 

@@ -49,9 +49,10 @@ def event_results(event: str, first_preferences: DataFrame, two_candidates: Data
     isn't one of the codes fails the job.
     """
     by_places = event in rules.BY_ELECTIONS
-    firsts = silver.contests(silver.candidates(candidate_counts(first_preferences, by_places)))
-    pairs = silver.contests(silver.candidates(candidate_counts(two_candidates, by_places))).select("electorateSlug", F.col("firstPrefs").alias("tcp"))
-    named = silver.checked_states(firsts).join(pairs, "electorateSlug", "left")
+    firsts = silver.seat_contests(candidate_counts(first_preferences, by_places))
+    pairs = silver.seat_contests(candidate_counts(two_candidates, by_places)).select("electorateName", F.col("firstPrefs").alias("tcp"))
+    # By name, of which either has one row, so that nothing counts twice and a result that isn't asked for isn't made.
+    named = silver.checked_states(firsts).join(pairs, "electorateName", "left")
     none = F.array().cast(pairs.schema["tcp"].dataType)
     return named.select(F.lit(event).alias("eventId"), rules.event_name(F.lit(event)).alias("eventName"), "electorateSlug", "electorateName", "state", "firstPrefs", F.coalesce("tcp", none).alias("tcp"))
 

@@ -158,20 +158,27 @@ def birthplace(place: Column, state: Column, country: Column) -> Column:
     return text.non_empty(F.concat_ws(", ", text.non_empty(place), F.coalesce(text.non_empty(state), text.non_empty(country))))
 
 
+def _candidate() -> dict[str, Column]:
+    """What a row of a count's CSV says about a candidate, but for the share of votes."""
+    swing = F.when(F.coalesce("Swing", F.lit("")) != "", numbers.number_of(F.col("Swing")))
+    return {
+        "name": text.title_case(F.trim(F.concat_ws(" ", "GivenNm", "Surname"))), "party": F.coalesce(text.non_empty(F.col("PartyNm")), F.lit(INDEPENDENT)),
+        "partyCode": text.non_empty(F.col("PartyAb")), "votes": numbers.count_of(F.col("TotalVotes")), "swing": swing, "elected": F.coalesce(F.col("Elected") == "Y", F.lit(False)),
+    }
+
+
+_ENTRY = ["name", "party", "partyCode", "votes", "pct", "swing", "elected"]
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """Candidates of each electorate, most votes first; ``rows``: the columns of the count's CSV and ord.
 
     A blank count is 0; blank party, code and swing are Independent, null and null.
     """
     counted = rows.withColumn("count", numbers.number_of(F.coalesce("TotalVotes", F.lit("0"))))
+    own = {**_candidate(), "pct": F.col("pct")}
     shared = elections.candidate_shares(counted, "DivisionNm", "count")
-    swing = F.when(F.coalesce("Swing", F.lit("")) != "", numbers.number_of(F.col("Swing")))
-    return shared.select(
-        F.col("DivisionNm").alias("electorateName"), text.slugify(F.col("DivisionNm")).alias("electorateSlug"), F.col("StateAb").alias("state"),
-        text.title_case(F.trim(F.concat_ws(" ", "GivenNm", "Surname"))).alias("name"), F.coalesce(text.non_empty(F.col("PartyNm")), F.lit(INDEPENDENT)).alias("party"),
-        text.non_empty(F.col("PartyAb")).alias("partyCode"), numbers.count_of(F.col("TotalVotes")).alias("votes"), "pct", swing.alias("swing"), F.coalesce(F.col("Elected") == "Y", F.lit(False)).alias("elected"),
-        "ord",
-    )
+    return shared.select(F.col("DivisionNm").alias("electorateName"), text.slugify(F.col("DivisionNm")).alias("electorateSlug"), F.col("StateAb").alias("state"), *[own[c].alias(c) for c in _ENTRY], "ord")
 
 
 def contests(rows: DataFrame) -> DataFrame:
@@ -181,6 +188,19 @@ def contests(rows: DataFrame) -> DataFrame:
     return lists.select("electorateSlug", "electorateName", "state", F.transform("c", lambda x: x.dropFields("down", "ord")).alias("firstPrefs"))
 
 
+def seat_contests(rows: DataFrame) -> DataFrame:
+    """``contests`` of ``candidates``, whose ``rows`` are read once.
+
+    An electorate's total is summed as its candidates are gathered, and its slug is made once.
+    """
+    own = {**_candidate(), "count": numbers.number_of(F.coalesce("TotalVotes", F.lit("0")))}
+    entry = F.struct((-F.col("votes")).alias("down"), "ord", *own)
+    plain = rows.select("DivisionNm", F.col("StateAb").alias("state"), "ord", *[c.alias(name) for name, c in own.items()])
+    lists = plain.groupBy("DivisionNm").agg(F.sort_array(F.collect_list(entry)).alias("c"), F.max_by("state", "ord").alias("state"), F.sum("count").alias("total"))
+    shown = lambda x: F.struct(*[(elections.percentage(x["count"], F.col("total")) if c == "pct" else x[c]).alias(c) for c in _ENTRY])
+    return lists.select(text.slugify(F.col("DivisionNm")).alias("electorateSlug"), F.col("DivisionNm").alias("electorateName"), "state", F.transform("c", shown).alias("firstPrefs"))
+
+
 def enrolment(rows: DataFrame) -> DataFrame:
     """name, enrolment: by lower-cased electorate, the first of two columns, above 0."""
     first = lambda c: F.col(c).try_cast("bigint") if c in rows.columns else F.lit(None).cast("bigint")

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from plenarium.plans import silver
+from plenarium.plans import flows, silver
 
 
 def read(spark, tmp_path, rows, schema):
@@ -86,3 +86,20 @@ def test_candidates(spark):
         silver.checked_states(spark.createDataFrame([("XX",)], "state string")).collect()
     e = spark.createDataFrame([("North", "10", None), ("", "5", None), ("East", None, "7"), ("West", "x", None)], "DivisionNm string, Enrolment string, CloseOfRollsEnrolment string")
     assert sorted(map(tuple, silver.enrolment(e).collect())) == [("east", 7), ("north", 10)]
+
+
+def leaves(frame):
+    return frame._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_event_results_read_each_count_once(spark):
+    """A seat's pairs are its own by name, whatever slug other names have, and rows aren't read again for totals."""
+    columns = "StateAb string, DivisionNm string, CandidateID string, Surname string, GivenNm string, PartyNm string, PartyAb string, Swing string, Elected string, OrdinaryVotes string, ord int"
+    row = lambda seat, who, n, i: ("NSW", seat, who, "McMAHON", "JO ANN", None, "", "", "N", n, i)
+    frame = spark.createDataFrame([row("O'Con", "1", "1", 1), row("O'Con", "1", "2", 2), row("O'Con", "2", "6", 3), row("OCon", "3", "4", 4), row("OCon", "4", "", 5)], columns)
+    found = flows.event_results("28791", frame, frame)
+    got = {r.electorateName: r for r in found.collect()}
+    assert found.count() == 2 and {r.electorateSlug for r in got.values()} == {"ocon"}
+    assert [(c.votes, c.pct, c.name) for c in got["O'Con"].firstPrefs] == [(6, 66.67, "Jo Ann McMahon"), (3, 33.33, "Jo Ann McMahon")]
+    assert [(c.votes, c.pct) for c in got["OCon"].tcp] == [(4, 100.0), (0, 0.0)]
+    assert leaves(found) == 2 and leaves(found.select("firstPrefs")) == 1
