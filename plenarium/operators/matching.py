@@ -82,7 +82,7 @@ def unmatched(sources: DataFrame, found: DataFrame, name: str, order: str, n: in
     return rest.agg(F.count("*").alias("unmatched")).crossJoin(first.select(F.concat_ws(", ", F.col("first")[name]).alias("names")))
 
 
-def crosswalk(votes: DataFrame, ids: DataFrame, name_slug: str = "name_slug") -> DataFrame:
+def crosswalk(votes: DataFrame, ids: DataFrame, name_slug: Column | str = "name_slug") -> DataFrame:
     """``votes`` with ``member``: the slug of the person's id (the last one where several share it), else the name's slug."""
     last = ids.groupBy("person_id").agg(F.max_by("slug", "ord").alias("id_slug"))
     return votes.join(last, "person_id", "left").withColumn("member", F.coalesce("id_slug", name_slug)).drop("id_slug")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def sides(votes: DataFrame) -> DataFrame:
@@ -30,6 +31,15 @@ def crossed_votes(votes: DataFrame, exclude_groups: list[str] | None = None) ->
     return rows.withColumn("crossed", crossed)
 
 
+def crossed_together(votes: DataFrame) -> DataFrame:
+    """``crossed_votes`` where a division's votes are to be gathered anyway: they move once, by division."""
+    own = Window.partitionBy("division", "party")
+    counted = votes.repartition("division").withColumns({"ayes": F.count_if(F.col("vote") == "aye").over(own), "noes": F.count_if(F.col("vote") == "no").over(own)})
+    side = F.when(F.col("ayes") > F.col("noes"), "aye").when(F.col("noes") > F.col("ayes"), "no")
+    rows = counted.withColumn("side", side).drop("ayes", "noes")
+    return rows.withColumn("crossed", F.when(F.col("side").isNotNull() & (F.col("vote") != F.col("side")), True))
+
+
 def chamber_totals(divisions: DataFrame) -> DataFrame:
     """house, total."""
     return divisions.groupBy("house").agg(F.count("*").alias("total"))

@@ -37,13 +37,14 @@ def divisions(raw: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """
     key = F.concat_ws("/", "house", "date", F.col("number").cast("string"))
     rows = raw.withColumn("division", key)
+    # Slugs of names are made only for votes whose id isn't known.
     cast = rows.select("division", F.posexplode("votes").alias("pos", "v")).select(
         "division", "pos", F.col("v.member.person.id").alias("person_id"), F.col("v.member.party").alias("party"), F.col("v.vote").alias("vote"),
-        text.slugify(F.concat_ws(" ", "v.member.first_name", "v.member.last_name")).alias("name_slug"),
+        F.concat_ws(" ", "v.member.first_name", "v.member.last_name").alias("name"),
     )
-    marked = votes.crossed_votes(matching.crosswalk(cast, crosswalk))
+    marked = votes.crossed_together(matching.crosswalk(cast, crosswalk, text.slugify(F.col("name"))).drop("name"))
     entry = F.struct("pos", F.col("member").alias("personSlug"), "vote", F.lit(None).cast("boolean").alias("teller"), F.col("crossed").alias("againstGroupMajority"))
-    lists = marked.groupBy("division").agg(F.array_sort(F.collect_list(entry)).alias("cast"))
+    lists = marked.groupBy("division").agg(F.sort_array(F.collect_list(entry)).alias("cast"))
     ballots = F.transform(F.coalesce("cast", F.array().cast(lists.schema["cast"].dataType)), lambda v: v.dropFields("pos"))
     bills = F.transform(F.coalesce("bills", F.array().cast("array<struct<id: bigint, title: string, official_id: string>>")), lambda b: F.coalesce(b["official_id"], b["id"].cast("string")))
     return rows.drop("votes").join(lists, "division", "left").select(

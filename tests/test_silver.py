@@ -103,3 +103,9 @@ def test_event_results_read_each_count_once(spark):
     assert [(c.votes, c.pct, c.name) for c in got["O'Con"].firstPrefs] == [(6, 66.67, "Jo Ann McMahon"), (3, 33.33, "Jo Ann McMahon")]
     assert [(c.votes, c.pct) for c in got["OCon"].tcp] == [(4, 100.0), (0, 0.0)]
     assert leaves(found) == 2 and leaves(found.select("firstPrefs")) == 1
+
+
+def test_votes_are_taken_apart_once(spark):
+    raw = spark.createDataFrame([], silver.DIVISION_RAW)
+    plan = silver.divisions(raw, spark.createDataFrame([], "person_id bigint, slug string, ord bigint"))._jdf.queryExecution().analyzed()
+    assert plan.toString().count("Generate posexplode") == 1
