@@ -22,14 +22,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Dat
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def _with_least(links: DataFrame, total: int) -> DataFrame:
-    """``links`` (u, v) with m, the least v of each u."""
-    return join_groups(links, links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", total)
+def _upward(links: DataFrame, total: int) -> DataFrame:
+    """``links`` (u, v; u > v) with the least that v itself is linked to, if any, for v."""
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+    groups = links.groupBy("v").agg(F.count("*").alias("n")).join(least, "v", "left")
+    return join_groups(links, groups, "v", total).select("u", F.coalesce("m", "v").alias("v"))
 
 
-def _ends(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """u, v: each row's values of the pairs of columns, in one pass over ``links``."""
-    return links.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("link")).select("link.*")
+def _downward(links: DataFrame, total: int) -> DataFrame:
+    """Each u of ``links`` (u, v; u > v) linked to its least v, and its other v to that one."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    others = join_groups(links, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return least.select("u", F.col("m").alias("v")).unionByName(others).distinct()
 
 
 def _are_stars(links: DataFrame) -> bool:
@@ -41,19 +45,22 @@ def _are_stars(links: DataFrame) -> bool:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: every node of ``edges`` (a, b) with the smallest node of its component.
 
-    Each round links a node's larger neighbours, then its smaller ones, to the least
-    neighbour, until every node is linked to its root alone.  Each step is written out, so lost
-    executors never cost more than one step.  A node with many neighbours isn't gathered
-    (see ``join_groups``).  Loops (a = b) give no node of their own.
+    A node's smaller neighbours are linked to the least of them, which leaves of many links
+    of a node about one.  Each round links its larger neighbours, then its smaller ones, to the
+    least neighbour, until every node is linked to its root alone.  No step makes more rows
+    than it has links and nodes.  Each step is written out, so lost executors never cost more
+    than one step.  A node with many neighbours isn't gathered (see ``join_groups``).  Loops
+    (a = b) give no node of their own.
     """
     larger = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = stage(larger.distinct(), name)
+    first = stage(larger.distinct(), name)
+    now = stage(_downward(first, first.count()), name)
+    discard(first)
     while not _are_stars(now):
-        total = now.count()
         # Both steps are written out, so that no plan holds a step several times over.
-        large = stage(_with_least(_ends(now, ("u", "v"), ("v", "u")), 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")), name)
-        down = _with_least(large, total)
-        before, now = now, stage(_ends(down, ("v", "m"), ("u", "m")).where("u <> v").distinct(), name)
+        total = now.count()
+        large = stage(_upward(now, total), name)
+        before, now = now, stage(_downward(large, total), name)
         discard(large)
         discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

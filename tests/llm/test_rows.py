@@ -383,3 +383,21 @@ def test_component_rounds_are_small_plans(spark, monkeypatch):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
     assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(41)]
     assert len(shuffles) > 2 and max(shuffles) <= 8
+
+
+def test_components_make_no_more_rows_than_links_and_nodes(spark, monkeypatch):
+    """Nodes with a link for each of many leads soon have about one; no step doubles its rows."""
+    from plenarium.llm import graph
+
+    made, stage = [], graph.stage
+
+    def counted(df, name):
+        plan, out = df._jdf.queryExecution().optimizedPlan().toString(), stage(df, name)
+        made.append((out.count(), "Generate" in plan))
+        return out
+
+    monkeypatch.setattr(graph, "stage", counted)
+    edges = [(20 + i, j) for i in range(300) for j in range(20) if (i * 7 + j) % 3] + [(1000 + i, 1001 + i) for i in range(9)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{n: 0 for n in range(320)}, **{1000 + i: 1000 for i in range(10)}}
+    assert not any(generated for _, generated in made) and all(n < 1000 for n, _ in made[1:])
