@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,8 @@ BATCH_BYTES = 4 << 20
 #: Marks a document's first piece in the cache; texts that hold it take the general path.
 FIRST = "\r"
 _PLAIN_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Texts whose white space isn't single spaces and line feeds between words alone.
+_GENERAL = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Ids are strings in pandas, where a null would turn longs into doubles.
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -37,16 +41,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Words:
+    """Different words and their ids, as columns."""
+
+    def __init__(self, words: pa.Array | None = None, sizes: np.ndarray | None = None, ids: np.ndarray | None = None):
+        self.words = pa.array([], pa.large_string()) if words is None else words
+        self.sizes = np.empty(0, np.int64) if sizes is None else sizes
+        self.ids = np.empty(0, "<u4") if ids is None else ids
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __add__(self, other: Words) -> Words:
+        return Words(pa.concat_arrays([self.words, other.words]), np.concatenate([self.sizes, other.sizes]), np.concatenate([self.ids, other.ids]))
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Where each of ``words`` stands here, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+
+    def laid(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and where each one's begin, with the end of all."""
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        shift = (np.cumsum(self.sizes) - self.sizes)[at] - ends[:-1]
+        return self.ids[np.repeat(shift, sizes) + np.arange(ends[-1])], ends
+
+    def take(self, at: np.ndarray) -> Words:
+        return Words(self.words.take(pa.array(at)), self.sizes[at], self.laid(at)[0])
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokeniser always breaks before a space or line feed that stands
     between other characters, so a text's ids are those of its words in turn, and each
-    word is tokenised once while it is in the cache.  The cache has two generations; what
-    the last one still uses outlives the change.
+    word is tokenised once while it is in the cache.  Words are split, told apart, looked up
+    and put together as columns.  The cache has two generations; what the last one still
+    uses outlives the change.
     """
 
-    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 200_000, 200, 50_000, 1_000, 4_000_000
+    CACHED, LONGEST, SEGMENT, TOGETHER, AT_ONCE = 200_000, 200, 50_000, 1_000, 8_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,8 +88,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = Words(), Words()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.leads[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
@@ -63,22 +96,26 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words as they stand in a text: after a space, or with their line feed or FIRST mark."""
-        inner = [w for w in words if not w.startswith(FIRST)]
+    def _learn(self, words: pa.Array) -> Words:
+        """Words as they stand in a text: after a space, or with their line feed or FIRST mark."""
+        first = pc.starts_with(words, FIRST)
+        inner, first = words.filter(pc.invert(first)), words.filter(first)
+        sizes, ids = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
         for at in range(0, len(inner), self.TOGETHER):
-            some = inner[at : at + self.TOGETHER]
-            shown = [w if w.startswith("\n") else f" {w}" for w in some]
-            ids = self._ids("".join(shown))
-            cuts = (4 * np.flatnonzero(self.leads[ids])).tolist()
+            some = inner[at : at + self.TOGETHER].to_numpy(zero_copy_only=False).tolist()
+            together = self._ids(f" {' '.join(some)}".replace(" \n", "\n"))
+            cuts = np.flatnonzero(self.leads[together])
             if len(cuts) == len(some):
-                data = ids.tobytes()
-                self.young.update((w, data[i:j]) for w, i, j in zip(some, cuts, [*cuts[1:], len(data)], strict=True))
+                sizes.append(np.diff(cuts, append=len(together)))
+                ids.append(together)
             else:
-                self.young.update((w, self._ids(x).tobytes()) for w, x in zip(some, shown, strict=True))
-        first = [w for w in words if w.startswith(FIRST)]
-        encodings = self.tokenizer.encode_batch_fast([w[1:] for w in first], add_special_tokens=False)
-        self.young.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(first, encodings, strict=True))
+                apart = [self._ids(w if w.startswith("\n") else f" {w}") for w in some]
+                sizes.append(np.array([len(x) for x in apart]))
+                ids += apart
+        encodings = self.tokenizer.encode_batch_fast([w[1:] for w in first.to_pylist()], add_special_tokens=False)
+        sizes.append(np.array([len(e.ids) for e in encodings], np.int64))
+        ids += [np.array(e.ids, dtype="<u4") for e in encodings]
+        return Words(pa.concat_arrays([inner, first]), np.concatenate(sizes), np.concatenate(ids))
 
     def _any_text(self, text: str) -> bytes:
         """For texts with other white space; long ones in segments between two ASCII words."""
@@ -90,32 +127,36 @@ class Encoder:
             at = end
         return b"".join(out)
 
-    @staticmethod
-    def _words(text: str) -> list[str] | None:
-        """Words of a text whose only white space is single spaces and line feeds between words."""
-        if not text or text.replace("\n", " ").split(" ") != text.split():
-            return None
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = FIRST + words[0]
-        return words
+    def _known(self, words: pa.Array) -> tuple[Words, np.ndarray]:
+        """Words with their ids, and where each of ``words``, which differ, stands among them."""
+        at = self.young.find(words)
+        missing = words.filter(pa.array(at < 0))
+        back = self.old.find(missing)
+        fresh = self.old.take(back[back >= 0]) + self._learn(missing.filter(pa.array(back < 0)))
+        at = at.copy()
+        at[at < 0] = len(self.young) + fresh.find(missing)
+        known = self.young + fresh
+        short = pc.less_equal(pc.utf8_length(known.words), self.LONGEST).to_numpy(zero_copy_only=False)
+        self.young = known if short.all() else known.take(np.flatnonzero(short))
+        if len(self.young) > self.CACHED:
+            self.old, self.young = self.young, Words()
+        return known, at
+
+    def _by_words(self, texts: pa.Array) -> Iterator[bytes]:
+        """For texts whose only white space is single spaces and line feeds between words."""
+        first, nothing = pa.scalar(FIRST, texts.type), pa.scalar("", texts.type)
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(first, texts, nothing), "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        known, at = self._known(coded.dictionary)
+        ids, ends = known.laid(at[coded.indices.to_numpy()])
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return (ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False))
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        new = []
-        for word in set().union(*(w for w in split if w)):
-            if word not in self.young:
-                if word in self.old:
-                    self.young[word] = self.old[word]
-                else:
-                    new.append(word)
-        self._learn(new)
-        out = [self._any_text(t) if w is None else b"".join(map(self.young.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
-        for word in new:
-            if len(word) > self.LONGEST:
-                del self.young[word]
-        if len(self.young) > self.CACHED:
-            self.old, self.young = self.young, {}
-        return out
+        column = pa.array(texts, pa.large_string())
+        general = pc.match_substring_regex(column, _GENERAL)
+        plain = self._by_words(column.filter(pc.invert(general)))
+        return [self._any_text(t) if g else next(plain) for t, g in zip(texts, general.to_pylist(), strict=True)]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order; about AT_ONCE characters are in work at a time."""
@@ -130,7 +171,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop the words; a worker's next task may be of another kind."""
-        self.young, self.old = {}, {}
+        self.young, self.old = Words(), Words()
 
 
 @lru_cache(maxsize=2)

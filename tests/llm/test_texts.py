@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -531,6 +532,29 @@ def test_small_cache_gives_the_same_ids(monkeypatch):
     assert list(small.encode(texts)) == [np.array(small.tokenizer.encode(t).ids, "<u4").tobytes() for t in texts]
 
 
+def test_words_stay_columns(monkeypatch):
+    """However many words texts have, only those that differ become objects."""
+    encoder = packing.Encoder(packing.default_tokenizer())
+    blocks, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (blocks.append(sys.getallocatedblocks()), learn(words))[1])
+    texts = ["word", *(f"word {i} of text\n" * 20_000 + "end" for i in range(4)), "text\tword"]
+    before = sys.getallocatedblocks()
+    got = list(encoder.encode(texts))
+    assert max(blocks) - before < 10_000
+    assert got == [np.array(encoder.tokenizer.encode(t).ids, "<u4").tobytes() for t in texts]
+
+
+def test_cached_words_of_all_kinds(monkeypatch):
+    """Long words, first ones and those after a line feed, with a cache that changes often."""
+    monkeypatch.setattr(packing.Encoder, "CACHED", 20)
+    monkeypatch.setattr(packing.Encoder, "AT_ONCE", 200)
+    encoder, rng = packing.Encoder(packing.default_tokenizer()), random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["é,", "日本", "it's", "...", "x" * 300, "<|endoftext|>", "\n", "\t", ""]
+    texts = ["".join(rng.choice(words) + rng.choice("  \n") for _ in range(rng.randrange(40))).strip() for _ in range(300)]
+    assert list(encoder.encode(texts)) == [np.array(encoder.tokenizer.encode(t).ids, "<u4").tobytes() for t in texts]
+    assert len(encoder.young) <= 20 and not any(len(w) > 200 for w in encoder.young.words.to_pylist())
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(200)))) for i in range(80)] + [(None, "x"), (None, None), (500, None), (501, ""), (501, ""), (2**60 + 1, "long " * 900)]
