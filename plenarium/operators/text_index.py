@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -49,7 +50,8 @@ def _block(keys: pa.Array, words: pa.ListArray) -> list[pa.Array]:
     """word, block, keys, tfs, places of some pages: sorted by word, then page, then position."""
     sizes = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False)
+    by_name = pc.sort_indices(coded.dictionary)
+    code = np.argsort(by_name.to_numpy())[coded.indices.to_numpy(zero_copy_only=False)]
     page = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     order = np.argsort(code, kind="stable")
@@ -62,7 +64,7 @@ def _block(keys: pa.Array, words: pa.ListArray) -> list[pa.Array]:
     of_word = np.append(np.searchsorted(in_page, word_starts), len(in_page)).astype(np.int32)
     name = str(keys[0])
     return [
-        coded.dictionary.take(pa.array(code[word_starts])), pa.array([name] * len(word_starts), pa.string()),
+        coded.dictionary.take(by_name).take(pa.array(code[word_starts])), pa.array([name] * len(word_starts), pa.string()),
         pa.ListArray.from_arrays(of_word, keys.take(pa.array(page[in_page]))), pa.ListArray.from_arrays(of_word, pa.array(tfs.astype(np.int32))),
         pa.ListArray.from_arrays(np.append(word_starts, len(code)).astype(np.int32), pa.array(steps.astype(np.int32))),
     ]
@@ -102,13 +104,16 @@ def _plain(lists: pa.ListArray) -> pa.ListArray:
 
 
 def write_index(index: DataFrame, path: str, ranged: bool = True) -> None:
-    """Files sorted by word and block, so that a query reads little beside its words.
+    """Files of the index.
 
-    ``ranged``: dealt into ranges of word and block first, for an index that is read often; a
-    frequent word has many files.  Else each task's blocks stay together, which moves nothing.
+    ``ranged``: dealt into ranges of word and block and sorted by them, for an index that is
+    read often, so that a query reads little beside its words; a frequent word has many files.
+    Else each task writes its blocks one after another, each sorted by word, which moves
+    nothing and holds one block at a time.
     """
-    dealt = index.repartitionByRange("word", "block") if ranged else index
-    dealt.sortWithinPartitions("word", "block").write.mode("overwrite").parquet(path)
+    if ranged:
+        index = index.repartitionByRange("word", "block").sortWithinPartitions("word", "block")
+    index.write.mode("overwrite").parquet(path)
 
 
 def word_counts(index: DataFrame) -> DataFrame:

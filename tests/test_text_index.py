@@ -71,6 +71,17 @@ def test_no_phrases(spark, pages):
     assert none.collect() == [] and none.dtypes == [("phrase", "string"), ("key", "bigint"), ("n", "bigint")]
 
 
+def test_blocks_are_written_as_they_come(spark, tmp_path):
+    """A task's blocks follow one another, each sorted by word, so that writing holds one of them."""
+    frame = spark.createDataFrame([(i, f"the {w} bill Été a{i}") for i, w in enumerate(["vote", "House", "act", "bill"] * 5)], "id long, body string").coalesce(1)
+    index = text_index.postings(frame, "id", "body", most_pages=4)
+    text_index.write_index(index, str(tmp_path / "index"), ranged=False)
+    rows = [(int(r.block), r.word) for r in spark.read.parquet(str(tmp_path / "index")).collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0], r[1].encode())) and {b for b, _ in rows} == {0, 4, 8, 12, 16}
+    text_index.write_index(index, str(tmp_path / "ranged"))
+    assert sorted((int(r.block), r.word) for r in spark.read.parquet(str(tmp_path / "ranged")).collect()) == sorted(rows)
+
+
 def test_ranked(spark, pages, tmp_path):
     """All pages scored give the same; the index may be a written one."""
     plain, index = pages
