@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from plenarium.operators import text_index
@@ -71,6 +72,13 @@ def test_no_phrases(spark, pages):
     assert none.collect() == [] and none.dtypes == [("phrase", "string"), ("key", "bigint"), ("n", "bigint")]
 
 
+def test_a_block_is_sorted_by_word():
+    """In itself, so that nothing has to sort blocks after it."""
+    words, block, keys, tfs, places = text_index._block(pa.array([7, 5]), pa.array([["vote", "été", "Bill", "vote"], ["act", "vote"]]))
+    assert words.to_pylist() == ["Bill", "act", "vote", "été"] and block.to_pylist() == ["7"] * 4
+    assert keys.to_pylist() == [[7], [5], [7, 5], [7]] and tfs.to_pylist() == [[1], [1], [2, 1], [1]] and places.to_pylist() == [[2], [0], [0, 3, 1], [1]]
+
+
 def test_blocks_are_written_as_they_come(spark, tmp_path):
     """A task's blocks follow one another, each sorted by word, so that writing holds one of them."""
     frame = spark.createDataFrame([(i, f"the {w} bill Été a{i}") for i, w in enumerate(["vote", "House", "act", "bill"] * 5)], "id long, body string").coalesce(1)
