@@ -1,8 +1,9 @@
 """Sampled SentencePiece segmentations, and their lossless decoding.
 
 No piece holds a space after another character, so a text's piece lattice falls into
-independent units: a word with the spaces before it.  Forward filtering sums over all
-segmentations of each distinct unit once; backward sampling then draws every occurrence's
+independent units: a word with the spaces before it.  Units are split and told apart as
+columns.  Forward filtering sums over all segmentations of each distinct unit once, and keeps
+of each place the pieces that end there; backward sampling then draws every occurrence's
 segmentation from its end, with numbers that depend on the row's key, the unit's place and
 the step alone.  A long unit keeps the forward sums of all its characters and finds the
 pieces again, block by block, on the way back: memory is 8 bytes a character.
@@ -10,16 +11,17 @@ pieces again, block by block, on the way back: memory is 8 bytes a character.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 from math import exp, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +32,14 @@ MARK = 0x2581
 NO_CHAR = 0x110000
 #: Longer units are filtered one by one, in blocks of so many characters; the law is the same.
 LONGEST, BLOCK = 256, 4096
+#: First bits of a hash that tell most of what is no piece.
+LIKELY = 20
 SEED = 10
 #: Stands for an id that isn't in the vocabulary.
 FOREIGN = "\ufffd".encode()
-_RUNS = re.compile(r" *[^ ]+| +")
 _AT_ONCE = 1_000_000
-#: Filtered cells that a task keeps for words to come, 8 bytes each.
-STORED = 20_000_000
+#: Pieces at places of filtered words that a task keeps for words to come, 8 bytes each.
+STORED = 16_000_000
 _STEP, _UNIT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _BASE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -67,22 +70,25 @@ def _as_pieces(chars: np.ndarray) -> np.ndarray:
     return np.where(chars == MARK, NO_CHAR, np.where(chars == 0x20, MARK, chars))
 
 
-def units_of(text: str) -> list[str]:
-    """The text in order, cut before each run of spaces and round line feeds, where no piece can lie across."""
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        if not line:
-            continue
-        if "  " in line:
-            out.extend(_RUNS.findall(line))
-        else:
-            words = line.split(" ")
-            if words[0]:
-                out.append(words[0])
-            out.extend([f" {w}" for w in words[1:]])
-    return out
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, and where each one's begin, with the end of all; null as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def units_of(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts in order, cut before each run of spaces and round line feeds, where no piece can lie across, and each text's number of units."""
+    before = np.full(len(data), 0x0A, np.uint8)
+    before[1:] = data[:-1]
+    starts = (data == 0x0A) | (before == 0x0A) | ((data == 0x20) & (before != 0x20))
+    starts[ends[:-1][ends[:-1] < len(data)]] = True
+    at = np.flatnonzero(starts)
+    units = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))
+    return units, np.diff(np.searchsorted(at, ends))
 
 
 class Lattice:
@@ -110,86 +116,109 @@ class Lattice:
             else:
                 pieces.append((piece, i))
                 self.bytes_of.append(piece.replace(chr(MARK), " ").encode())
+        self.letters = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.letters_of = np.array([len(x) for x in self.bytes_of])
         self.longest = max(len(p) for p, _ in pieces)
-        self.known: dict[str, int] = {}
-        self.stores: dict[int, tuple[int, list[np.ndarray]]] = {}
-        self.cells = 0
+        #: Characters of each id; the last is for a byte's, which is below nought.
+        self.sizes = np.ones(size + 1, dtype=np.int64)
+        self.sizes[[i for _, i in pieces]] = [len(p) for p, _ in pieces]
+        self.forget()
         self.power = np.cumprod(np.full(LONGEST + BLOCK + self.longest, _BASE, dtype=np.uint64))
-        self.back = np.cumprod(np.full(LONGEST + BLOCK + self.longest, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64))
-        keys = np.array([self._prefixes(np.array([[ord(c) for c in p]]))[0, -1] for p, _ in pieces], dtype=np.uint64) * self.back[0]
+        self.back = np.cumprod(np.full(LONGEST + BLOCK + self.longest, pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)) * _STEP
+        keys = np.array([self._sums(np.array([ord(c) for c in p]), np.arange(len(p)))[-1] for p, _ in pieces], dtype=np.uint64) * self.back[0]
         order = np.argsort(keys)
         self.keys = keys[order]
         self.ids = np.array([i for _, i in pieces], dtype=np.int32)[order]
         ranks = np.array([max(1.0, -model.get_score(i) + 1) for _, i in pieces])
         self.weights = (-sharpness * np.log(ranks + 1))[order]
         self.byte_weight = -sharpness * np.log(size)
+        #: By a hash's first bits: whether any piece has them, where these pieces begin, and how many they are at most.
+        many = np.bincount((self.keys >> np.uint64(64 - LIKELY)).view(np.int64), minlength=1 << LIKELY)
+        self.likely, self.from_key, self.most = many > 0, (np.cumsum(many) - many).astype(np.int32), int(many.max())
+
+    def _sums(self, chars: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Sums of characters, each weighed by its place in its unit; a difference of two is a hash of what lies between."""
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.power[place])])
 
-    def _prefixes(self, chars: np.ndarray) -> np.ndarray:
-        """Hashes of each row's beginnings."""
-        sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.power[None, : chars.shape[1]], axis=1)
-        return np.concatenate([np.zeros((len(chars), 1), np.uint64), sums], axis=1)
-
-    def _pieces(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For units of one length: at each end, the weight of each length's piece (-inf: none), and its id (-1: bytes)."""
-        n, size = chars.shape
-        reach = min(size, self.longest)
-        sums = self._prefixes(chars)
-        weight = np.full((n, size, reach), -np.inf)
-        ids = np.full((n, size, reach), -1, dtype=np.int32)
-        for length in range(1, reach + 1):
-            wanted = (sums[:, length:] - sums[:, :-length]) * self.back[None, : size - length + 1]
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            found = self.keys[at] == wanted
-            ends = slice(length - 1, size)
-            ids[:, ends, length - 1] = np.where(found, self.ids[at], -1)
-            weight[:, ends, length - 1] = np.where(found, self.weights[at], -np.inf)
-        alone = ids[:, :, 0] < 0
-        if alone.any():
-            wide = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-            wide = np.where(chars == NO_CHAR, 3, wide)
-            weight[:, :, 0] = np.where(alone, wide * self.byte_weight, weight[:, :, 0])
-        return weight, ids
-
-    def filtered(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For units of one length: at each end, the cumulative chance of each last piece's length, and its id (-1: bytes)."""
-        n, size = chars.shape
-        chance, ids = self._pieces(chars)
-        reach = chance.shape[2]
-        total = np.full((n, size + 1), -np.inf)
-        total[:, 0] = 0
-        for end in range(1, size + 1):
-            k = min(end, reach)
-            joint = chance[:, end - 1, :k] + total[:, end - k : end][:, ::-1]
-            top = joint.max(axis=1)
-            odds = np.exp(joint - top[:, None]).cumsum(axis=1)
-            total[:, end] = top + np.log(odds[:, -1])
-            chance[:, end - 1, :k] = odds / odds[:, -1:]
-            chance[:, end - 1, k:] = 1
-        return chance, ids
-
-    def _ends(self, chars: np.ndarray, start: int) -> tuple[list[list[tuple[int, float, int]]], int]:
+    def _pieces(self, plain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of units laid one after another, how many pieces end at each character, and their weights and ids by end, then length.
+
+        An id below nought stands for the bytes of character -1 - id.
+        """
+        chars = _as_pieces(plain)
+        sums, ends, found = self._sums(chars, place), np.arange(len(chars)), []
+        for length in range(1, min(self.longest, int(place.max()) + 1) + 1):
+            ends = ends[place[ends] >= length - 1]
+            wanted = (sums[ends + 1] - sums[ends + 1 - length]) * self.back[place[ends] - length + 1]
+            bits = (wanted >> np.uint64(64 - LIKELY)).view(np.int64)
+            some = np.flatnonzero(self.likely[bits])
+            wanted, key = wanted[some], self.from_key[bits[some]]
+            for _ in range(self.most - 1):
+                key = np.minimum(key + (self.keys[key] < wanted), len(self.keys) - 1)
+            true = self.keys[key] == wanted
+            found.append((ends[some[true]], key[true]))
+        counts = np.ones(len(chars), dtype=np.int64)
+        for ends, _ in found[1:]:
+            counts[ends] += 1
+        at = np.cumsum(counts) - counts
+        weight, ids = np.empty(counts.sum()), np.empty(counts.sum(), dtype=np.int32)
+        wide = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        weight[at], ids[at] = np.where(chars == NO_CHAR, 3, wide) * self.byte_weight, -1 - plain
+        for length, (ends, key) in enumerate(found, 1):
+            at[ends] += length > 1
+            weight[at[ends]], ids[at[ends]] = self.weights[key], self.ids[key]
+        return counts, weight, ids
+
+    def filtered(self, plain: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_pieces``, with each last piece's cumulative chance for its weight."""
+        counts, weight, ids = self._pieces(plain, place)
+        first, length = np.cumsum(counts) - counts, self.sizes[np.maximum(ids, -1)]
+        # One more sum for each unit's beginning.
+        slot = np.arange(len(plain)) + np.cumsum(place == 0)
+        total = np.zeros(len(plain) + np.count_nonzero(place == 0))
+        chance = np.empty(len(ids), dtype=np.float32)
+        by_place, at = np.argsort(place, kind="stable"), 0
+        for n in np.bincount(place).tolist():
+            ends, at = by_place[at : at + n], at + n
+            many = counts[ends]
+            start = np.cumsum(many) - many
+            own = np.repeat(first[ends] - start, many) + np.arange(many.sum())
+            joint = weight[own] + total[np.repeat(slot[ends], many) - length[own]]
+            top = np.maximum.reduceat(joint, start)
+            odds, nth = np.exp(joint - np.repeat(top, many)), 1
+            more = np.flatnonzero(many > 1)
+            while len(more):
+                odds[start[more] + nth] += odds[start[more] + nth - 1]
+                nth += 1
+                more = more[many[more] > nth]
+            every = odds[start + many - 1]
+            total[slot[ends]] = top + np.log(every)
+            chance[own] = odds / np.repeat(every, many)
+        return counts, chance, ids
+
+    def _ends(self, plain: np.ndarray, start: int) -> tuple[list[list[tuple[int, float, int]]], int]:
         """The pieces (length, weight, id) that end behind each character of the block from ``start``, and the block's end."""
-        end, before = min(start + BLOCK, len(chars)), max(0, start + 1 - self.longest)
-        weight, ids = self._pieces(chars[None, before:end])
-        row, length = np.nonzero(weight[0, start - before :] > -np.inf)
-        found: list[list[tuple[int, float, int]]] = [[] for _ in range(end - start)]
-        for r, k, w, i in zip(row.tolist(), (length + 1).tolist(), weight[0, start - before :][row, length].tolist(), ids[0, start - before :][row, length].tolist(), strict=True):
-            found[r].append((k, w, i))
+        end, before = min(start + BLOCK, len(plain)), max(0, start + 1 - self.longest)
+        counts, weight, ids = self._pieces(plain[before:end], np.arange(end - before))
+        found, at = [], int(counts[: start - before].sum())
+        length = self.sizes[np.maximum(ids, -1)]
+        for n in counts[start - before :].tolist():
+            found.append(list(zip(length[at : at + n].tolist(), weight[at : at + n].tolist(), ids[at : at + n].tolist(), strict=True)))
+            at += n
         return found, end
 
-    def sample_long(self, unit: str, drawn: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """A unit's pieces from its end, and each one's last character."""
+    def sample_long(self, unit: str, drawn: np.uint64) -> np.ndarray:
+        """A unit's pieces from its end."""
         plain = _code_points(unit)
-        chars = _as_pieces(plain)
-        total = array("d", [0.0]) * (len(chars) + 1)
-        for start in range(0, len(chars), BLOCK):
-            for at, pieces in enumerate(self._ends(chars, start)[0], start + 1):
+        total = array("d", [0.0]) * (len(plain) + 1)
+        for start in range(0, len(plain), BLOCK):
+            for at, pieces in enumerate(self._ends(plain, start)[0], start + 1):
                 joint = [total[at - k] + w for k, w, _ in pieces]
                 top = max(joint)
                 total[at] = top + log(sum(exp(j - top) for j in joint))
-        ids, last, end = [], [], len(chars)
-        for start in range((len(chars) - 1) // BLOCK * BLOCK, -1, -BLOCK):
-            pieces_at = self._ends(chars, start)[0]
+        ids, end = [], len(plain)
+        for start in range((len(plain) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            pieces_at = self._ends(plain, start)[0]
             uniform = iter(_uniform(drawn, np.arange(len(ids) + 1, len(ids) + 2 + max(0, end - start), dtype=np.uint64)).tolist())
             while end > start:
                 rest = next(uniform)
@@ -198,109 +227,129 @@ class Lattice:
                     if rest < 0:
                         break
                 ids.append(i)
-                last.append(end - 1)
                 end -= k
-        return np.array(ids, dtype=np.int32), plain[last]
+        return np.array(ids, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        """Filter words that the store doesn't have; a full store starts anew."""
-        by_size: dict[int, list[str]] = {}
-        for word in words:
-            by_size.setdefault(len(word), []).append(word)
-        for size, some in by_size.items():
-            chars = _code_points("".join(some)).reshape(-1, size)
-            chance, ids = self.filtered(_as_pieces(chars))
-            parts = (chars.astype(np.int32), chance.astype(np.float32), ids)
-            used, store = self.stores.get(size, (0, [np.empty((0, *x.shape[1:]), x.dtype) for x in parts]))
-            if used + len(some) > len(store[0]):
-                room = max(64, len(some), len(store[0]))
-                store = [np.concatenate([x, np.empty((room, *x.shape[1:]), x.dtype)]) for x in store]
-            for x, new in zip(store, parts, strict=True):
-                x[used : used + len(some)] = new
-            self.stores[size] = (used + len(some), store)
-            self.known.update(zip(some, range(size << 32 | used, (size << 32 | used) + len(some)), strict=True))
-            self.cells += chance.size
-
-    def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        """A sampled segmentation of each text."""
-        units = [units_of(t) for t in texts]
-        counts = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        every = list(chain.from_iterable(units))
-        if not every:
-            return [np.empty(0, np.int32) for _ in texts]
-        distinct = set(every)
-        if self.cells > STORED:
+        """Filter words that the store doesn't have."""
+        if not words:
+            return
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        counts, chance, ids = self.filtered(_code_points("".join(words)), np.arange(sizes.sum()) - np.repeat(starts, sizes))
+        first = (self.held + np.cumsum(counts) - counts).astype(np.int32)
+        self.known.update(zip(words, ((self.nodes + starts) << 16 | sizes).tolist(), strict=True))
+        self.first = _put(self.first, self.nodes, first)
+        self.chance, self.ids_at = _put(self.chance, self.held, chance), _put(self.ids_at, self.held, ids)
+        self.nodes, self.held = self.nodes + len(first), self.held + len(ids)
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """Where each of ``words``, which differ, begins in the store, and its size in the last 16 bits; 0 for a long one.  A full store starts anew."""
+        plain = words.to_numpy(zero_copy_only=False).tolist()
+        if self.held > STORED:
             self.forget()
-        self._learn([w for w in distinct if w not in self.known and len(w) <= LONGEST])
-        code = np.fromiter((self.known.get(w, 0) for w in every), dtype=np.int64, count=len(every))
-        sizes, slots = code >> 32, code & 0xFFFFFFFF
+        codes = np.fromiter(map(self.known.get, plain, repeat(0)), np.int64, len(plain))
+        short = pc.less_equal(pc.utf8_length(words), LONGEST).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero((codes == 0) & short)
+        some = [plain[i] for i in new.tolist()]
+        self._learn(some)
+        codes[new] = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+        return codes
+
+    def sample(self, texts: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A sampled segmentation of each text: all ids one after another, and where each text's begin, with the end of all."""
+        units, counts = units_of(*_bytes(texts))
+        if not len(units):
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        coded = units.dictionary_encode()
+        code = self._codes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
         drawn = _scramble(np.repeat(_scramble(keys), counts) + place.astype(np.uint64) * _UNIT)
         steps, tokens = np.zeros(len(code), dtype=np.int64), []
-        for who in np.flatnonzero(sizes == 0).tolist():
-            ids, last = self.sample_long(every[who], drawn[who])
+        for who in np.flatnonzero(code == 0).tolist():
+            ids = self.sample_long(units[who].as_py(), drawn[who])
             steps[who] = len(ids)
-            tokens.append((np.full(len(ids), who), np.arange(1, len(ids) + 1), ids, last))
-        for size in np.flatnonzero(np.bincount(sizes)):
-            if not size:
-                continue
-            chars, chance, ids = self.stores[size][1]
-            who = np.flatnonzero(sizes == size)
-            slot, end, step = slots[who], np.full(len(who), size), 0
-            while len(who):
-                step += 1
-                u = _uniform(drawn[who], np.full(1, step, np.uint64))
-                last = (chance[slot, end - 1] <= u[:, None]).sum(axis=1)
-                steps[who] = step
-                tokens.append((who, step, ids[slot, end - 1, last], chars[slot, end - 1]))
-                end = end - last - 1
-                go = end > 0
-                who, slot, end = who[go], slot[go], end[go]
+            tokens.append((np.full(len(ids), who), np.arange(1, len(ids) + 1), ids))
+        who, step = np.flatnonzero(code), 0
+        begin = code[who] >> 16
+        node = begin + (code[who] & 0xFFFF) - 1
+        while len(who):
+            step += 1
+            u = _uniform(drawn[who], np.full(1, step, np.uint64))
+            pick = self.first[node]
+            on = np.flatnonzero(self.chance[pick] <= u)
+            while len(on):
+                pick[on] += 1
+                on = on[self.chance[pick[on]] <= u[on]]
+            piece = self.ids_at[pick]
+            steps[who] = step
+            tokens.append((who, step, piece))
+            node = node - self.sizes[np.maximum(piece, -1)]
+            go = np.flatnonzero(node >= begin)
+            who, node, begin = who[go], node[go], begin[go]
         # A unit's last piece is drawn first, so pieces are laid from its end.
         after = np.cumsum(steps)
-        found, char = np.empty(after[-1], dtype=np.int32), np.empty(after[-1], dtype=np.int32)
-        for who, step, piece, last_char in tokens:
-            found[after[who] - step], char[after[who] - step] = piece, last_char
-        per_text = np.diff(np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(counts)])])
+        found = np.empty(after[-1], dtype=np.int32)
+        for who, step, piece in tokens:
+            found[after[who] - step] = piece
+        ends = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(counts)])]
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            spelt = [np.frombuffer(chr(c).encode(), np.uint8) for c in char[missing]]
+            chars, which = np.unique(-1 - found[missing], return_inverse=True)
+            spelt = [self.byte_id[list(chr(c).encode())] for c in chars.tolist()]
             times = np.ones(len(found), dtype=np.int64)
-            times[missing] = [len(x) for x in spelt]
+            times[missing] = np.array([len(x) for x in spelt])[which]
             gaps = np.repeat(found < 0, times)
-            ends = np.concatenate([[0], np.cumsum(times)])[np.cumsum(per_text)]
+            ends = np.concatenate([[0], np.cumsum(times)])[ends]
             found = np.repeat(found, times)
-            found[gaps] = self.byte_id[np.concatenate(spelt)]
-            per_text = np.diff(np.concatenate([[0], ends]))
-        return np.split(found, np.cumsum(per_text)[:-1])
+            found[gaps] = np.concatenate([spelt[i] for i in which.tolist()])
+        return found, ends
+
+    def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
+        """A sampled segmentation of each text."""
+        ids, ends = self.sample(pa.array(texts, pa.large_string()), keys)
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def forget(self) -> None:
         """Drop the filtered words; a worker's next task may be of another kind."""
-        self.known, self.stores, self.cells = {}, {}, 0
+        self.known: dict[str, int] = {}
+        self.first, self.chance, self.ids_at = np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int32)
+        self.nodes = self.held = 0
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes that texts' ids stand for, one text after another, and where each one's begin, with the end of all."""
+        sizes = self.letters_of[ids]
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        shift = (np.cumsum(self.letters_of) - self.letters_of)[ids] - after[:-1]
+        return self.letters[np.repeat(shift, sizes) + np.arange(after[-1])], after[ends]
 
     def read(self, ids: np.ndarray) -> str:
-        """As ``decode``, of any numbers; see ``decode_pieces``."""
+        """The text of any numbers; see ``decode_pieces``."""
         known = len(self.bytes_of)
         return b"".join(self.bytes_of[int(i)] if i is not None and 0 <= i < known else FOREIGN for i in ids).decode(errors="replace")
 
 
+def _put(held: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """``held`` with ``new`` behind the first ``used``, with more room if they don't fit."""
+    if used + len(new) > len(held):
+        held = np.concatenate([held[:used], np.empty(max(len(new), used // 2), held.dtype)])
+    held[used : used + len(new)] = new
+    return held
+
+
 @lru_cache(maxsize=2)
 def lattice(path: str, sharpness: float) -> Lattice:
     return Lattice(path, sharpness)
 
 
-def sampled(pieces: Lattice, texts: pd.Series, keys: pd.Series) -> Iterator[list[np.ndarray]]:
-    """Ids of all texts in turn, about _AT_ONCE characters at a time; null as empty."""
-    plain, numbers, at = [t or "" for t in texts], keys.to_numpy(np.int64).view(np.uint64), 0
-    while at < len(plain):
-        size, end = 0, at
-        while end < len(plain) and size < _AT_ONCE:
-            size += len(plain[end])
-            end += 1
-        yield pieces.encode(plain[at:end], numbers[at:end])
+def sampled(pieces: Lattice, texts: pa.Array, keys: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Some of the texts in turn, about _AT_ONCE bytes at a time, with their ids as of ``sample``."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    after, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        end = min(len(texts), int(np.searchsorted(after, after[at] - sizes[at] + _AT_ONCE)) + 1)
+        some = texts.slice(at, end - at)
+        yield some, *pieces.sample(some, keys[at:end])
         at = end
 
 
@@ -319,8 +368,10 @@ def encode_pieces(docs: DataFrame, key: str = "doc_id", model: str | None = None
     def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces = lattice(path, sharpness)
         for texts, keys in batches:
-            out = [ids for part in sampled(pieces, texts, keys) for ids in part]
-            yield pd.Series([None if t is None else ids for t, ids in zip(texts, out, strict=True)], dtype=object)
+            out = []
+            for some, ids, ends in sampled(pieces, pa.array(texts, pa.large_string(), from_pandas=True), keys.to_numpy(np.int64).view(np.uint64)):
+                out += [ids[a:b] if t else None for a, b, t in zip(ends[:-1], ends[1:], some.is_valid().to_pylist(), strict=True)]
+            yield pd.Series(out, dtype=object)
         pieces.forget()
 
     row_key = F.xxhash64(F.col(key), F.lit(seed))
@@ -352,20 +403,23 @@ def round_trip(docs: DataFrame, key: str = "doc_id", model: str | None = None, s
     """
     path = model or default_model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(path, sharpness)
         for batch in batches:
-            rows, texts = [], iter(batch["text"])
-            for part in sampled(pieces, batch["text"], batch["draw"]):
-                for ids in part:
-                    text, decoded = next(texts), pieces.decode(ids)
-                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(decoded.encode()), decoded == (text or "")))
-            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_crc32", "lossless"]).assign(**{key: batch["key"]})
+            rows: list[tuple[int, int, int, bool]] = []
+            for some, ids, ends in sampled(pieces, batch.column("text"), batch.column("draw").to_numpy().view(np.uint64)):
+                data, at = _bytes(some)
+                spelt, to = pieces.spell(ids, ends)
+                for a, b, c, d, e, f in zip(*(x.tolist() for x in (ends[:-1], ends[1:], at[:-1], at[1:], to[:-1], to[1:])), strict=True):
+                    decoded = spelt[e:f].tobytes()
+                    rows.append((b - a, zlib.crc32(ids[a:b].astype("<u4", copy=False)), zlib.crc32(decoded), decoded == data[c:d].tobytes()))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)] if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=[key, "n_pieces", "ids_crc32", "decoded_crc32", "lossless"])
         pieces.forget()
 
-    named = docs.select(F.col(key).cast("string").alias("key"), "text", F.xxhash64(F.col(key), F.lit(seed)).alias("draw"))
-    found = named.mapInPandas(run, f"{key} string, n_pieces long, ids_crc32 long, decoded_crc32 long, lossless boolean")
-    return found.withColumn(key, F.col(key).cast("long"))
+    named = docs.select(F.col(key).cast("long").alias("key"), "text", F.xxhash64(F.col(key), F.lit(seed)).alias("draw"))
+    return named.mapInArrow(run, f"{key} long, n_pieces long, ids_crc32 long, decoded_crc32 long, lossless boolean")
 
 
 def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:

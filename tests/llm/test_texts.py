@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -670,6 +671,38 @@ def test_piece_law(monkeypatch):
     assert set(seen) <= set(law) and all(abs(seen[k] / n - v / total) < 0.012 for k, v in law.items())
 
 
+def test_units_of_columns():
+    """Units are those of plain text, line by line; a text's bytes come back from its ids."""
+    rng = random.Random(5)
+    texts = ["", "a", "  a   b ", " ", "\n\n a\nb \n", None, "▁x ▁", *("".join(rng.choice(" \nabé日😀\t") for _ in range(rng.randrange(30))) for _ in range(400))]
+    column = pa.array(texts, pa.string()).slice(1)
+    units, counts = sentencepieces.units_of(*sentencepieces._bytes(column))
+    want = [re.findall(r"\n| *[^ \n]+| +", t or "") for t in texts[1:]]
+    assert units.to_pylist() == [u for some in want for u in some] and counts.tolist() == list(map(len, want))
+    lattice = sentencepieces.lattice(sentencepieces.default_model(), 1.0)
+    ids, ends = lattice.sample(column, np.arange(len(column), dtype=np.uint64))
+    spelt, at = lattice.spell(ids, ends)
+    assert [spelt[i:j].tobytes().decode() for i, j in zip(at, at[1:], strict=False)] == [t or "" for t in texts[1:]]
+    lattice.forget()
+
+
+def test_filtered_words_are_stored_by_piece(monkeypatch):
+    """A word takes room for the pieces that end in it, not for every length; a store that is full again and again gives the same ids."""
+    lattice = sentencepieces.lattice(sentencepieces.default_model(), 1.0)
+    lattice.forget()
+    known = {lattice.bytes_of[i].decode() for i in lattice.ids.tolist()}
+    words = [" unbelievable", " Straße", "x日▁y", " a" * 3, " theaterkasse"]
+    some = {u for w in words for u in re.findall(" *[^ ]+", w)}
+    pieces = sum(k == 1 or w[e - k : e] in known and "▁" not in w[e - k : e] for w in some for e in range(1, len(w) + 1) for k in range(1, e + 1))
+    keys = np.arange(len(words), dtype=np.uint64)
+    first = [x.tolist() for x in lattice.encode(words, keys)]
+    assert lattice.held == pieces < 3 * lattice.nodes and lattice.nodes == sum(map(len, some))
+    monkeypatch.setattr(sentencepieces, "STORED", 1)
+    for turn in range(3):
+        assert [x.tolist() for i, w in enumerate(words) for x in lattice.encode([w], keys[i : i + 1])] == first, turn
+    lattice.forget()
+
+
 def test_pipeline(spark):
     """Stage by stage against brute force over a whole table, and as one run."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
