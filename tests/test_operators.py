@@ -275,6 +275,26 @@ def test_day_ledgers(spark):
         assert "Join" not in _plan(df).split("Window")[0] and "Window" in _plan(df)
 
 
+def test_day_prompts_move_no_text(spark):
+    """Rows go to their day in all partitions before lines, heads and excerpts are made of what moved."""
+    from plenarium.plans import flows
+
+    rows = [(1, "s", "d1", 1, "Ünë", ["b", "gone", "a"]), (2, "s", "d1", 2, "two", []), (3, None, "d1", 3, None, None), (None, "r", "d1", 4, "four", ["a"]), (None, "r", "d1", 5, "five 😀", None)]
+    divisions = spark.createDataFrame(rows, "division long, house string, date string, number long, name string, bill_ids array<string>")
+    bills = spark.createDataFrame([("a", "An act", "sums"), ("b", "A bill", None)], "bill_id string, title string, summary string")
+    prompts = flows.division_prompts(divisions, bills, F.concat("name", F.lit(" said " + "é" * 2300)))
+    found = {r.number: r for r in prompts.withColumn("number", F.regexp_extract("head", r"division (\d+)", 1)).collect()}
+    assert len(found) == 5 and found[None].ledger == ""
+    assert found["1"].ledger == "- (division 2) two" and found["2"].ledger == "- (division 1) Ünë" and found["1"].bills == "- A bill: no official summary\n- An act: sums"
+    assert found["2"].excerpt == "two said " + "é" * 2191 and found["5"].excerpt == "five 😀 said " + "é" * 2187 and found["4"].bills == found["4"].ledger == ""
+    after, before = _plan(prompts).split("Exchange hashpartitioning(house", 1)
+    assert "REPARTITION_BY_NUM" in before and "said" in after and "- (division " in after
+    assert " said " not in before and "- (division " not in before
+    # A stored summary is cut before it moves.
+    stored = flows.division_prompts(divisions.withColumn("summary", F.lit("x" * 2300)), bills)
+    assert {len(r.excerpt) for r in stored.collect()} == {2200} and stored.columns == ["division", "head", "bills", "ledger", "excerpt"]
+
+
 def test_family_by_counts(spark):
     """Those of a family are counted by place, so a common family isn't paired with all its sources."""
     seats = "slug string, name_slug string, seat string, state string, ord int"
